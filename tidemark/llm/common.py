@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Maps A-Z to a-z and every byte that is no digit, letter or part of a non-ASCII character to a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -19,6 +25,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -54,3 +61,49 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def spans_of(lengths: np.ndarray) -> np.ndarray:
     """Offsets of consecutive runs with these lengths, the total last."""
     return np.concatenate(([0], np.cumsum(lengths)))
+
+
+def pieces(batch: pa.RecordBatch, most: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text, a row at least."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes + 64)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_lists(raw: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text with A-Z lower-cased, in lists of about `most` bytes: memory stays bounded."""
+    if len(raw) <= most:
+        yield raw.lower().split()
+        return
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, min(at + most, len(raw)))
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].lower().split()
+        at = end
+
+
+def fold_of(doc_id: Column, k: int) -> Column:
+    """crc32 of the id as text, modulo k; 0 where the id is null."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % k, F.lit(0))
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, unless PYTHONPATH already does; once for each Spark context."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_tidemark_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")  # Spark serves it from here to the executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.glob("tidemark/**/*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True

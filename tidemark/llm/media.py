@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, raw_texts, spans_of
+from .common import id_and_text, pieces, raw_texts, spans_of
 
 WIDTH = 64
 MAX_HEIGHT = 64
@@ -315,7 +315,7 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 yield pa.record_batch([part.column(0), pa.array(encode_many(raw_texts(part.column(1))), pa.binary())], ["doc_id", "media"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, media binary")
@@ -345,19 +345,6 @@ _CLIP = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("start_s", pa.
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("n_clips", pa.int32())])
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about `most` bytes of text, a row at least."""
-    sizes = batch.column(1).cast(pa.binary()).to_pylist()
-    first, total = 0, 0
-    for k, x in enumerate(sizes):
-        total += len(x or b"") + WIDTH
-        if total >= most:
-            yield batch.slice(first, k + 1 - first)
-            first, total = k + 1, 0
-    if first < len(sizes):
-        yield batch.slice(first)
-
-
 def read_back(media: list[bytes]) -> list[tuple]:
     """For each file: its features, from what is stored in it alone."""
     parsed = [parse_avi(x) for x in media]
@@ -392,7 +379,7 @@ def media_features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 found = read_back(encode_many(raw_texts(part.column(1))))
                 columns = list(zip(*found, strict=True))
                 yield pa.record_batch([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_FEATURES)[1:], strict=True))], schema=_FEATURES)
