@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, gru_lm, licenses, media, toxicity
+from . import bpe, chat, gru_lm, licenses, media, token_files, toxicity
 from .common import documents
 
 
@@ -40,6 +40,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(turns.unionByName(more))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(documents(spark, sf_dir), vocabulary_path())
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.lm_scores(documents(spark, sf_dir))
 
