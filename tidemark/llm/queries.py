@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, gru_lm, licenses, media, token_files, toxicity
+from . import bpe, chat, decontam, gru_lm, licenses, media, ngram_join, token_files, toxicity
 from .common import documents
 
 
@@ -37,6 +37,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(documents(spark, sf_dir), vocabulary_path())
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "</s>[INST] ok [/INST]"
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
