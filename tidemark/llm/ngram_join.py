@@ -28,8 +28,10 @@ from .graph import connected_components
 
 SIZE = 3
 COUNTERS = 1 << 15
-SLICES = 16
+SLICES = 8
 MEMO = 300_000
+ROUNDS = 8  # of comparing crowded buckets with their best-linked set
+CROWD = 4096  # possible pairs from which a bucket's sets are ordered anew
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -148,10 +150,11 @@ def _links(pairs: DataFrame, fragments: DataFrame, num: int, den: int) -> DataFr
     return summed.filter(F.col("overlap") * den >= num * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
-def _may_link(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: int) -> Column:
-    """Length filter, and position filter: what stands before a shared key and from it on bounds the overlap."""
-    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (most * (den + num) >= (na + nb) * num)
+def _may_link(nx: Column, ny: Column, px: Column, py: Column, dx: Column, dy: Column, num: int, den: int) -> Column:
+    """Length filter, and position filters: of the overlap, what stands before a shared key and from it on is a bound, and
+    so is a set's size less its d keys before the shared key that are in no other prefix, hence in no partner's set."""
+    most = F.least(F.least(px, py) + F.least(nx - px, ny - py), nx - dx, ny - dy)
+    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (den + num) >= (nx + ny) * num)
 
 
 class Join:
@@ -165,61 +168,152 @@ class Join:
         linked = self.rows.filter("n > 0 and doc_id is not null")
         self.classes = stored(linked.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("sig", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rep")), "classes")
         heads = self.rows.join(self.classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-        spread = heads.select("rid", "n", F.posexplode("prefix").alias("pos", "key"))
+        spread = heads.select("rid", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "key"))
         leaders = spread.groupBy("key").agg(F.min(F.struct("pos", "rid", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("key", "lead")
-        self.buckets = stored(spread.join(leaders, "key").select("key", "rid", "n", "pos", "lead"), "buckets")
+        shared = spread.join(leaders, "key").select("key", "rid", "n", "pos", "last", F.col("lead.rid").alias("lead_rid"))
+        # A key that only one prefix holds is in no set of a partner with a later shared key: d counts those before each row.
+        before = F.row_number().over(Window.partitionBy("rid").orderBy("pos")) - 1
+        rows = shared.withColumn("d", F.col("pos") - before)
+        # Without a partner as large as itself among its candidates, a row can only meet smaller sets.
+        self.buckets = stored(rows.withColumn("free", (F.col("n") - F.col("d")) * (den + num) >= F.col("n") * 2 * num), "buckets")
 
     def _fragments_of(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
         wanted = self.classes.withColumnRenamed("rep", "rid").join(ends, "rid").select("rid", F.col("first_id").alias("doc_id"), "sig")
         return stored(_fragments(self.docs, wanted, self.log_count), "fragments")
 
-    def _pairs(self, raw: DataFrame) -> DataFrame:
-        """Distinct candidates (a, b, na, nb), a < b, from (x, nx, px, y, ny, py)."""
-        fit = raw.filter(_may_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), self.num, self.den))
+    def _fit(self, raw: DataFrame) -> DataFrame:
+        return raw.filter(_may_link(*map(F.col, ("nx", "ny", "px", "py", "dx", "dy")), self.num, self.den))
+
+    @staticmethod
+    def _ends(pairs: DataFrame) -> DataFrame:
+        """(a, b, na, nb) with a < b from (x, nx, y, ny)."""
         low = F.col("x") < F.col("y")
-        return fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+
+    def _counted(self, raw: DataFrame) -> DataFrame:
+        """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
+        the order that both prefixes cover, so each of its keys that is not shared is missing from the other set."""
+        num, den = self.num, self.den
+        c = self._fit(raw).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("shared"), F.min("last_x").alias("lx"), F.min("last_y").alias("ly"))
+        need = F.ceil((F.col("nx") + F.col("ny")) * num / (den + num))
+        head = lambda n: n - F.ceil(n * num / den) + 1
+        left, right = (head(F.col(n)) - F.col(n) + need for n in ("nx", "ny"))
+        return self._ends(c.filter(F.col("shared") >= F.when(F.col("lx") <= F.col("ly"), left).otherwise(right))).distinct()
 
     def star_pairs(self) -> DataFrame:
-        return self._pairs(self.buckets.filter("rid <> lead.rid").select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("lead.rid").alias("y"), F.col("lead.n").alias("ny"), F.col("lead.pos").alias("py")))
+        leaders = self.buckets.filter("rid = lead_rid").select("key", *(F.col(c).alias(a) for c, a in zip(("rid", "n", "pos", "d"), ("y", "ny", "py", "dy"), strict=True)))
+        return self._ends(self._fit(self._side("x", "rid <> lead_rid").join(leaders, "key"))).distinct()
+
+    def _side(self, name: str, condition: str, rows: DataFrame | None = None, *more: str) -> DataFrame:
+        rows = (self.buckets if rows is None else rows).filter(condition)
+        return rows.select("key", F.col("rid").alias(name), F.col("n").alias(f"n{name}"), F.col("pos").alias(f"p{name}"), F.col("d").alias(f"d{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
 
-    def closing_pairs(self, components: DataFrame | None, done: DataFrame) -> DataFrame:
-        """Candidates not compared yet; with components (node, component), only those between two of them."""
-        rows = self.buckets
+    def _open_rows(self, components: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Rows of the buckets with their components, without the leaders; and the keys of crowded buckets, which still
+        have many pairs between components. components None: every set is one of its own."""
         if components is None:
-            rows = rows.withColumn("comp", F.col("rid")).withColumn("lead_comp", F.lit(-1).cast("long"))
+            rows = self.buckets.withColumn("comp", F.col("rid")).withColumn("lead_comp", F.lit(None).cast("long"))
         else:
-            rows = rows.join(components.select(F.col("node").alias("rid"), F.col("component").alias("comp")), "rid", "left")
-            rows = rows.withColumn("lead_rid", F.col("lead.rid")).join(components.select(F.col("node").alias("lead_rid"), F.col("component").alias("lead_comp")), "lead_rid", "left")
+            rows = self.buckets.join(components.select(F.col("node").alias("rid"), F.col("component").alias("comp")), "rid", "left")
+            rows = rows.join(components.select(F.col("node").alias("lead_rid"), F.col("component").alias("lead_comp")), "lead_rid", "left")
             rows = rows.withColumn("comp", F.coalesce("comp", "rid")).withColumn("lead_comp", F.coalesce("lead_comp", "lead_rid"))
-        rows = rows.filter("rid <> lead.rid")
-        apart = rows.filter("comp <> lead_comp").select("key", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-        others = rows.select("key", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"), (F.col("comp") == F.col("lead_comp")).alias("with_lead"))
-        raw = apart.join(others, "key").filter("cx <> cy and (with_lead or x < y)")
-        return self._pairs(raw).join(done.select("a", "b"), ["a", "b"], "left_anti")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        return _links(pairs, self._fragments_of(pairs), self.num, self.den)
+        rows = rows.filter("rid <> lead_rid").withColumn("apart", F.coalesce(F.col("comp") != F.col("lead_comp"), F.lit(True)))
+        rows = stored(rows.select("key", "rid", "n", "pos", "d", F.struct(F.lit(0).cast("long").alias("df"), F.col("last").alias("key")).alias("last"), "free", "comp", "apart"), "open-rows")
+        crowded = rows.groupBy("key").agg((F.count_if("apart") * F.count("*")).alias("pairs")).filter(F.col("pairs") > CROWD).select("key")
+        return rows, stored(crowded, "crowded")
+
+    def _central_pairs(self, rows: DataFrame, edges: DataFrame, done: DataFrame, linked: bool) -> DataFrame:
+        """In each bucket one set is compared with the sets outside its component: the set with most links so far, or,
+        with linked false, of those without a link that with fewest keys of its own."""
+        degree = edges.select(F.col("u").alias("rid")).unionByName(edges.select(F.col("v").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
+        ranked = rows.join(degree, "rid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        best = F.struct("degree", -F.col("d"), -F.col("pos"), "rid") if linked else F.struct(F.col("degree") == 0, -F.col("d"), -F.col("pos"), "rid")
+        central = ranked.groupBy("key").agg(F.max_by(F.struct("rid", "n", "pos", "d", "comp"), best).alias("c"))
+        central = central.select("key", *(F.col(f"c.{c}").alias(a) for c, a in zip(("rid", "n", "pos", "d", "comp"), ("y", "ny", "py", "dy", "comp_y"), strict=True)))
+        pairs = self._side("x", "true", rows, "comp").join(central, "key").filter("comp_x <> comp_y")
+        return self._ends(self._fit(pairs)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+
+    def _cross(self, rows: DataFrame) -> DataFrame:
+        """Pairs of rows of a bucket in different components, one of them apart from the leader. One of two sets is no
+        larger than the other, so one of the rows is free."""
+        more = ("comp", "last")
+        free = self._side("x", "apart and free", rows, *more).join(self._side("y", "true", rows.withColumn("twice", F.col("apart") & F.col("free")), *more, "twice"), "key")
+        free = free.filter("x < y or not twice_y").drop("twice_y")
+        bound = self._side("x", "apart and not free", rows, *more).join(self._side("y", "free and not apart", rows, *more), "key")
+        return free.unionByName(bound).filter("x <> y and comp_x <> comp_y")
+
+    def _reordered(self, crowd: DataFrame, fragments: DataFrame) -> DataFrame:
+        """New prefix rows of the sets in crowded buckets (rid, n): their keys are ordered by exact frequency among
+        these sets. What only one of them holds comes first and bounds its overlap with any other."""
+        num, den = self.num, self.den
+        keys = fragments.select("rid", F.explode("keys").alias("key"))
+        ranked = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")), "key").join(crowd, "rid")
+        by_rid = Window.partitionBy("rid")
+        ranked = ranked.withColumn("pos", F.row_number().over(by_rid.orderBy("df", "key")) - 1).withColumn("d", F.count_if(F.col("df") == 1).over(by_rid))
+        enough = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+        ranked = ranked.withColumn("last", F.max(F.when(F.col("pos") < enough, F.struct("df", "key"))).over(by_rid))
+        rows = ranked.filter((F.col("pos") < enough) & (F.col("df") > 1) & ((F.col("n") - F.col("d")) * den >= F.col("n") * num))
+        free = (F.col("n") - F.col("d")) * (den + num) >= F.col("n") * 2 * num
+        return stored(rows.select("key", "rid", "n", "pos", "d", "last", free.alias("free")), "crowd-rows")
+
+    def links(self, pairs: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+        return _links(pairs, self._fragments_of(pairs) if fragments is None else fragments, self.num, self.den)
+
+    def _edges(self, pairs: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+        return stored(self.links(pairs, fragments).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    def _crowd(self, rows: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """(fragments, reordered rows) of the sets in crowded buckets; None without any."""
+        crowd = stored(rows.join(crowded, "key", "left_semi").select("rid", "n").distinct(), "crowd")
+        if crowd.isEmpty():
+            return None
+        fragments = self._fragments_of(crowd.select(F.col("rid").alias("a"), F.col("rid").alias("b")))
+        return fragments, self._reordered(crowd, fragments)
+
+    @staticmethod
+    def _with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
+        named = rows.join(components.select(F.col("node").alias("rid"), F.col("component").alias("comp")), "rid", "left")
+        return named.withColumn("comp", F.coalesce("comp", "rid")).withColumn("apart", F.lit(True))
 
     def all_links(self) -> DataFrame:
-        """(a, b, overlap) of all linked pairs of class representatives, by their first doc_id."""
+        """(doc_a, doc_b, overlap) of all linked pairs of class representatives, by their first doc_id."""
         first = stored(self.star_pairs(), "star-pairs")
-        rest = stored(self.closing_pairs(None, first), "rest-pairs")
-        found = self.links(first.unionByName(rest))
+        rows, crowded = self._open_rows(None)
+        rest = self._counted(self._cross(rows.join(crowded, "key", "left_anti")))
+        if crowd := self._crowd(rows, crowded):
+            rest = rest.unionByName(self._counted(self._cross(crowd[1].withColumn("comp", F.col("rid")).withColumn("apart", F.lit(True)))))
+        found = self.links(stored(first.unionByName(rest).distinct(), "pairs"))
         name = self.classes.select("rep", "first_id")
         found = found.join(name.select(F.col("rep").alias("a"), F.col("first_id").alias("doc_a")), "a").join(name.select(F.col("rep").alias("b"), F.col("first_id").alias("doc_b")), "b")
         return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap")
 
     def components(self) -> DataFrame:
         """(rep, component) of the representatives that link with another."""
-        pairs = stored(self.star_pairs(), "star-pairs")
-        edges = stored(self.links(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        done = stored(self.star_pairs(), "star-pairs")
+        edges = self._edges(done)
         found = connected_components(edges)
-        rest = stored(self.closing_pairs(found, pairs), "rest-pairs")
-        if not rest.isEmpty():
-            more = stored(self.links(rest).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-            if not more.isEmpty():
-                found = connected_components(edges.unionByName(more))
+        rows, crowded = self._open_rows(found)
+        rest = self._counted(self._cross(rows.join(crowded, "key", "left_anti")))
+        rest = stored(rest.join(done.select("a", "b"), ["a", "b"], "left_anti"), "rest-pairs")
+        new = self._edges(rest)
+        if crowd := self._crowd(rows, crowded):
+            fragments, ordered = crowd
+            idle = 0
+            for turn in range(ROUNDS):
+                pairs = stored(self._central_pairs(self._with_components(ordered, found), edges, done, turn % 2 == 0), "central-pairs")
+                done = done.unionByName(pairs)
+                more = self._edges(pairs, fragments)
+                idle = idle + 1 if more.isEmpty() else 0
+                if idle == 2:
+                    break
+                if not idle:
+                    edges = stored(edges.unionByName(more), "links")
+                    found = connected_components(edges)
+            last = self._counted(self._cross(self._with_components(ordered, found))).join(done.select("a", "b"), ["a", "b"], "left_anti")
+            new = new.unionByName(self._edges(stored(last, "last-pairs"), fragments))
+        if not new.isEmpty():
+            found = connected_components(edges.unionByName(new))
         return found.select(F.col("node").alias("rep"), "component")
 
 
