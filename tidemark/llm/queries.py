@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, gru_lm, licenses, media, ngram_join, token_files, toxicity
+from . import bpe, chat, decontam, gru_lm, licenses, media, ngram_join, pii, token_files, toxicity
 from .common import documents
 
 
@@ -52,6 +52,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(documents(spark, sf_dir), vocabulary_path())
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(documents(spark, sf_dir))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.lm_scores(documents(spark, sf_dir))
 
