@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, pieces, raw_texts
 
 WORD_END = "</w>"
-MEMO = 250_000
+MEMO = 800_000  # stretches of text a worker remembers
+NONE = 1 << 62
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -79,18 +81,18 @@ class Vocabulary:
 def merge(symbols: list[int], rules: dict[int, int]) -> list[int]:
     """Applies the merge list to symbols: lowest rank first, the leftmost of equals."""
     get = rules.get
-    while len(symbols) > 1:
-        best, at = 1 << 62, -1
-        left = symbols[0]
-        for k in range(1, len(symbols)):
-            right = symbols[k]
-            rule = get(left << 32 | right)
-            if rule is not None and rule < best:
-                best, at = rule, k
-            left = right
-        if at < 0:
+    ranks = [get(a << 32 | b, NONE) for a, b in zip(symbols, symbols[1:])]  # noqa: B905, RUF007
+    while ranks:
+        best = min(ranks)
+        if best == NONE:
             break
-        symbols[at - 1 : at + 1] = [best & 0xFFFFFFFF]
+        k = ranks.index(best)
+        made = symbols[k] = best & 0xFFFFFFFF
+        del symbols[k + 1], ranks[k]
+        if k < len(ranks):
+            ranks[k] = get(made << 32 | symbols[k + 1], NONE)
+        if k:
+            ranks[k - 1] = get(symbols[k - 1] << 32 | made, NONE)
     return symbols
 
 
@@ -163,6 +165,7 @@ class Encoder:
         self.v, self.most = vocabulary, memo
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.words: dict[str, bytes] = {}
+        self.marks = {m: array("i", self._word(m)).tobytes() for m in ".,;:!?"}
 
     def _word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
@@ -177,7 +180,11 @@ class Encoder:
 
     def chunk(self, chunk: str) -> bytes:
         """Little-endian 32-bit ids of a stretch without white space, normalised already."""
-        return np.array([t for word in self.SPLIT.findall(chunk) for t in self._word(word)], "<i4").tobytes()
+        if chunk.isalpha():
+            return array("i", self._word(chunk)).tobytes()
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # a word and a mark, which are words of their own
+            return (self.words.get(chunk[:-1]) or self.chunk(chunk[:-1])) + self.marks[chunk[-1]]
+        return array("i", [t for word in self.SPLIT.findall(chunk) for t in self._word(word)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         out: list[bytes] = []
@@ -193,18 +200,16 @@ class Encoder:
             part = part.lower()
             chunks = part.split() if not self.ODD_SPACE.search(part) else [c for c in self.SPACE.split(part) if c]
             words = self.words
-            try:
-                out.append(b"".join(map(words.__getitem__, chunks)))
-            except KeyError:
+            if new := set(chunks).difference(words):
                 if len(words) > self.most:
                     words.clear()
-                for c in chunks:
-                    ids = words.get(c)
-                    if ids is None:
-                        ids = self.chunk(c)
-                        if len(c) <= 64:
-                            words[c] = ids
-                    out.append(ids)
+                    new = set(chunks)
+                for c in new:
+                    words[c] = self.chunk(c)
+            out.append(b"".join(map(words.__getitem__, chunks)))
+            for c in new:
+                if len(c) > 64:
+                    del words[c]
         return np.frombuffer(b"".join(out), "<i4")
 
 

@@ -31,6 +31,7 @@ PATTERNS = {
     "handle": r"(?<![A-Za-z0-9._%+@-])@[A-Za-z][A-Za-z0-9_]{2,30}+(?![A-Za-z0-9_@.-])",
     "key": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{16,64}+|ghp_[A-Za-z0-9]{20,64}+)(?![A-Za-z0-9_-])",
     "local": r"(?<![0-9+(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 KINDS = tuple(PATTERNS)
@@ -83,7 +84,7 @@ def _votes(kind: str, match: Column, before: Column, base: Column) -> Column:
     """The four votes as one number in base 3, in the order of LABELERS."""
     digits = _digits(match)
     end = F.lower(F.substring_index(match, ".", -1))
-    rule = _vote(base, ~base) if kind in BASE_KINDS else _vote(F.lit(kind in ("key", "ssn")))
+    rule = _vote(base, ~base) if kind in BASE_KINDS else _vote(F.lit(kind in ("key", "secret", "ssn")))
     gazetteer = {
         "email": _vote(end.isin(*DOMAIN_ENDS), ~end.rlike("^[a-z]{2,}$")),
         "ip": _vote(match.rlike(r"^(?:10|127|172|192)\."), match.rlike(r"^0\.|\.0\.0\.0$")),
@@ -132,7 +133,7 @@ def _candidates_of(kind: str, text: Column) -> Column:
         )
 
     found = F.transform(spans, described).cast(CANDIDATE)
-    test = text.contains(HINTS[kind]) if kind in HINTS else text.rlike({"card": "[0-9](?:[ -]?[0-9]){12}", "key": "AKIA|sk-|ghp_", "local": "[0-9]{3}[-.][0-9]{4}", "ssn": "-[0-9]{2}-"}[kind])
+    test = text.contains(HINTS[kind]) if kind in HINTS else text.rlike({"card": "[0-9](?:[ -]?[0-9]){12}", "key": "AKIA|sk-|ghp_", "local": "[0-9]{3}[-.][0-9]{4}", "secret": "[0-9a-f]{32}", "ssn": "-[0-9]{2}-"}[kind])
     return F.when(test, found).otherwise(F.array().cast(CANDIDATE))
 
 

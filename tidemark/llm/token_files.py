@@ -8,7 +8,9 @@ the global place follows from the totals of the parts, which are as few as the f
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,56 +21,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_alphabet
 from .common import id_and_text, pieces, raw_texts, scratch_path, spans_of
 
 END_ID = 2
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
-MEMO = 250_000
+MEMO = 800_000  # stretches of text a worker remembers
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")  # space for str.split(), not for the tokenizer
-_ASK = 4096
 
 
 class LibraryEncoder:
     """The tokenizers library behind a memo of bounded size.
 
     The vocabulary's words never span white space, so a text's ids are those of its stretches without white space, in
-    turn; only new stretches are given to the library, many at once. A text that may hold special tokens, or control
-    characters on which notions of white space differ, is given whole.
+    turn; only new stretches are given to the library. Of these, plain words of Latin letters need no normaliser but lower
+    case and go to the library's model in its byte letters; others go through the whole tokenizer. So does the whole
+    text where it may hold special tokens, isn't in normal form, or has control characters on which notions of
+    white space differ.
     """
 
+    MARKS = frozenset(".,;:!?")
+
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.letters = {b: c for b, c in byte_alphabet().items() if ord(c) != b}
         self.memo: dict[str, bytes] = {}
+        self.marks = {m: self._ask(m) for m in self.MARKS}
+
+    def _ask(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _stretch(self, chunk: str) -> bytes:
+        if chunk[-1] in self.MARKS and len(chunk) > 1:
+            stem = chunk[:-1]
+            if _plain(stem):
+                return (self.memo.get(stem) or self._word(stem)) + self.marks[chunk[-1]]
+        return self._word(chunk) if _plain(chunk) else self._ask(chunk)
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<i4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("i", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, text: str) -> np.ndarray:
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
-        for text in texts:
-            if "<|" in text or _ODD_SPACE.search(text):
-                out.append(np.frombuffer(self._ask([text])[0], "<i4"))
-                continue
-            chunks = text.split()
-            new = [c for c in dict.fromkeys(chunks) if c not in memo]
-            extra: dict[str, bytes] = {}
-            for at in range(0, len(new), _ASK):
-                some = new[at : at + _ASK]
-                extra.update(zip(some, self._ask(some), strict=True))
-            memo.update((c, ids) for c, ids in extra.items() if len(c) <= 64)
-            long = {c: ids for c, ids in extra.items() if len(c) > 64}
-            get = memo.__getitem__ if not long else lambda c, long=long: long[c] if c in long else memo[c]
-            out.append(np.frombuffer(b"".join(map(get, chunks)), "<i4"))
+        if "<|" in text or _ODD_SPACE.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return np.frombuffer(self._ask(text), "<i4")
+        chunks = text.split()
+        if new := set(chunks).difference(memo):
+            if len(memo) > MEMO:
+                memo.clear()
+                new = set(chunks)
+            for c in new:
+                memo[c] = self._stretch(c)
+        out = np.frombuffer(b"".join(map(memo.__getitem__, chunks)), "<i4")
+        for c in new:
+            if len(c) > 64:
+                del memo[c]
         return out
 
 
+def _plain(word: str) -> bool:
+    """Letters of the Latin blocks, each lower-cased to one letter by itself."""
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+
 @lru_cache(2)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
@@ -81,7 +104,7 @@ def encoded(docs: DataFrame, vocabulary_path: str, n_files: int, end_id: int = E
         encoder, part, start = library_encoder(vocabulary_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in pieces(batch, 4 << 20):
-                ids = encoder.encode([raw.decode("utf-8", "replace") for raw in raw_texts(piece.column(1))])
+                ids = [encoder.encode(raw.decode("utf-8", "replace")) for raw in raw_texts(piece.column(1))]
                 sizes = np.array([len(x) + 1 for x in ids])
                 starts = start + spans_of(sizes)
                 end = np.array([end_id], "<i4")

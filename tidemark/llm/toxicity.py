@@ -183,3 +183,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out
 
     docs = id_and_text(docs)
     return docs.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the documents whose score reaches the threshold, with all their columns; see toxicity_scores()."""
+    machine = train(docs, labels, sample=sample)
+    shared = docs.sparkSession.sparkContext.broadcast((machine.chosen, machine.bias, machine.w, machine.v))
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(*shared.value)
+        for batch in batches:
+            score = machine.score([machine.slots(distinct_words(raw)) for raw in raw_texts(batch.column(column))])
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
