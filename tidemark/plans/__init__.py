@@ -1,0 +1,6 @@
+"""Named queries; importing this package registers them."""
+
+from . import basics, panels
+from .registry import COVERS, ORACLES, QUERIES
+
+__all__ = ["COVERS", "ORACLES", "QUERIES", "basics", "panels"]
