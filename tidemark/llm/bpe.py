@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, pieces, raw_texts
 
 WORD_END = "</w>"
-MEMO = 800_000  # stretches of text a worker remembers
+MEMO = 400_000  # stretches of text in each of a worker's two generations
 NONE = 1 << 62
 
 
@@ -158,13 +158,14 @@ class Encoder:
     """Text to ids: special tokens, NFC, lower case, words, merges. Words are remembered, in a memo of bounded size."""
 
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    ODD_SPACE = regex.compile("[\x1c-\x1f]")  # space for str.split(), not for the tokenizer
+    ODD_SPACE = "\x1c\x1d\x1e\x1f"  # space for str.split(), not for the tokenizer
     SPACE = regex.compile(r"\s+")
 
     def __init__(self, vocabulary: Vocabulary, memo: int = MEMO):
         self.v, self.most = vocabulary, memo
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # by stretch; older ones move to the second dictionary
+        self.old: dict[str, bytes] = {}
         self.marks = {m: array("i", self._word(m)).tobytes() for m in ".,;:!?"}
 
     def _word(self, word: str) -> list[int]:
@@ -183,7 +184,7 @@ class Encoder:
         if chunk.isalpha():
             return array("i", self._word(chunk)).tobytes()
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # a word and a mark, which are words of their own
-            return (self.words.get(chunk[:-1]) or self.chunk(chunk[:-1])) + self.marks[chunk[-1]]
+            return (self.words.get(chunk[:-1]) or self.old.get(chunk[:-1]) or self.chunk(chunk[:-1])) + self.marks[chunk[-1]]
         return array("i", [t for word in self.SPLIT.findall(chunk) for t in self._word(word)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
@@ -198,14 +199,15 @@ class Encoder:
                     part = unicodedata.normalize("NFC", part)
                 part = part.replace("Σ", "σ")  # lower() would look at a capital sigma's neighbours
             part = part.lower()
-            chunks = part.split() if not self.ODD_SPACE.search(part) else [c for c in self.SPACE.split(part) if c]
+            chunks = part.split() if not any(c in part for c in self.ODD_SPACE) else [c for c in self.SPACE.split(part) if c]
             words = self.words
             if new := set(chunks).difference(words):
                 if len(words) > self.most:
-                    words.clear()
-                    new = set(chunks)
+                    self.old, self.words = words, {}
+                    words, new = self.words, set(chunks)
+                old = self.old
                 for c in new:
-                    words[c] = self.chunk(c)
+                    words[c] = old[c] if c in old else self.chunk(c)
             out.append(b"".join(map(words.__getitem__, chunks)))
             for c in new:
                 if len(c) > 64:

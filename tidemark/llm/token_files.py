@@ -16,7 +16,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
@@ -27,19 +26,18 @@ from .common import id_and_text, pieces, raw_texts, scratch_path, spans_of
 END_ID = 2
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
-MEMO = 800_000  # stretches of text a worker remembers
+MEMO = 400_000  # stretches of text in each of a worker's two generations
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")  # space for str.split(), not for the tokenizer
 
 
 class LibraryEncoder:
     """The tokenizers library behind a memo of bounded size.
 
     The vocabulary's words never span white space, so a text's ids are those of its stretches without white space, in
-    turn; only new stretches are given to the library. Of these, plain words of Latin letters need no normaliser but lower
-    case and go to the library's model in its byte letters; others go through the whole tokenizer. So does the whole
-    text where it may hold special tokens, isn't in normal form, or has control characters on which notions of
-    white space differ.
+    turn; only new stretches of the lower-case text are given to the library. Of these, plain words of Latin letters need no
+    normaliser and go to the library's model in its byte letters; others go through the whole tokenizer. So does the whole
+    text where it may hold special tokens, isn't in normal form, has letters whose lower case depends on others, or
+    control characters on which notions of white space differ.
     """
 
     MARKS = frozenset(".,;:!?")
@@ -50,34 +48,35 @@ class LibraryEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.letters = {b: c for b, c in byte_alphabet().items() if ord(c) != b}
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # by stretch; older ones move to the second dictionary
+        self.old: dict[str, bytes] = {}
         self.marks = {m: self._ask(m) for m in self.MARKS}
 
     def _ask(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def _stretch(self, chunk: str) -> bytes:
-        if chunk[-1] in self.MARKS and len(chunk) > 1:
-            stem = chunk[:-1]
-            if _plain(stem):
-                return (self.memo.get(stem) or self._word(stem)) + self.marks[chunk[-1]]
+        if chunk in self.old:
+            return self.old[chunk]
+        if chunk[-1] in self.MARKS and len(chunk) > 1 and _plain(stem := chunk[:-1]):
+            return (self.memo.get(stem) or self.old.get(stem) or self._word(stem)) + self.marks[chunk[-1]]
         return self._word(chunk) if _plain(chunk) else self._ask(chunk)
 
     def _word(self, word: str) -> bytes:
-        word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
         return array("i", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        memo = self.memo
-        if "<|" in text or _ODD_SPACE.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return np.frombuffer(self._ask(text), "<i4")
-        chunks = text.split()
+        if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)):
+            return np.frombuffer(self._ask(text), "<i4")
+        memo, chunks = self.memo, text.lower().split()
         if new := set(chunks).difference(memo):
             if len(memo) > MEMO:
-                memo.clear()
-                new = set(chunks)
+                self.old, self.memo = memo, {}
+                memo, new = self.memo, set(chunks)
             for c in new:
                 memo[c] = self._stretch(c)
         out = np.frombuffer(b"".join(map(memo.__getitem__, chunks)), "<i4")
@@ -88,8 +87,8 @@ class LibraryEncoder:
 
 
 def _plain(word: str) -> bool:
-    """Letters of the Latin blocks, each lower-cased to one letter by itself."""
-    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+    """Lower-case letters of the Latin blocks."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 @lru_cache(2)
