@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 ET = "America/New_York"
 
@@ -73,7 +73,7 @@ def chi2_tail_even(w: Column, df: int) -> Column:
     return F.exp(-half) * sum((F.pow(half, F.lit(k)) / math.factorial(k) for k in range(df // 2)), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Two-sided normal p-value of a z statistic; Spark SQL has no erfc."""
     for z in parts:

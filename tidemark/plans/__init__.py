@@ -1,6 +1,6 @@
 """Named queries; importing this package registers them."""
 
-from . import basics, ladders, panels
+from . import basics, evaluation, ladders, panels
 from .registry import COVERS, ORACLES, QUERIES
 
-__all__ = ["COVERS", "ORACLES", "QUERIES", "basics", "ladders", "panels"]
+__all__ = ["COVERS", "ORACLES", "QUERIES", "basics", "evaluation", "ladders", "panels"]

@@ -33,7 +33,7 @@ class Views:
     @cached_property
     def contracts(self) -> DataFrame:
         rows = self.events.groupBy("user_id").agg(F.min("ts").alias("open_ts"), F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.lit(0.0)).alias("volume"))
-        move = F.element_at(F.array(*map(F.lit, (-50, -25, 0, 25, 50))), (F.col("user_id") % 5 + 1).cast("int"))
+        move = F.element_at(F.array(*map(F.lit, (-50, -25, 0, 25, 50))), (F.floor(F.col("user_id") / 10) % 5 + 1).cast("int"))
         return rows.select(
             F.col("user_id").alias("ticker"), (F.col("user_id") % 10).alias("event"), move.alias("move_bps"), F.when(F.col("user_id") % 3 == 0, "yes").otherwise("no").alias("result"),
             "open_ts", F.lit(CLOSE).cast("timestamp").alias("close_ts"), "volume",
@@ -69,7 +69,7 @@ class Views:
 _PRICE = "(0.005::DOUBLE + 0.99::DOUBLE * ((value % 100) / 100.0::DOUBLE))"
 _SQL = {
     "contracts": f"""contracts AS (SELECT user_id AS ticker, user_id % 10 AS event,
-        CASE user_id % 5 WHEN 0 THEN -50 WHEN 1 THEN -25 WHEN 2 THEN 0 WHEN 3 THEN 25 ELSE 50 END AS move_bps,
+        CASE (user_id // 10) % 5 WHEN 0 THEN -50 WHEN 1 THEN -25 WHEN 2 THEN 0 WHEN 3 THEN 25 ELSE 50 END AS move_bps,
         CASE WHEN user_id % 3 = 0 THEN 'yes' ELSE 'no' END AS result, min(ts) AS open_ts, TIMESTAMP '{CLOSE}' AS close_ts,
         coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0) AS volume FROM events GROUP BY user_id)""",
     "quotes": f"""quotes AS (SELECT user_id AS ticker, ts, CASE WHEN event_id % 50 <> 0 THEN greatest(m - h, 0) END AS bid,

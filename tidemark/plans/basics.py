@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions import domain as D
 from tidemark.operators import series as S
@@ -12,7 +12,6 @@ from .panels import EOD, FORECAST_USES, FORECASTS, R, end_of_day, forecasts
 from .registry import query
 
 DAY = lambda c="day": F.col(c).cast("string").alias("day")
-BY_DAY = Window.orderBy("day")
 
 
 def monthly(v: Views) -> DataFrame:
@@ -21,7 +20,10 @@ def monthly(v: Views) -> DataFrame:
 
 
 MONTHLY = "m AS (SELECT *, strftime(day, '%Y-%m') AS month FROM daily)"
-IN_MONTH = Window.partitionBy("month").orderBy("day")
+
+
+def in_month() -> WindowSpec:
+    return Window.partitionBy("month").orderBy("day")
 
 
 @query("semi_join", "J-14", "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -124,19 +126,19 @@ MEDIAN_ROWS = """r AS (SELECT *, list(CASE WHEN n % 4 <> 0 THEN x END) OVER (PAR
 @query("rolling_median", "W-9 D-22 D-26", f"WITH {MONTHLY}, {MEDIAN_ROWS} SELECT strftime(day, '%Y-%m-%d') AS day, CASE WHEN len(list_filter(l, lambda v: v IS NOT NULL)) >= 3 THEN round(list_median(list_filter(l, lambda v: v IS NOT NULL)), 4) END AS med FROM r", "daily")
 def rolling_median(v: Views) -> DataFrame:
     rows = monthly(v).withColumn("y", F.when(F.col("n") % 4 != 0, F.col("x")))
-    return rows.select(DAY(), R(S.rolling_median("y", IN_MONTH, 10, 3), 4).alias("med"))
+    return rows.select(DAY(), R(S.rolling_median("y", in_month(), 10, 3), 4).alias("med"))
 
 
 @query("centered_mean", "W-10", f"WITH {MONTHLY} SELECT strftime(day, '%Y-%m-%d') AS day, round(avg(x) OVER (PARTITION BY month ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) + 1e-7, 4) AS mean FROM m", "daily")
 def centered_mean(v: Views) -> DataFrame:
-    return monthly(v).select(DAY(), R(F.avg("x").over(IN_MONTH.rowsBetween(-3, 3)) + 1e-7, 4).alias("mean"))
+    return monthly(v).select(DAY(), R(F.avg("x").over(in_month().rowsBetween(-3, 3)) + 1e-7, 4).alias("mean"))
 
 
 @query("ffill_bfill", "W-11", f"""WITH {MONTHLY}, z AS (SELECT *, CASE WHEN n % 5 = 0 THEN x END AS y FROM m) SELECT strftime(day, '%Y-%m-%d') AS day, last_value(y IGNORE NULLS) OVER (PARTITION BY month ORDER BY day) AS f,
   first_value(y IGNORE NULLS) OVER (PARTITION BY month ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM z""", "daily")
 def ffill_bfill(v: Views) -> DataFrame:
     rows = monthly(v).withColumn("y", F.when(F.col("n") % 5 == 0, F.col("x")))
-    return rows.select(DAY(), S.forward_fill("y", IN_MONTH).alias("f"), S.backward_fill("y", IN_MONTH).alias("b"))
+    return rows.select(DAY(), S.forward_fill("y", in_month()).alias("f"), S.backward_fill("y", in_month()).alias("b"))
 
 
 @query("group_lag_lead", "W-6 W-1", "SELECT quote_id, lag(quote_id, 2) OVER w AS before, lead(quote_id, 3) OVER w AS after, round(lead(mid) OVER w - mid, 6) AS next_change FROM quotes WINDOW w AS (PARTITION BY ticker ORDER BY ts)", "quotes")
@@ -147,13 +149,13 @@ def group_lag_lead(v: Views) -> DataFrame:
 
 @query("gap_guard_diff", "W-8 W-7", f"WITH {MONTHLY} SELECT strftime(day, '%Y-%m-%d') AS day, round(x - lag(x) OVER w + 1e-7, 4) AS dx FROM m QUALIFY day - lag(day) OVER w = 1 WINDOW w AS (PARTITION BY month ORDER BY day)".replace("QUALIFY day - lag(day) OVER w = 1 WINDOW w AS (PARTITION BY month ORDER BY day)", "WINDOW w AS (PARTITION BY month ORDER BY day) QUALIFY day - lag(day) OVER w = 1"), "daily")
 def gap_guard_diff(v: Views) -> DataFrame:
-    rows = monthly(v).withColumn("step", F.datediff("day", F.lag("day").over(IN_MONTH))).withColumn("dx", R(F.col("x") - F.lag("x").over(IN_MONTH) + 1e-7, 4))
+    rows = monthly(v).withColumn("step", F.datediff("day", F.lag("day").over(in_month()))).withColumn("dx", R(F.col("x") - F.lag("x").over(in_month()) + 1e-7, 4))
     return rows.filter("step = 1").select(DAY(), "dx")
 
 
 @query("cumulative_minmax", "W-13 W-12", f"WITH {MONTHLY} SELECT strftime(day, '%Y-%m-%d') AS day, min(x) OVER w AS low, max(x) OVER (PARTITION BY month ORDER BY day DESC ROWS UNBOUNDED PRECEDING) AS high, CAST(sum(n) OVER w AS BIGINT) AS total FROM m WINDOW w AS (PARTITION BY month ORDER BY day ROWS UNBOUNDED PRECEDING)", "daily")
 def cumulative_minmax(v: Views) -> DataFrame:
-    w = IN_MONTH.rowsBetween(Window.unboundedPreceding, 0)
+    w = in_month().rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy("month").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return monthly(v).select(DAY(), F.min("x").over(w).alias("low"), F.max("x").over(back).alias("high"), F.sum("n").over(w).alias("total"))
 
@@ -186,7 +188,7 @@ def last_k_groups(v: Views) -> DataFrame:
 
 @query("top_abs", "O-2", f"WITH {MONTHLY} SELECT strftime(day, '%Y-%m-%d') AS day, dx FROM (SELECT day, round(x - lag(x) OVER (PARTITION BY month ORDER BY day) + 1e-7, 4) AS dx FROM m) WHERE dx IS NOT NULL ORDER BY abs(dx) DESC, day LIMIT 10", "daily")
 def top_abs(v: Views) -> DataFrame:
-    rows = monthly(v).withColumn("dx", R(F.col("x") - F.lag("x").over(IN_MONTH) + 1e-7, 4)).filter("dx is not null")
+    rows = monthly(v).withColumn("dx", R(F.col("x") - F.lag("x").over(in_month()) + 1e-7, 4)).filter("dx is not null")
     return rows.orderBy(F.abs("dx").desc(), "day").limit(10).select(DAY(), "dx")
 
 
@@ -313,8 +315,8 @@ def month_roll_check(v: Views) -> DataFrame:
 
 @query("lagged_feature", "W-16", f"WITH {MONTHLY}, z AS (SELECT *, CASE WHEN n = lag(n) OVER w THEN x END AS y FROM m WINDOW w AS (PARTITION BY month ORDER BY day)) SELECT strftime(day, '%Y-%m-%d') AS day, lag(y) OVER (PARTITION BY month ORDER BY day) AS known FROM z", "daily")
 def lagged_feature(v: Views) -> DataFrame:
-    rows = monthly(v).withColumn("y", F.when(F.col("n") == F.lag("n").over(IN_MONTH), F.col("x")))
-    return rows.select(DAY(), F.lag("y").over(IN_MONTH).alias("known"))
+    rows = monthly(v).withColumn("y", F.when(F.col("n") == F.lag("n").over(in_month()), F.col("x")))
+    return rows.select(DAY(), F.lag("y").over(in_month()).alias("known"))
 
 
 @query("scalar_math", "X-1 X-2 X-8 X-9", "SELECT l_orderkey, l_linenumber, l_partkey % 7 AS m, round(pow(l_quantity, 2), 4) AS sq, round(sqrt(l_extendedprice), 6) AS root, round(ln(1 + l_quantity), 6) AS l1, round(exp(-l_discount), 6) AS e, CAST(sign(l_tax - 0.04) AS INTEGER) AS s, round(l_tax / nullif(l_discount, 0), 6) AS ratio, abs(-l_quantity) AS a FROM lineitem")

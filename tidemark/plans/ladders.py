@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions import domain as D
 
@@ -11,8 +11,10 @@ from .basics import MONTHLY, monthly
 from .panels import R
 from .registry import query
 
-BY_STRIKE = Window.partitionBy("event").orderBy("strike")
-UPTO = BY_STRIKE.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_strike() -> WindowSpec:
+    return Window.partitionBy("event").orderBy("strike")
+
 
 FIT = """seg AS (SELECT x.event, x.strike AS a, y.strike AS b, sum(z.p * z.w) / sum(z.w) AS m FROM ladders x JOIN ladders y ON x.event = y.event AND y.strike >= x.strike JOIN ladders z ON z.event = x.event AND z.strike BETWEEN x.strike AND y.strike GROUP BY ALL),
   up AS (SELECT i.event, i.strike, s.a, max(m) AS m FROM ladders i JOIN seg s ON s.event = i.event AND s.a <= i.strike AND s.b >= i.strike GROUP BY ALL),
@@ -31,7 +33,7 @@ def fitted(v: Views) -> DataFrame:
 
 def buckets(rows: DataFrame) -> DataFrame:
     """(event, low, top, mass): mass between neighbouring strikes, above the last, and at or below the first (low null)."""
-    edge = rows.withColumn("next_k", F.lead("strike").over(BY_STRIKE)).withColumn("hi", F.coalesce(F.lead("fit").over(BY_STRIKE), F.lit(0.0))).withColumn("i", F.row_number().over(BY_STRIKE))
+    edge = rows.withColumn("next_k", F.lead("strike").over(by_strike())).withColumn("hi", F.coalesce(F.lead("fit").over(by_strike()), F.lit(0.0))).withColumn("i", F.row_number().over(by_strike()))
     up = edge.select("event", F.col("strike").alias("low"), F.coalesce("next_k", F.col("strike") + 1).alias("top"), (F.col("fit") - F.col("hi")).alias("mass"))
     return up.unionByName(edge.filter("i = 1").select("event", F.lit(None).cast("int").alias("low"), F.col("strike").alias("top"), (1 - F.col("fit")).alias("mass")))
 
@@ -50,7 +52,7 @@ def bracket(v: Views) -> DataFrame:
 
 @query("ladder_violations", "W-2 D-9 A-8", "WITH d AS (SELECT event, p, lead(p) OVER (PARTITION BY event ORDER BY strike) AS q FROM ladders), e AS (SELECT event, bool_or(coalesce(q > p, false)) AS any_up, bool_or(coalesce(q > p + 0.02, false)) AS large FROM d GROUP BY event) SELECT event % 10 AS g, count(*) AS n, round(avg(any_up::INT), 6) AS any_share, round(avg(large::INT), 6) AS large_share FROM e GROUP BY 1", "ladders")
 def ladder_violations(v: Views) -> DataFrame:
-    rows = v.ladders.withColumn("q", F.lead("p").over(BY_STRIKE))
+    rows = v.ladders.withColumn("q", F.lead("p").over(by_strike()))
     per = rows.groupBy("event").agg(F.bool_or(F.coalesce(F.col("q") > F.col("p"), F.lit(False))).alias("u"), F.bool_or(F.coalesce(F.col("q") > F.col("p") + 0.02, F.lit(False))).alias("l"))
     return per.groupBy((F.col("event") % 10).alias("g")).agg(F.count("*").alias("n"), R(F.avg(F.col("u").cast("int"))).alias("any_share"), R(F.avg(F.col("l").cast("int"))).alias("large_share"))
 
@@ -67,7 +69,7 @@ OUTWARD = """o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTIT
 
 def outward(v: Views) -> DataFrame:
     """Monotone from the modal bucket outward: running minima to its right, running maxima to its left."""
-    o = v.ladders.withColumn("i", F.row_number().over(BY_STRIKE) - 1).withColumn("b", F.round(F.coalesce(F.lag("p").over(BY_STRIKE), F.lit(1.0)) - F.col("p"), 6)).withColumn("n", F.count("*").over(Window.partitionBy("event")))
+    o = v.ladders.withColumn("i", F.row_number().over(by_strike()) - 1).withColumn("b", F.round(F.coalesce(F.lag("p").over(by_strike()), F.lit(1.0)) - F.col("p"), 6)).withColumn("n", F.count("*").over(Window.partitionBy("event")))
     last = o.filter("i = n - 1").select("event", F.col("n").alias("i"), F.round("p", 6).alias("b"))
     mode = o.select("event", F.col("i").cast("long").alias("i"), "b").unionByName(last).groupBy("event").agg(F.max_by("i", F.col("b") * 1000000 - F.col("i") * 0.01).alias("j"))
     rows = o.join(mode, "event").withColumn("right", F.col("i") >= F.col("j"))
@@ -126,8 +128,8 @@ MOMENTS = """r AS (SELECT event, strike, min(least(greatest(p, 0), 1)) OVER w AS
 
 def moments(v: Views) -> DataFrame:
     """(event, mean, sd) of each ladder's running-minimum survival curve."""
-    r = v.ladders.withColumn("s", F.min(D.clip(F.col("p"), 0.0, 1.0)).over(UPTO)).withColumn("k0", F.lag("strike").over(BY_STRIKE)).withColumn("i", F.row_number().over(BY_STRIKE)).withColumn("n", F.count("*").over(Window.partitionBy("event")))
-    inner = r.select("event", F.when(F.col("i") == 1, F.col("strike") - 0.5).otherwise((F.col("k0") + F.col("strike")) / 2.0).alias("val"), (F.coalesce(F.lag("s").over(BY_STRIKE), F.lit(1.0)) - F.col("s")).alias("mass"))
+    r = v.ladders.withColumn("s", F.min(D.clip(F.col("p"), 0.0, 1.0)).over(by_strike().rowsBetween(Window.unboundedPreceding, 0))).withColumn("k0", F.lag("strike").over(by_strike())).withColumn("i", F.row_number().over(by_strike())).withColumn("n", F.count("*").over(Window.partitionBy("event")))
+    inner = r.select("event", F.when(F.col("i") == 1, F.col("strike") - 0.5).otherwise((F.col("k0") + F.col("strike")) / 2.0).alias("val"), (F.coalesce(F.lag("s").over(by_strike()), F.lit(1.0)) - F.col("s")).alias("mass"))
     rows = inner.unionByName(r.filter("i = n").select("event", (F.col("strike") + 0.5).alias("val"), F.col("s").alias("mass"))).groupBy("event")
     mean = F.sum(F.col("val") * F.col("mass"))
     return rows.agg(mean.alias("mean"), F.sqrt(F.greatest(F.sum(F.col("val") * F.col("val") * F.col("mass")) - mean * mean, F.lit(0.0))).alias("sd"))
@@ -145,7 +147,7 @@ def macro_surprise(v: Views) -> DataFrame:
     return rows.select("event", R((F.col("value") - F.col("mean")) / F.greatest(F.col("sd"), F.lit(0.5)) + 1e-8, 4).alias("z"))
 
 
-@query("price_tiers", "D-15 F-12 X-6", "SELECT quote_id, round(CASE WHEN ask - bid BETWEEN 0 AND 0.2 THEN (bid + ask) / 2 WHEN ask - bid BETWEEN 0 AND 0.4 THEN least(greatest(mid * 0.9, bid), ask) END + 1e-9, 6) AS p, round(1 / (coalesce(greatest(ask - bid, 0), 1) + 0.02), 6) AS w FROM quotes", "quotes")
+@query("price_tiers", "D-15 F-12 X-6", "SELECT quote_id, round(CASE WHEN ask - bid BETWEEN 0 AND 0.2 THEN (bid + ask) / 2 WHEN ask - bid BETWEEN 0 AND 0.4 THEN least(greatest(mid * 0.9, bid), ask) END + 1e-9, 6) AS p, round(1 / (CASE WHEN bid IS NULL THEN 1 ELSE greatest(ask - bid, 0) END + 0.02), 6) AS w FROM quotes", "quotes")
 def price_tiers(v: Views) -> DataFrame:
     gap = F.col("ask") - F.col("bid")
     last = F.least(F.greatest(F.col("mid") * 0.9, F.col("bid")), F.col("ask"))

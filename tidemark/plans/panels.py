@@ -168,10 +168,10 @@ def contract_normalise(v: Views) -> DataFrame:
     return v.contracts.select("ticker", "move_bps", kind.alias("kind"), F.try_element_at(codes, (F.col("ticker") % 5).cast("int")).alias("code"))
 
 
-@query("traded_only", "F-7", "SELECT ticker, event, round(volume, 4) AS volume FROM contracts QUALIFY sum(volume) OVER (PARTITION BY event, move_bps) > 5000", "contracts")
+@query("traded_only", "F-7", "SELECT ticker, event, round(volume, 4) AS volume FROM contracts QUALIFY sum(volume) OVER (PARTITION BY event, move_bps) > 2000", "contracts")
 def traded_only(v: Views) -> DataFrame:
     rows = v.contracts.withColumn("total", F.sum("volume").over(Window.partitionBy("event", "move_bps")))
-    return rows.filter("total > 5000").select("ticker", "event", R("volume", 4).alias("volume"))
+    return rows.filter("total > 2000").select("ticker", "event", R("volume", 4).alias("volume"))
 
 
 @query("meeting_summary", "A-6 A-7 A-8", """SELECT event, count(*) AS contracts, count(*) FILTER (WHERE result = 'yes') AS yes, max(move_bps) FILTER (WHERE result = 'yes') AS top_yes, bool_and(volume > 0) AS all_traded, bool_or(volume > 3000) AS any_large,
