@@ -64,5 +64,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+  n AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM s),
+  c AS (SELECT class_id, n, unnest(s) AS g FROM n WHERE doc_id = class_id AND n > 0),
+  p AS (SELECT a.class_id AS a, b.class_id AS b FROM c a JOIN c b ON a.g = b.g AND a.class_id < b.class_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90 GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(x, y) AS (SELECT DISTINCT class_id, class_id FROM n UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), k AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+  SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, class_id FROM n JOIN k ON k.x = n.class_id"""
+
+_ESCAPE = "regexp_replace({c}, '([<\\[])(\\\\*)(/?(?:INST\\]|s>))', '\\1\\\\\\2\\3', 'g')"
+OP7 = f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPE.format(c="role")}) + length({_ESCAPE.format(c="text")}) + 20) AS BIGINT) AS formatted_chars FROM a GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_ngram_join": OP6, "op7_chat_formatting": OP7}
