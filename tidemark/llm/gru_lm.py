@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -211,6 +212,20 @@ class Model:
         return out
 
 
+def _most_frequent(counts: DataFrame, most: int = KNOWN) -> pd.DataFrame:
+    """Tokens from some count on, `most` at most, by falling count. A histogram of counts with steps of 4 % (some hundred
+    rows) says from which count on, so no more than these tokens come to the driver."""
+    step = F.floor(F.log2("c") * 16)
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+        held += r.n
+        if held > most:
+            break
+        least = r.step
+    rows = counts.filter(step >= least if least is not None else F.lit(False)).select("token", "c").toPandas()
+    return rows.sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
+
+
 class _Known(dict):
     """Token -> rank by count; a token outside gets KNOWN plus its input bucket."""
 
@@ -239,7 +254,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, sample_docs: i
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_distinct = int(total.n), int(total.v)
     mass = n_tokens + 0.5 * (n_distinct + 1)
-    top = counts.orderBy(F.col("c").desc(), "token").limit(KNOWN).toPandas()
+    top = _most_frequent(counts)
     known = _Known((w.encode(), k) for k, w in enumerate(top["token"]))
     known_c = top["c"].to_numpy(np.float64)
     log_c = np.concatenate((np.log10(known_c + 0.5), np.zeros(KNOWN - len(known_c) + BUCKETS)))
