@@ -19,9 +19,8 @@ SPARSE = {"traded_only", "expanding_window", "oos_r2", "ablation_verdicts", "rid
 def plain(v):
     if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
-    if type(v).__name__.startswith(("float", "Decimal")):
-        return round(float(v), 6) + 0.0
-    return int(v) if type(v).__name__.startswith(("int", "uint")) else v
+    number = type(v).__name__.startswith(("float", "Decimal", "int", "uint"))  # a column with nulls turns into floats
+    return round(float(v), 6) + 0.0 if number else v
 
 
 def rows(frame):

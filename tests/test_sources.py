@@ -29,7 +29,7 @@ def test_candles_on_a_stream_equal_those_of_the_table(spark, tmp_path):
     rows = [(i, f"t{i % 2}", datetime(2024, 1, 1, 0, i % 7, i % 60), float(i % 11), 1.0) for i in range(60)]
     df = spark.createDataFrame(rows, "trade_id long, ticker string, ts timestamp, price double, count double")
     df.union(df.limit(5)).write.parquet(f"{tmp_path}/in")
-    stream = candles.candles(candles.without_copies(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")))
+    stream = candles.candles(candles.without_copies(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), late=None)
     query = stream.writeStream.format("memory").queryName("c").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(60)
     want = {tuple(r) for r in candles.candles(candles.without_copies(df)).collect()}

@@ -63,7 +63,7 @@ class Views:
     @cached_property
     def curve(self) -> DataFrame:
         month = F.trunc("day", "MM")
-        return self.daily.groupBy(month.alias("month")).agg(F.round(F.lit(95.0) + F.avg("x") % 500 / 100, 4).alias("price"), F.min("day").alias("first_day"))
+        return self.daily.groupBy(month.alias("month")).agg(F.round(F.lit(95.0) + F.avg("x") % 500 / 100 + 1e-7, 4).alias("price"), F.min("day").alias("first_day"))
 
 
 _PRICE = "(0.005::DOUBLE + 0.99::DOUBLE * ((value % 100) / 100.0::DOUBLE))"
@@ -79,7 +79,7 @@ _SQL = {
     "ladders": """ladders AS (SELECT *, 1.0::DOUBLE / (spread + 0.02::DOUBLE) AS w, CASE WHEN strike <= event % 8 THEN 'yes' ELSE 'no' END AS result FROM (
         SELECT l_orderkey AS event, l_linenumber AS strike, least(round(avg(l_discount) * 10, 6), 1) AS p, round(avg(l_tax), 6) AS spread FROM lineitem GROUP BY ALL))""",
     "daily": """daily AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS x, count(*) AS n FROM orders GROUP BY 1)""",
-    "curve": """curve AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, round(95.0::DOUBLE + avg(x) % 500 / 100, 4) AS price, min(day) AS first_day FROM daily GROUP BY 1)""",
+    "curve": """curve AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, round(95.0::DOUBLE + avg(x) % 500 / 100 + 1e-7, 4) AS price, min(day) AS first_day FROM daily GROUP BY 1)""",
 }
 _NEEDS = {"curve": ["daily"]}
 

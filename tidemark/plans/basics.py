@@ -104,9 +104,9 @@ def mode_value(v: Views) -> DataFrame:
     return counts.groupBy("ticker").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("mode"), F.max("n").alias("times"))
 
 
-@query("dispersion", "A-13", "SELECT month, round(stddev_samp(x), 4) AS sd, round(var_samp(n), 6) AS var, round(covar_samp(x, n), 4) AS cov, round(corr(x, n), 6) AS cor FROM (SELECT x, n, strftime(day, '%Y-%m') AS month FROM daily) GROUP BY month", "daily")
+@query("dispersion", "A-13", "SELECT month, round(stddev_samp(x), 4) AS sd, round(var_samp(n), 6) AS var, round(covar_samp(x, n) + 1e-6, 4) AS cov, round(corr(x, n), 6) AS cor FROM (SELECT x, n, strftime(day, '%Y-%m') AS month FROM daily) GROUP BY month", "daily")
 def dispersion(v: Views) -> DataFrame:
-    return monthly(v).groupBy("month").agg(R(F.stddev_samp("x"), 4).alias("sd"), R(F.var_samp("n")).alias("var"), R(F.covar_samp("x", "n"), 4).alias("cov"), R(F.corr("x", "n")).alias("cor"))
+    return monthly(v).groupBy("month").agg(R(F.stddev_samp("x"), 4).alias("sd"), R(F.var_samp("n")).alias("var"), R(F.covar_samp("x", "n") + 1e-6, 4).alias("cov"), R(F.corr("x", "n")).alias("cor"))
 
 
 @query("share_aggregates", "A-15 A-8", "SELECT ticker, round(avg(CAST(coalesce(bid = 0, false) AS INTEGER)), 6) AS zero_bid, round(avg(CAST(coalesce(spread > 0.2, false) AS INTEGER)), 6) AS wide FROM quotes GROUP BY ticker", "quotes")
@@ -300,11 +300,11 @@ def calibration_error(v: Views) -> DataFrame:
     return r.groupBy("h").agg(R(F.sum(F.col("n") * F.abs(F.col("o") - F.col("f"))) / F.sum("n")).alias("error"), F.sum("n").alias("n"))
 
 
-@query("reliability_two_source", "D-4 U-6", f"WITH {FORECASTS}, u AS (SELECT 'market' AS source, p, y FROM forecasts UNION ALL SELECT 'bid', bid, y FROM forecasts WHERE bid IS NOT NULL) SELECT source, round(least(floor(p * 10) / 10, 0.9), 1) AS bin, count(*) AS n, round(avg(p), 6) AS forecast, round(avg(y), 6) AS observed FROM u GROUP BY 1, 2", FORECAST_USES)
+@query("reliability_two_source", "D-4 U-6", f"WITH {FORECASTS}, u AS (SELECT 'market' AS source, p, y FROM forecasts UNION ALL SELECT 'bid', bid, y FROM forecasts WHERE bid IS NOT NULL) SELECT source, round(least(floor(p * 10) / 10, 0.9), 1) AS bin, count(*) AS n, round(avg(p) + 1e-9, 6) AS forecast, round(avg(y), 6) AS observed FROM u GROUP BY 1, 2", FORECAST_USES)
 def reliability_two_source(v: Views) -> DataFrame:
     pairs = F.explode(F.array(F.struct(F.lit("market").alias("source"), F.col("p").alias("f")), F.struct(F.lit("bid").alias("source"), F.col("bid").alias("f")))).alias("s")
     rows = forecasts(v).select("y", pairs).select("y", "s.*").filter("f is not null")
-    return rows.groupBy("source", F.round(F.least(F.floor(F.col("f") * 10) / 10, F.lit(0.9)), 1).alias("bin")).agg(F.count("*").alias("n"), R(F.avg("f")).alias("forecast"), R(F.avg("y")).alias("observed"))
+    return rows.groupBy("source", F.round(F.least(F.floor(F.col("f") * 10) / 10, F.lit(0.9)), 1).alias("bin")).agg(F.count("*").alias("n"), R(F.avg("f") + 1e-9).alias("forecast"), R(F.avg("y")).alias("observed"))
 
 
 @query("month_roll_check", "W-15", "WITH c AS (SELECT month, price, lag(price) OVER (ORDER BY month) AS before FROM curve) SELECT strftime(month, '%Y-%m') AS month, round(price - before, 4) AS gap, month(month) = 1 AS new_year FROM c", "curve")
