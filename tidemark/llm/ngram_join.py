@@ -1,14 +1,16 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The 3-word shingles of the corpus have one global order: estimated frequency first (from word counts over the whole
-corpus, in a sketch of fixed size), then a hash. A shingle's key is its place in that order, so sorting keys sorts by
+The 3-word shingles of the corpus have one global order: estimated frequency first (from counts of words and of frequent
+shingles over the whole corpus, in sketches of fixed size; any order gives the same result), then a hash. A shingle's key is its place in that order, so sorting keys sorts by
 rarity. The order is cut into SLICES fragments. Documents of equal sets form a class and take part once, by a
 representative. Candidates share a key among the rarest of both sets (prefix filter) and pass the length and position
 filters; for each candidate pair the overlap is counted fragment by fragment, and the parts are summed.
 
-For components not every pair of a bucket is needed. First each member of a bucket is compared with the member in whose
-own order the shared key comes first: of many copies of one text that is the least changed one. Only pairs that are in
-different components after that are compared in a second round; pairs within a component can't change it. So no link
+More filters before any set is fetched: keys in no other prefix bound the overlap, a pair must share enough of its first
+keys, and the counts of keys in BINS hash bins, compared bin by bin, bound the overlap as well. A bucket in which many pairs are
+possible (many near copies of one text) is crowded. Its sets are ordered anew by the exact frequency of their shingles
+among themselves. For components they are first compared with central sets, those with most links and those with fewest
+keys of their own, and then only pairs in different components are left, as a pair within one can't change it. So no link
 between components is lost, and a large group of near copies costs about its size, not its square.
 
 Keys are 63 bits: two different shingles of one pair of documents share a key with a chance of about n^2 / 2^56.
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import id_and_text, pieces, raw_texts, spans_of, stored, word_lists
@@ -29,9 +32,11 @@ from .graph import connected_components
 SIZE = 3
 COUNTERS = 1 << 15
 SLICES = 8
-MEMO = 300_000
-ROUNDS = 8  # of comparing crowded buckets with their best-linked set
-CROWD = 4096  # possible pairs from which a bucket's sets are ordered anew
+MEMO = 200_000
+ROUNDS = 6  # of comparing crowded buckets with their best-linked set
+CROWD = 1 << 20  # possible pairs from which a bucket is crowded
+BINS = 256
+BITS = 1 << 21  # of the filter of wanted documents, whatever their number
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -53,45 +58,74 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
-def word_sketch(docs: DataFrame) -> np.ndarray:
-    """log2(1 + count) of words by hash, in COUNTERS counters over all whole texts."""
+def _mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of every run of `size` words."""
+    out = np.full(len(words) - size + 1, np.uint64(size))
+    for k in range(size):
+        out += words[k : len(out) + k] * _P[k]
+    out ^= out >> np.uint64(32)
+    out *= _P[3]
+    out ^= out >> np.uint64(29)
+    return out
+
+
+class Order:
+    """The estimated frequencies behind the global order: words by hash, and frequent shingles by hash."""
+
+    def __init__(self, words: np.ndarray, shingles: np.ndarray):
+        self.words, self.shingles = words, shingles  # log2 of counts; 0 for shingles that aren't frequent
+
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        """Distinct keys of a document, in the global order. Fewer than SIZE words are one shingle; no words, none.
+
+        A frequent shingle ranks behind all others, by its own count; others by the counts of their words.
+        """
+        n = len(words)
+        if not n:
+            return np.zeros(0, np.int64)
+        size = min(SIZE, n)
+        common = self.words[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        mixed, frequency = _mixed(words, size), np.zeros(n - size + 1, np.float32)
+        for k in range(size):
+            frequency += common[k : n - size + 1 + k]
+        rank = np.minimum(frequency * (SIZE / size), 69).astype(np.uint64)
+        own = self.shingles[(mixed & np.uint64(len(self.shingles) - 1)).astype(np.int64)]
+        rank = np.where(own > 0, np.minimum(70 + 2 * own, 127), rank).astype(np.uint64)
+        return np.unique((rank << np.uint64(56) | mixed >> np.uint64(8)).astype(np.int64))
+
+
+def estimate_order(docs: DataFrame) -> Order:
+    """Counts of words, and of shingles, by hash over all whole texts. The counters are of a fixed number; of a task's
+    shingle counters only those well above its mean are passed on, as only frequent shingles are to be told apart."""
+    parts = max(1, docs.rdd.getNumPartitions())
+    counters = 1 << min(21, max(18, 15 + (parts - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(COUNTERS, np.int64), [], 0
+        words, shingles = np.zeros(COUNTERS, np.int64), np.zeros(counters, np.int32)
         for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                held.append((word_hashes(raw) & np.uint64(COUNTERS - 1)).astype(np.int64))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS)
-    out[rows["bucket"]] = rows["n"]
-    return np.log2(1 + out).astype(np.float32)
-
-
-def shingle_keys(words: np.ndarray, log_count: np.ndarray) -> np.ndarray:
-    """Distinct keys of a document, in the global order. Fewer than SIZE words are one shingle; no words, none."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64)
-    size = min(SIZE, n)
-    common = log_count[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    mixed, frequency = np.full(n - size + 1, np.uint64(size)), np.zeros(n - size + 1, np.float32)
-    for k in range(size):
-        mixed += words[k : n - size + 1 + k] * _P[k]
-        frequency += common[k : n - size + 1 + k]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= _P[3]
-    mixed ^= mixed >> np.uint64(29)
-    rank = np.minimum(frequency * (1 if size == SIZE else SIZE / size), 127).astype(np.uint64)
-    return np.unique((rank << np.uint64(56) | mixed >> np.uint64(8)).astype(np.int64))
+            held, runs, size = [], [], 0
+            for raw in [*raw_texts(batch.column(0)), None]:
+                if raw is not None:
+                    held.append(word_hashes(raw))
+                    size += len(held[-1])
+                    if len(held[-1]) >= SIZE:
+                        runs.append(_mixed(held[-1], SIZE) & np.uint64(counters - 1))
+                if held and (size > 1 << 19 or raw is None):
+                    words += np.bincount((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                    if runs:
+                        shingles += np.bincount(np.concatenate(runs).astype(np.int64), minlength=counters).astype(np.int32)
+                    held, runs, size = [], [], 0
+        mean = shingles.sum() / counters
+        for kind, found in ((0, np.flatnonzero(words)), (1, np.flatnonzero(shingles >= 4 + 2 * mean))):
+            yield pa.record_batch([pa.array(np.full(len(found), kind), pa.int32()), pa.array(found, pa.int32()), pa.array((shingles if kind else words)[found], pa.int64())], ["kind", "place", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()
+    words, shingles = np.zeros(COUNTERS), np.zeros(counters)
+    own = rows["kind"] == 0
+    words[rows.loc[own, "place"]] = rows.loc[own, "n"]
+    shingles[rows.loc[~own, "place"]] = rows.loc[~own, "n"]
+    shingles[shingles < max(64, 4 * words.sum() / counters)] = 0
+    return Order(np.log2(1 + words).astype(np.float32), np.ceil(np.log2(1 + shingles)).astype(np.uint8))
 
 
 def prefix_size(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
@@ -99,46 +133,56 @@ def prefix_size(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
     return n - -(-num * n // den) + 1
 
 
-def shingled(docs: DataFrame, log_count: np.ndarray, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sig, prefix) of every document: set size, digest of the set, its rarest keys."""
+def shingled(docs: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
+    """(doc_id, n, sig, bins, prefix) of every document: set size, digest of the set, keys in each hash bin, rarest keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 4 << 20):
-                sets = [shingle_keys(word_hashes(raw), log_count) for raw in raw_texts(part.column(1))]
+                sets = [order.value.keys(word_hashes(raw)) for raw in raw_texts(part.column(1))]
                 heads = [s[: prefix_size(len(s), num, den)] if len(s) else s for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(spans_of(np.array([len(h) for h in heads], int)), pa.int32()), pa.array(np.concatenate(heads), pa.int64()))
                 sigs = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), sigs, lists], ["doc_id", "n", "sig", "prefix"])
+                counts = np.concatenate([np.minimum(np.bincount(s & (BINS - 1), minlength=BINS), 32767).astype(np.int16) for s in sets])
+                bins = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BINS, pa.int32()), pa.array(counts))
+                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), sigs, bins, lists], ["doc_id", "n", "sig", "bins", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, bins array<short>, prefix array<long>")
 
 
-def _fragments(docs: DataFrame, wanted: DataFrame, log_count: np.ndarray) -> DataFrame:
-    """(rid, slice, keys) of the representatives in wanted (rid, doc_id, sig): the keys of each fragment of the order."""
+def _fragments(docs: DataFrame, wanted: DataFrame, order: Broadcast) -> DataFrame:
+    """(rid, slice, keys) of the representatives in wanted (rid, doc_id, sig): the keys of each fragment of the order.
 
+    A filter of BITS bits of the wanted ids goes to all workers, so only documents that pass it are read into sets.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
+    bits = np.zeros(BITS, bool)
+    bits[wanted.select(place.alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
     cuts = np.append(np.arange(SLICES, dtype=np.int64) * ((1 << 63) // SLICES), np.iinfo(np.int64).max)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
             for part in pieces(batch, 4 << 20):
-                rid, piece, sizes, keys = [], [], [], []
-                for r, raw, sig in zip(part.column(0).to_pylist(), raw_texts(part.column(1)), part.column(2).to_pylist(), strict=True):
-                    own = shingle_keys(word_hashes(raw), log_count)
-                    if xxhash.xxh3_128_digest(own.tobytes()) != sig:
-                        continue  # another row of the same doc_id
+                doc_id, sigs, piece, sizes, keys = [], [], [], [], []
+                for d, raw in zip(part.column(0).to_pylist(), raw_texts(part.column(1)), strict=True):
+                    own = order.value.keys(word_hashes(raw))
+                    sig = xxhash.xxh3_128_digest(own.tobytes())
                     bounds = np.searchsorted(own, cuts)
                     for s in np.flatnonzero(np.diff(bounds)).tolist():
-                        rid.append(r)
+                        doc_id.append(d)
+                        sigs.append(sig)
                         piece.append(s)
                         sizes.append(int(bounds[s + 1] - bounds[s]))
                     keys.append(own)
                 flat = np.concatenate([np.zeros(0, np.int64), *keys])
                 lists = pa.ListArray.from_arrays(pa.array(spans_of(np.array(sizes, int)), pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.record_batch([pa.array(rid, pa.int64()), pa.array(piece, pa.int32()), lists], ["rid", "slice", "keys"])
+                yield pa.record_batch([pa.array(doc_id, pa.int64()), pa.array(sigs, pa.binary()), pa.array(piece, pa.int32()), lists], ["doc_id", "sig", "slice", "keys"])
 
-    rows = docs.join(wanted, "doc_id").select("rid", "text", "sig").mapInArrow(run, "rid long, slice int, keys array<long>")
-    return rows.dropDuplicates(["rid", "slice"])
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("k")).mapInArrow(run, "doc_id long, sig binary, slice int, keys array<long>")
+    return rows.join(wanted, ["doc_id", "sig"]).select("rid", "slice", "keys").dropDuplicates(["rid", "slice"])
 
 
 def _links(pairs: DataFrame, fragments: DataFrame, num: int, den: int) -> DataFrame:
@@ -163,24 +207,22 @@ class Join:
     def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR):
         self.num, self.den = num, den
         self.docs = id_and_text(docs)
-        self.log_count = word_sketch(self.docs)
-        self.rows = stored(shingled(self.docs, self.log_count, num, den).withColumn("rid", F.monotonically_increasing_id()), "shingled")
+        self.order = docs.sparkSession.sparkContext.broadcast(estimate_order(self.docs))  # of a fixed size
+        self.rows = stored(shingled(self.docs, self.order, num, den).withColumn("rid", F.monotonically_increasing_id()), "shingled")
         linked = self.rows.filter("n > 0 and doc_id is not null")
         self.classes = stored(linked.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("sig", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rep")), "classes")
         heads = self.rows.join(self.classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-        spread = heads.select("rid", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "key"))
-        leaders = spread.groupBy("key").agg(F.min(F.struct("pos", "rid", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("key", "lead")
-        shared = spread.join(leaders, "key").select("key", "rid", "n", "pos", "last", F.col("lead.rid").alias("lead_rid"))
+        spread = heads.select("rid", F.posexplode("prefix").alias("pos", "key"))
+        shared = spread.join(spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "key")
         # A key that only one prefix holds is in no set of a partner with a later shared key: d counts those before each row.
         before = F.row_number().over(Window.partitionBy("rid").orderBy("pos")) - 1
-        rows = shared.withColumn("d", F.col("pos") - before)
-        # Without a partner as large as itself among its candidates, a row can only meet smaller sets.
-        self.buckets = stored(rows.withColumn("free", (F.col("n") - F.col("d")) * (den + num) >= F.col("n") * 2 * num), "buckets")
+        ends = self.rows.select("rid", "n", F.try_element_at("prefix", F.lit(-1)).alias("last"))
+        rows = shared.withColumn("d", F.col("pos") - before).join(ends, "rid").select("key", "rid", "n", "pos", "d", "last", self._free())
+        self.buckets = stored(rows, "buckets")
 
-    def _fragments_of(self, pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-        wanted = self.classes.withColumnRenamed("rep", "rid").join(ends, "rid").select("rid", F.col("first_id").alias("doc_id"), "sig")
-        return stored(_fragments(self.docs, wanted, self.log_count), "fragments")
+    def _free(self) -> Column:
+        """Whether a row may have a partner as large as itself; without, it can only meet smaller sets."""
+        return ((F.col("n") - F.col("d")) * (self.den + self.num) >= F.col("n") * 2 * self.num).alias("free")
 
     def _fit(self, raw: DataFrame) -> DataFrame:
         return raw.filter(_may_link(*map(F.col, ("nx", "ny", "px", "py", "dx", "dy")), self.num, self.den))
@@ -189,7 +231,18 @@ class Join:
     def _ends(pairs: DataFrame) -> DataFrame:
         """(a, b, na, nb) with a < b from (x, nx, y, ny)."""
         low = F.col("x") < F.col("y")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+
+    @staticmethod
+    def _side(name: str, rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("key", F.col("rid").alias(name), F.col("n").alias(f"n{name}"), F.col("pos").alias(f"p{name}"), F.col("d").alias(f"d{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
+
+    def _cross(self, rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's rows, in different components where rows have one. One of two sets is no larger than the other, so one is free."""
+        more = ("comp", "last") if "comp" in rows.columns else ("last",)
+        raw = self._side("x", rows.filter("free"), *more).join(self._side("y", rows, *more, "free"), "key")
+        apart = "comp_x <> comp_y" if "comp" in more else "true"
+        return raw.filter(f"x <> y and {apart} and (x < y or not free_y)").drop("free_y")
 
     def _counted(self, raw: DataFrame) -> DataFrame:
         """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
@@ -199,123 +252,96 @@ class Join:
         need = F.ceil((F.col("nx") + F.col("ny")) * num / (den + num))
         head = lambda n: n - F.ceil(n * num / den) + 1
         left, right = (head(F.col(n)) - F.col(n) + need for n in ("nx", "ny"))
-        return self._ends(c.filter(F.col("shared") >= F.when(F.col("lx") <= F.col("ly"), left).otherwise(right))).distinct()
-
-    def star_pairs(self) -> DataFrame:
-        leaders = self.buckets.filter("rid = lead_rid").select("key", *(F.col(c).alias(a) for c, a in zip(("rid", "n", "pos", "d"), ("y", "ny", "py", "dy"), strict=True)))
-        return self._ends(self._fit(self._side("x", "rid <> lead_rid").join(leaders, "key"))).distinct()
+        least = F.when(F.col("lx") < F.col("ly"), left).when(F.col("lx") > F.col("ly"), right).otherwise(F.least(left, right))
+        return self._ends(c.filter(F.col("shared") >= least))
 
-    def _side(self, name: str, condition: str, rows: DataFrame | None = None, *more: str) -> DataFrame:
-        rows = (self.buckets if rows is None else rows).filter(condition)
-        return rows.select("key", F.col("rid").alias(name), F.col("n").alias(f"n{name}"), F.col("pos").alias(f"p{name}"), F.col("d").alias(f"d{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
-
-    def _open_rows(self, components: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Rows of the buckets with their components, without the leaders; and the keys of crowded buckets, which still
-        have many pairs between components. components None: every set is one of its own."""
-        if components is None:
-            rows = self.buckets.withColumn("comp", F.col("rid")).withColumn("lead_comp", F.lit(None).cast("long"))
-        else:
-            rows = self.buckets.join(components.select(F.col("node").alias("rid"), F.col("component").alias("comp")), "rid", "left")
-            rows = rows.join(components.select(F.col("node").alias("lead_rid"), F.col("component").alias("lead_comp")), "lead_rid", "left")
-            rows = rows.withColumn("comp", F.coalesce("comp", "rid")).withColumn("lead_comp", F.coalesce("lead_comp", "lead_rid"))
-        rows = rows.filter("rid <> lead_rid").withColumn("apart", F.coalesce(F.col("comp") != F.col("lead_comp"), F.lit(True)))
-        rows = stored(rows.select("key", "rid", "n", "pos", "d", F.struct(F.lit(0).cast("long").alias("df"), F.col("last").alias("key")).alias("last"), "free", "comp", "apart"), "open-rows")
-        crowded = rows.groupBy("key").agg((F.count_if("apart") * F.count("*")).alias("pairs")).filter(F.col("pairs") > CROWD).select("key")
-        return rows, stored(crowded, "crowded")
+    def _binned(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose overlap, bounded by the smaller count of each bin, may be enough."""
+        bins = self.rows.select("rid", "bins")
+        both = pairs.join(bins.select(F.col("rid").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("rid").alias("b"), F.col("bins").alias("y")), "b")
+        most = F.aggregate(F.zip_with("x", "y", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, v: s + v)
+        full = F.exists("x", lambda v: v == 32767)  # a count that didn't fit bounds nothing
+        return both.filter(full | (most * (self.den + self.num) >= (F.col("na") + F.col("nb")) * self.num)).select("a", "b", "na", "nb")
 
-    def _central_pairs(self, rows: DataFrame, edges: DataFrame, done: DataFrame, linked: bool) -> DataFrame:
-        """In each bucket one set is compared with the sets outside its component: the set with most links so far, or,
-        with linked false, of those without a link that with fewest keys of its own."""
-        degree = edges.select(F.col("u").alias("rid")).unionByName(edges.select(F.col("v").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
-        ranked = rows.join(degree, "rid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        best = F.struct("degree", -F.col("d"), -F.col("pos"), "rid") if linked else F.struct(F.col("degree") == 0, -F.col("d"), -F.col("pos"), "rid")
-        central = ranked.groupBy("key").agg(F.max_by(F.struct("rid", "n", "pos", "d", "comp"), best).alias("c"))
-        central = central.select("key", *(F.col(f"c.{c}").alias(a) for c, a in zip(("rid", "n", "pos", "d", "comp"), ("y", "ny", "py", "dy", "comp_y"), strict=True)))
-        pairs = self._side("x", "true", rows, "comp").join(central, "key").filter("comp_x <> comp_y")
-        return self._ends(self._fit(pairs)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+    def _fragments_of(self, rids: DataFrame) -> DataFrame:
+        wanted = self.classes.withColumnRenamed("rep", "rid").join(rids.distinct(), "rid").select("rid", F.col("first_id").alias("doc_id"), "sig")
+        return stored(_fragments(self.docs, wanted, self.order), "fragments")
 
-    def _cross(self, rows: DataFrame) -> DataFrame:
-        """Pairs of rows of a bucket in different components, one of them apart from the leader. One of two sets is no
-        larger than the other, so one of the rows is free."""
-        more = ("comp", "last")
-        free = self._side("x", "apart and free", rows, *more).join(self._side("y", "true", rows.withColumn("twice", F.col("apart") & F.col("free")), *more, "twice"), "key")
-        free = free.filter("x < y or not twice_y").drop("twice_y")
-        bound = self._side("x", "apart and not free", rows, *more).join(self._side("y", "free and not apart", rows, *more), "key")
-        return free.unionByName(bound).filter("x <> y and comp_x <> comp_y")
+    def _links(self, pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+        return stored(_links(pairs, fragments, self.num, self.den).select("a", "b", "overlap"), "links")
 
     def _reordered(self, crowd: DataFrame, fragments: DataFrame) -> DataFrame:
         """New prefix rows of the sets in crowded buckets (rid, n): their keys are ordered by exact frequency among
         these sets. What only one of them holds comes first and bounds its overlap with any other."""
         num, den = self.num, self.den
-        keys = fragments.select("rid", F.explode("keys").alias("key"))
-        ranked = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")), "key").join(crowd, "rid")
+        keys = fragments.join(crowd, "rid").select("rid", "n", F.explode("keys").alias("key"))
+        ranked = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")), "key")
         by_rid = Window.partitionBy("rid")
-        ranked = ranked.withColumn("pos", F.row_number().over(by_rid.orderBy("df", "key")) - 1).withColumn("d", F.count_if(F.col("df") == 1).over(by_rid))
         enough = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-        ranked = ranked.withColumn("last", F.max(F.when(F.col("pos") < enough, F.struct("df", "key"))).over(by_rid))
+        ranked = ranked.withColumn("pos", F.row_number().over(by_rid.orderBy("df", "key")) - 1).withColumn("d", F.count_if(F.col("df") == 1).over(by_rid))
+        # The order as one number: frequency, then the first bits of the key. Equal numbers leave open which prefix ends first.
+        place = F.shiftleft(F.least("df", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftright("key", 20))
+        ranked = ranked.withColumn("last", F.max(F.when(F.col("pos") < enough, place)).over(by_rid))
         rows = ranked.filter((F.col("pos") < enough) & (F.col("df") > 1) & ((F.col("n") - F.col("d")) * den >= F.col("n") * num))
-        free = (F.col("n") - F.col("d")) * (den + num) >= F.col("n") * 2 * num
-        return stored(rows.select("key", "rid", "n", "pos", "d", "last", free.alias("free")), "crowd-rows")
+        return stored(rows.select("key", "rid", "n", "pos", "d", "last", self._free()), "crowd-rows")
 
-    def links(self, pairs: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
-        return _links(pairs, self._fragments_of(pairs) if fragments is None else fragments, self.num, self.den)
-
-    def _edges(self, pairs: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
-        return stored(self.links(pairs, fragments).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    def _central_pairs(self, rows: DataFrame, edges: DataFrame, done: DataFrame, linked: bool) -> DataFrame:
+        """In each bucket one set is compared with the sets outside its component: the set with most links so far, or,
+        with linked false, of those without a link that with fewest keys of its own."""
+        degree = edges.select(F.col("a").alias("rid")).unionByName(edges.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
+        ranked = rows.join(degree, "rid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        best = F.struct("degree", -F.col("d"), -F.col("pos"), "rid") if linked else F.struct(F.col("degree") == 0, -F.col("d"), -F.col("pos"), "rid")
+        central = ranked.groupBy("key").agg(F.max_by(F.struct("rid", "n", "pos", "d", "comp"), best).alias("c"))
+        central = central.select("key", *(F.col(f"c.{c}").alias(a) for c, a in zip(("rid", "n", "pos", "d", "comp"), ("y", "ny", "py", "dy", "comp_y"), strict=True)))
+        pairs = self._side("x", rows, "comp").join(central, "key").filter("comp_x <> comp_y")
+        return self._binned(self._ends(self._fit(pairs)).join(done.select("a", "b"), ["a", "b"], "left_anti"))
 
-    def _crowd(self, rows: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """(fragments, reordered rows) of the sets in crowded buckets; None without any."""
-        crowd = stored(rows.join(crowded, "key", "left_semi").select("rid", "n").distinct(), "crowd")
+    @staticmethod
+    def _components(edges: DataFrame) -> DataFrame:
+        found = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return found.select(F.col("node").alias("rid"), F.col("component").alias("comp"))
+
+    def links(self, every: bool) -> tuple[DataFrame, DataFrame | None]:
+        """(a, b, overlap) of linked representatives: every link, or enough of them to make the same components. With
+        them the components (rid, comp), where they are known already."""
+        pairs = F.count_if("free") * F.count("*")
+        crowded = stored(self.buckets.groupBy("key").agg(pairs.alias("pairs")).filter(F.col("pairs") > CROWD).select("key"), "crowded")
+        calm = stored(self._binned(self._counted(self._cross(self.buckets.join(crowded, "key", "left_anti")))), "pairs")
+        crowd = stored(self.buckets.join(crowded, "key", "left_semi").select("rid", "n").distinct(), "crowd")
+        ends = calm.select(F.col("a").alias("rid")).union(calm.select(F.col("b").alias("rid"))).union(crowd.select("rid"))
+        fragments = self._fragments_of(ends)
+        edges = self._links(calm, fragments)
         if crowd.isEmpty():
-            return None
-        fragments = self._fragments_of(crowd.select(F.col("rid").alias("a"), F.col("rid").alias("b")))
-        return fragments, self._reordered(crowd, fragments)
+            return edges, None
+        rows, done, found = self._reordered(crowd, fragments), calm, None
+        named = lambda: rows.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        for turn in range(0 if every else ROUNDS):
+            found = self._components(edges) if found is None else found
+            pairs = stored(self._central_pairs(named(), edges, done, turn % 2 == 0), "central-pairs")
+            more = self._links(pairs, fragments)
+            done = done.unionByName(pairs)
+            if not more.isEmpty():
+                edges, found = stored(edges.unionByName(more), "links"), None
+            elif turn:
+                break
+        if not every:
+            found = self._components(edges) if found is None else found
+        left = self._counted(self._cross(rows if every else named())).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        more = self._links(stored(self._binned(left), "pairs"), fragments)
+        return (edges, found) if more.isEmpty() else (edges.unionByName(more), None)
 
-    @staticmethod
-    def _with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
-        named = rows.join(components.select(F.col("node").alias("rid"), F.col("component").alias("comp")), "rid", "left")
-        return named.withColumn("comp", F.coalesce("comp", "rid")).withColumn("apart", F.lit(True))
+    def components(self) -> DataFrame:
+        """(rep, component) of the representatives that link with another."""
+        edges, found = self.links(False)
+        found = self._components(edges) if found is None else found
+        return found.select(F.col("rid").alias("rep"), F.col("comp").alias("component"))
 
     def all_links(self) -> DataFrame:
-        """(doc_a, doc_b, overlap) of all linked pairs of class representatives, by their first doc_id."""
-        first = stored(self.star_pairs(), "star-pairs")
-        rows, crowded = self._open_rows(None)
-        rest = self._counted(self._cross(rows.join(crowded, "key", "left_anti")))
-        if crowd := self._crowd(rows, crowded):
-            rest = rest.unionByName(self._counted(self._cross(crowd[1].withColumn("comp", F.col("rid")).withColumn("apart", F.lit(True)))))
-        found = self.links(stored(first.unionByName(rest).distinct(), "pairs"))
+        """(doc_a, doc_b, overlap) of every link of class representatives, by their first doc_id."""
         name = self.classes.select("rep", "first_id")
-        found = found.join(name.select(F.col("rep").alias("a"), F.col("first_id").alias("doc_a")), "a").join(name.select(F.col("rep").alias("b"), F.col("first_id").alias("doc_b")), "b")
+        found = self.links(True)[0].join(name.select(F.col("rep").alias("a"), F.col("first_id").alias("doc_a")), "a").join(name.select(F.col("rep").alias("b"), F.col("first_id").alias("doc_b")), "b")
         return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap")
 
-    def components(self) -> DataFrame:
-        """(rep, component) of the representatives that link with another."""
-        done = stored(self.star_pairs(), "star-pairs")
-        edges = self._edges(done)
-        found = connected_components(edges)
-        rows, crowded = self._open_rows(found)
-        rest = self._counted(self._cross(rows.join(crowded, "key", "left_anti")))
-        rest = stored(rest.join(done.select("a", "b"), ["a", "b"], "left_anti"), "rest-pairs")
-        new = self._edges(rest)
-        if crowd := self._crowd(rows, crowded):
-            fragments, ordered = crowd
-            idle = 0
-            for turn in range(ROUNDS):
-                pairs = stored(self._central_pairs(self._with_components(ordered, found), edges, done, turn % 2 == 0), "central-pairs")
-                done = done.unionByName(pairs)
-                more = self._edges(pairs, fragments)
-                idle = idle + 1 if more.isEmpty() else 0
-                if idle == 2:
-                    break
-                if not idle:
-                    edges = stored(edges.unionByName(more), "links")
-                    found = connected_components(edges)
-            last = self._counted(self._cross(self._with_components(ordered, found))).join(done.select("a", "b"), ["a", "b"], "left_anti")
-            new = new.unionByName(self._edges(stored(last, "last-pairs"), fragments))
-        if not new.isEmpty():
-            found = connected_components(edges.unionByName(new))
-        return found.select(F.col("node").alias("rep"), "component")
-
 
 def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id of an equal set) of every document.
