@@ -24,6 +24,13 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.binary()).to_pylist()
 
 
+def small_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Rows of long texts go to Python workers in small batches, so a batch of texts stays some MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

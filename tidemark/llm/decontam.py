@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, pieces, raw_texts, spans_of
+from .common import ALNUM, pieces, raw_texts, small_batches, spans_of
 
 K1, B = 1.2, 0.75
 RHO = 0.6
@@ -246,6 +246,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns. Documents without text stay."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     column = names.index("text")
     for index in indexes(benchmark):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import id_and_text, pieces, raw_texts, spans_of, stored, word_lists
+from .common import id_and_text, pieces, raw_texts, small_batches, spans_of, stored, word_lists
 from .graph import connected_components
 
 SIZE = 3
@@ -205,6 +205,7 @@ class Join:
     """The steps of the join over one table of documents; everything large is a table in the shared folder."""
 
     def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR):
+        small_batches(docs.sparkSession)
         self.num, self.den = num, den
         self.docs = id_and_text(docs)
         self.order = docs.sparkSession.sparkContext.broadcast(estimate_order(self.docs))  # of a fixed size

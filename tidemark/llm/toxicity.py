@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, fold_of, id_and_text, raw_texts, ship, spans_of
+from .common import ALNUM, fold_of, id_and_text, raw_texts, ship, small_batches, spans_of
 
 SPACE = 1 << 18
 SELECTED = 2048
@@ -143,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     A label that is null is left out; of repeated labels of one id the largest counts.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.filter(fold_of(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
