@@ -234,6 +234,25 @@ def test_ngram_pairs_are_all_links(spark):
     assert {(r.doc_a, r.doc_b) for r in got} == plain
 
 
+@pytest.mark.parametrize("larger_first", [True, False])
+@pytest.mark.parametrize("crowd", [1 << 20, 1])
+def test_ngram_pairs_near_the_threshold_in_both_row_orders(spark, larger_first, crowd, monkeypatch):
+    """The larger set is free at the first shared key and, after three keys of its own, not at the second."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    rnd, common, own = random.Random(5), [f"c{k}" for k in range(38)], ["d0", "d1", "d2"]
+    small = ["rare", *common]
+    pair = [" ".join(small + own), " ".join(small)]
+    table = list(enumerate(pair if larger_first else pair[::-1]))
+    for k in range(48):  # the order of the corpus: "rare ..." before what only the larger set holds, and that before the rest
+        table.append((k + 10, " ".join(rnd.sample(common + own * (k < 19), len(common) + 3 * (k < 19)))))
+    sets = {i: frozenset(zip(*(words(t)[k:] for k in range(3)), strict=False)) for i, t in table}
+    plain = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    assert plain == {(0, 1)}
+    docs = frame(spark, table).coalesce(1)
+    assert {(r.doc_a, r.doc_b) for r in ngram_join.similar_pairs(docs).collect()} == plain
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {i: c for i, (_, c) in brute_components(table).items()}
+
+
 def test_keep_one_keeps_columns_and_rows_without_id(spark, docs, rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns

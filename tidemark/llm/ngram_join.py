@@ -249,12 +249,16 @@ class Join:
         """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
         the order that both prefixes cover, so each of its keys that is not shared is missing from the other set."""
         num, den = self.num, self.den
-        c = self._fit(raw).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("shared"), F.min("last_x").alias("lx"), F.min("last_y").alias("ly"))
-        need = F.ceil((F.col("nx") + F.col("ny")) * num / (den + num))
+        # Which row is x changes from key to key of a pair, so both are named by their ids before keys are counted.
+        low = F.col("x") < F.col("y")
+        either = [(f"{c}{one}", F.when(low, F.col(f"{c}{u}")).otherwise(F.col(f"{c}{v}"))) for c in ("", "n", "last_") for one, u, v in (("a", "x", "y"), ("b", "y", "x"))]
+        named = self._fit(raw).select(*(c.alias(name) for name, c in either))
+        c = named.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.min("last_a").alias("la"), F.min("last_b").alias("lb"))
+        need = F.ceil((F.col("na") + F.col("nb")) * num / (den + num))
         head = lambda n: n - F.ceil(n * num / den) + 1
-        left, right = (head(F.col(n)) - F.col(n) + need for n in ("nx", "ny"))
-        least = F.when(F.col("lx") < F.col("ly"), left).when(F.col("lx") > F.col("ly"), right).otherwise(F.least(left, right))
-        return self._ends(c.filter(F.col("shared") >= least))
+        left, right = (head(F.col(n)) - F.col(n) + need for n in ("na", "nb"))
+        least = F.when(F.col("la") < F.col("lb"), left).when(F.col("la") > F.col("lb"), right).otherwise(F.least(left, right))
+        return c.filter(F.col("shared") >= least).select("a", "b", "na", "nb")
 
     def _binned(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose overlap, bounded by the smaller count of each bin, may be enough."""
