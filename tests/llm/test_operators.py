@@ -414,6 +414,27 @@ def test_decontamination_equals_brute_force(spark, rows):
     assert decontam.find_leaks(frame(spark, table), bench.limit(0)).count() == 0 and decontam.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_question_and_answer_with_words_between(spark):
+    numbered = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    question, answer, long_q, long_a = numbered("q", 14), numbered("a", 6), numbered("lq", 58), numbered("la", 6)
+    bench = [(1, f"{question}? {answer}."), (2, "s0 s1 s2 s3? t0 t1 t2 t3."), (3, f"{long_q}? {long_a}.")]
+    fill = numbered("f", 300).split()
+    texts = [
+        f"{' '.join(fill[:50])} {question}?\nAnswer: {answer} {' '.join(fill[:20])}",  # 12 of the item's 16 shingles
+        f"x {question} y",
+        f"x {answer} y",
+        "s0 s1 s2 s3? Answer: t0 t1 t2 t3",
+        f"s0 s1 s2 s3 {' '.join(fill[:20])} t0 t1 t2 t3",
+        *(f"{' '.join(fill[:k])} {long_q} the right answer is {long_a} {' '.join(fill[:200])}" for k in range(60, 80)),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.find_leaks(docs, items := spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (3, 2), *((k, 3) for k in range(5, 25))}
+    row = next(r for r in got if r.doc_id == 0)
+    assert (row.overlap, row.question_overlap, row.answer_overlap) == (0.75, 1.0, 1.0)
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [1, 2, 4]
+
+
 def test_block_max_wand_finds_what_exhaustive_search_finds():
     rnd = random.Random(9)
     vocabulary = [f"v{k}".encode() for k in range(200)]

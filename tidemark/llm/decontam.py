@@ -5,7 +5,8 @@ item scores 1 against a passage that holds all of it, and one threshold RHO serv
 window of words, long enough that an item's text lies whole in some window. All passages of a batch first meet an upper bound
 in numpy: the weights of an item's rare words seen in the window, plus all its common words. Only windows whose bound
 reaches RHO for an item are searched: block-max WAND retrieves every item whose score reaches RHO, and each is verified
-by the five-word shingles of its question and its answer that the passage holds.
+by the five-word shingles that the passage holds: OVERLAP of the whole item's, or of its question's and of its answer's,
+between which a passage may have words of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ RHO = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 16
+BETWEEN = 8  # words between question and answer for which a window has room, wherever it begins
 RARE = 3  # items at most that a rare word may be in
 SHARD = 20_000  # items in one index: its size is bounded, and more items make more indexes
 LENGTHS = (64, 512, 1 << 30)  # items of one index are alike in length, as the window follows the longest
@@ -57,14 +59,23 @@ def held(part: set[tuple[bytes, ...]], passage: set[tuple[bytes, ...]], words: l
     return len(part & passage) / len(part)
 
 
+def follows(question: list[bytes], answer: list[bytes], words: list[bytes]) -> bool:
+    """Whether the answer stands after the question, with BETWEEN words between them at most."""
+    n, m = len(question), len(answer)
+    for i in range(len(words) - n - m + 1):
+        if words[i : i + n] == question and any(words[j : j + m] == answer for j in range(i + n, i + n + BETWEEN + 1)):
+            return True
+    return False
+
+
 class Index:
     """Items with postings in blocks, each with its largest weight."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item_ids = [i for i, _ in items]
         self.words = [words_of((t or "").encode("utf-8", "replace")) for _, t in items]
-        parts = [question_and_answer(t or "") for _, t in items]
-        self.parts = [tuple(shingles(words_of(p.encode("utf-8", "replace"))) for p in (q, a)) for q, a in parts]
+        self.part_words = [tuple(words_of(p.encode("utf-8", "replace")) for p in question_and_answer(t or "")) for _, t in items]
+        self.parts = [tuple(map(shingles, p)) for p in self.part_words]
         self.whole = [shingles(w) for w in self.words]
         n, sizes = len(items), [len(w) for w in self.words]
         mean = max(1.0, sum(sizes) / max(n, 1))
@@ -91,7 +102,7 @@ class Index:
         self.rare_weight = np.array([x for p in lists for _, x in p])
         self.all_common = bool((self.rest >= RHO).any())  # an item without rare words: its windows can't be ruled out
         self.common_items = np.flatnonzero(self.rest >= RHO)
-        self.stride = max([32, *sizes])
+        self.stride = max([32, *sizes]) + BETWEEN
         self.window = 2 * self.stride
 
     def search(self, words: list[bytes], rho: float = RHO) -> list[tuple[int, float]]:
@@ -175,6 +186,14 @@ class Index:
         doc = np.searchsorted(base, windows, "right") - 1
         return list(zip(doc.tolist(), (windows - base[doc]).tolist(), strict=True))
 
+    def apart(self, item: int, question: float | None, answer: float | None, words: list[bytes]) -> bool:
+        """Whether a passage holds question and answer, each by its own overlap. Two parts shorter than a shingle say
+        little about each other when far apart, so they must follow each other; items shorter than a shingle are whole."""
+        q, a = self.part_words[item]
+        if question is None or answer is None or min(question, answer) < OVERLAP or len(q) + len(a) < SHINGLE:
+            return False
+        return max(len(q), len(a)) >= SHINGLE or follows(q, a, words)
+
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, int, float, float, float | None, float | None]]:
         """(place of the text, item, first word, score, overlap, question overlap, answer overlap), the best window of each item."""
         words = [words_of(raw) for raw in texts]
@@ -192,9 +211,9 @@ class Index:
             own = shingles(passage)
             for item, score in found:
                 overlap = held(self.whole[item], own, passage) or 0.0
-                if overlap < OVERLAP:
-                    continue
                 question, answer = (held(p, own, passage) for p in self.parts[item])
+                if overlap < OVERLAP and not self.apart(item, question, answer, passage):
+                    continue
                 row = (doc, item, start, score, overlap, question, answer)
                 old = best.get((doc, item))
                 if old is None or (overlap, score) > (old[4], old[3]):
