@@ -282,6 +282,20 @@ def test_chat_round_trip_and_rewriting(spark):
     assert chat.formatted_turns(df, lambda ts: f"{len(ts)}").filter("rewritten").count() > 0
 
 
+def test_chat_long_conversations_render_true_prefixes(spark):
+    numbered = lambda ts: "".join(f"{k}:{x};" for k, (_, x) in enumerate(ts))
+    forgetful = lambda ts: numbered(ts if len(ts) <= 90 else ts[1:])
+    ship(spark)
+    df = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(120)], "conv_id long, turn long, role string, text string")
+    turns = [("user", f"t{t}") for t in range(120)]
+    got = sorted(chat.formatted_turns(df, numbered).collect(), key=lambda r: r.turn_no)
+    assert [r.formatted for r in got] == [f"{t}:t{t};" for t in range(120)] and not any(r.rewritten for r in got)
+    assert ([(r.start, r.end) for r in got], False) == chat.spans(turns, numbered)
+    got = sorted(chat.formatted_turns(df, forgetful).collect(), key=lambda r: r.turn_no)
+    assert [r.turn_no for r in got] == list(range(91)) and [r.turn_no for r in got if r.rewritten] == [90]
+    assert ([(r.start, r.end) for r in got[:-1]], True) == chat.spans(turns, forgetful)
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -2,9 +2,9 @@
 
 The template is a function from a list of (role, text) to a string. The prefixes of a conversation are rendered one
 after another; each output must begin with the one before, and what is new belongs to the newest turn. A template whose
-output for a longer prefix doesn't begin with the shorter one's rewrites history and is reported as such. Up to FULL turns a
-prefix is rendered whole. A longer conversation goes on with the first turn and the last WINDOW turns, so the work for a
-turn and the memory are bounded, whatever the length of a conversation.
+output for a longer prefix doesn't begin with the shorter one's rewrites history and is reported as such. Every prefix is
+rendered whole, whatever its length, as a template may number turns or drop early ones. So the work grows with the square of
+a conversation's length, and the conversation at hand is held in memory.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from .common import ship
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-FULL = 64
-WINDOW = 16
 # The control strings of the template.
 OPEN, CLOSE, START, END = "[INST]", "[/INST]", "<s>", "</s>"
 _CONTROL = re.compile(r"([<\[])(\\*)(/?(?:INST\]|s>))")
@@ -52,17 +50,14 @@ class Rewritten(ValueError):
 class Incremental:
     """Renders a conversation turn by turn. push() returns what the turn added; its span is [start, end) of the output."""
 
-    def __init__(self, template: Template, full: int = FULL, window: int = WINDOW):
-        self.template, self.full, self.window = template, full, window
+    def __init__(self, template: Template):
+        self.template = template
         self.turns: list[Turn] = []
         self.before = template([])
         self.end = len(self.before)
         self.count = 0
 
     def push(self, turn: Turn) -> tuple[int, int, str]:
-        if self.count >= self.full and len(self.turns) > self.window:
-            self.turns = [self.turns[0], *self.turns[-self.window + 1 :]]
-            self.before = self.template(self.turns)
         self.turns.append(turn)
         now = self.template(self.turns)
         if not now.startswith(self.before):
@@ -75,7 +70,7 @@ class Incremental:
 
 def spans(turns: list[Turn], template: Template = instruct_template) -> tuple[list[tuple[int, int]], bool]:
     """(span of each turn, whether the template rewrites history) of a whole conversation; spans stop at the rewriting turn."""
-    render, found = Incremental(template, full=len(turns) + 1), []
+    render, found = Incremental(template), []
     try:
         for turn in turns:
             found.append(render.push(turn)[:2])
@@ -127,7 +122,7 @@ def format_digests(conversations: DataFrame, template: Template = instruct_templ
 
     Rows of a conversation are sorted by turn, then role and text, so ties and repeated rows have one order (and all
     count). A null text or role is empty; rows without conv_id form a conversation of their own; an empty table gives no
-    rows. The rows stream through in sorted order: no conversation is held in memory as a whole.
+    rows. The rows stream through in sorted order: one conversation at a time is held in memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
