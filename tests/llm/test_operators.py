@@ -184,15 +184,15 @@ def test_token_files_are_laid_out_for_selective_reads(spark, tmp_path):
     assert [r.ids for r in got] == [[*library.encode("the thing " * 50, add_special_tokens=False).ids, 2]]
 
 
-def brute_components(rows):
+def brute_components(rows, num=90, den=100, size=3):
     sets = {}
     for i, t in rows:
         w = words(t or "")
-        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) or (frozenset([tuple(w)]) if w else frozenset())
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) or (frozenset([tuple(w)]) if w else frozenset())
     group = {i: i for i in sets}
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((group[a], group[b]))
                 group = {k: x if v == y else v for k, v in group.items()}
     return {i: (len(s), group[i]) for i, s in sets.items()}
@@ -213,12 +213,13 @@ def near_rows():
     return out
 
 
+@pytest.mark.parametrize("near", [(90, 100, 3), (80, 100, 5)])
 @pytest.mark.parametrize("crowd", [1 << 20, 20])
-def test_ngram_components_equal_brute_force(spark, rows, crowd, monkeypatch):
+def test_ngram_components_equal_brute_force(spark, rows, crowd, near, monkeypatch):
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
     table = [r for r in rows if r[0] is not None] + near_rows()
-    plain = brute_components(table)
-    got = ngram_join.jaccard_components(frame(spark, [*table, (None, "no id")]).repartition(3)).collect()
+    plain = brute_components(table, *near)
+    got = ngram_join.jaccard_components(frame(spark, [*table, (None, "no id")]).repartition(3), *near).collect()
     assert len(got) == len(table) + 1
     assert all(r.component_id is None if r.doc_id is None else (r.n_shingles, r.component_id) == plain[r.doc_id] for r in got)
 
@@ -259,6 +260,9 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark, docs, rows):
     plain = brute_components([r for r in rows if r[0] is not None])
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in plain.values()})
     assert kept.filter("doc_id is null").count() == 2
+    clash = docs.select("doc_id", "text", F.lit(1).alias("number"), F.lit(2).alias("number_"), F.lit(3).alias("doc_id_"))
+    assert ngram_join.keep_one(clash).columns == clash.columns and ngram_join.keep_one(clash).count() == kept.count()
+    assert ngram_join.keep_one(frame(spark, [])).count() == 0
 
 
 def test_chat_round_trip_and_rewriting(spark):
@@ -393,6 +397,31 @@ def test_toxicity_learns_a_pair_that_neither_word_tells(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in got) / len(got) > 0.95
 
 
+def test_toxicity_takes_terms_that_matter_only_in_a_pair(spark):
+    """A group mention no more toxic than the rest and an insult a little more toxic: only both together are toxic."""
+    rnd, texts, labels = random.Random(4), [], []
+    fill = [f"w{k}" for k in range(300)]
+    for i in range(6000):
+        kind = i % 10
+        own = {0: ["insult", "group"], 1: ["insult"], 2: ["insult"], 3: ["group"], 4: ["group"], 5: ["group"]}.get(kind, [])
+        texts.append((i, " ".join([*rnd.choices(fill, k=20), *own])))
+        labels.append((i, int(kind == 0 or (kind > 7 and rnd.random() < 0.3))))
+    got = toxicity.toxicity_scores(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).filter("held_out").collect()
+    mean = lambda kinds: np.mean([r.score for r in got if r.doc_id % 10 in kinds])
+    assert mean({0}) > 0.7 and mean({1, 2, 3, 4, 5}) < 0.25
+
+
+def test_toxicity_margins_and_gradient_equal_naive_sums():
+    rng = np.random.default_rng(1)
+    w, v = rng.normal(size=9), rng.normal(size=(9, toxicity.FACTORS))
+    active = [np.array(x, np.int64) for x in ([0, 3, 8], [], [2], [1, 2, 4, 5, 7])]
+    got, _, _ = toxicity._margins(0.3, w, v, active)
+    for a, m in zip(active, got, strict=True):
+        x = 4 / math.sqrt(toxicity.RAMP + len(a))
+        want = 0.3 + sum(w[i] * x for i in a) + sum(v[i] @ v[j] * x * x for n, i in enumerate(a) for j in a[n + 1 :])
+        assert abs(m - want) < 1e-9
+
+
 def test_toxicity_edges(spark, docs, rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(docs, none).collect()
@@ -408,14 +437,17 @@ def test_decontamination_equals_brute_force(spark, rows):
     vocabulary = [f"v{k}" for k in range(600)] + ["the", "of", "and"] * 40
     sentence = lambda n: " ".join(rnd.choices(vocabulary, k=n))
     items = [(i, f"{sentence(rnd.randrange(8, 40))}. {sentence(rnd.randrange(1, 8))}.") for i in range(60)] + [(60, None), (61, ""), (62, "one"), (63, "v1 v2 v3")]
-    table = [(900 + k, f"{sentence(rnd.randrange(0, 300))} {items[k % 60][1] if k % 2 else ''} {sentence(rnd.randrange(0, 200))}") for k in range(80)] + list(rows)
+    table = [(900 + k, f"{sentence(rnd.randrange(0, 300))} {items[k % 60][1] if k % 2 else ''} {sentence(rnd.randrange(0, 200))}") for k in range(80)] + list(rows) + [(990, "One!"), (991, "v1 v2 v3."), (992, "v1 v2 v3 v4")]
     bench = spark.createDataFrame([(*x, None) for x in items], "item_id long, text string, doc_id long")
 
     def plain(t):
         w = decontam.words_of(t.encode())
         own, hits = decontam.shingles(w), set()
         for i, x in items:
-            part = decontam.shingles(decontam.words_of((x or "").encode()))
+            whole = decontam.words_of((x or "").encode())
+            part = decontam.shingles(whole) if len(whole) >= 5 else set()
+            if 0 < len(whole) < 5 and whole == w:  # says nothing inside a longer text
+                hits.add(i)
             if part and (decontam.held(part, own, w) or 0) >= decontam.OVERLAP:
                 hits.add(i)
         return hits

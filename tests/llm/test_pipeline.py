@@ -21,7 +21,7 @@ def test_run_equals_the_plain_stages(spark):
     labels, bench = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     toxic = {r.doc_id for r in toxicity.toxicity_scores(docs, labels).filter("predicted = 1").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
-    kept = {c for _, c in brute_components(rows).values()}
+    kept = {c for _, c in brute_components(rows, *corpus_pipeline.NEAR).values()}
     items = [decontam.shingles(decontam.words_of(r.text.encode())) for r in bench.collect()]
     clean = []
     for i, t in rows:

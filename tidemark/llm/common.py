@@ -24,11 +24,27 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.binary()).to_pylist()
 
 
-def small_batches(spark: SparkSession, most: int = 2000) -> None:
-    """Rows of long texts go to Python workers in small batches, so a batch of texts stays some MB on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= most:
-        spark.conf.set(name, str(most))
+BATCH_BYTES = 8 << 20
+
+
+def private(df: DataFrame) -> DataFrame:
+    """df on a session of its own, a copy of the caller's with its settings: Arrow batches to Python workers are bounded by
+    bytes, so memory doesn't follow the length of texts. The caller's session stays as it is."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(name) == str(BATCH_BYTES):
+        return df
+    copy = spark._jsparkSession.cloneSession()
+    own = SparkSession(spark.sparkContext, copy)
+    own.conf.set(name, str(BATCH_BYTES))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.queryExecution().analyzed()), own)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as make it differ from all taken ones."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,32 +53,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """Only the two columns the operators need, so extra columns of any name do no harm."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Only the two columns the operators need, so extra columns of any name do no harm; see private()."""
+    return private(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor shares; removed when the driver's JVM ends.
 
-    Only where that setting is absent (local tests) a temporary folder of this machine stands in for it.
+    Only where that setting is absent and Spark runs in one process (tests) a folder of this machine stands in for it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    folder, files = _hadoop(spark, path)
+    files.deleteOnExit(folder)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the folders of stored() tables that nothing reads any more."""
+    for table in tables:
+        if table is not None and getattr(table, "scratch", None):
+            folder, files = _hadoop(table.sparkSession, table.scratch)
+            files.delete(folder, True)
 
 
 def spans_of(lengths: np.ndarray) -> np.ndarray:

@@ -6,7 +6,8 @@ window of words, long enough that an item's text lies whole in some window. All
 in numpy: the weights of an item's rare words seen in the window, plus all its common words. Only windows whose bound
 reaches RHO for an item are searched: block-max WAND retrieves every item whose score reaches RHO, and each is verified
 by the five-word shingles that the passage holds: OVERLAP of the whole item's, or of its question's and of its answer's,
-between which a passage may have words of its own.
+between which a passage may have words of its own. An item of fewer than five words says nothing inside a longer text: it
+leaks where a document consists of its words alone.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, pieces, raw_texts, small_batches, spans_of
+from .common import ALNUM, id_and_text, pieces, private, raw_texts, spans_of
 
 K1, B = 1.2, 0.75
 RHO = 0.6
@@ -30,7 +32,8 @@ SHINGLE = 5
 BLOCK = 16
 BETWEEN = 8  # words between question and answer for which a window has room, wherever it begins
 RARE = 3  # items at most that a rare word may be in
-SHARD = 20_000  # items in one index: its size is bounded, and more items make more indexes
+SHARD = 20_000  # items in one index, and
+SHARD_BYTES = 16 << 20  # bytes of their texts, about: an index is bounded, and more items make more indexes
 LENGTHS = (64, 512, 1 << 30)  # items of one index are alike in length, as the window follows the longest
 _ANSWER = re.compile(r"(?s)^(.*[.?!:\n])\s*(\S.*)$")
 
@@ -82,8 +85,12 @@ class Index:
         df = Counter(w for ws in self.words for w in set(ws))
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
         rare: dict[bytes, list[tuple[int, float]]] = {}
+        self.short: dict[tuple[bytes, ...], list[int]] = {}
         self.rest = np.zeros(n)  # weight of an item's common words
         for k, ws in enumerate(self.words):
+            if len(ws) < SHINGLE:
+                self.short.setdefault(tuple(ws), []).append(k)
+                continue
             tf = Counter(ws)
             raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean)) for w, c in tf.items()}
             total = sum(raw.values()) or 1.0
@@ -218,14 +225,18 @@ class Index:
                 old = best.get((doc, item))
                 if old is None or (overlap, score) > (old[4], old[3]):
                     best[doc, item] = row
+        for doc, ws in enumerate(words if self.short else ()):
+            for item in self.short.get(tuple(ws), ()) if len(ws) < SHINGLE else ():
+                best[doc, item] = (doc, item, 0, 1.0, 1.0, *(held(p, shingles(ws), ws) for p in self.parts[item]))
         return [best[k] for k in sorted(best)]
 
 
-def indexes(benchmark: DataFrame, shard: int = SHARD) -> Iterator[Index]:
-    """Indexes of `shard` items at most (about, as shards are dealt by a hash), built one after another."""
+def indexes(benchmark: DataFrame, shard: int = SHARD) -> Iterator[Broadcast]:
+    """Broadcast indexes of `shard` items or SHARD_BYTES at most (about, as shards are dealt by a hash), built one after
+    another: the driver holds one at a time, as a broadcast is kept in files."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = items.count()
-    shards = max(1, -(-n // shard))
+    held = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    shards = max(1, -(-held.n // shard), -(-held["size"] // SHARD_BYTES))
     for s in range(shards):
         rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()]
         rows = sorted(((i, t) for i, t in rows if words_of(t.encode("utf-8", "replace"))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
@@ -234,7 +245,7 @@ def indexes(benchmark: DataFrame, shard: int = SHARD) -> Iterator[Index]:
             own = [(i, t) for i, t in rows if low < len(words_of(t.encode("utf-8", "replace"))) <= high]
             low = high
             if own:
-                yield Index(own)
+                yield benchmark.sparkSession.sparkContext.broadcast(Index(own))
 
 
 LEAK = "doc_id long, item_id long, first_word long, score double, overlap double, question_overlap double, answer_overlap double"
@@ -244,13 +255,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of LEAK: each document and item whose score and verified overlap reach the thresholds, at the best window.
 
     Null or empty texts hold nothing; items without words are left out; of a repeated item or document every row is
-    reported; empty tables give no rows. Whole texts are searched.
+    reported; empty tables give no rows. Whole texts are searched; other columns of any name play no part.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = id_and_text(docs)
     out = None
-    for index in indexes(benchmark):
+    for shared in indexes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 for part in pieces(batch, 8 << 20):
                     ids = part.column(0).to_pylist()
@@ -264,13 +276,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns. Documents without text stay."""
-    small_batches(docs.sparkSession)
+    """The documents that hold no item, with all their columns. Documents without text stay; empty tables change nothing."""
+    docs = private(docs)
     names = docs.columns
     column = names.index("text")
-    for index in indexes(benchmark):
+    for shared in indexes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 for part in pieces(batch, 8 << 20, column):
                     bad = {d for d, *_ in index.leaks(raw_texts(part.column(column)))}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = stored(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        last, edges = edges, stored(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        discard(last)
     else:
         raise RuntimeError("components didn't settle")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

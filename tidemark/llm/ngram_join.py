@@ -1,6 +1,6 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The 3-word shingles of the corpus have one global order: estimated frequency first (from counts of words and of frequent
+The shingles of the corpus (runs of SIZE words, or of another number) have one global order: estimated frequency first (from counts of words and of frequent
 shingles over the whole corpus, in sketches of fixed size; any order gives the same result), then a hash. A shingle's key is its place in that order, so sorting keys sorts by
 rarity. The order is cut into SLICES fragments. Documents of equal sets form a class and take part once, by a
 representative. Candidates share a key among the rarest of both sets (prefix filter) and pass the length and position
@@ -10,8 +10,9 @@ More filters before any set is fetched: keys in no other prefix bound the overla
 keys, and the counts of keys in BINS hash bins, compared bin by bin, bound the overlap as well. A bucket in which many pairs are
 possible (many near copies of one text) is crowded. Its sets are ordered anew by the exact frequency of their shingles
 among themselves. For components they are first compared with central sets, those with most links and those with fewest
-keys of their own, and then only pairs in different components are left, as a pair within one can't change it. So no link
-between components is lost, and a large group of near copies costs about its size, not its square.
+keys of their own, and then only pairs in different components are left, as a pair within one can't change it: a bucket
+of one component is left out before the join, and in others the largest component is joined with the rest alone. So no
+link between components is lost, and a large group of near copies costs about its size, not its square.
 
 Keys are 63 bits: two different shingles of one pair of documents share a key with a chance of about n^2 / 2^56.
 """
@@ -26,11 +27,12 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import id_and_text, pieces, raw_texts, small_batches, spans_of, stored, word_lists
+from .common import discard, free_name, id_and_text, pieces, raw_texts, spans_of, stored, word_lists
 from .graph import connected_components
 
 SIZE = 3
 COUNTERS = 1 << 15
+SHINGLE_COUNTERS = 1 << 20
 SLICES = 8
 MEMO = 200_000
 ROUNDS = 6  # of comparing crowded buckets with their best-linked set
@@ -38,7 +40,8 @@ CROWD = 1 << 20  # possible pairs from which a bucket is crowded
 BINS = 256
 BITS = 1 << 21  # of the filter of wanted documents, whatever their number
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
-_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_ODD = 0x9E3779B185EBCA87
+_LAST = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
@@ -62,9 +65,9 @@ def _mixed(words: np.ndarray, size: int) -> np.ndarray:
     """64-bit hash of every run of `size` words."""
     out = np.full(len(words) - size + 1, np.uint64(size))
     for k in range(size):
-        out += words[k : len(out) + k] * _P[k]
+        out += words[k : len(out) + k] * np.uint64(pow(_ODD, 2 * k + 1, 1 << 64))
     out ^= out >> np.uint64(32)
-    out *= _P[3]
+    out *= _LAST
     out ^= out >> np.uint64(29)
     return out
 
@@ -72,60 +75,62 @@ def _mixed(words: np.ndarray, size: int) -> np.ndarray:
 class Order:
     """The estimated frequencies behind the global order: words by hash, and frequent shingles by hash."""
 
-    def __init__(self, words: np.ndarray, shingles: np.ndarray):
-        self.words, self.shingles = words, shingles  # log2 of counts; 0 for shingles that aren't frequent
+    def __init__(self, words: np.ndarray, shingles: np.ndarray, size: int = SIZE):
+        self.words, self.shingles, self.size = words, shingles, size  # log2 of counts; 0 for shingles that aren't frequent
 
     def keys(self, words: np.ndarray) -> np.ndarray:
-        """Distinct keys of a document, in the global order. Fewer than SIZE words are one shingle; no words, none.
+        """Distinct keys of a document, in the global order. Fewer words than a shingle has are one; no words, none.
 
         A frequent shingle ranks behind all others, by its own count; others by the counts of their words.
         """
         n = len(words)
         if not n:
             return np.zeros(0, np.int64)
-        size = min(SIZE, n)
+        size = min(self.size, n)
         common = self.words[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
         mixed, frequency = _mixed(words, size), np.zeros(n - size + 1, np.float32)
         for k in range(size):
             frequency += common[k : n - size + 1 + k]
-        rank = np.minimum(frequency * (SIZE / size), 69).astype(np.uint64)
+        rank = np.minimum(frequency * (3 / size), 69).astype(np.uint64)
         own = self.shingles[(mixed & np.uint64(len(self.shingles) - 1)).astype(np.int64)]
         rank = np.where(own > 0, np.minimum(70 + 2 * own, 127), rank).astype(np.uint64)
         return np.unique((rank << np.uint64(56) | mixed >> np.uint64(8)).astype(np.int64))
 
 
-def estimate_order(docs: DataFrame) -> Order:
-    """Counts of words, and of shingles, by hash over all whole texts. The counters are of a fixed number; of a task's
-    shingle counters only those well above its mean are passed on, as only frequent shingles are to be told apart."""
-    parts = max(1, docs.rdd.getNumPartitions())
-    counters = 1 << min(21, max(18, 15 + (parts - 1).bit_length()))
+def estimate_order(docs: DataFrame, size: int = SIZE) -> Order:
+    """Counts of words, and of shingles, by hash over all whole texts, in counters of a fixed number. Of a task's shingle
+    counters only those well above its mean are passed on, and of the sums only those well above the mean of all reach the
+    driver, as only frequent shingles are to be told apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shingles = np.zeros(COUNTERS, np.int64), np.zeros(counters, np.int32)
+        words, shingles = np.zeros(COUNTERS, np.int64), np.zeros(SHINGLE_COUNTERS, np.int32)
         for batch in batches:
-            held, runs, size = [], [], 0
+            held, runs, n = [], [], 0
             for raw in [*raw_texts(batch.column(0)), None]:
                 if raw is not None:
                     held.append(word_hashes(raw))
-                    size += len(held[-1])
-                    if len(held[-1]) >= SIZE:
-                        runs.append(_mixed(held[-1], SIZE) & np.uint64(counters - 1))
-                if held and (size > 1 << 19 or raw is None):
+                    n += len(held[-1])
+                    if len(held[-1]) >= size:
+                        runs.append(_mixed(held[-1], size) & np.uint64(SHINGLE_COUNTERS - 1))
+                if held and (n > 1 << 19 or raw is None):
                     words += np.bincount((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                     if runs:
-                        shingles += np.bincount(np.concatenate(runs).astype(np.int64), minlength=counters).astype(np.int32)
-                    held, runs, size = [], [], 0
-        mean = shingles.sum() / counters
+                        places, times = np.unique(np.concatenate(runs).astype(np.int64), return_counts=True)
+                        shingles[places] += times.astype(np.int32)
+                    held, runs, n = [], [], 0
+        mean = shingles.sum() / SHINGLE_COUNTERS
         for kind, found in ((0, np.flatnonzero(words)), (1, np.flatnonzero(shingles >= 4 + 2 * mean))):
             yield pa.record_batch([pa.array(np.full(len(found), kind), pa.int32()), pa.array(found, pa.int32()), pa.array((shingles if kind else words)[found], pa.int64())], ["kind", "place", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()
-    words, shingles = np.zeros(COUNTERS), np.zeros(counters)
-    own = rows["kind"] == 0
-    words[rows.loc[own, "place"]] = rows.loc[own, "n"]
-    shingles[rows.loc[~own, "place"]] = rows.loc[~own, "n"]
-    shingles[shingles < max(64, 4 * words.sum() / counters)] = 0
-    return Order(np.log2(1 + words).astype(np.float32), np.ceil(np.log2(1 + shingles)).astype(np.uint8))
+    counts = stored(docs.select("text").mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")), "counts")
+    total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    rows = counts.filter((F.col("kind") == 0) | (F.col("n") >= max(64, 4 * total / SHINGLE_COUNTERS))).toArrow()
+    discard(counts)
+    kind, place, n = (rows.column(k).to_numpy() for k in range(3))
+    words, shingles = np.zeros(COUNTERS), np.zeros(SHINGLE_COUNTERS)
+    words[place[kind == 0]] = n[kind == 0]
+    shingles[place[kind == 1]] = n[kind == 1]
+    return Order(np.log2(1 + words).astype(np.float32), np.ceil(np.log2(1 + shingles)).astype(np.uint8), size)
 
 
 def prefix_size(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
@@ -156,13 +161,15 @@ def _fragments(docs: DataFrame, wanted: DataFrame, order: Broadcast) -> DataFram
     A filter of BITS bits of the wanted ids goes to all workers, so only documents that pass it are read into sets.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
-    bits = np.zeros(BITS, bool)
-    bits[wanted.select(place.alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    maps = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
+    packed = np.zeros(BITS // 8, np.uint8)
+    for m in maps:  # a row for each 32,768 bits, numbered from 1, the lowest bit of a byte first
+        packed[(m.part - 1) * 4096 : m.part * 4096] = np.frombuffer(m.bits, np.uint8)
+    packed = docs.sparkSession.sparkContext.broadcast(packed)
     cuts = np.append(np.arange(SLICES, dtype=np.int64) * ((1 << 63) // SLICES), np.iinfo(np.int64).max)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.value).astype(bool)
+        bits = np.unpackbits(packed.value, bitorder="little").astype(bool)
         for batch in batches:
             batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
             for part in pieces(batch, 4 << 20):
@@ -204,11 +211,10 @@ def _may_link(nx: Column, ny: Column, px: Column, py: Column, dx: Column, dy: Co
 class Join:
     """The steps of the join over one table of documents; everything large is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR):
-        small_batches(docs.sparkSession)
+    def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE):
         self.num, self.den = num, den
         self.docs = id_and_text(docs)
-        self.order = docs.sparkSession.sparkContext.broadcast(estimate_order(self.docs))  # of a fixed size
+        self.order = docs.sparkSession.sparkContext.broadcast(estimate_order(self.docs, size))  # of a fixed size
         self.rows = stored(shingled(self.docs, self.order, num, den).withColumn("rid", F.monotonically_increasing_id()), "shingled")
         linked = self.rows.filter("n > 0 and doc_id is not null")
         self.classes = stored(linked.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("sig", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rep")), "classes")
@@ -240,10 +246,15 @@ class Join:
 
     def _cross(self, rows: DataFrame) -> DataFrame:
         """Pairs of a bucket's rows, in different components where rows have one. One of two sets is no larger than the other, so one is free."""
-        more = ("comp", "last") if "comp" in rows.columns else ("last",)
-        raw = self._side("x", rows.filter("free"), *more).join(self._side("y", rows, *more, "free"), "key")
-        apart = "comp_x <> comp_y" if "comp" in more else "true"
-        return raw.filter(f"x <> y and {apart} and (x < y or not free_y)").drop("free_y")
+        if "comp" not in rows.columns:
+            raw = self._side("x", rows.filter("free"), "last").join(self._side("y", rows, "last", "free"), "key")
+            return raw.filter("x <> y and (x < y or not free_y)").drop("free_y")
+        # Of each bucket the largest component's rows meet the others' only, and a bucket of one component meets nothing.
+        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held")).groupBy("key")
+        largest = sizes.agg(F.max_by("comp", F.struct("held", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("key", "most")
+        apart = rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most"))
+        raw = self._side("x", apart.filter("not top"), "comp", "last", "free").join(self._side("y", apart, "comp", "last", "free", "top"), "key")
+        return raw.filter("comp_x <> comp_y and (top_y or x < y) and (free_x or free_y)").drop("free_x", "free_y", "top_y")
 
     def _counted(self, raw: DataFrame) -> DataFrame:
         """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
@@ -348,13 +359,13 @@ class Join:
         return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap")
 
 
-def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id of an equal set) of every document.
 
     A text that is null or without words has no shingle and is its own component. A row without doc_id links with
     nothing and has a null component. Repeated rows are copies of each other. An empty table gives no rows.
     """
-    join = Join(docs, num, den)
+    join = Join(docs, num, den, size)
     first = join.classes.join(join.components(), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = first.join(least, "component").select("sig", F.col("first_id").alias("class_id"), "component_id")
@@ -363,14 +374,18 @@ def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     return rows.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Documents without doc_id all stay."""
-    keep = jaccard_components(docs, num, den).filter("doc_id = component_id").select("doc_id").distinct()
+def keep_one(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id, and of its rows the one of the least hash
+    over all columns. Documents without doc_id all stay, and so do texts without words; an empty table stays empty. Columns
+    of any name stay as they are."""
+    keep = jaccard_components(docs, num, den, size).filter("doc_id = component_id").select(F.col("doc_id").alias(free_name("doc_id_", docs.columns))).distinct()
+    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col(keep.columns[0]), "left_semi")
+    number = free_name("number", docs.columns)
     window = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
+    kept = kept.withColumn(number, F.row_number().over(window)).filter(F.col(number) == 1).drop(number)
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
-def similar_pairs(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+def similar_pairs(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
     """The join itself: doc_a, doc_b, overlap of every linked pair of different sets, each named by its smallest doc_id."""
-    return Join(docs, num, den).all_links()
+    return Join(docs, num, den, size).all_links()

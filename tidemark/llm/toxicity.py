@@ -1,11 +1,14 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are a document's distinct words and their first four and five characters (so that inflected forms share a term),
-hashed into SPACE buckets. Of these the SELECTED buckets that tell the labels of the training sample apart best
-(by the Wilson bound of the share of label 1) carry a weight and a vector of FACTORS numbers. The score is the logistic of
+hashed into SPACE buckets. A bucket carries a weight and a vector of FACTORS numbers if it tells the labels of the
+training sample apart by itself (by the Wilson bound of the share of label 1), or if it does so together with another:
+of the PAIRED most frequent buckets all pairs are counted, and both ends of a pair are taken whose share of label 1 is
+surely above that of either end. The score is the logistic of
     bias + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j,
-so a pair such as an insult and a group mention can weigh more than the two alone. x_i is 2/sqrt(RAMP + n) with n active
-terms. Learning uses a sample of SAMPLE labelled documents at most; labels are never an input of a score.
+so a pair such as an insult and a group mention can weigh more than the two alone. x_i is 4/sqrt(RAMP + n) with n active
+terms. Learning uses a sample of SAMPLE labelled documents at most, in one executor task; the driver only passes the
+model on. Labels are never an input of a score.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, fold_of, id_and_text, raw_texts, ship, small_batches, spans_of
+from .common import ALNUM, fold_of, id_and_text, private, raw_texts, ship, spans_of
 
 SPACE = 1 << 18
 SELECTED = 2048
+PAIRED = 1024  # most frequent buckets whose pairs are counted, beside as many that tell the labels apart alone
+SURE, PAIR_SURE = 2.5, 4.5  # standard errors of the bounds: a pair is one of millions
 FACTORS = 4
 SAMPLE = 12_000
 RAMP = 4.0
@@ -80,7 +85,7 @@ def _margins(bias, w, v, active):
     if not sizes.sum():
         return out, sizes, None
     flat, doc = np.concatenate(active), np.repeat(np.arange(len(active)), sizes)
-    x = 2 / np.sqrt(RAMP + sizes)
+    x = 4 / np.sqrt(RAMP + sizes)
     sums = np.zeros((len(active), v.shape[1]))
     squares = np.zeros(len(active))
     np.add.at(sums, doc, v[flat])
@@ -89,24 +94,65 @@ def _margins(bias, w, v, active):
     return out, sizes, sums
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.15, decay: float = 2e-4, seed: int = 11) -> Machine:
+def _bounds(toxic: np.ndarray, total: np.ndarray, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Wilson bounds of the share toxic / total."""
+    total = np.maximum(total, 1)
+    middle, half = (toxic + z * z / 2) / (total + z * z), z * np.sqrt(toxic * (total - toxic) / total + z * z / 4) / (total + z * z)
+    return middle - half, middle + half
+
+
+def _pair_gain(active: list[np.ndarray], y: np.ndarray, upper: np.ndarray, base: float) -> np.ndarray:
+    """For each of len(upper) terms the best gain of a pair it is in: the lower bound of the pair's share of label 1 over
+    the base share, where it is above the upper bounds of both terms alone; else 0."""
+    k = len(upper)
+    both, toxic = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for at in range(0, len(active), 1024):
+        part = active[at : at + 1024]
+        x = np.zeros((len(part), k), np.float32)
+        x[np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate([np.zeros(0, np.int64), *part])] = 1
+        both += x.T @ x
+        own = x[y[at : at + 1024] == 1]
+        toxic += own.T @ own
+    best = np.zeros(k)
+    for i in range(k):
+        low, _ = _bounds(toxic[i].astype(float), both[i].astype(float), PAIR_SURE)
+        low[i] = 0
+        best[i] = max(0.0, np.where(low > np.maximum(upper, upper[i]), low / base - 1, 0).max())
+    return best
+
+
+def _chosen(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The buckets that get weights and factors."""
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int64)
+    toxic = np.bincount(flat, y[doc].astype(float), SPACE)
+    total = np.bincount(flat, minlength=SPACE)
+    base = y.mean()
+    low, high = _bounds(toxic, total, SURE)
+    gain = np.maximum(low / base - 1.25, np.where(total >= 30, 0.5 - high / base, 0))
+    gain[total < 2] = 0
+    alone = np.argsort(-gain, kind="stable")[: min(PAIRED, int((gain > 0).sum()))]
+    frequent = np.where((gain > 0) | (total > len(rows) / 2) | (total < 5), 0, total)
+    common = np.argsort(-frequent, kind="stable")[: min(PAIRED, int((frequent > 0).sum()))]
+    terms = np.sort(np.concatenate((alone, common)))
+    place = np.full(SPACE, -1)
+    place[terms] = np.arange(len(terms))
+    active = [np.unique(p[p >= 0]) for p in (place[r] for r in rows)]
+    alone = np.argsort(-gain, kind="stable")[: min(SELECTED, int((gain > 0).sum()))]
+    pair = np.zeros(SPACE)
+    pair[terms] = _pair_gain(active, y, high[terms], base)
+    pair[alone] = 0
+    paired = np.argsort(-pair, kind="stable")[: min(PAIRED // 4, int((pair > 0).sum()))]
+    return np.sort(np.concatenate((alone, paired)))
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.15, decay: float = 1e-4, seed: int = 11) -> Machine:
     """rows: the buckets of each training document. Without both labels the score is the share of label 1."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     if len(y) == 0 or y.min() == y.max():
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    a = np.bincount(flat, y[doc].astype(float), SPACE)  # toxic documents with the term
-    b = np.bincount(flat, minlength=SPACE) - a
-    # Wilson bounds of the share of toxic documents among those with the term: above or below the share of all
-    total, z = np.maximum(a + b, 1), 2.5
-    middle, half = (a + z * z / 2) / (total + z * z), z * np.sqrt(a * b / total + z * z / 4) / (total + z * z)
-    base = n1 / len(y)
-    gain = np.maximum((middle - half) / base - 1.5, np.where(total >= 30, 0.5 - (middle + half) / base, 0))
-    gain[a + b < 2] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(SELECTED, int((gain > 0).sum()))])
+    chosen = _chosen(rows, y)
     place = np.full(SPACE, -1)
     place[chosen] = np.arange(len(chosen))
     active = [np.unique(p[p >= 0]) for p in (place[r] for r in rows)]
@@ -125,7 +171,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 25
             if sums is None:
                 continue
             ids, d = np.concatenate(part), np.repeat(np.arange(len(part)), sizes)
-            x = 2 / np.sqrt(RAMP + sizes)
+            x = 4 / np.sqrt(RAMP + sizes)
             dw = np.bincount(ids, error[d] * x[d], len(w)) + decay * w
             dv = np.zeros_like(v)
             np.add.at(dv, ids, (error * x * x)[d][:, None] * (sums[d] - v[ids]))
@@ -138,33 +184,42 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 25
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Machine:
-    """Learns from labelled documents outside the held-out fold: those of a bounded sample of labels, drawn by a hash of the id.
+    """Learns from labelled documents outside the held-out fold: the `sample` labels whose ids have the smallest hashes.
 
-    A label that is null is left out; of repeated labels of one id the largest counts.
+    A label that is null is left out; of repeated labels of one id the largest counts, and of repeated documents the one
+    with the least list of terms. The drawn documents' terms go to one executor task, which trains and returns the model.
     """
     ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    known = known.filter(fold_of(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rate = min(1.0, sample / max(known.count(), 1))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))).limit(2 * sample)
+    known = known.filter(fold_of(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.first(F.xxhash64("doc_id")).alias("h"))
+    # Twice the hashes that are wanted on average, of which the smallest are taken: few rows are sorted at any scale.
+    share = min(1.0, 2 * sample / max(known.count(), 1))
+    drawn = known.filter(F.col("h") <= F.lit(-(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64))))).orderBy("h", "doc_id").limit(sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({b for w in distinct_words(raw) for b in term_buckets(w.decode("utf-8", "replace"))}) for raw in raw_texts(batch.column(1))]
+            rows = [sorted({b for w in distinct_words(raw) for b in term_buckets(w.decode("utf-8", "replace"))}) for raw in raw_texts(batch.column(2))]
             offsets = pa.array(spans_of(np.array([len(r) for r in rows], int)), pa.int32())
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array([b for r in rows for b in r], pa.int32()))], ["toxic", "terms"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array([b for r in rows for b in r], pa.int32()))], ["doc_id", "toxic", "terms"])
 
-    # The drawn labels are 2 * sample rows at most, so they can be broadcast whatever the corpus.
-    seen = docs.join(F.broadcast(drawn), "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, terms array<int>").limit(2 * sample).toArrow()
-    terms = seen.column("terms").combine_chunks()
-    terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
-    flat, offsets = terms.values.to_numpy(), terms.offsets.to_numpy()
-    y = (seen.column("toxic").to_numpy() > 0).astype(np.int64)
-    keys = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    order = sorted(range(len(keys)), key=lambda k: (len(keys[k]), keys[k].tobytes(), y[k]))  # the same whatever the partitions
-    return fit([keys[k] for k in order], y[order])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = [], []
+        for batch in batches:
+            terms = batch.column(1)
+            flat, offsets = terms.values.to_numpy(), terms.offsets.to_numpy()
+            rows += [flat[a:b].copy() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            y.append(batch.column(0).to_numpy() > 0)
+        m = fit(rows, np.concatenate([np.zeros(0, bool), *y]).astype(np.int64))
+        yield pa.record_batch([pa.array([x], t) for x, t in ((m.chosen.tolist(), pa.list_(pa.int64())), (m.bias, pa.float64()), (m.w.tolist(), pa.list_(pa.float64())), (m.v.ravel().tolist(), pa.list_(pa.float64())))], ["chosen", "bias", "w", "v"])
+
+    # The drawn labels are `sample` rows at most, so they can be broadcast whatever the corpus.
+    seen = docs.join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text").mapInArrow(read, "doc_id long, toxic int, terms array<int>")
+    seen = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms"))
+    seen = seen.repartition(1).sortWithinPartitions("doc_id").select("toxic", "terms")
+    found = seen.mapInArrow(learn, "chosen array<long>, bias double, w array<double>, v array<double>").toArrow().to_pylist()
+    model = found[0] if found else {"chosen": [], "bias": 0.0, "w": [], "v": []}
+    return Machine(np.array(model["chosen"], np.int64), model["bias"], np.array(model["w"], float), np.array(model["v"], float).reshape(-1, FACTORS))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -173,6 +228,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out
     A null or empty text has no term: its score follows the bias alone. A null doc_id is not held out. Repeated rows are
     scored alike; an empty table gives no rows; with no labels at all every score is 0.5.
     """
+    docs = private(docs)
     machine = train(docs, labels, folds, held_out, sample)
     shared = docs.sparkSession.sparkContext.broadcast((machine.chosen, machine.bias, machine.w, machine.v))  # SELECTED terms
 
@@ -188,6 +244,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents whose score reaches the threshold, with all their columns; see toxicity_scores()."""
+    docs = private(docs)
     machine = train(docs, labels, sample=sample)
     shared = docs.sparkSession.sparkContext.broadcast((machine.chosen, machine.bias, machine.w, machine.v))
     column = docs.columns.index("text")
