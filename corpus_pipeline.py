@@ -15,6 +15,8 @@ from tidemark.llm import bpe, decontam, ngram_join, pii, toxicity
 from tidemark.llm.common import documents, ship, stored
 from tidemark.llm.queries import vocabulary_path
 
+#: Near duplicates: two documents link when 100 * intersection >= 80 * union of their five-word shingles.
+NEAR = (80, 100, 5)
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Toxicity, the near-duplicate groups and the tokenizer have no SQL form; tests compare run() with a plain version.
 ORACLE_SQL = None
@@ -29,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(_columns(docs))
+    return ngram_join.keep_one(_columns(docs), *NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
