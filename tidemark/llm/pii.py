@@ -7,6 +7,10 @@ expectation-maximisation (two classes, labelers independent given the class) est
 how likely a combination is personal data. Those probabilities label the spans softly, and a naive Bayes classifier over
 the span's features is trained on sums of them over all spans. A span is reported if its base rule holds or if the
 classifier gives at least CUT.
+
+A text is first cut into segments at safe places, so work and memory follow its length: after a line's end, after a
+character that is in no pattern, and between a letter and a space. No pattern matches across such a place, and none that
+looks at its neighbours sees a difference there. A stretch without one stays whole, so matches are those of the whole text.
 """
 
 from __future__ import annotations
@@ -15,11 +19,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_and_text, stored
+from .common import free_name, id_and_text, private, stored
 
 CUT = 0.5
 ROUNDS = 60
 CONTEXT = 24
+SEGMENT = 2000  # characters from which a segment ends at the next safe place
 BASE_KINDS = ("email", "ip", "card", "phone")
 # The patterns of the kinds. Possessive quantifiers and the look-behind give the same leftmost matches
 # without going back over long runs.
@@ -42,6 +47,7 @@ FOR_WORDS = r"(?i)\b(?:e-?mail|mail|contact|write|call|phone|tel|mobile|fax|ssn|
 AGAINST_WORDS = r"(?i)\b(?:version|release|v|section|figure|table|chapter|isbn|issn|page|order|build|eq|no)\b[.\s#:]*$"
 DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
 LABELERS = ("rule", "gazetteer", "context", "shape")
+SAFE = r"(?:(?<=[^A-Za-z0-9._%+@\x20()-])|(?<=[A-Za-z])(?=\x20))"
 CANDIDATE = "array<struct<kind:string,order:int,start:int,end:int,base:boolean,votes:int,size:int,digits:int,before:string>>"
 
 
@@ -103,13 +109,20 @@ def _votes(kind: str, match: Column, before: Column, base: Column) -> Column:
     return rule * 27 + gazetteer * 9 + context * 3 + shape
 
 
-def candidates(text: Column) -> Column:
-    """All candidate spans of a text, of every kind, as an array; positions are code points."""
-    out = [_candidates_of(kind, text) for kind in KINDS]
-    return F.concat(*out)
+def segments(text: Column) -> Column:
+    """Array of {text, at, context}: the segments of a text, their starts in code points and what stands before them."""
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{{SEGMENT},}}?{SAFE}|.+"), F.lit(0))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
+    starts = F.aggregate(cut, start, lambda acc, x: F.struct(F.concat(acc["starts"], F.array(acc["at"])).alias("starts"), (acc["at"] + F.length(x)).alias("at")), lambda acc: acc["starts"])
+    return F.transform(F.arrays_zip(cut.alias("text"), starts.alias("at")), lambda s, i: F.struct(s["text"].alias("text"), s["at"].alias("at"), F.when(i > 0, F.right(F.try_element_at(cut, i), F.lit(CONTEXT))).otherwise("").alias("context")))
+
+
+def candidates(segment: Column) -> Column:
+    """All candidate spans of a segment, of every kind, as an array; positions are code points within the segment."""
+    return F.concat(*(_candidates_of(kind, segment["text"], segment["context"]) for kind in KINDS))
 
 
-def _candidates_of(kind: str, text: Column) -> Column:
+def _candidates_of(kind: str, text: Column, context: Column) -> Column:
     pattern = F.lit(PATTERNS[kind])
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     # A match begins after the gaps and matches before it; the gaps are what the pattern splits the text into.
@@ -123,7 +136,8 @@ def _candidates_of(kind: str, text: Column) -> Column:
         spans = F.filter(spans, lambda s: F.length(s["match"]) >= (13 if kind == "card" else 7))
 
     def described(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+        near = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+        before = F.when(s["start"] < CONTEXT, F.right(F.concat(context, near), F.lit(CONTEXT))).otherwise(near)
         base = _base_rule(kind, s["match"])
         digits = F.length(_digits(s["match"]))
         return F.struct(
@@ -217,18 +231,25 @@ def _ordered(spans: Column) -> Column:
     return F.array_sort(first)
 
 
+def _accepted(spans: Column, odds: dict[str, float]) -> Column:
+    """Base spans, and what the classifier adds."""
+    return F.filter(spans, lambda s: s["base"] | (~s["kind"].isin(*BASE_KINDS) & (_probability(s, odds) >= CUT)))
+
+
 def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): ordered arrays of {start, order, end, kind}; `spans` also has what the classifier adds.
 
     A null or empty text has no spans. Repeated rows are found alike and count each time. A null doc_id stays null; an
     empty table gives no rows. Spans of different kinds may overlap; those of one kind don't.
     """
-    docs = id_and_text(docs)
-    found = stored(docs.select("doc_id", candidates(F.coalesce("text", F.lit(""))).alias("spans")), "pii-candidates")
+    def of_text(segment: Column) -> Column:
+        moved = lambda s: s.withField("start", s["start"] + segment["at"]).withField("end", s["end"] + segment["at"])
+        return F.transform(candidates(segment), moved)
+
+    docs = id_and_text(docs).select("doc_id", segments(F.coalesce("text", F.lit(""))).alias("segments"))
+    found = stored(docs.select("doc_id", F.flatten(F.transform("segments", of_text)).alias("spans")), "pii-candidates")
     _, odds = classifier(found.select(F.inline("spans")))
-    base = F.filter("spans", lambda s: s["base"])
-    more = F.filter("spans", lambda s: s["base"] | (~s["kind"].isin(*BASE_KINDS) & (_probability(s, odds) >= CUT)))
-    return found.select("doc_id", _ordered(base).alias("base"), _ordered(more).alias("spans"))
+    return found.select("doc_id", _ordered(F.filter("spans", lambda s: s["base"])).alias("base"), _ordered(_accepted(F.col("spans"), odds)).alias("spans"))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
@@ -238,23 +259,31 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each personal span replaced by its kind in angle brackets, and n_chars set to the new length.
+    """docs with each personal span replaced by its kind in angle brackets, and n_chars, if there, set to the new length.
 
-    Of overlapping spans the first in order is replaced and the others' remainder too. All rows and columns stay.
+    Of overlapping spans the first in order is replaced and the others' remainder too. All rows and columns stay, whatever
+    their names; a null text stays null, and an empty table stays empty.
     """
-    text = F.coalesce("text", F.lit(""))
-    found = stored(docs.withColumn("__spans", candidates(text)), "pii-documents")
-    _, odds = classifier(found.select(F.inline("__spans")))
-    spans = _ordered(F.filter("__spans", lambda s: s["base"] | (~s["kind"].isin(*BASE_KINDS) & (_probability(s, odds) >= CUT))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.concat(acc["out"], gap, mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
+    docs = private(docs)
+    held = free_name("segments", docs.columns)
+    rows = docs.withColumn(held, F.transform(segments(F.coalesce("text", F.lit(""))), lambda s: F.struct(s["text"].alias("text"), candidates(s).alias("spans"))))
+    found = stored(rows, "pii-documents")
+    _, odds = classifier(found.select(F.explode(held).alias("s")).select(F.inline("s.spans")))
+
+    def clean(segment: Column) -> Column:
+        text = segment["text"]
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+            return F.struct(F.concat(acc["out"], gap, mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        return F.when(F.size(segment["spans"]) == 0, text).otherwise(F.aggregate(segment["spans"], start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+
+    accepted = F.transform(held, lambda s: F.struct(s["text"].alias("text"), _ordered(_accepted(s["spans"], odds)).alias("spans")))
+    changed = F.exists(held, lambda s: F.size(_accepted(s["spans"], odds)) > 0)
+    found = found.withColumn("text", F.when(changed, F.array_join(F.transform(accepted, clean), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
