@@ -153,6 +153,36 @@ def test_bpe_streams_with_its_lookahead():
         assert out + machine.finish() == library.encode(word, add_special_tokens=False).ids
 
 
+def test_bpe_blocks_and_long_stretches_equal_the_library(monkeypatch):
+    library, path = tokenizer()
+    encoder = bpe.Encoder(bpe.Vocabulary(path))
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    monkeypatch.setattr(bpe, "LONG", 20)
+    rnd = random.Random(2)
+    parts = ["the", "thering", "'s", "'re", "'", "''", "7", "12", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "İ", "日本", "가", "\u1100\u1161\u11a8", "🎉", "<", "<|endoftext|>", "<|end", "|>", ".", "--", "x" * 30, "#" * 30, "\u09c7\u09be"]
+    for _ in range(1500):
+        text = "".join(rnd.choices(parts + [" ", "\n", "\x1c", "\u3000"] * rnd.randrange(3), k=rnd.randrange(90)))
+        found = [np.frombuffer(x, "<i4") for x in encoder.stream(text.encode())]
+        assert np.concatenate([np.zeros(0, int), *found]).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_bpe_memory_does_not_follow_the_text():
+    import tracemalloc
+
+    _, path = tokenizer()
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(3000)]
+    line = " ".join(words)
+    for raw in ((line * (50_000_000 // len(line))).encode(), ("thering" * 150_000).encode()):
+        encoder, n = bpe.Encoder(bpe.Vocabulary(path)), 0
+        tracemalloc.start()
+        for ids in encoder.stream(raw):
+            n += len(ids) // 4
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n > 100_000 and peak < 8_000_000
+
+
 def test_bpe_decoder_holds_split_characters():
     _, path = tokenizer()
     v = bpe.Vocabulary(path)

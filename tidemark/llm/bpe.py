@@ -3,9 +3,15 @@
 Encoding applies a merge list: of all neighbouring symbols the pair of the lowest rank, leftmost first, is merged. Whether
 a token that ends at some place survives depends on a bounded number of symbols after it. `sufficient_lookahead` bounds
 that number from the merge list alone, in rank order: a rule (u, v) makes what is to the right of u matter to u (the
-length of v and what v itself depends on), and what u depends on matter to v, less the length of v. A long run is
-therefore encoded in a buffer of constant size; tokens are emitted once that many symbols follow them. As no merge
-crosses an emitted boundary, the rest is encoded as if it stood alone.
+length of v and what v itself depends on), and what u depends on matter to v, less the length of v. Every word goes
+through a transducer with a buffer of constant size; tokens are emitted once that many symbols follow them or the word
+ends. As no merge crosses an emitted boundary, the rest is encoded as if it stood alone. Words met before are looked up in
+a table of bounded size.
+
+A text is read in blocks of BLOCK bytes, cut after white space. A stretch of more than LONG characters without any is
+normalised, split into words and merged piece by piece, each step holding back what the next characters can change.
+Beside the text itself, memory follows BLOCK, LONG and the table, not the text (a run of combining marks without end
+would be held, as they are put in order).
 
 Decoding is a state machine from ids to text: it holds the bytes of a character that isn't complete yet, nothing else.
 """
@@ -26,10 +32,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, pieces, raw_texts
+from .common import id_and_text, pieces, private, raw_texts
 
 WORD_END = "</w>"
 MEMO = 400_000  # stretches of text in each of a worker's two generations
+BLOCK = 1 << 16  # bytes of text read at once
+LONG = 4096  # characters without white space from which a stretch is taken piece by piece
 NONE = 1 << 62
 
 
@@ -166,17 +174,12 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.words: dict[str, bytes] = {}  # by stretch; older ones move to the second dictionary
         self.old: dict[str, bytes] = {}
+        self.machine = WordTransducer(vocabulary)
         self.marks = {m: array("i", self._word(m)).tobytes() for m in ".,;:!?"}
 
     def _word(self, word: str) -> list[int]:
-        data = word.encode("utf-8", "replace")
-        if len(data) <= 64:
-            ids = self.v.byte_ids
-            symbols = [ids[b] for b in data]
-            symbols[-1] = self.v.last_ids[data[-1]]
-            return merge(symbols, self.v.rules)
-        machine = WordTransducer(self.v)
-        out = [*machine.push(data)]
+        machine = self.machine
+        out = [*machine.push(word.encode("utf-8", "replace"))]
         return out + machine.finish()
 
     def chunk(self, chunk: str) -> bytes:
@@ -187,7 +190,23 @@ class Encoder:
             return (self.words.get(chunk[:-1]) or self.old.get(chunk[:-1]) or self.chunk(chunk[:-1])) + self.marks[chunk[-1]]
         return array("i", [t for word in self.SPLIT.findall(chunk) for t in self._word(word)]).tobytes()
 
+    def stream(self, raw: bytes) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of a whole UTF-8 text, in parts, as they become stable."""
+        if len(raw) <= BLOCK:
+            yield self.block(raw.decode("utf-8", "replace"))
+            return
+        decoder, text = codecs.getincrementaldecoder("utf-8")("replace"), _Text(self)
+        view = memoryview(raw)
+        for at in range(0, len(raw), BLOCK):
+            yield from text.push(decoder.decode(view[at : at + BLOCK]))
+        yield from text.push(decoder.decode(b"", True))
+        yield from text.finish()
+
     def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.stream(text.encode("utf-8", "replace"))), "<i4")
+
+    def block(self, text: str) -> bytes:
+        """Ids of a text with all its words whole."""
         out: list[bytes] = []
         parts = self.special.split(text) if self.special and "<|" in text else (text,)
         for part in parts:
@@ -212,7 +231,110 @@ class Encoder:
             for c in new:
                 if len(c) > 64:
                     del words[c]
-        return np.frombuffer(b"".join(out), "<i4")
+        return b"".join(out)
+
+
+@lru_cache(1)
+def _composing() -> frozenset[str]:
+    """Characters that may compose with the one before, and so can't begin a part that is normalised alone."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset([chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")] + [chr(c) for c in range(0x1161, 0x11C3)])
+
+
+def _starts_anew(c: str) -> bool:
+    return c < "\x80" or (unicodedata.combining(c) == 0 and c not in _composing())
+
+
+class _Text:
+    """Blocks of a text to ids: what stands before the last white space is whole, what stands after it waits."""
+
+    LAST = regex.compile(r"(?r)\s")
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.rest = encoder, ""
+        self.stretch: _Stretch | None = None
+
+    def push(self, text: str) -> Iterator[bytes]:
+        data, self.rest = self.rest + text, ""
+        if self.stretch is not None:
+            m = Encoder.SPACE.search(data)
+            yield from self.stretch.push(data[: m.start()] if m else data)
+            if not m:
+                return
+            yield from self.stretch.finish()
+            self.stretch, data = None, data[m.start() :]
+        if m := self.LAST.search(data):
+            yield self.encoder.block(data[: m.end()])
+            data = data[m.end() :]
+        if len(data) > LONG:
+            self.stretch = _Stretch(self.encoder)
+            yield from self.stretch.push(data)
+        else:
+            self.rest = data
+
+    def finish(self) -> Iterator[bytes]:
+        if self.stretch is not None:
+            yield from self.stretch.finish()
+        elif self.rest:
+            yield self.encoder.block(self.rest)
+
+
+class _Stretch:
+    """Ids of a run of characters without white space, however long, given in parts."""
+
+    MORE = {"letters": regex.compile(r"[\p{L}]*"), "others": regex.compile(r"[^\s\p{L}\p{N}]*")}
+    EDGE = 3  # characters in which a match may still become another, as in 're
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.machine = encoder, WordTransducer(encoder.v)
+        self.raw, self.text, self.open = "", "", ""
+        self.reach = max(map(len, encoder.v.special), default=1) - 1
+
+    def push(self, data: str) -> Iterator[bytes]:
+        special, self.raw = self.encoder.special, self.raw + data
+        while special and (m := special.search(self.raw)):
+            yield from self._normal(self.raw[: m.start()], True)
+            yield array("i", [self.encoder.v.special[m[0]]]).tobytes()
+            self.raw = self.raw[m.end() :]
+        at = len(self.raw) - 1
+        if special and (mark := self.raw.find("<", max(0, len(self.raw) - self.reach))) >= 0:  # a special token may begin here
+            at = mark
+        while at > 0 and not _starts_anew(self.raw[at]):
+            at -= 1
+        ready, self.raw = self.raw[: max(at, 0)], self.raw[max(at, 0) :]
+        yield from self._normal(ready, False)
+
+    def finish(self) -> Iterator[bytes]:
+        yield from self._normal(self.raw, True)
+        self.raw = ""
+
+    def _normal(self, part: str, last: bool) -> Iterator[bytes]:
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        yield from self._words(part.lower(), last)
+
+    def _words(self, part: str, last: bool) -> Iterator[bytes]:
+        text, at, self.text = self.text + part, 0, ""
+        if self.open:
+            at = self.MORE[self.open].match(text).end()
+            yield self._ids(self.machine.push(text[:at].encode("utf-8", "replace")))
+            if at == len(text) and not last:
+                return
+            yield self._ids(self.machine.finish())
+            self.open = ""
+        for m in Encoder.SPLIT.finditer(text, at):
+            if not last and m.end() > len(text) - self.EDGE:
+                if m.end() == len(text) and m.end() - m.start() > LONG:
+                    self.open = "letters" if m[0][-1].isalpha() else "others"
+                    yield self._ids(self.machine.push(m[0].encode("utf-8", "replace")))
+                else:
+                    self.text = text[m.start() :]
+                return
+            yield self._ids(self.encoder._word(m[0]))
+
+    @staticmethod
+    def _ids(found: Iterable[int]) -> bytes:
+        return array("i", list(found)).tobytes()
 
 
 @lru_cache(2)
@@ -250,12 +372,12 @@ class LibraryDecoder:
         return text
 
 
-def bpe_digests(docs: DataFrame, vocabulary_path: str, block: int = 65_536) -> DataFrame:
+def bpe_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars_decoded of every whole text.
 
     A null text is empty: no tokens, digests of nothing. Repeated rows give repeated rows, a null doc_id stays null, an
-    empty table gives no rows. Digests take blocks of ids, so no text of decimals grows with a document. Every worker
-    reads the vocabulary file at vocabulary_path, which must be there on each machine.
+    empty table gives no rows. Ids go to the digests and to the decoders as they become stable, so nothing but the text
+    itself grows with a document. Columns of other names play no part. Every worker reads the vocabulary file at vocabulary_path, which must be there on each machine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,15 +388,16 @@ def bpe_digests(docs: DataFrame, vocabulary_path: str, block: int = 65_536) -> D
             for part in pieces(batch, 16 << 20):
                 rows = []
                 for raw in raw_texts(part.column(1)):
-                    ids = encoder.encode(raw.decode("utf-8", "replace"))
                     a, b = hashlib.sha256(), hashlib.sha256()
-                    shown, text, n_chars = LibraryDecoder(vocabulary), Decoder(vocabulary), 0
-                    for at in range(0, len(ids), block):
-                        some = ids[at : at + block].tolist()
-                        a.update(b" " * (at > 0) + b" ".join(map(decimal, some)))
-                        b.update(shown.push(some))
-                        n_chars += len(text.push(some))
-                    rows.append((len(ids), a.hexdigest(), b.hexdigest(), n_chars + len(text.finish())))
+                    shown, text, n_chars, n_tokens = LibraryDecoder(vocabulary), Decoder(vocabulary), 0, 0
+                    for ids in encoder.stream(raw):
+                        some = np.frombuffer(ids, "<i4").tolist()
+                        if some:
+                            a.update(b" " * (n_tokens > 0) + b" ".join(map(decimal, some)))
+                            b.update(shown.push(some))
+                            n_chars += len(text.push(some))
+                            n_tokens += len(some)
+                    rows.append((n_tokens, a.hexdigest(), b.hexdigest(), n_chars + len(text.finish())))
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3], pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars_decoded"])
 
@@ -282,7 +405,8 @@ def bpe_digests(docs: DataFrame, vocabulary_path: str, block: int = 65_536) -> D
 
 
 def encode_column(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text."""
+    """(doc_id, ids): the ids of every whole text. A null text gives an empty list; repeated rows, null ids and empty
+    tables as in bpe_digests()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary_path)
@@ -295,7 +419,8 @@ def encode_column(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
 
 def decode_column(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): lower-case text with a space after every word, as the vocabulary keeps no more."""
+    """(doc_id, text) from (doc_id, ids): lower-case text with a space after every word, as the vocabulary keeps no more.
+    Null and empty lists give an empty text; repeated rows and null ids stay, and an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder_of(vocabulary_path).v
@@ -306,4 +431,4 @@ def decode_column(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
                 texts.append(machine.push(ids or []) + machine.finish())
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return private(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
