@@ -404,6 +404,44 @@ def test_lm_scores_do_not_depend_on_windows_or_company():
     assert abs(np.exp(logp).sum() - 1) < 1e-4
 
 
+def test_lm_gradients_equal_finite_differences():
+    rng = np.random.default_rng(5)
+    model = gru_lm.Model(np.arange(gru_lm.HEAD, 0, -1.0), 50.0)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    inputs, targets = rng.integers(0, 1500, (6, 4)), rng.integers(0, 1200, (6, 4))
+    first = rng.normal(0, 0.3, (4, gru_lm.STATE))
+
+    def loss():
+        h, total = first, 0.0
+        for ids, own in zip(inputs, targets, strict=True):
+            h = model.step(ids, h)[0]
+            total -= model.log_probs(h, own).sum()
+        return total / inputs.size
+
+    grads, rows, _ = model._gradients(inputs, targets, first)
+    for k, g in grads.items():
+        for _ in range(8):
+            at = tuple(rng.integers(0, n) for n in g.shape)
+            own = (rows[at[0]], *at[1:]) if k == "x" else at
+            kept, eps = model.p[k][own], 1e-5
+            model.p[k][own] = kept + eps
+            up = loss()
+            model.p[k][own] = kept - eps
+            down = loss()
+            model.p[k][own] = kept
+            assert abs((up - down) / (2 * eps) - g[at]) < 2e-4 * max(0.05, abs(g[at]))  # what goes into the gradient is in 32 bits
+
+
+def test_lm_scores_do_not_depend_on_partitions_and_use_every_training_document(spark, monkeypatch):
+    rnd = random.Random(12)
+    table = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.randrange(200)))) for i in range(150)]
+    seen = []
+    monkeypatch.setattr(gru_lm, "_averaged", lambda rows, shards, f=gru_lm._averaged: seen.append(rows.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()) or f(rows, shards))
+    a, b = ({r.doc_id: r.score for r in gru_lm.lm_scores(frame(spark, table).repartition(n), shard_tokens=2000).collect()} for n in (1, 5))
+    assert all(abs(a[i] - b[i]) < 1e-3 for i in a)
+    assert sum(r.n for r in seen[:3]) == sum(len(t.split()) + 1 for i, t in table if zlib.crc32(str(i).encode()) % 5 != 1) and seen[0].k > 3
+
+
 def test_lm_learns_more_than_counts(spark):
     rnd, table = random.Random(2), []
     for i in range(400):

@@ -2,20 +2,25 @@
 
 P(token | past) = P(class | state) * P(token | class, state). The HEAD most frequent tokens of the corpus share CLASSES
 classes of equal size, each with a softmax of its own; every other token is in the tail class, where its share follows
-the corpus counts. Counts, N and V come from all training documents. The recurrent weights are trained by truncated
-backpropagation on whole documents of a bounded sample (SAMPLE_DOCS of the training documents). A document is
+the corpus counts. Counts, N and V come from all training documents, and so do the recurrent weights: every training
+document goes by a hash of its id and text to one of the shards, of SHARD_TOKENS tokens on average, and to one of ROUNDS
+rounds. In a round each shard's task starts from the weights so far and learns from its documents of that round by
+truncated backpropagation; the results are averaged by tokens, in two steps of bounded size. So every token is learned
+from once, the work is spread whatever the corpus, and nothing depends on how the table is partitioned. A document is
 scored in windows, and the state goes from one window to the next, so the score covers the complete text.
 """
 
 from __future__ import annotations
 
+import copy
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fold_of, id_and_text, pieces, raw_texts, spans_of, stored, word_lists
@@ -26,7 +31,8 @@ IN_CLASS = 32
 HEAD = CLASSES * IN_CLASS
 BUCKETS = 1024  # input rows shared by tokens outside the head
 KNOWN = 200_000  # most frequent tokens whose counts every worker holds
-SAMPLE_DOCS = 1500
+ROUNDS = 3
+SHARD_TOKENS = 2_000_000
 TAIL = CLASSES  # the class after the last
 COUNTER_LIMIT = 400_000
 END = ""  # no word is empty, so this key is free for the end
@@ -105,33 +111,36 @@ class Model:
                 out[rows] += inner[np.arange(len(rows)), target[rows] % IN_CLASS] - np.log(np.exp(inner).sum(1))
         return out
 
-    def train(self, sequences: list[np.ndarray], streams: int = 64, window: int = 16, epochs: int = 2, rate: float = 0.01) -> None:
-        """Truncated backpropagation over `window` tokens in parallel streams; the state outlives the window, the gradient doesn't."""
-        if not sequences:
-            return
+    def train(self, sequences: list[np.ndarray], streams: int | None = None, window: int = 16, rate: float = 0.01) -> int:
+        """Truncated backpropagation over `window` tokens in parallel streams, once over all sequences; the state outlives
+        the window, the gradient doesn't. Returns the number of tokens. Weights move by Adam, input rows when they occur.
+        A stream has 2,048 tokens or more; there are 8 to 256."""
         # A document follows another in its stream; its first input is the end token, id 0 or wherever END is.
-        line = np.concatenate(sequences)
-        streams = max(1, min(streams, len(line) // (2 * window)))
+        line = np.concatenate([np.zeros(0, np.int64), *sequences])
+        streams = streams or max(8, min(256, len(line) // 2048))
         length = len(line) // streams
         if length < 2:
-            return
+            return len(line)
         grid = line[: streams * length].reshape(streams, length).T
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        t = 0
-        for _ in range(epochs):
-            h = np.zeros((streams, STATE), np.float32)
-            for at in range(0, length - 1, window):
-                inputs, targets = grid[at : min(at + window, length - 1)], grid[at + 1 : min(at + window, length - 1) + 1]
-                grads, h = self._gradients(inputs, targets, h)
-                t += 1
-                for k, g in grads.items():
-                    m, v = moments[k]
-                    np.clip(g, -1, 1, out=g)
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.p[k] -= (rate / (1 + t / 400)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-
-    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
+        t, h = 0, np.zeros((streams, STATE), np.float32)
+        for at in range(0, length - 1, window):
+            stop = min(at + window, length - 1)
+            grads, rows, h = self._gradients(grid[at:stop], grid[at + 1 : stop + 1], h)
+            t += 1
+            step = rate / (1 + t / 400) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+            for k, g in grads.items():
+                own = rows if k == "x" else slice(None)
+                m, v = moments[k][0][own], moments[k][1][own]
+                np.clip(g, -1, 1, out=g)
+                m = m + 0.1 * (g - m)
+                v = v + 0.01 * (g * g - v)
+                moments[k][0][own], moments[k][1][own] = m, v
+                self.p[k][own] -= step * m / (np.sqrt(v) + 1e-7)
+        return len(line)
+
+    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Gradients of the mean loss, that of "x" for the rows returned beside them; and the last state."""
         steps, before = [], []
         for ids in inputs:
             before.append(h)
@@ -142,35 +151,43 @@ class Model:
         hs = np.concatenate([s[0] for s in steps])
         target = targets.ravel()
         cls = np.minimum(target // IN_CLASS, TAIL)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        g = {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
         e = np.exp(hs @ self.p["wc"] + self.p["bc"])
         e /= e.sum(1, keepdims=True)
         e[np.arange(len(e)), cls] -= 1
         e *= scale
         g["wc"], g["bc"], dh_out = hs.T @ e, e.sum(0), e @ self.p["wc"].T
+        order = np.argsort(cls, kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            rows = np.flatnonzero(cls == c)
+            rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
-                inner = np.exp(hs[rows] @ self.p["wi"][c] + self.p["bi"][c])
+                own = hs[rows]
+                inner = np.exp(own @ self.p["wi"][c] + self.p["bi"][c])
                 inner /= inner.sum(1, keepdims=True)
                 inner[np.arange(len(rows)), target[rows] % IN_CLASS] -= 1
                 inner *= scale
-                g["wi"][c], g["bi"][c] = hs[rows].T @ inner, inner.sum(0)
+                g["wi"][c], g["bi"][c] = own.T @ inner, inner.sum(0)
                 dh_out[rows] += inner @ self.p["wi"][c].T
         dh_out = dh_out.reshape(n_steps, n, STATE)
-        dh = np.zeros((n, STATE), np.float32)
+        dh, into, out_of = np.zeros((n, STATE), np.float32), np.empty((n_steps, n, 3 * STATE), np.float32), np.empty((n_steps, n, 3 * STATE), np.float32)
+        back = np.ascontiguousarray(self.p["u"].T)
         for t in range(n_steps - 1, -1, -1):
             _, z, r, gn, cand = steps[t]
             dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (before[t] - cand) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da = np.concatenate((dz, dr, dn), 1)
-            np.add.at(g["x"], inputs[t], da)
-            dg = np.concatenate((dz, dr, dn * r), 1)
-            g["u"] += before[t].T @ dg
-            dh = dh * z + dg @ self.p["u"].T
-        return g, h
+            rest = dh * (1 - z)
+            dn = rest * (1 - cand * cand)
+            into[t, :, :STATE] = (before[t] - cand) * z * rest
+            into[t, :, STATE : 2 * STATE] = dn * gn * r * (1 - r)
+            into[t, :, 2 * STATE :] = dn
+            out_of[t] = into[t]
+            out_of[t, :, 2 * STATE :] *= r
+            dh = dh * z + out_of[t] @ back
+        g["u"] = np.concatenate(before).T @ out_of.reshape(-1, 3 * STATE)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        rows, first = np.unique(inputs.ravel()[order], return_index=True)
+        g["x"] = np.add.reduceat(into.reshape(-1, 3 * STATE)[order], first, axis=0)
+        return g, rows, h
 
     def score(self, sequences: list[np.ndarray], first: int, budget: int = 32_768) -> np.ndarray:
         """Summed natural log probability of each sequence, which follows the token `first`; the state is carried on
@@ -212,18 +229,21 @@ class Model:
         return out
 
 
-def _most_frequent(counts: DataFrame, most: int = KNOWN) -> pd.DataFrame:
-    """Tokens from some count on, `most` at most, by falling count. A histogram of counts with steps of 4 % (some hundred
-    rows) says from which count on, so no more than these tokens come to the driver."""
+def _most_frequent(counts: DataFrame, most: int = KNOWN) -> pa.Table:
+    """The most frequent tokens, `most` at most, by falling count. A histogram of counts with steps of 4 % (some hundred rows)
+    says from which count on; of the step that no longer fits whole, tokens are taken by their hash."""
     step = F.floor(F.log2("c") * 16)
-    held, least = 0, None
+    held, least, share = 0, None, 0.0
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+        least, share = r.step, min(1.0, (most - held) / r.n)
         held += r.n
-        if held > most:
+        if held >= most:
             break
-        least = r.step
-    rows = counts.filter(step >= least if least is not None else F.lit(False)).select("token", "c").toPandas()
-    return rows.sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
+    if least is None:
+        return pa.table({"token": pa.array([], pa.string()), "c": pa.array([], pa.int64())})
+    drawn = F.xxhash64("token") < F.lit(-(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64)))) if share < 1 else F.lit(True)
+    rows = counts.filter((step > least) | ((step == least) & drawn)).select("token", "c").toArrow()
+    return rows.sort_by([("c", "descending"), ("token", "ascending")]).slice(0, most)
 
 
 class _Known(dict):
@@ -238,84 +258,159 @@ def _model_ids(ranks: np.ndarray) -> np.ndarray:
     return np.where(ranks < HEAD, ranks, HEAD + (ranks - HEAD) % BUCKETS)
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+_ENCODED = "doc_id long, held_out boolean, h long, ranks array<int>, tail array<struct<token: string, n: long>>"
+
+
+def _encoded(docs: DataFrame, known: Broadcast, end: int) -> DataFrame:
+    """Rows of _ENCODED from (doc_id, held_out, h, text): ranks of all tokens with the end, and counts of tokens outside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, n_known = known.value.__getitem__, len(known.value)
+        for batch in batches:
+            for part in pieces(batch, 8 << 20, 3):
+                ranks_of, tails = [], []
+                for raw in raw_texts(part.column(3)):
+                    parts, tail = [], Counter()
+                    for words in word_lists(raw):
+                        ranks = np.fromiter(map(lookup, words), np.int32, len(words))
+                        parts.append(ranks)
+                        tail.update([words[k] for k in np.flatnonzero(ranks >= n_known).tolist()])
+                    ranks_of.append(np.concatenate([*parts, np.array([end], np.int32)]))
+                    tails.append(tail)
+                ranks = pa.ListArray.from_arrays(pa.array(spans_of(np.array([len(x) for x in ranks_of])), pa.int32()), pa.array(np.concatenate(ranks_of), pa.int32()))
+                words = pa.array([w for x in tails for w in x], pa.binary()).cast(pa.string())
+                times = pa.array([c for x in tails for c in x.values()], pa.int64())
+                tail_column = pa.ListArray.from_arrays(pa.array(spans_of(np.array([len(x) for x in tails])), pa.int32()), pa.StructArray.from_arrays([words, times], ["token", "n"]))
+                yield pa.record_batch([*(part.column(k) for k in range(3)), ranks, tail_column], ["doc_id", "held_out", "h", "ranks", "tail"])
+
+    return docs.mapInArrow(run, _ENCODED)
+
+
+def _rows_of(lists: pa.Array) -> Iterator[np.ndarray]:
+    flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return (flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+
+
+_WEIGHTS = "place int, n long, weights binary"
+
+
+def _averaged(rows: DataFrame, shards: int) -> DataFrame:
+    """One row of _WEIGHTS, the mean by n, summed in two steps of about sqrt(shards) rows each, in the order of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n, total = 0, 0, None
+        for batch in batches:
+            for p, k, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(w, np.float64) * k
+                place, n, total = p, n + k, own if total is None else total + own
+        if n:
+            yield pa.record_batch([pa.array([place], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], ["place", "n", "weights"])
+
+    groups = math.isqrt(shards) + 1
+    some = rows.withColumn("g", F.pmod("place", F.lit(groups))).repartition(groups, "g").sortWithinPartitions("place").drop("g")
+    return some.mapInArrow(run, _WEIGHTS).repartition(1).sortWithinPartitions("place").mapInArrow(run, _WEIGHTS)
+
+
+def _train(encoded: DataFrame, model: Model, shards: int) -> None:
+    """Sets the model's weights to what all rows of `encoded` outside the held-out fold teach; see the module's text."""
+    context, names = encoded.sparkSession.sparkContext, sorted(model.p)
+    flat = lambda p: np.concatenate([p[k].ravel() for k in names]).astype(np.float64).tobytes()
+
+    def filled(model: Model, weights: bytes) -> Model:
+        values, at = np.frombuffer(weights, np.float64), 0
+        for k in names:
+            model.p[k] = values[at : at + model.p[k].size].reshape(model.p[k].shape).astype(np.float32)
+            at += model.p[k].size
+        return model
+
+    rows = encoded.filter("not held_out").select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftright("h", 40), F.lit(ROUNDS)).alias("round"), "h", "ranks")
+    for r in range(ROUNDS):
+        shared = context.broadcast(model)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            def row() -> pa.RecordBatch:
+                return pa.record_batch([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([flat(own.p)], pa.binary())], ["place", "n", "weights"])
+
+            start, shard, own, n, held, size = flat(shared.value.p), None, None, 0, [], 0
+            for batch in batches:
+                for k, ranks in zip(batch.column(0).to_pylist(), _rows_of(batch.column(1)), strict=True):
+                    if k != shard or size > SHARD_TOKENS:  # a crowded shard is learned in parts
+                        if held:
+                            n += own.train(held)
+                            held, size = [], 0
+                        if k != shard:
+                            if shard is not None:
+                                yield row()
+                            shard, own, n = k, filled(copy.deepcopy(shared.value), start), 0
+                    held.append(_model_ids(ranks.astype(np.int64)))
+                    size += len(ranks)
+            if shard is not None:
+                n += own.train(held)
+                yield row()
+
+        dealt = rows.filter(F.col("round") == r).repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ranks")
+        found = _averaged(dealt.mapInArrow(learn, _WEIGHTS), shards).toArrow()
+        if found.num_rows:
+            filled(model, found.column("weights")[0].as_py())
+        shared.unpersist()
+
+
+def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Scores of all whole texts, learned from the documents outside the held-out fold.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10). A null text is empty: one
     token, the end. A null doc_id trains and keeps its row. Repeated rows count as often as they stand there. Without
-    training documents every token is unseen. An empty table gives no rows. Tokens beyond the KNOWN most frequent are
-    joined with their counts, so nothing that grows with the corpus is broadcast or collected.
+    training documents every token is unseen. An empty table gives no rows; columns of other names play no part. Tokens
+    beyond the KNOWN most frequent are joined with their counts, so nothing that grows with the corpus is broadcast or
+    collected.
     """
-    spark = docs.sparkSession
     docs = id_and_text(docs)
+    spark = docs.sparkSession
     fold = fold_of(F.col("doc_id"), folds) == held_out
-    training = docs.filter(~fold)
-    counts = stored(token_counts(training), "lm-counts")
+    counts = stored(token_counts(docs.filter(~fold)), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_distinct = int(total.n), int(total.v)
     mass = n_tokens + 0.5 * (n_distinct + 1)
     top = _most_frequent(counts)
-    known = _Known((w.encode(), k) for k, w in enumerate(top["token"]))
-    known_c = top["c"].to_numpy(np.float64)
+    known = _Known((w.encode(), k) for k, w in enumerate(top.column("token").to_pylist()))
+    known_c = top.column("c").to_numpy().astype(np.float64)
     log_c = np.concatenate((np.log10(known_c + 0.5), np.zeros(KNOWN - len(known_c) + BUCKETS)))
     end = known.get(b"", KNOWN)
     tail_mass = mass - (known_c[:HEAD] + 0.5).sum()
-    least = max(len(known_c), HEAD)  # ranks of the head and of known tokens lie below
-
-    n_train = training.count()
-    rate = min(1.0, sample_docs / max(n_train, 1))
-    drawn = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))).select("text").limit(2 * sample_docs)
+    n_known_ranks = len(known_c)
+    words = spark.sparkContext.broadcast(known)  # KNOWN tokens at most
+    source = docs.select("doc_id", fold.alias("held_out"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    encoded = stored(_encoded(source, words, end).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
     model = Model(known_c[:HEAD], tail_mass)
-    lookup = known.__getitem__
-
-    def encode(raw: bytes) -> np.ndarray:
-        parts = [np.fromiter(map(lookup, words), np.int64, len(words)) for words in word_lists(raw)]
-        return np.concatenate([*parts, [end]])
-
-    model.train([_model_ids(encode((r.text or "").encode())) for r in drawn.toLocalIterator()])
+    _train(encoded, model, max(1, -(-n_tokens // shard_tokens)))
     first = int(_model_ids(np.array([end]))[0])
     log_mass, log_tail = np.log10(mass), np.log10(max(tail_mass, 0.5))
-    shared = spark.sparkContext.broadcast((known, log_c, model, len(known_c)))  # KNOWN tokens and a model of fixed size
+    shared = spark.sparkContext.broadcast((log_c, model))  # KNOWN numbers and a model of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, log_c, model, n_known_ranks = shared.value
-        lookup = known.__getitem__
+        log_c, model = shared.value
         for batch in batches:
-            for part in pieces(batch, 16 << 20, 2):
-                ids, ranks_of, tails = [], [], []
-                for raw in raw_texts(part.column(2)):
-                    parts, tail = [], Counter()
-                    for words in word_lists(raw):
-                        ranks = np.fromiter(map(lookup, words), np.int32, len(words))
-                        parts.append(ranks)
-                        tail.update([words[k] for k in np.flatnonzero(ranks >= n_known_ranks).tolist()])
-                    ranks_of.append(np.concatenate([*parts, [end]]))
-                    ids.append(_model_ids(ranks_of[-1]).astype(np.int32))
-                    tails.append(tail)
-                sizes = np.array([len(x) for x in ranks_of])
-                flat = np.concatenate(ranks_of)
-                starts = spans_of(sizes)[:-1]
-                inside = flat < n_known_ranks
-                base = np.add.reduceat(np.where(inside, log_c[np.minimum(flat, len(log_c) - 1)], 0.0), starts)
-                in_tail = np.add.reduceat(np.where(inside & (flat >= HEAD), log_c[np.minimum(flat, len(log_c) - 1)], 0.0), starts)
-                n_tail = np.add.reduceat((flat >= HEAD) | ~inside, starts)
-                n_known = np.add.reduceat(inside, starts)
-                score = model.score(ids, first) / np.log(10) + in_tail - n_tail * log_tail
-                offsets = spans_of(np.array([len(x) for x in tails]))
-                words = pa.array([w for x in tails for w in x], pa.binary()).cast(pa.string())
-                times = pa.array([c for x in tails for c in x.values()], pa.int64())
-                tail_column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([words, times], ["token", "n"]))
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base - sizes * log_mass), pa.array(score), tail_column],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
-                )
-
-    scored = docs.select("doc_id", fold.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<token: string, n: long>>")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    tail = scored.select("row", F.inline("tail")).join(counts.hint("shuffle_hash"), "token", "left")
+            ranks_of = list(_rows_of(batch.column(3)))
+            sizes = np.array([len(x) for x in ranks_of])
+            flat = np.concatenate(ranks_of)
+            starts = spans_of(sizes)[:-1]
+            inside = flat < n_known_ranks
+            value = np.where(inside, log_c[np.minimum(flat, len(log_c) - 1)], 0.0)
+            base = np.add.reduceat(value, starts)
+            in_tail = np.add.reduceat(np.where(flat >= HEAD, value, 0.0), starts)
+            n_tail = np.add.reduceat((flat >= HEAD) | ~inside, starts)
+            n_known = np.add.reduceat(inside, starts)
+            score = model.score([_model_ids(x).astype(np.int32) for x in ranks_of], first) / np.log(10) + in_tail - n_tail * log_tail
+            yield pa.record_batch(
+                [*(batch.column(k) for k in range(3)), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base - sizes * log_mass), pa.array(score)],
+                ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    scored = encoded.select("doc_id", "held_out", "row", "ranks").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double")
+    tail = encoded.select("row", F.inline("tail")).join(counts.hint("merge"), "token", "left")
     tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log_c"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more"))
     more, log_sum = F.coalesce("more", F.lit(0)), F.coalesce("log_c", F.lit(0.0))
-    return scored.drop("tail").join(tail, "row", "left").select(
+    return scored.join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + log_sum).alias("base_score"), (F.col("score") + log_sum).alias("score"),
     )
