@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, pieces, private, raw_texts
+from .common import id_and_text, pieces, private, raw_texts, tidy
 
 WORD_END = "</w>"
 MEMO = 400_000  # stretches of text in each of a worker's two generations
@@ -401,7 +401,7 @@ def bpe_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3], pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars_decoded"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long")
 
 
 def encode_column(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -415,7 +415,7 @@ def encode_column(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 found = [encoder.encode(raw.decode("utf-8", "replace")) for raw in raw_texts(part.column(1))]
                 yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_column(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -431,4 +431,4 @@ def decode_column(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
                 texts.append(machine.push(ids or []) + machine.finish())
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return private(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return private(encoded).select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

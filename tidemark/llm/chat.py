@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -142,7 +142,7 @@ def format_digests(conversations: DataFrame, template: Template = instruct_templ
         if done:
             yield _rows(done)
 
-    return _by_conversation(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _by_conversation(conversations).mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _rows(done: list[tuple]) -> pa.RecordBatch:
@@ -173,4 +173,4 @@ def formatted_turns(conversations: DataFrame, template: Template = instruct_temp
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["conv_id", "turn_no", "start", "end", "formatted", "loss_start", "loss_end", "rewritten"])
 
-    return _by_conversation(conversations).mapInArrow(run, "conv_id long, turn_no long, start long, end long, formatted string, loss_start long, loss_end long, rewritten boolean")
+    return _by_conversation(conversations).mapInArrow(tidy(run), "conv_id long, turn_no long, start long, end long, formatted string, loss_start long, loss_end long, rewritten boolean")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +27,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.binary()).to_pylist()
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def private(df: DataFrame) -> DataFrame:
@@ -97,6 +100,24 @@ def discard(*tables: DataFrame | None) -> None:
             files.delete(folder, True)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """run, after which a Python worker gives the memory it has freed back to the system: workers outlive their tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform.startswith("linux"):
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def spans_of(lengths: np.ndarray) -> np.ndarray:
     """Offsets of consecutive runs with these lengths, the total last."""
     return np.concatenate(([0], np.cumsum(lengths)))

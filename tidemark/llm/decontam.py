@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, id_and_text, pieces, private, raw_texts, spans_of
+from .common import ALNUM, id_and_text, pieces, private, raw_texts, spans_of, tidy
 
 K1, B = 1.2, 0.75
 RHO = 0.6
@@ -270,7 +270,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
                     yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "first_word", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        found = docs.mapInArrow(run, LEAK)
+        found = docs.mapInArrow(tidy(run), LEAK)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], LEAK) if out is None else out
 
@@ -289,5 +289,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     bad = {d for d, *_ in index.leaks(raw_texts(part.column(column)))}
                     yield part.filter(pa.array([k not in bad for k in range(part.num_rows)])) if bad else part
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -23,7 +23,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold_of, id_and_text, pieces, raw_texts, spans_of, stored, word_lists
+from .common import fold_of, id_and_text, pieces, raw_texts, spans_of, stored, tidy, word_lists
 
 STATE = 16
 CLASSES = 32
@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     seen = Counter()
         yield from _count_rows(seen)
 
-    return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def _count_rows(seen: Counter) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def _encoded(docs: DataFrame, known: Broadcast, end: int) -> DataFrame:
                 tail_column = pa.ListArray.from_arrays(pa.array(spans_of(np.array([len(x) for x in tails])), pa.int32()), pa.StructArray.from_arrays([words, times], ["token", "n"]))
                 yield pa.record_batch([*(part.column(k) for k in range(3)), ranks, tail_column], ["doc_id", "held_out", "h", "ranks", "tail"])
 
-    return docs.mapInArrow(run, _ENCODED)
+    return docs.mapInArrow(tidy(run), _ENCODED)
 
 
 def _rows_of(lists: pa.Array) -> Iterator[np.ndarray]:
@@ -308,7 +308,7 @@ def _averaged(rows: DataFrame, shards: int) -> DataFrame:
 
     groups = math.isqrt(shards) + 1
     some = rows.withColumn("g", F.pmod("place", F.lit(groups))).repartition(groups, "g").sortWithinPartitions("place").drop("g")
-    return some.mapInArrow(run, _WEIGHTS).repartition(1).sortWithinPartitions("place").mapInArrow(run, _WEIGHTS)
+    return some.mapInArrow(tidy(run), _WEIGHTS).repartition(1).sortWithinPartitions("place").mapInArrow(tidy(run), _WEIGHTS)
 
 
 def _train(encoded: DataFrame, model: Model, shards: int) -> None:
@@ -349,7 +349,7 @@ def _train(encoded: DataFrame, model: Model, shards: int) -> None:
                 yield row()
 
         dealt = rows.filter(F.col("round") == r).repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ranks")
-        found = _averaged(dealt.mapInArrow(learn, _WEIGHTS), shards).toArrow()
+        found = _averaged(dealt.mapInArrow(tidy(learn), _WEIGHTS), shards).toArrow()
         if found.num_rows:
             filled(model, found.column("weights")[0].as_py())
         shared.unpersist()
@@ -406,7 +406,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, shard_tokens:
                 ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    scored = encoded.select("doc_id", "held_out", "row", "ranks").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double")
+    scored = encoded.select("doc_id", "held_out", "row", "ranks").mapInArrow(tidy(run), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double")
     tail = encoded.select("row", F.inline("tail")).join(counts.hint("merge"), "token", "left")
     tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log_c"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more"))
     more, log_sum = F.coalesce("more", F.lit(0)), F.coalesce("log_c", F.lit(0.0))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, id_and_text, raw_texts
+from .common import ALNUM, id_and_text, raw_texts, tidy
 
 THETA = 0.8
 LONG = 12
@@ -55,7 +55,7 @@ def document_frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]
                 seen.update(words.intersection(words_of(raw)))
         yield pa.record_batch([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r.word.encode(): r.n for r in rows}
 
 
@@ -152,7 +152,7 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
                     column.append(value)
             yield pa.record_batch([batch.column(0), *(pa.array(v, f.type) for v, f in zip(out.values(), list(_SCAN)[1:], strict=True))], schema=_SCAN)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 _SCAN = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
@@ -173,4 +173,4 @@ def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
                         rows.append({"doc_id": doc_id, "block": block.decode(), "label": label, "containment": share})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("block", pa.string()), ("label", pa.string()), ("containment", pa.float64())]))
 
-    return docs.mapInArrow(run, "doc_id long, block string, label string, containment double")
+    return docs.mapInArrow(tidy(run), "doc_id long, block string, label string, containment double")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, pieces, raw_texts, spans_of
+from .common import id_and_text, pieces, raw_texts, spans_of, tidy
 
 WIDTH = 64
 MAX_HEIGHT = 64
@@ -318,7 +318,7 @@ def media_column(docs: DataFrame) -> DataFrame:
             for part in pieces(batch, 2 << 20):
                 yield pa.record_batch([part.column(0), pa.array(encode_many(raw_texts(part.column(1))), pa.binary())], ["doc_id", "media"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, media binary")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def clips(media: DataFrame) -> DataFrame:
                     rows.append({"doc_id": doc_id, "clip": n, "start_s": a / avi.fps, "end_s": b / avi.fps, "n_frames": b - a})
             yield pa.RecordBatch.from_pylist(rows, schema=_CLIP)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, start_s double, end_s double, n_frames int")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, clip int, start_s double, end_s double, n_frames int")
 
 
 _CLIP = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("n_frames", pa.int32())])
@@ -384,4 +384,4 @@ def media_features(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*found, strict=True))
                 yield pa.record_batch([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_FEATURES)[1:], strict=True))], schema=_FEATURES)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, n_clips int")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, n_clips int")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import discard, free_name, id_and_text, pieces, raw_texts, spans_of, stored, word_lists
+from .common import discard, free_name, id_and_text, pieces, raw_texts, spans_of, stored, tidy, word_lists
 from .graph import connected_components
 
 SIZE = 3
@@ -122,7 +122,7 @@ def estimate_order(docs: DataFrame, size: int = SIZE) -> Order:
         for kind, found in ((0, np.flatnonzero(words)), (1, np.flatnonzero(shingles >= 4 + 2 * mean))):
             yield pa.record_batch([pa.array(np.full(len(found), kind), pa.int32()), pa.array(found, pa.int32()), pa.array((shingles if kind else words)[found], pa.int64())], ["kind", "place", "n"])
 
-    counts = stored(docs.select("text").mapInArrow(run, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(docs.select("text").mapInArrow(tidy(run), "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")), "counts")
     total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     rows = counts.filter((F.col("kind") == 0) | (F.col("n") >= max(64, 4 * total / SHINGLE_COUNTERS))).toArrow()
     discard(counts)
@@ -152,7 +152,7 @@ def shingled(docs: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame
                 bins = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BINS, pa.int32()), pa.array(counts))
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), sigs, bins, lists], ["doc_id", "n", "sig", "bins", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, bins array<short>, prefix array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, sig binary, bins array<short>, prefix array<long>")
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, order: Broadcast) -> DataFrame:
@@ -188,7 +188,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, order: Broadcast) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(spans_of(np.array(sizes, int)), pa.int32()), pa.array(flat, pa.int64()))
                 yield pa.record_batch([pa.array(doc_id, pa.int64()), pa.array(sigs, pa.binary()), pa.array(piece, pa.int32()), lists], ["doc_id", "sig", "slice", "keys"])
 
-    rows = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("k")).mapInArrow(run, "doc_id long, sig binary, slice int, keys array<long>")
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("k")).mapInArrow(tidy(run), "doc_id long, sig binary, slice int, keys array<long>")
     return rows.join(wanted, ["doc_id", "sig"]).select("rid", "slice", "keys").dropDuplicates(["rid", "slice"])
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_alphabet
-from .common import id_and_text, pieces, raw_texts, scratch_path, spans_of
+from .common import id_and_text, pieces, raw_texts, scratch_path, spans_of, tidy
 
 END_ID = 2
 ROW_GROUP_BYTES = 8 << 20
@@ -113,7 +113,7 @@ def encoded(docs: DataFrame, vocabulary_path: str, n_files: int, end_id: int = E
                 start = int(starts[-1])
 
     ordered = id_and_text(docs).repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, SCHEMA)
+    return ordered.mapInArrow(tidy(run), SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, n_files: int | None = None, end_id: int = END_ID) -> None:
@@ -163,7 +163,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
     rows = token_rows(spark, path)
-    read = rows.select("doc_id", "part", "local_start", "ids").mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    read = rows.select("doc_id", "part", "local_start", "ids").mapInArrow(tidy(run), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     return with_start(read, rows.select("part", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, fold_of, id_and_text, private, raw_texts, ship, spans_of
+from .common import ALNUM, fold_of, id_and_text, private, raw_texts, ship, spans_of, tidy
 
 SPACE = 1 << 18
 SELECTED = 2048
@@ -123,10 +123,10 @@ def _pair_gain(active: list[np.ndarray], y: np.ndarray, upper: np.ndarray, base:
 
 def _chosen(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The buckets that get weights and factors."""
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    toxic = np.bincount(flat, y[doc].astype(float), SPACE)
-    total = np.bincount(flat, minlength=SPACE)
+    toxic, total = np.zeros(SPACE), np.zeros(SPACE, np.int64)
+    for r, label in zip(rows, y.tolist(), strict=True):  # the buckets of a document are distinct
+        total[r] += 1
+        toxic[r] += label
     base = y.mean()
     low, high = _bounds(toxic, total, SURE)
     gain = np.maximum(low / base - 1.25, np.where(total >= 30, 0.5 - high / base, 0))
@@ -199,9 +199,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted({b for w in distinct_words(raw) for b in term_buckets(w.decode("utf-8", "replace"))}) for raw in raw_texts(batch.column(2))]
+            rows = [np.unique(np.array([b for w in distinct_words(raw) for b in term_buckets(w.decode("utf-8", "replace"))], np.int32)) for raw in raw_texts(batch.column(2))]
             offsets = pa.array(spans_of(np.array([len(r) for r in rows], int)), pa.int32())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array([b for r in rows for b in r], pa.int32()))], ["doc_id", "toxic", "terms"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], ["doc_id", "toxic", "terms"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
@@ -214,10 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
         yield pa.record_batch([pa.array([x], t) for x, t in ((m.chosen.tolist(), pa.list_(pa.int64())), (m.bias, pa.float64()), (m.w.tolist(), pa.list_(pa.float64())), (m.v.ravel().tolist(), pa.list_(pa.float64())))], ["chosen", "bias", "w", "v"])
 
     # The drawn labels are `sample` rows at most, so they can be broadcast whatever the corpus.
-    seen = docs.join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text").mapInArrow(read, "doc_id long, toxic int, terms array<int>")
+    seen = docs.join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text").mapInArrow(tidy(read), "doc_id long, toxic int, terms array<int>")
     seen = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms"))
     seen = seen.repartition(1).sortWithinPartitions("doc_id").select("toxic", "terms")
-    found = seen.mapInArrow(learn, "chosen array<long>, bias double, w array<double>, v array<double>").toArrow().to_pylist()
+    found = seen.mapInArrow(tidy(learn), "chosen array<long>, bias double, w array<double>, v array<double>").toArrow().to_pylist()
     model = found[0] if found else {"chosen": [], "bias": 0.0, "w": [], "v": []}
     return Machine(np.array(model["chosen"], np.int64), model["bias"], np.array(model["w"], float), np.array(model["v"], float).reshape(-1, FACTORS))
 
@@ -239,7 +239,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     docs = id_and_text(docs)
-    return docs.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,4 +255,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresho
             score = machine.score([machine.slots(distinct_words(raw)) for raw in raw_texts(batch.column(column))])
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
