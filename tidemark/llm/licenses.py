@@ -1,17 +1,18 @@
 """License scans: an exact set-similarity join between text blocks and license templates.
 
 A template T matches a block B when |T n B| >= theta * |T| over their distinct words (containment of the template).
-Every word of the templates has a global rank: how many documents hold it, rarest first. Sorted by it, a block can only
-match if it holds one of the first |T| - ceil(theta |T|) + 1 words of T (prefix filter), has at least ceil(theta |T|)
-distinct words (length filter), and the words of T from the first shared one on are enough (positional filter); what is
-left is counted exactly. So every block that meets the threshold is found. Blocks are the lines of a text and its
-paragraphs (runs of lines without a blank line, where longer than a line); a paragraph is compared only with templates
-of LONG distinct words or more, as a few common words of a short one may stand anywhere in it.
+The blocks of a text for T are all its windows of consecutive words, a quarter longer than T, so a template is found in
+any layout of lines, and words that stand far apart don't add up. Every word of the templates has a global rank: how many
+documents hold it, rarest first. Sorted by it, a window can only match if it holds one of the first
+|T| - ceil(theta |T|) + 1 words of T (prefix filter), so only windows around those are looked at; if the words of T from
+the first shared one on are enough (positional filter); and if the stretch has enough words of T at all (length filter).
+What is left is counted exactly, word by word. So every window that meets the threshold is found, for every template.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,22 +22,30 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ALNUM, id_and_text, raw_texts, tidy
 
 THETA = 0.8
-LONG = 12
-# Opening lines of well-known license texts, by label.
+# Well-known license texts, by label, a paragraph or a notice each. A parameter of the functions below.
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
 PHRASES = (((b"mit", b"license"), "mit"), ((b"apache", b"license"), "apache"), ((b"general", b"public", b"license"), "gpl"))
 
@@ -64,48 +73,64 @@ class Matcher:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], theta: float):
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
-        self.sets: list[tuple[str, list[bytes], int]] = []
+        self.sets: list[tuple[str, list[bytes], int, int]] = []  # label, words by rank, words needed, words of a window
         for label, text in templates:
-            tokens = sorted(set(words_of(text.encode())), key=lambda w: (frequency.get(w, 0), w))
+            words = words_of(text.encode())
+            tokens = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             if not tokens:
                 continue
             need = max(1, math.ceil(theta * len(tokens) - 1e-9))
             for place, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefixes.setdefault(token, []).append((len(self.sets), place))
-            self.sets.append((label, tokens, need))
+            self.sets.append((label, tokens, need, len(words) + len(words) // 4))
         self.keys = frozenset(self.prefixes)
+        self.numbers = [{w: k for k, w in enumerate(tokens)} for _, tokens, _, _ in self.sets]
 
-    def block(self, words: list[bytes], least: int) -> list[tuple[str, float]]:
-        """(label, containment) of every template of `least` words or more that this block meets."""
-        shared = self.keys.intersection(words)
-        if not shared:
+    def matches(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, last word, highest containment) of every run of overlapping windows that meet a template."""
+        if self.keys.isdisjoint(words):
             return []
-        own, first = set(words), {}
-        for token in shared:
-            for t, place in self.prefixes[token]:
-                first[t] = min(place, first.get(t, place))
+        near: dict[int, list[int]] = {}  # places of prefix words, by template
+        for at, w in enumerate(words):
+            for t, place in self.prefixes.get(w, ()):
+                if len(self.sets[t][1]) - place >= self.sets[t][2]:  # position: the words before a first shared one are missing
+                    near.setdefault(t, []).append(at)
         found = []
-        for t, place in first.items():
-            label, tokens, need = self.sets[t]
-            if len(tokens) < least or len(own) < need or len(tokens) - place < need:  # length, position
-                continue
-            n = sum(x in own for x in tokens[place:])  # none of the words before the first shared one is in the block
-            if n >= need:
-                found.append((label, n / len(tokens)))
+        for t, places in near.items():
+            label, tokens, need, width = self.sets[t]
+            stretches: list[list[int]] = []
+            for p in places:  # a window that matches holds one of these places
+                if stretches and p - width + 1 <= stretches[-1][1]:
+                    stretches[-1][1] = p + width
+                else:
+                    stretches.append([max(0, p - width + 1), p + width])
+            number = self.numbers[t]
+            for low, high in stretches:
+                hits = [(k, number[w]) for k, w in enumerate(words[low:high], low) if w in number]
+                if len(hits) >= need:
+                    found += [(label, a, b, best / len(tokens)) for a, b, best in _runs(hits, need, width)]
         return found
 
 
-def blocks_of(raw: bytes) -> Iterator[tuple[bytes, int]]:
-    """Lines, and paragraphs of several lines, each with the size a template must have."""
-    lines: list[bytes] = []
-    for line in [*raw.split(b"\n"), b""]:
-        if line.strip():
-            yield line, 1
-            lines.append(line)
-        else:
-            if len(lines) > 1:
-                yield b"\n".join(lines), LONG
-            lines = []
+def _runs(hits: list[tuple[int, int]], need: int, width: int) -> list[tuple[int, int, int]]:
+    """(first, last, most distinct) of runs of overlapping windows of `width` words with `need` distinct hits or more."""
+    runs: list[list[int]] = []
+    held: dict[int, int] = {}
+    first = 0
+    for at, k in hits:
+        held[k] = held.get(k, 0) + 1
+        while hits[first][0] <= at - width:
+            old = hits[first][1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            first += 1
+        if len(held) >= need:
+            if runs and hits[first][0] <= runs[-1][1]:
+                runs[-1][1:] = [at, max(runs[-1][2], len(held))]
+            else:
+                runs.append([hits[first][0], at, len(held)])
+    return [tuple(r) for r in runs]
 
 
 def phrase_starts(words: list[bytes]) -> list[tuple[int, str]]:
@@ -125,9 +150,10 @@ def phrase_starts(words: list[bytes]) -> list[tuple[int, str]]:
 def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, theta: float = THETA) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every whole text.
 
-    score is the highest containment of a template in a block that meets theta, else 0, and 1 where a base phrase
+    score is the highest containment of a template in a window that meets theta, else 0, and 1 where a base phrase
     stands. A null or empty text has no words, no labels (empty strings) and null places. Repeated rows give repeated
-    rows, a null doc_id stays null, an empty table gives no rows. The templates are a short fixed list sent with the code.
+    rows, a null doc_id stays null, an empty table gives no rows; columns
+    of other names play no part. The templates are a short list sent with the code.
     """
     docs = id_and_text(docs)
     words = {w for _, text in templates for w in words_of(text.encode())}
@@ -141,11 +167,9 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
                 starts = phrase_starts(all_words)
                 base = {label for _, label in starts}
                 labels, score = set(base), 1.0 if base else 0.0
-                if not matcher.keys.isdisjoint(all_words):
-                    for block, least in blocks_of(raw):
-                        for label, share in matcher.block(words_of(block), least):
-                            labels.add(label)
-                            score = max(score, share)
+                for label, _, _, share in matcher.matches(all_words):
+                    labels.add(label)
+                    score = max(score, share)
                 places = [p for p, _ in starts]
                 values = (len(all_words), len(starts), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
                 for column, value in zip(out.values(), values, strict=True):
@@ -158,8 +182,13 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
 _SCAN = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
 def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, theta: float = THETA) -> DataFrame:
-    """The join itself: doc_id, block (its text), label, containment of every block and label that meet theta."""
+    """The join itself: doc_id, block (its text), first_word, last_word, label, containment of every run of windows that
+    meets theta, for every template. Texts without words give no rows; repeated rows give repeated rows, a null doc_id stays
+    null, an empty table gives no rows."""
     docs = id_and_text(docs)
     words = {w for _, text in templates for w in words_of(text.encode())}
     matcher = Matcher(list(templates), document_frequencies(docs, words), theta)
@@ -168,9 +197,10 @@ def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         for batch in batches:
             rows = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                for block, least in blocks_of(raw):
-                    for label, share in matcher.block(words_of(block), least):
-                        rows.append({"doc_id": doc_id, "block": block.decode(), "label": label, "containment": share})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("block", pa.string()), ("label", pa.string()), ("containment", pa.float64())]))
+                found = matcher.matches(words_of(raw))
+                places = [m.span() for m in _WORD.finditer(raw)] if found else []
+                rows += [(doc_id, raw[places[a][0] : places[b][1]].decode(), a, b, label, share) for label, a, b, share in found]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "block", "first_word", "last_word", "label", "containment"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, block string, label string, containment double")
+    return docs.mapInArrow(tidy(run), "doc_id long, block string, first_word long, last_word long, label string, containment double")
