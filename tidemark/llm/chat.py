@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship, tidy
+from .common import private, ship, tidy
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -92,33 +92,46 @@ class _Digest:
 
     def __init__(self, conv_id: int | None, template: Template):
         self.conv_id, self.render = conv_id, Incremental(template)
-        self.all, self.loss, self.loss_chars = hashlib.sha256(), hashlib.sha256(), 0
-        self.rewritten = False
+        self.all, self.loss, self.loss_chars, self.n_turns = hashlib.sha256(), hashlib.sha256(), 0, 0
+        self.rewritten, self.readable = False, template is instruct_template
 
     def push(self, turn: Turn) -> None:
-        _, _, added = self.render.push(turn)
-        m = _TURN.fullmatch(added)
-        role, text = unescape(m[1]), unescape(m[2])
-        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        if role == "assistant":
-            self.loss.update(text.encode("utf-8", "surrogatepass"))
-            self.loss_chars += len(text)
+        self.n_turns += 1
+        if self.rewritten:
+            return
+        try:
+            _, _, added = self.render.push(turn)
+        except Rewritten:
+            self.rewritten = True
+            return
+        if self.readable:
+            m = _TURN.fullmatch(added)
+            role, text = unescape(m[1]), unescape(m[2])
+            self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            if role == "assistant":
+                self.loss.update(text.encode("utf-8", "surrogatepass"))
+                self.loss_chars += len(text)
 
     def row(self) -> tuple:
-        return self.conv_id, self.render.count, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.render.end
+        read = self.readable and not self.rewritten
+        digests = (self.all.hexdigest(), self.loss_chars, self.loss.hexdigest()) if read else (None, None, None)
+        return self.conv_id, self.n_turns, *digests, None if self.rewritten else self.render.end, self.rewritten
 
 
-_FORMATTED = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_FORMATTED = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewritten", pa.bool_())])
 
 
 def _by_conversation(conversations: DataFrame) -> DataFrame:
     ship(conversations.sparkSession)
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    turns = private(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def format_digests(conversations: DataFrame, template: Template = instruct_template) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation.
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewritten of every conversation.
+
+    A template other than instruct_template can be rendered and not read back: its digests are null. Where a template
+    rewrites history, its length is null as well and `rewritten` is true.
 
     Rows of a conversation are sorted by turn, then role and text, so ties and repeated rows have one order (and all
     count). A null text or role is empty; rows without conv_id form a conversation of their own; an empty table gives no
@@ -142,7 +155,7 @@ def format_digests(conversations: DataFrame, template: Template = instruct_templ
         if done:
             yield _rows(done)
 
-    return _by_conversation(conversations).mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _by_conversation(conversations).mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten boolean")
 
 
 def _rows(done: list[tuple]) -> pa.RecordBatch:

@@ -78,7 +78,7 @@ _ESCAPE = "regexp_replace({c}, '([<\\[])(\\\\*)(/?(?:INST\\]|s>))', '\\1\\\\\\2\
 OP7 = f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length({_ESCAPE.format(c="role")}) + length({_ESCAPE.format(c="text")}) + 20) AS BIGINT) AS formatted_chars FROM a GROUP BY conv_id"""
+  CAST(sum(length({_ESCAPE.format(c="role")}) + length({_ESCAPE.format(c="text")}) + 20) AS BIGINT) AS formatted_chars, false AS rewritten FROM a GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
