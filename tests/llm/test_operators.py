@@ -101,25 +101,40 @@ def test_media_shots_and_missing_index():
         media.parse_avi(b"no file")
 
 
-def test_licenses_equal_brute_force(docs, rows):
-    sets = [(label, set(licenses.words_of(t.encode()))) for label, t in licenses.TEMPLATES]
+def license_lines():
+    """Templates in other layouts, with words missing or between, and far apart."""
+    rnd, out = random.Random(21), []
+    for k, (_, text) in enumerate(licenses.TEMPLATES * 3):
+        w = text.split()
+        for _ in range(rnd.randrange(5)):
+            w.insert(rnd.randrange(len(w)), rnd.choice(["the", "x", "\n", "//"])) if rnd.random() < 0.6 else w.pop(rnd.randrange(len(w)))
+        gap = rnd.choice([" ", "\n", " \n# ", " filler words stand here "])
+        out.append((3000 + k, "lead " * rnd.randrange(30) + gap.join([" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])]) + " tail" * rnd.randrange(30)))
+    return out
+
+
+def test_licenses_equal_brute_force(spark, rows):
+    sets = [(label, licenses.words_of(t.encode())) for label, t in licenses.TEMPLATES]
+    table = [*rows, *license_lines()]
 
     def plain(t):
         w = licenses.words_of(t.encode())
         starts = [(i, label) for i in range(len(w)) for p, label in licenses.PHRASES if tuple(w[i : i + len(p)]) == p]
         base = sorted({label for _, label in starts})
         more, best = set(base), 1.0 if base else 0.0
-        for block, least in licenses.blocks_of(t.encode()):
-            own = set(licenses.words_of(block))
-            for label, s in sets:
-                if len(s) >= least and len(s & own) >= licenses.THETA * len(s) - 1e-9:
-                    more.add(label)
-                    best = max(best, len(s & own) / len(s))
+        for label, template in sets if len(w) < 10_000 else ():
+            s, width = set(template), len(template) + len(template) // 4
+            most = max(len(s.intersection(w[i : i + width])) for i in range(max(1, len(w) - width + 1)))
+            if most >= licenses.THETA * len(s) - 1e-9:
+                more.add(label)
+                best = max(best, most / len(s))
         at = [i for i, _ in starts]
         return len(w), len(starts), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted(more)), round(best, 9)
 
-    got = [r.asDict() | {"score": round(r.score, 9)} for r in licenses.license_scan(docs).collect()]
-    assert sorted([tuple(r.values()) for r in got], key=repr) == expected(rows, plain)
+    got = [r.asDict() | {"score": round(r.score, 9)} for r in licenses.license_scan(frame(spark, table)).collect()]
+    assert sorted([tuple(r.values()) for r in got], key=repr) == expected(table, plain)
+    blocks = licenses.license_blocks(spark.createDataFrame([(1, "x y\n Released under\n the MIT\nLicense. z"), (2, None), (3, "")], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.block, r.first_word, r.last_word, r.label, r.containment) for r in blocks] == [(1, "Released under\n the MIT\nLicense", 2, 6, "mit", 1.0)]
 
 
 def tokenizer():
@@ -194,7 +209,7 @@ def test_bpe_decoder_holds_split_characters():
 def test_token_files_equal_the_library(spark, rows):
     library, path = tokenizer()
     start, plain = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()))):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         plain.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -591,3 +606,60 @@ def test_pii_work_follows_the_length_of_a_text(spark):
 
     seconds(2000)
     assert seconds(64_000) < 3 * max(seconds(32_000), 2)
+
+
+def test_chat_digests_of_other_templates_say_whether_history_is_rewritten(spark):
+    ship(spark)
+    turns = spark.createDataFrame([(c, t, "user", f"t{t}") for c in (1, 2) for t in range(90 if c == 1 else 3)], "conv_id long, turn long, role string, text string")
+
+    def counts(own):
+        return "".join(f"{len(own) if len(own) > 70 else 0}:{r}{t};" for r, t in own)
+
+    got = {r.conv_id: (r.n_turns, r.rewritten, r.formatted_chars, r.turns_sha256) for r in chat.format_digests(turns, counts).collect()}
+    assert got == {1: (90, True, None, None), 2: (3, False, 3 * len("0:usert0;"), None)}
+
+
+@pytest.mark.parametrize("name", ["toxicity", "ngram", "decontam", "pii", "bpe", "licenses", "media", "lm", "tokens"])
+def test_very_long_texts_beside_short_ones(spark, name):
+    """A text of 17 MB of words of its own, and a short one, through every operator on texts; rows of both come out."""
+    if name in ("media",):
+        long = "abc def\n" * 300_000
+    else:
+        long = " ".join(f"w{k % 70_000}" for k in range(2_600_000))
+    table = frame(spark, [(1, long), (2, "a short text with me@x.org in it"), (3, None)])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(7, "w100 w101 w102 w103 w104 w105. w106 w107 w108")], "item_id long, text string")
+    if name == "toxicity":
+        assert sorted(r.doc_id for r in toxicity.toxicity_scores(table, labels).collect()) == [1, 2, 3]
+        assert toxicity.keep_clean(table, labels).columns == table.columns
+    elif name == "ngram":
+        assert {r.doc_id: r.n_shingles for r in ngram_join.jaccard_components(table).collect()} == {1: 70_000, 2: 5, 3: 0}
+    elif name == "decontam":
+        assert [r.doc_id for r in decontam.find_leaks(table, bench).collect()] == [1]
+    elif name == "pii":
+        assert {r.doc_id: r.n_email for r in pii.pii_report(table).collect()} == {1: 0, 2: 1, 3: 0}
+        assert {r.doc_id: r.text for r in pii.redact(table).collect()}[1] == long
+    elif name == "bpe":
+        got = {r.doc_id: r for r in bpe.bpe_digests(table, tokenizer()[1]).collect()}
+        assert got[1].n_tokens > 5_000_000 and got[3].n_tokens == 0
+    elif name == "licenses":
+        assert {r.doc_id: r.n_words for r in licenses.license_scan(table).collect()} == {1: 2_600_000, 2: 9, 3: 0}
+    elif name == "media":
+        got = {r.doc_id: r for r in media.media_features(table).collect()}
+        assert got[1].n_bytes == len(long) and got[3].n_bytes == 0
+    elif name == "lm":
+        assert {r.doc_id: r.n_tokens for r in gru_lm.lm_scores(table).collect()} == {1: 2_600_001, 2: 8, 3: 1}
+    else:
+        got = {r.doc_id: r.n_tokens for r in token_files.token_file_digests(table, tokenizer()[1]).collect()}
+        assert got[1] > 5_000_000 and got[3] == 1
+
+
+def test_empty_tables_everywhere(spark):
+    none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    _, path = tokenizer()
+    for found in (
+        bpe.bpe_digests(none, path), bpe.encode_column(none, path), bpe.decode_column(none.select("doc_id", F.array().cast("array<int>").alias("ids")), path), token_files.token_file_digests(none, path),
+        toxicity.keep_clean(none, labels), pii.redact(none), decontam.drop_contaminated(none, bench), licenses.license_blocks(none),
+    ):
+        assert found.count() == 0

@@ -112,14 +112,16 @@ def encoded(docs: DataFrame, vocabulary_path: str, n_files: int, end_id: int = E
                 yield pa.record_batch([piece.column(0), pa.array(np.full(len(ids), part), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 start = int(starts[-1])
 
-    ordered = id_and_text(docs).repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The checksum of the text divides the rows of one id, however many, between files.
+    check = F.crc32(F.coalesce("text", F.lit("")))
+    ordered = id_and_text(docs).withColumn("check", check).repartitionByRange(n_files, "doc_id", "check").sortWithinPartitions("doc_id", "check", "text").drop("check")
     return ordered.mapInArrow(tidy(run), SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, n_files: int | None = None, end_id: int = END_ID) -> None:
     """Encodes every whole text (null: empty), appends end_id, and writes the files to path, in doc_id order.
 
-    Ties of doc_id are ordered by text; documents without doc_id come first; an empty table writes files without rows.
+    Ties of doc_id are ordered by the text's CRC-32, then by text; documents without doc_id come first; an empty table writes files without rows.
     """
     n_files = n_files or max(1, docs.rdd.getNumPartitions())
     (
