@@ -7,13 +7,12 @@ representative. Candidates share a key among the rarest of both sets (prefix fil
 filters; for each candidate pair the overlap is counted fragment by fragment, and the parts are summed.
 
 More filters before any set is fetched: keys in no other prefix bound the overlap, a pair must share enough of its first
-keys, and the counts of keys in BINS hash bins, compared bin by bin, bound the overlap as well. For components every set
-is first compared with one other, that of the smallest id in most of its buckets. Then only pairs in different components
-are left, as a pair within one can't change it: a bucket of one component is left out before the join, and in others the
-largest component is joined with the rest alone. A bucket in which many pairs are still possible is crowded. Its sets are
-ordered anew by the exact frequency of their shingles among themselves, and first compared with central sets, those with
-most links and those with fewest keys of their own. So no link between components is lost, and a large group of near
-copies costs about its size, not its square.
+keys, and the counts of keys in BINS hash bins, compared bin by bin, bound the overlap as well. A bucket in which many
+pairs are possible (many near copies of one text) is crowded. Its sets are ordered anew by the exact frequency of their
+shingles among themselves. For components they are first compared with central sets, those with most links and those with
+fewest keys of their own, and then only pairs in different components are left, as a pair within one can't change it: a
+bucket of one component is left out before the join, and in others the largest component is joined with the rest alone. So
+no link between components is lost, and a large group of near copies costs about its size, not its square.
 
 Keys are 63 bits: two different shingles of one pair of documents share a key with a chance of about n^2 / 2^56.
 """
@@ -34,11 +33,11 @@ from .graph import connected_components
 
 SIZE = 3
 COUNTERS = 1 << 15
-SHINGLE_COUNTERS, CHUNK = 1 << 21, 1 << 16
+SHINGLE_COUNTERS, CHUNK = 1 << 20, 1 << 16
 SLICES = 8
 MEMO = 200_000
-ROUNDS = 6  # of comparing crowded buckets with their best-linked set
-CROWD = 1 << 14  # possible pairs from which a bucket is crowded
+ROUNDS = 4  # of comparing crowded buckets with their best-linked set
+CROWD = 1 << 13  # possible pairs from which a bucket is crowded
 BINS = 256
 BITS = 1 << 21  # of the filter of wanted documents, whatever their number
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
@@ -133,13 +132,13 @@ def estimate_order(docs: DataFrame, size: int = SIZE) -> Order:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(counts.as_buffer(), np.int64 if chunk < 0 else np.uint8)
                 sums[chunk] = own.astype(np.int64) if chunk not in sums else sums[chunk] + own
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint32 if c >= 0 else np.int64).tobytes() for c, x in sums.items()], pa.binary())], ["chunk", "counts"])
 
     parts = docs.select("text").mapInArrow(tidy(run), "chunk int, counts binary")
     rows = parts.repartition(SHINGLE_COUNTERS // CHUNK, "chunk").mapInArrow(tidy(summed), "chunk int, counts binary").toArrow()
     words, shingles = np.zeros(COUNTERS, np.int64), np.zeros((SHINGLE_COUNTERS // CHUNK, CHUNK), np.int64)
     for chunk, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        (words if chunk < 0 else shingles[chunk])[:] = np.frombuffer(counts, np.int64)
+        (words if chunk < 0 else shingles[chunk])[:] = np.frombuffer(counts, np.int64 if chunk < 0 else np.uint32)
     mean = shingles.mean()
     frequent = np.where(shingles > mean + 6 * math.sqrt(mean) + 8, shingles - mean, 0).ravel()
     return Order(np.log2(1 + words).astype(np.float32), np.ceil(np.log2(1 + frequent)).astype(np.uint8), size)
@@ -261,16 +260,16 @@ class Join:
         if "comp" not in rows.columns:
             raw = self._side("x", rows.filter("free"), "last").join(self._side("y", rows, "last", "free"), "key")
             return raw.filter("x <> y and (x < y or not free_y)").drop("free_y")
-        apart = rows if "top" in rows.columns else self._apart(rows)
+        apart = self._apart(rows)
         raw = self._side("x", apart.filter("not top"), "comp", "last", "free").join(self._side("y", apart, "comp", "last", "free", "top"), "key")
         return raw.filter("comp_x <> comp_y and (top_y or x < y) and (free_x or free_y)").drop("free_x", "free_y", "top_y")
 
-    def _apart(self, rows: DataFrame, label: str | None = None) -> DataFrame:
+    @staticmethod
+    def _apart(rows: DataFrame) -> DataFrame:
         """Rows of buckets with more than one component, with whether they are of the largest: those meet the others' only."""
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held")).groupBy("key")
         largest = sizes.agg(F.max_by("comp", F.struct("held", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("key", "most")
-        apart = rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most")
-        return stored(apart, label) if label else apart
+        return rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most")
 
     def _counted(self, raw: DataFrame) -> DataFrame:
         """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
@@ -296,10 +295,7 @@ class Join:
         full = F.exists("x", lambda v: v == 32767)  # a count that didn't fit bounds nothing
         return both.filter(full | (most * (self.den + self.num) >= (F.col("na") + F.col("nb")) * self.num)).select("a", "b", "na", "nb")
 
-    def _fragments_of(self, rids: DataFrame, held: DataFrame | None = None) -> DataFrame:
-        """The fragments of these sets, with those held already."""
-        if held is not None:
-            return held.unionByName(self._fragments_of(rids.join(held.select("rid"), "rid", "left_anti")))
+    def _fragments_of(self, rids: DataFrame) -> DataFrame:
         wanted = self.classes.withColumnRenamed("rep", "rid").join(rids.distinct(), "rid").select("rid", F.col("first_id").alias("doc_id"), "sig")
         return stored(_fragments(self.docs, wanted, self.order), "fragments")
 
@@ -337,57 +333,34 @@ class Join:
         found = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         return found.select(F.col("node").alias("rid"), F.col("component").alias("comp"))
 
-    def _stars(self) -> DataFrame:
-        """(a, b, na, nb): each set with the one that it shares most keys with, of those first by id in its buckets, where
-        that is half of its first keys at least. Such pairs are likely to link; what they miss is found later."""
-        first = F.min(F.when(F.col("free"), F.struct("rid", "n", "pos", "d")))
-        central = self.buckets.groupBy("key").agg(first.alias("c")).filter("c is not null").select("key", *(F.col(f"c.{c}").alias(a) for c, a in zip(("rid", "n", "pos", "d"), ("y", "ny", "py", "dy"), strict=True)))
-        shared = self._fit(self._side("x", self.buckets).join(central, "key").filter("x <> y")).groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared"))
-        best = shared.groupBy("x").agg(F.max_by(F.struct("y", "nx", "ny", "shared"), F.struct("shared", -F.col("y"))).alias("s")).select("x", "s.*")
-        return self._ends(best.filter(F.col("shared") * 2 >= F.col("nx") - F.ceil(F.col("nx") * self.num / self.den) + 1))
-
     def links(self, every: bool) -> tuple[DataFrame, DataFrame | None]:
         """(a, b, overlap) of linked representatives: every link, or enough of them to make the same components. With
         them the components (rid, comp), where they are known already."""
-        rows, done, edges, found, fragments = self.buckets, None, None, None, None
-        if not every:
-            done = stored(self._stars(), "stars")
-            fragments = self._fragments_of(done.select(F.col("a").alias("rid")).union(done.select(F.col("b").alias("rid"))))
-            edges = self._links(done, fragments)
-            found = self._components(edges)
-            rows = self._apart(rows.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), "apart")
-        possible = rows.groupBy("key", "comp").agg(F.count("*").alias("held")).groupBy("key").agg(F.pow(F.sum("held"), F.lit(2)).alias("all"), F.sum(F.pow("held", F.lit(2))).alias("within")) if not every else None
-        pairs = F.col("all") - F.col("within") if not every else F.count_if("free") * F.count("*")
-        crowded = (possible.withColumn("pairs", pairs) if not every else rows.groupBy("key").agg(pairs.alias("pairs"))).filter(F.col("pairs") > CROWD).select("key")
-        crowded = stored(crowded, "crowded")
-        new = lambda pairs: pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        more = lambda found: stored(edges.unionByName(found), "links") if edges is not None else found
-        calm = stored(self._binned(new(self._counted(self._cross(rows.join(crowded, "key", "left_anti"))))), "pairs")
-        crowd = stored(rows.join(crowded, "key", "left_semi").select("rid", "n").distinct(), "crowd")
+        pairs = F.count_if("free") * F.count("*")
+        crowded = stored(self.buckets.groupBy("key").agg(pairs.alias("pairs")).filter(F.col("pairs") > CROWD).select("key"), "crowded")
+        calm = stored(self._binned(self._counted(self._cross(self.buckets.join(crowded, "key", "left_anti")))), "pairs")
+        crowd = stored(self.buckets.join(crowded, "key", "left_semi").select("rid", "n").distinct(), "crowd")
         ends = calm.select(F.col("a").alias("rid")).union(calm.select(F.col("b").alias("rid"))).union(crowd.select("rid"))
-        fragments = self._fragments_of(ends, fragments)
-        linked = self._links(calm, fragments)
-        if not linked.isEmpty() or edges is None:
-            edges, found = more(linked), None
+        fragments = self._fragments_of(ends)
+        edges = self._links(calm, fragments)
         if crowd.isEmpty():
-            return edges, found
-        done = calm if done is None else done.unionByName(calm)
-        rows = self._reordered(crowd, fragments)
+            return edges, None
+        rows, done, found = self._reordered(crowd, fragments), calm, None
         named = lambda: rows.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         for turn in range(0 if every else ROUNDS):
             found = self._components(edges) if found is None else found
             pairs = stored(self._central_pairs(named(), edges, done, turn % 2 == 0), "central-pairs")
-            linked = self._links(pairs, fragments)
+            more = self._links(pairs, fragments)
             done = done.unionByName(pairs)
-            if not linked.isEmpty():
-                edges, found = more(linked), None
+            if not more.isEmpty():
+                edges, found = stored(edges.unionByName(more), "links"), None
             elif turn:
                 break
         if not every:
             found = self._components(edges) if found is None else found
-        left = new(self._counted(self._cross(rows if every else named())))
-        linked = self._links(stored(self._binned(left), "pairs"), fragments)
-        return (edges, found) if linked.isEmpty() else (edges.unionByName(linked), None)
+        left = self._counted(self._cross(rows if every else named())).join(done.select("a", "b"), ["a", "b"], "left_anti")
+        more = self._links(stored(self._binned(left), "pairs"), fragments)
+        return (edges, found) if more.isEmpty() else (edges.unionByName(more), None)
 
     def components(self) -> DataFrame:
         """(rep, component) of the representatives that link with another."""
