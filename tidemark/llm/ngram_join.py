@@ -317,15 +317,21 @@ class Join:
         rows = ranked.filter((F.col("pos") < enough) & (F.col("df") > 1) & ((F.col("n") - F.col("d")) * den >= F.col("n") * num))
         return stored(rows.select("key", "rid", "n", "pos", "d", "last", self._free()), "crowd-rows")
 
-    def _central_pairs(self, rows: DataFrame, edges: DataFrame, done: DataFrame, linked: bool) -> DataFrame:
+    @staticmethod
+    def _named(rows: DataFrame, crowd: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+        """rows with the component and the number of links of their sets, looked up once for each set of the crowd."""
+        degree = edges.select(F.col("a").alias("rid")).unionByName(edges.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
+        state = crowd.select("rid").join(found, "rid", "left").join(degree, "rid", "left")
+        state = state.select("rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        return rows.drop("comp", "degree").join(state, "rid")
+
+    def _central_pairs(self, ranked: DataFrame, done: DataFrame, linked: bool) -> DataFrame:
         """In each bucket one set is compared with the sets outside its component: the set with most links so far, or,
         with linked false, of those without a link that with fewest keys of its own."""
-        degree = edges.select(F.col("a").alias("rid")).unionByName(edges.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
-        ranked = rows.join(degree, "rid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         best = F.struct("degree", -F.col("d"), -F.col("pos"), "rid") if linked else F.struct(F.col("degree") == 0, -F.col("d"), -F.col("pos"), "rid")
         central = ranked.groupBy("key").agg(F.max_by(F.struct("rid", "n", "pos", "d", "comp"), best).alias("c"))
         central = central.select("key", *(F.col(f"c.{c}").alias(a) for c, a in zip(("rid", "n", "pos", "d", "comp"), ("y", "ny", "py", "dy", "comp_y"), strict=True)))
-        pairs = self._side("x", rows, "comp").join(central, "key").filter("comp_x <> comp_y")
+        pairs = self._side("x", ranked, "comp").join(central, "key").filter("comp_x <> comp_y")
         return self._binned(self._ends(self._fit(pairs)).join(done.select("a", "b"), ["a", "b"], "left_anti"))
 
     @staticmethod
@@ -346,10 +352,10 @@ class Join:
         if crowd.isEmpty():
             return edges, None
         rows, done, found = self._reordered(crowd, fragments), calm, None
-        named = lambda: rows.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         for turn in range(0 if every else ROUNDS):
             found = self._components(edges) if found is None else found
-            pairs = stored(self._central_pairs(named(), edges, done, turn % 2 == 0), "central-pairs")
+            rows = stored(self._apart(self._named(rows, crowd, edges, found)).drop("top"), "crowd-rows")  # what is still to compare
+            pairs = stored(self._central_pairs(rows, done, turn % 2 == 0), "central-pairs")
             more = self._links(pairs, fragments)
             done = done.unionByName(pairs)
             if not more.isEmpty():
@@ -358,7 +364,8 @@ class Join:
                 break
         if not every:
             found = self._components(edges) if found is None else found
-        left = self._counted(self._cross(rows if every else named())).join(done.select("a", "b"), ["a", "b"], "left_anti")
+            rows = self._named(rows, crowd, edges, found)
+        left = self._counted(self._cross(rows)).join(done.select("a", "b"), ["a", "b"], "left_anti")
         more = self._links(stored(self._binned(left), "pairs"), fragments)
         return (edges, found) if more.isEmpty() else (edges.unionByName(more), None)
 
