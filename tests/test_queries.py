@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the supplied tables")
 #: On so few rows these give none, or a panel too small to solve.
-SPARSE = {"traded_only", "expanding_window", "oos_r2", "ablation_verdicts", "ridge_path", "logit_calibration", "regime_test", "cluster_bootstrap", "meeting_boot"}
+SPARSE = {"traded_only"}
 
 
 def plain(v):

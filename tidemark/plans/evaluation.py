@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 from tidemark.functions import domain as D, stats
 
 from .adapters import Views
-from .basics import MONTHLY, in_month, monthly
+from .basics import MONTHLY, by_day, monthly
 from .panels import EOD, FORECAST_USES, FORECASTS, R, end_of_day, forecasts
 from .registry import query
 
@@ -49,29 +49,29 @@ def feature_table(v: Views) -> DataFrame:
     return rows.select("event", F.col("day").cast("string").alias("day"), R(F.lead("k", 3).over(event_days()) - F.col("k"), 4).alias("target"), R(F.col("k") - F.lag("k").over(event_days()), 4).alias("last_change"), R("decay").alias("decay"), R((F.col("k") - F.col("f")) * F.col("decay"), 4).alias("gap_decay"))
 
 
-CHANGES = f"{MONTHLY}, ch AS (SELECT month, day, x - lag(x) OVER w AS dx, n - lag(n) OVER w AS dn FROM m WINDOW w AS (PARTITION BY month ORDER BY day))"
+CHANGES = f"{MONTHLY}, ch AS (SELECT month, day, x - lag(x) OVER w AS dx, n - lag(n) OVER w AS dn FROM m WINDOW w AS (ORDER BY day))"
 
 
 def changes(v: Views) -> DataFrame:
-    return monthly(v).select("month", "day", (F.col("x") - F.lag("x").over(in_month())).alias("dx"), (F.col("n") - F.lag("n").over(in_month())).alias("dn"))
+    return monthly(v).select("month", "day", (F.col("x") - F.lag("x").over(by_day())).alias("dx"), (F.col("n") - F.lag("n").over(by_day())).alias("dn"))
 
 
-@query("cross_correlation", "T-10 A-13", f"WITH {CHANGES}, l AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, dx, lead(dn, {k}) OVER (PARTITION BY month ORDER BY day) AS other FROM ch" if k >= 0 else f"SELECT {k} AS lag, dx, lag(dn, {-k}) OVER (PARTITION BY month ORDER BY day) AS other FROM ch" for k in range(-3, 4)) + ") SELECT lag, round(corr(dx, other), 6) AS cor FROM l GROUP BY lag", "daily")
+@query("cross_correlation", "T-10 A-13", f"WITH {CHANGES}, l AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, dx, lead(dn, {k}) OVER (ORDER BY day) AS other FROM ch" if k >= 0 else f"SELECT {k} AS lag, dx, lag(dn, {-k}) OVER (ORDER BY day) AS other FROM ch" for k in range(-3, 4)) + ") SELECT lag, round(corr(dx, other), 6) AS cor FROM l GROUP BY lag", "daily")
 def cross_correlation(v: Views) -> DataFrame:
-    shifted = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("dn", k).over(in_month()).alias("other")) for k in range(-3, 4)])
+    shifted = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("dn", k).over(by_day()).alias("other")) for k in range(-3, 4)])
     rows = changes(v).withColumn("s", shifted).select("dx", F.inline("s")).filter("dx is not null and other is not null")
     return rows.groupBy("lag").agg(R(F.corr("dx", "other")).alias("cor"))
 
 
-@query("event_response", "T-9 O-5 W-12", f"""WITH {CHANGES}, r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY day) AS i FROM ch WHERE dx IS NOT NULL), b AS (SELECT quantile_cont(abs(dx), 0.97) AS q FROM r), e AS (SELECT r.* FROM r, b WHERE abs(dx) >= q), s AS (SELECT avg(abs(dx)) AS scale FROM e),
-  p AS (SELECT r.i - e.i AS step, avg(sign(e.dx) * r.dx) AS d, count(*) AS n FROM e JOIN r ON e.month = r.month AND r.i BETWEEN e.i AND e.i + 5 GROUP BY 1) SELECT step, n, round(sum(d) OVER (ORDER BY step) / scale, 5) AS path FROM p, s""", "daily")
+@query("event_response", "T-9 O-5 W-12", f"""WITH {CHANGES}, r AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM ch WHERE dx IS NOT NULL), b AS (SELECT quantile_cont(abs(dx), 0.97) AS q FROM r), e AS (SELECT r.* FROM r, b WHERE abs(dx) >= q), s AS (SELECT avg(abs(dx)) AS scale FROM e),
+  p AS (SELECT r.i - e.i AS step, avg(sign(e.dx) * r.dx) AS d, count(*) AS n FROM e JOIN r ON r.i BETWEEN e.i AND e.i + 5 GROUP BY 1) SELECT step, n, round(sum(d) OVER (ORDER BY step) / scale, 5) AS path FROM p, s""", "daily")
 def event_response(v: Views) -> DataFrame:
-    rows = changes(v).filter("dx is not null").withColumn("i", F.row_number().over(in_month()).cast("long"))
+    rows = changes(v).filter("dx is not null").withColumn("i", F.row_number().over(by_day()).cast("long"))
     bound = rows.agg(F.percentile(F.abs("dx"), F.lit(0.97)).alias("q"))
     events = rows.join(F.broadcast(bound), F.abs("dx") >= F.col("q"))
     scale = events.agg(F.avg(F.abs("dx")).alias("scale"))
-    ahead = events.select("month", F.signum("dx").alias("sign"), F.col("i").alias("i0"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step")).withColumn("i", F.col("i0") + F.col("step"))
-    per = ahead.join(rows.select("month", "i", "dx"), ["month", "i"]).groupBy(F.col("step").cast("long").alias("step")).agg(F.avg(F.col("sign") * F.col("dx")).alias("d"), F.count("*").alias("n"))
+    ahead = events.select(F.signum("dx").alias("sign"), F.col("i").alias("i0"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step")).withColumn("i", F.col("i0") + F.col("step"))
+    per = ahead.join(rows.select("i", "dx"), "i").groupBy(F.col("step").cast("long").alias("step")).agg(F.avg(F.col("sign") * F.col("dx")).alias("d"), F.count("*").alias("n"))
     path = F.sum("d").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))  # a row a step
     return per.crossJoin(F.broadcast(scale)).select("step", "n", R(path / F.col("scale"), 5).alias("path"))
 
@@ -84,7 +84,7 @@ def weekend_alignment(v: Views) -> DataFrame:
     return d.filter(F.weekday("day") == 4).join(monday, "day").join(sunday, "day", "left").select(F.col("day").cast("string").alias("friday"), R(F.col("mx") - F.col("x") + 1e-7, 4).alias("move"), "sunday_n")
 
 
-@query("ols_slope", "M-5 M-19", f"WITH {FORECASTS} SELECT h, round(regr_slope(y, p), 6) AS slope, round(regr_intercept(y, p), 6) AS intercept, count(*) AS n FROM forecasts GROUP BY h", FORECAST_USES)
+@query("ols_slope", "M-5", f"WITH {FORECASTS} SELECT h, round(regr_slope(y, p), 6) AS slope, round(regr_intercept(y, p), 6) AS intercept, count(*) AS n FROM forecasts GROUP BY h", FORECAST_USES)
 def ols_slope(v: Views) -> DataFrame:
     return forecasts(v).groupBy("h").agg(R(F.regr_slope("y", "p")).alias("slope"), R(F.regr_intercept("y", "p")).alias("intercept"), F.count("*").alias("n"))
 
@@ -144,10 +144,29 @@ def calibration_curve(v: Views) -> DataFrame:
     return v.spark.range(1, 100).select(F.round(f, 2).alias("f"), R(1 / (1 + F.exp(-(F.lit(0.2) + 0.8 * D.logit(f))))).alias("p"))
 
 
-@query("accuracy_by_horizon", "M-20 M-18 A-16", f"WITH {FORECASTS}, e AS (SELECT event, h, avg(abs(p - y)) AS a FROM forecasts GROUP BY event, h) SELECT h, count(*) AS events, round(avg(a), 6) AS mae, round(avg(a) / (stddev_samp(a) / sqrt(count(*))), 4) AS t FROM e GROUP BY h", FORECAST_USES)
+# Errors are summed as whole numbers of 1e-9, and events' means of 1e-12, so no sum depends on the order of its terms.
+@query("accuracy_by_horizon", "M-18 A-16", f"WITH {FORECASTS}, e AS (SELECT event, h, CAST(round(CAST(sum(CAST(round(abs(p - y) * 1e9) AS BIGINT)) AS DOUBLE) / count(*) * 1e3) AS BIGINT) AS a FROM forecasts GROUP BY event, h) SELECT h, count(*) AS events, round(CAST(sum(a) AS DOUBLE) / (count(*) * 1e12), 6) AS mae, round(avg(a) / (stddev_samp(a) / sqrt(count(*))), 4) AS t FROM e GROUP BY h", FORECAST_USES)
 def accuracy_by_horizon(v: Views) -> DataFrame:
-    e = forecasts(v).groupBy("event", "h").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("a"))
-    return e.groupBy("h").agg(F.count("*").alias("events"), R(F.avg("a")).alias("mae"), R(F.avg("a") / (F.stddev_samp("a") / F.sqrt(F.count("*"))), 4).alias("t"))
+    small = F.round(F.abs(F.col("p") - F.col("y")) * 1e9).cast("long")
+    e = forecasts(v).groupBy("event", "h").agg(F.round(F.sum(small).cast("double") / F.count("*") * 1e3).cast("long").alias("a"))
+    return e.groupBy("h").agg(F.count("*").alias("events"), R(F.sum("a").cast("double") / (F.count("*") * 1e12)).alias("mae"), R(F.avg("a") / (F.stddev_samp("a") / F.sqrt(F.count("*"))), 4).alias("t"))
+
+
+ENCOMPASSING = """x AS (SELECT event, h, y - q AS e, p - q AS d FROM forecasts WHERE q IS NOT NULL), b AS (SELECT h, count(*) AS n, sum(d) AS sd, sum(d * d) AS sdd, regr_slope(e, d) AS b1, regr_intercept(e, d) AS b0 FROM x GROUP BY h),
+  s AS (SELECT h, event, sum(e - b0 - b1 * d) AS s0, sum(d * (e - b0 - b1 * d)) AS s1 FROM x JOIN b USING (h) GROUP BY h, event), m AS (SELECT h, count(*) AS g, sum(s0 * s0) AS m00, sum(s0 * s1) AS m01, sum(s1 * s1) AS m11 FROM s GROUP BY h)"""
+
+
+@query("encompassing", "M-19 M-6", f"WITH {FORECASTS}, {ENCOMPASSING} SELECT h, n, round(b1, 5) AS slope, round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 2.0) * (sd * sd * m00 - 2 * n * sd * m01 + n * n * m11)) / (n * sdd - sd * sd), 5) AS se FROM b JOIN m USING (h) WHERE g > 1 AND n > 2", FORECAST_USES)
+def encompassing(v: Views) -> DataFrame:
+    """What the normalised forecast misses on what the quoted one says beyond it, for each horizon, clustered by event."""
+    x = forecasts(v).filter("q is not null").select("h", "event", (F.col("y") - F.col("q")).alias("e"), (F.col("p") - F.col("q")).alias("d"))
+    b = x.groupBy("h").agg(F.count("*").alias("n"), F.sum("d").alias("sd"), F.sum(F.col("d") * F.col("d")).alias("sdd"), F.regr_slope("e", "d").alias("b1"), F.regr_intercept("e", "d").alias("b0"))
+    rest = F.col("e") - F.col("b0") - F.col("b1") * F.col("d")
+    s = x.join(b.select("h", "b0", "b1"), "h").groupBy("h", "event").agg(F.sum(rest).alias("s0"), F.sum(F.col("d") * rest).alias("s1"))
+    product = lambda i, j: F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}{j}")
+    m = s.groupBy("h").agg(F.count("*").alias("g"), product(0, 0), product(0, 1), product(1, 1))
+    meat = F.expr("g / (g - 1.0D) * (n - 1.0D) / (n - 2.0D) * (sd * sd * m00 - 2 * n * sd * m01 + 1.0D * n * n * m11)")
+    return b.join(m, "h").filter("g > 1 and n > 2").select("h", "n", R("b1", 5).alias("slope"), R(F.sqrt(meat) / (F.col("n") * F.col("sdd") - F.col("sd") * F.col("sd")), 5).alias("se"))
 
 
 # Iterative and seeded statistics: a worker solves one specification; the panel holds one row an event, day or document.
@@ -171,19 +190,20 @@ def _forecast_panel(v: Views) -> DataFrame:
 def logit_calibration(v: Views) -> DataFrame:
     def solve(frame: pd.DataFrame) -> dict:
         frame = frame.sort_values(["event", "ticker"])
-        return stats.calibration_regression(frame["y"].to_numpy(), frame["p"].to_numpy(), frame["event"].to_numpy(), n_boot=199)
+        return stats.calibration(*(frame[c].to_numpy() for c in ("y", "p", "event")))
 
-    rows = _per(_forecast_panel(v), "h", "h int, a double, b double, a_low double, a_high double, b_low double, b_high double, joint_p double, draws int", solve)
-    return rows.withColumn("p_slope", D.two_sided_p((F.col("b") - 1) / F.nullif((F.col("b_high") - F.col("b_low")) / F.lit(3.92), F.lit(0.0))))
+    return _per(_forecast_panel(v), "h", "h int, a double, b double, se_a double, se_b double, p_a double, p_b double, a_low double, a_high double, b_low double, b_high double, joint_p double, boot_ok double", solve)
 
 
 @query("regime_test", "M-4")
 def regime_test(v: Views) -> DataFrame:
+    """Events numbered from 5 on count as after the change."""
+
     def solve(frame: pd.DataFrame) -> dict:
         frame = frame.sort_values(["event", "ticker"])
-        return stats.regime_difference(frame["y"].to_numpy(), frame["p"].to_numpy(), frame["event"].to_numpy(), (frame["event"] >= 5).astype(int).to_numpy(), n_boot=99)
+        return stats.regimes(*(frame[c].to_numpy() for c in ("y", "p", "event")), (frame["event"] >= 5).to_numpy(float))
 
-    return _per(_forecast_panel(v), "h", "h int, d_a double, d_b double, low double, high double", solve)
+    return _per(_forecast_panel(v), "h", "h int, d_a double, d_b double, a_low double, a_high double, b_low double, b_high double, joint_p double", solve)
 
 
 @query("cluster_bootstrap", "M-7 M-8 M-13")
@@ -195,29 +215,29 @@ def cluster_bootstrap(v: Views) -> DataFrame:
     def solve(frame: pd.DataFrame) -> dict:
         s = frame.sort_values("event")[["n", "sx", "sy", "sxx", "sxy"]].to_numpy()
         slope = lambda t: (t[0] * t[4] - t[1] * t[2]) / (t[0] * t[3] - t[1] ** 2)
-        low, high = np.nanpercentile(stats.cluster_bootstrap(s, slope, n_boot=499), [2.5, 97.5])
+        low, high = np.nanpercentile(stats.cluster_bootstrap(s, slope), [2.5, 97.5])
         return {"slope": slope(s.sum(0)), "low": low, "high": high}
 
     return _per(sums, "h", "h int, slope double, low double, high double", solve)
 
 
-@query("meeting_boot", "M-18 M-19 M-20")
+@query("meeting_boot", "M-18")
 def meeting_boot(v: Views) -> DataFrame:
     per = _forecast_panel(v).groupBy("h", "event").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("a"))
-    return _per(per, "h", "h int, mean double, low double, high double, t double, p double", lambda f: stats.mean_with_bootstrap(f.sort_values("event")["a"].to_numpy()))
+    return _per(per, "h", "h int, mean double, low double, high double, t double, p double", lambda f: stats.event_mean(f.sort_values("event")["a"].to_numpy()))
 
 
 @query("granger", "M-17")
 def granger(v: Views) -> DataFrame:
-    """Both directions on changes within a month, lags 1 and 2, clustered by month."""
-    lagged = [F.lag(c, k).over(in_month()).alias(f"{c}{k}") for c in ("dx", "dn") for k in (1, 2)]
+    """Both directions on changes, lags 1 and 2, clustered by month."""
+    lagged = [F.lag(c, k).over(by_day()).alias(f"{c}{k}") for c in ("dx", "dn") for k in (1, 2)]
     rows = changes(v).select("month", "day", "dx", F.col("dn").cast("double").alias("dn")).select("*", *lagged).na.drop()
     both = rows.withColumn("direction", F.explode(F.array(F.lit("n to x"), F.lit("x to n"))))
 
     def solve(frame: pd.DataFrame) -> dict:
         frame = frame.sort_values("day")
         y, other = ("dx", "dn") if frame["direction"].iloc[0] == "n to x" else ("dn", "dx")
-        return stats.granger(frame[[f"{y}1", f"{y}2"]].to_numpy(float), frame[[f"{other}1", f"{other}2"]].to_numpy(float), frame[y].to_numpy(float), frame["month"].to_numpy())
+        return stats.predictive_lags(frame[[f"{y}1", f"{y}2"]].to_numpy(float), frame[[f"{other}1", f"{other}2"]].to_numpy(float), frame[y].to_numpy(float), frame["month"].to_numpy())
 
     return _per(both, "direction", "direction string, wald double, p double, sum_cross double, se double", solve)
 
@@ -233,43 +253,62 @@ def _features(v: Views) -> DataFrame:
     return rows.select("event", "day", (F.lead("k", 3).over(event_days()) - F.col("k")).alias("target"), F.lead("day", 3).over(event_days()).alias("target_day"), "gap", "last_change", "decay", (F.col("gap") * F.col("decay")).alias("gap_decay")).na.drop()
 
 
+def known_before(frame: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+    """The rows whose targets were known before the first day to be predicted."""
+    return frame[frame["target_day"] < test["day"].min()]
+
+
 def _fold_predictions(v: Views) -> DataFrame:
-    """Expanding window: each event is predicted from events numbered before it (their targets known by then), for each
-    specification; alpha is tuned on the last three training events."""
-    folds = v.contracts.select("event").distinct().filter("event >= 4").select(F.col("event").alias("fold"))
+    """Expanding window: the rows of each week are predicted from rows whose targets were known before it began, for each
+    specification; alpha is tuned in the same way on the last week of the training rows."""
+    rows = _features(v).withColumn("week", F.weekofyear("day").cast("int"))
+    folds = rows.select(F.col("week").alias("fold")).distinct().filter("fold >= 3")  # as few as the weeks
     specs = F.explode(F.array(*map(F.lit, SPECS))).alias("spec")
-    rows = _features(v).crossJoin(F.broadcast(folds)).filter("event <= fold").select("*", specs)
+    rows = rows.crossJoin(F.broadcast(folds)).filter("week <= fold").select("*", specs)
+    columns = ["spec", "week", "event", "day", "actual", "pred", "base", "alpha", "last_known"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         names, fold = SPECS[frame["spec"].iloc[0]], frame["fold"].iloc[0]
-        frame = frame.sort_values(["event", "day"])
-        train, test = frame[frame["event"] < fold], frame[frame["event"] == fold]
+        frame = frame.sort_values(["day", "event"])
+        test = frame[frame["week"] == fold]
+        if test.empty:
+            return pd.DataFrame(columns=columns)
+        train = known_before(frame, test)
+        if len(train) < 2:
+            return pd.DataFrame(columns=columns)
         free = np.array([n == "gap" for n in names])
-        fit = lambda a, b, alpha: stats.ridge_fit_predict(a[names].to_numpy(), a["target"].to_numpy(), b[names].to_numpy(), alpha, free)
-        last = sorted(train["event"].unique())[-3:]
-        inner, tune = train[~train["event"].isin(last)], train[train["event"].isin(last)]
+        fit = lambda a, b, alpha: stats.Ridge.fit(a[names].to_numpy(), a["target"].to_numpy(), alpha, free).predict(b[names].to_numpy())
+        tune = train[train["week"] == train["week"].max()]
+        inner = known_before(train, tune)
         errors = [((tune["target"] - fit(inner, tune, a)) ** 2).sum() for a in ALPHAS] if len(inner) > 5 else [0.0]
         alpha = ALPHAS[int(np.argmin(errors))]
-        return pd.DataFrame({"spec": frame["spec"].iloc[0], "event": test["event"], "day": test["day"].astype(str), "actual": test["target"], "pred": fit(train, test, alpha), "base": train["target"].mean(), "alpha": alpha})
+        found = {"spec": frame["spec"].iloc[0], "week": fold, "event": test["event"], "day": test["day"].astype(str), "actual": test["target"], "pred": fit(train, test, alpha), "base": train["target"].mean(), "alpha": alpha, "last_known": str(train["target_day"].max())}
+        return pd.DataFrame(found)[columns]
 
-    return rows.groupBy("fold", "spec").applyInPandas(run, "spec string, event long, day string, actual double, pred double, base double, alpha double")
+    return rows.groupBy("fold", "spec").applyInPandas(run, "spec string, week int, event long, day string, actual double, pred double, base double, alpha double, last_known string")
 
 
 @query("ridge_path", "M-10 M-11")
 def ridge_path(v: Views) -> DataFrame:
-    """Ridge coefficients over alphas from cross-products summed in one pass; the gap isn't penalised."""
+    """Ridge coefficients over alphas, of standardised features, from cross-products summed in one pass; the gap isn't penalised."""
     f = [F.col(n) for n in FEATURES]
     rows = _features(v)
     sums = rows.agg(*[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(f) for j, b in enumerate(f) if i <= j], *[F.covar_pop(a, "target").alias(f"y{i}") for i, a in enumerate(f)], F.count("*").alias("n"))
 
     def run(frames):
         for frame in frames:
-            for _, r in frame.iterrows():
+            for r in frame.to_dict("records"):
                 k = len(FEATURES)
                 xx = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) * r["n"]
                 xy = np.array([r[f"y{i}"] for i in range(k)]) * r["n"]
+                if not r["n"] or r["n"] < 2:
+                    continue
+                spread = np.sqrt(np.diag(xx) / (r["n"] - 1))
+                spread[spread == 0] = 1
+                xx, xy = xx / np.outer(spread, spread), xy / spread
+                one = stats.Moments(xx[None], xy[None], np.zeros(1), np.ones(1))
                 free = np.array([n == "gap" for n in FEATURES])
-                yield pd.DataFrame([{"alpha": a, "feature": n, "beta": float(b)} for a in ALPHAS[1:] for n, b in zip(FEATURES, stats.ridge(xx, xy, a, free), strict=True)])
+                yield pd.DataFrame([{"alpha": a, "feature": n, "beta": float(b)} for a in ALPHAS[1:] for n, b in zip(FEATURES, one.solve(penalty=np.where(free, 0.0, a)), strict=True)])
 
     return sums.mapInPandas(run, "alpha double, feature string, beta double")
 
@@ -295,7 +334,7 @@ def ablation_verdicts(v: Views) -> DataFrame:
 
     def solve(frame: pd.DataFrame) -> dict:
         frame = frame.sort_values(["event", "day"])
-        t, pv = stats.clark_west(*(frame[c].to_numpy() for c in ("actual", "small", "pred", "event")))
+        t, pv = stats.nested_gain(*(frame[c].to_numpy() for c in ("actual", "small", "pred", "event")))
         return {"t": t, "p": pv}
 
     rows = _per(pairs, "spec", "spec string, t double, p double", solve)

@@ -32,11 +32,12 @@ def forecasts(v: Views, hour: int = 16) -> DataFrame:
     )
 
 
-FORECASTS = f"""grid AS (SELECT c.*, h, count(*) OVER (PARTITION BY event, h) AS buckets,
-    {LOCAL16.format(day="(DATE '2024-01-30' - CAST(h AS INTEGER))")} AS snapshot_ts FROM contracts c, (SELECT unnest({list(HORIZONS)}) AS h)),
-  joined AS (SELECT g.*, q.ts, q.mid AS p, q.spread, q.bid FROM grid g ASOF JOIN quotes q ON g.ticker = q.ticker AND g.snapshot_ts >= q.ts),
-  forecasts AS (SELECT ticker, event, h, CAST(result = 'yes' AS INTEGER) AS y, p, CASE WHEN count(p) OVER w = buckets THEN p / sum(p) OVER w END AS q, spread,
-    epoch(snapshot_ts - ts) / 86400.0 AS age_days, (p < 0.01 OR p >= 0.99) AS floor, bid FROM joined WINDOW w AS (PARTITION BY event, h))"""
+FORECASTS = f"""asked AS (SELECT ticker, event, result, h, {LOCAL16.format(day="(DATE '2024-01-30' - CAST(h AS INTEGER))")} AS moment FROM contracts, unnest({list(HORIZONS)}) AS t(h)),
+  newest AS (SELECT ticker, h, any_value(event) AS event, any_value(result) AS result, any_value(moment) AS moment, max(ts) AS ts FROM asked JOIN quotes USING (ticker) WHERE ts <= moment GROUP BY ticker, h),
+  priced AS (SELECT newest.*, mid AS p, spread, bid FROM newest JOIN quotes USING (ticker, ts)), listed AS (SELECT event, count(*) AS k FROM contracts GROUP BY event),
+  sums AS (SELECT event, h, sum(p) AS s, count(p) AS n FROM priced GROUP BY event, h),
+  forecasts AS (SELECT ticker, event, h, CAST(result = 'yes' AS INTEGER) AS y, p, CASE WHEN n = k THEN p / s END AS q, spread, epoch(moment - ts) / 86400.0 AS age_days, NOT (p >= 0.01 AND p < 0.99) AS floor, bid
+    FROM priced JOIN sums USING (event, h) JOIN listed USING (event))"""
 FORECAST_USES = "contracts quotes"
 
 
@@ -53,11 +54,11 @@ def forecasts_ladder(v: Views) -> DataFrame:
     return rows.select("event", "ticker", "h", R("bid").alias("bid"), (F.max("age_days").over(Window.partitionBy("event")) >= 1).alias("old"))
 
 
-@query("snapshots_grid", "T-4 S-23 J-1", """WITH g AS (SELECT ticker, d AS day, CAST(d AS TIMESTAMP) + INTERVAL 20 HOUR AS snap FROM contracts, (SELECT unnest([DATE '2024-01-05', DATE '2024-01-12', DATE '2024-01-26']) AS d) WHERE ticker % 4 = 1)
+@query("snapshots_grid", "T-4 S-23 J-1", """WITH g AS (SELECT ticker, d AS day, CAST(d AS TIMESTAMP) + INTERVAL 20 HOUR AS snap FROM contracts, (SELECT unnest([DATE '2024-01-05', DATE '2024-01-12', DATE '2024-01-26']) AS d))
   SELECT g.ticker, strftime(day, '%Y-%m-%d') AS day, quote_id, round(q.mid, 6) AS mid FROM g ASOF JOIN quotes q ON g.ticker = q.ticker AND g.snap >= q.ts""", "contracts quotes")
 def snapshots_grid(v: Views) -> DataFrame:
     days = v.spark.createDataFrame([("2024-01-05",), ("2024-01-12",), ("2024-01-26",)], "day string").withColumn("day", F.to_date("day"))
-    grid = v.contracts.filter("ticker % 4 = 1").select("ticker").crossJoin(F.broadcast(days)).withColumn("at", local_instant(F.col("day"), 15))
+    grid = v.contracts.select("ticker").crossJoin(F.broadcast(days)).withColumn("at", local_instant(F.col("day"), 15))
     found = asof_join(grid, v.quotes.select("ticker", "ts", "quote_id", "mid"), ["ticker"], "at", "ts", bucket=F.to_date)
     return found.select("ticker", F.col("day").cast("string").alias("day"), "quote_id", R("mid").alias("mid"))
 
@@ -128,17 +129,17 @@ def gap_bound(v: Views) -> DataFrame:
     return rows.withColumn("gap", F.datediff(F.to_date("ts"), F.to_date("quote_ts")).cast("long")).filter("gap between 0 and 4").select("trade_id", "quote_id", "gap")
 
 
-@query("asof_unkeyed", "J-5", """SELECT t.trade_id, n.n_id FROM trades t ASOF JOIN (SELECT event_id AS n_id, ts AS n_ts FROM events WHERE event_type = 'error' AND event_id % 10 = 1) n ON t.ts >= n.n_ts""", "trades")
+@query("asof_unkeyed", "J-5", """SELECT t.trade_id, n.n_id FROM trades t ASOF JOIN (SELECT max(event_id) AS n_id, ts AS n_ts FROM events WHERE event_type = 'error' GROUP BY ts) n ON t.ts >= n.n_ts""", "trades")
 def unkeyed(v: Views) -> DataFrame:
-    news = v.events.filter("event_type = 'error' and event_id % 10 = 1").select(F.col("event_id").alias("n_id"), F.col("ts").alias("n_ts"))
+    news = v.events.filter("event_type = 'error'").groupBy(F.col("ts").alias("n_ts")).agg(F.max("event_id").alias("n_id"))
     return asof_join(v.trades, news, [], "ts", "n_ts", bucket=F.to_date).select("trade_id", "n_id")
 
 
-@query("next_event_after", "J-17", """SELECT t.trade_id, n.quote_id FROM trades t ASOF JOIN quotes n ON t.ticker = n.ticker AND t.ts < n.ts WHERE t.ticker % 7 = 2""", "trades quotes")
+@query("next_event_after", "J-17", """SELECT t.trade_id, n.quote_id FROM trades t ASOF JOIN quotes n ON t.ticker = n.ticker AND t.ts < n.ts""", "trades quotes")
 def next_event_after(v: Views) -> DataFrame:
     """Strictly after: the as-of join on negated times."""
     minus = lambda c: -F.unix_micros(c)
-    left = v.trades.filter("ticker % 7 = 2").select("ticker", "trade_id", minus("ts").alias("lt"))
+    left = v.trades.select("ticker", "trade_id", minus("ts").alias("lt"))
     return asof_join(left, v.quotes.select("ticker", "quote_id", minus("ts").alias("rt")), ["ticker"], "lt", "rt", strict=True).select("trade_id", "quote_id")
 
 
@@ -305,12 +306,12 @@ def incremental_merge(v: Views) -> DataFrame:
     return merge(old.withColumn("late", F.lit(0)), new.withColumn("late", F.lit(1)), ["trade_id"], [F.col("late")]).select("trade_id", "ticker", "late")
 
 
-@query("day_grid_ffill", "U-9 U-2 W-11", """WITH d AS (SELECT ticker, CAST(ts AS DATE) AS day, arg_max(mid, ts) AS mid, sum(size) AS size FROM quotes WHERE ticker % 5 = 0 GROUP BY 1, 2), g AS (SELECT ticker, CAST(unnest(generate_series(min(day), DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY ticker)
+@query("day_grid_ffill", "U-9 U-2 W-11", """WITH d AS (SELECT ticker, CAST(ts AS DATE) AS day, arg_max(mid, ts) AS mid, sum(size) AS size FROM quotes GROUP BY 1, 2), g AS (SELECT ticker, CAST(unnest(generate_series(min(day), DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY ticker)
   SELECT g.ticker, strftime(g.day, '%Y-%m-%d') AS day, round(last_value(mid IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.day), 6) AS mid, round(coalesce(size, 0), 4) AS size FROM g LEFT JOIN d ON d.ticker = g.ticker AND d.day = g.day""", "quotes")
 def day_grid_ffill(v: Views) -> DataFrame:
     from tidemark.operators.series import forward_fill
 
-    days = v.quotes.filter("ticker % 5 = 0").groupBy("ticker", F.to_date("ts").alias("day")).agg(F.max_by("mid", "ts").alias("mid"), F.sum("size").alias("size"))
+    days = v.quotes.groupBy("ticker", F.to_date("ts").alias("day")).agg(F.max_by("mid", "ts").alias("mid"), F.sum("size").alias("size"))
     grid = days.groupBy("ticker").agg(F.min("day").alias("a")).select("ticker", F.explode(day_sequence(F.col("a"), F.lit("2024-01-31").cast("date"))).alias("day"))
     rows = grid.join(days, ["ticker", "day"], "left")
     return rows.select("ticker", F.col("day").cast("string").alias("day"), R(forward_fill("mid", Window.partitionBy("ticker").orderBy("day"))).alias("mid"), R(F.coalesce("size", F.lit(0.0)), 4).alias("size"))
