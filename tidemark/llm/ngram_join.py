@@ -36,8 +36,8 @@ COUNTERS = 1 << 15
 SHINGLE_COUNTERS, CHUNK = 1 << 20, 1 << 16
 SLICES = 8
 MEMO = 200_000
-ROUNDS = 4  # of comparing crowded buckets with their best-linked set
-CROWD = 1 << 13  # possible pairs from which a bucket is crowded
+ROUNDS = 8  # of comparing crowded buckets with their best-linked set
+CROWD = 1 << 16  # possible pairs from which a bucket is crowded
 BINS = 256
 BITS = 1 << 21  # of the filter of wanted documents, whatever their number
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
@@ -351,16 +351,17 @@ class Join:
         edges = self._links(calm, fragments)
         if crowd.isEmpty():
             return edges, None
-        rows, done, found = self._reordered(crowd, fragments), calm, None
+        rows, done, found, idle = self._reordered(crowd, fragments), calm, None, 0
         for turn in range(0 if every else ROUNDS):
             found = self._components(edges) if found is None else found
             rows = stored(self._apart(self._named(rows, crowd, edges, found)).drop("top"), "crowd-rows")  # what is still to compare
             pairs = stored(self._central_pairs(rows, done, turn % 2 == 0), "central-pairs")
             more = self._links(pairs, fragments)
             done = done.unionByName(pairs)
-            if not more.isEmpty():
+            idle = idle + 1 if more.isEmpty() else 0
+            if not idle:
                 edges, found = stored(edges.unionByName(more), "links"), None
-            elif turn:
+            elif idle == 2:  # neither kind of central set finds more
                 break
         if not every:
             found = self._components(edges) if found is None else found
