@@ -37,7 +37,7 @@ SHINGLE_COUNTERS, CHUNK = 1 << 20, 1 << 16
 SLICES = 8
 MEMO = 200_000
 ROUNDS = 8  # of comparing crowded buckets with their best-linked set
-CROWD = 1 << 16  # possible pairs from which a bucket is crowded
+CROWD = 1 << 20  # possible pairs from which a bucket is crowded, unless a caller says otherwise; results don't depend on it
 BINS = 256
 BITS = 1 << 21  # of the filter of wanted documents, whatever their number
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
@@ -222,8 +222,8 @@ def _may_link(nx: Column, ny: Column, px: Column, py: Column, dx: Column, dy: Co
 class Join:
     """The steps of the join over one table of documents; everything large is a table in the shared folder."""
 
-    def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE):
-        self.num, self.den = num, den
+    def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE, crowd: int | None = None):
+        self.num, self.den, self.most = num, den, crowd or CROWD
         self.docs = id_and_text(docs)
         self.order = docs.sparkSession.sparkContext.broadcast(estimate_order(self.docs, size))  # of a fixed size
         self.rows = stored(shingled(self.docs, self.order, num, den).withColumn("rid", F.monotonically_increasing_id()), "shingled")
@@ -343,7 +343,7 @@ class Join:
         """(a, b, overlap) of linked representatives: every link, or enough of them to make the same components. With
         them the components (rid, comp), where they are known already."""
         pairs = F.count_if("free") * F.count("*")
-        crowded = stored(self.buckets.groupBy("key").agg(pairs.alias("pairs")).filter(F.col("pairs") > CROWD).select("key"), "crowded")
+        crowded = stored(self.buckets.groupBy("key").agg(pairs.alias("pairs")).filter(F.col("pairs") > self.most).select("key"), "crowded")
         calm = stored(self._binned(self._counted(self._cross(self.buckets.join(crowded, "key", "left_anti")))), "pairs")
         crowd = stored(self.buckets.join(crowded, "key", "left_semi").select("rid", "n").distinct(), "crowd")
         ends = calm.select(F.col("a").alias("rid")).union(calm.select(F.col("b").alias("rid"))).union(crowd.select("rid"))
@@ -383,13 +383,13 @@ class Join:
         return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap")
 
 
-def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE, crowd: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id of an equal set) of every document.
 
     A text that is null or without words has no shingle and is its own component. A row without doc_id links with
     nothing and has a null component. Repeated rows are copies of each other. An empty table gives no rows.
     """
-    join = Join(docs, num, den, size)
+    join = Join(docs, num, den, size, crowd)
     first = join.classes.join(join.components(), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = first.join(least, "component").select("sig", F.col("first_id").alias("class_id"), "component_id")
@@ -398,11 +398,11 @@ def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     return rows.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
+def keep_one(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE, crowd: int | None = None) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id, and of its rows the one of the least hash
     over all columns. Documents without doc_id all stay, and so do texts without words; an empty table stays empty. Columns
     of any name stay as they are."""
-    keep = jaccard_components(docs, num, den, size).filter("doc_id = component_id").select(F.col("doc_id").alias(free_name("doc_id_", docs.columns))).distinct()
+    keep = jaccard_components(docs, num, den, size, crowd).filter("doc_id = component_id").select(F.col("doc_id").alias(free_name("doc_id_", docs.columns))).distinct()
     kept = docs.join(keep, F.col("doc_id").cast("long") == F.col(keep.columns[0]), "left_semi")
     number = free_name("number", docs.columns)
     window = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
