@@ -17,6 +17,8 @@ from tidemark.llm.queries import vocabulary_path
 
 #: Near duplicates: two documents link when 100 * intersection >= 80 * union of their five-word shingles.
 NEAR = (80, 100, 5)
+#: At 0.8 twice as many keys of a set can meet another's as at 0.9, so buckets count as crowded from fewer pairs on.
+CROWD = 1 << 13
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Toxicity, the near-duplicate groups and the tokenizer have no SQL form; tests compare run() with a plain version.
 ORACLE_SQL = None
@@ -31,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(_columns(docs), *NEAR)
+    return ngram_join.keep_one(_columns(docs), *NEAR, crowd=CROWD)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
