@@ -200,3 +200,15 @@ def test_predictive_lags_find_the_leading_series():
     lags = lambda x: np.column_stack([x[1:-1], x[:-2]])
     g = np.repeat(np.arange(50), 40)[2:]
     assert stats.predictive_lags(lags(y), lags(lead), y[2:], g)["p"] < 1e-6 < stats.predictive_lags(lags(lead), lags(y), lead[2:], g)["p"]
+
+
+def test_callers_columns_of_any_name_stay(spark):
+    left = spark.createDataFrame([(1, 5, 9, 9, 9)], "t long, at long, l long, m long, row long")
+    right = spark.createDataFrame([(1, 4, 7), (1, 6, 8)], "t long, since long, side long")
+    for strict in (False, True):
+        assert asof_join(left, right, ["t"], "at", "since", strict=strict).collect() == [(1, 5, 9, 9, 9, 4, 7)]
+    assert asof_join(left, right, ["t"], "at", "since", bucket=lambda c: F.floor(c / 3)).collect() == [(1, 5, 9, 9, 9, 4, 7)]
+    assert asof_small(left, right, ["t"], "at", "since").collect() == [(1, 5, 9, 9, 9, 4, 7)]
+    states = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "k long, place long, changed long")
+    assert S.keep_last(states, ["k"], [F.col("place").desc()]).collect() == [(1, 6, 2)]
+    assert S.drop_repeats(states, ["changed"], "place").collect() == [(1, 6, 2)]

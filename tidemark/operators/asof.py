@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .names import free_names
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, strict: bool = False, how: str = "inner", bucket: Column | None = None, order: list[str] = ()) -> DataFrame:
     """Each left row with the latest right row of its keys at or before its time (strict: before).
@@ -14,42 +16,44 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     row of earlier buckets is carried in, so one hot key is spread over its buckets.
     """
     names = [c for c in right.columns if c not in by]
+    t, side, l, r, m, b, before_in = free_names(by, "t", "side", "l", "r", "m", "b", "before")
     empty_l = F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType)
     empty_r = F.lit(None).cast(right.select(F.struct(*names).alias("x")).schema["x"].dataType)
     tie = [F.col(c) for c in order]
-    lefts = left.select(*by, F.col(left_on).alias("__t"), F.lit(0 if strict else 1).alias("__side"), F.struct(*left.columns).alias("__l"), empty_r.alias("__r"))
-    rights = right.select(*by, F.col(right_on).alias("__t"), F.lit(1 if strict else 0).alias("__side"), empty_l.alias("__l"), F.struct(*names).alias("__r"))
+    lefts = left.select(*by, F.col(left_on).alias(t), F.lit(0 if strict else 1).alias(side), F.struct(*left.columns).alias(l), empty_r.alias(r))
+    rights = right.select(*by, F.col(right_on).alias(t), F.lit(1 if strict else 0).alias(side), empty_l.alias(l), F.struct(*names).alias(r))
     rows = lefts.unionByName(rights)
-    at = [F.col("__t"), F.col("__side"), *(F.col(f"__r.{c}") for c in order)] if tie else [F.col("__t"), F.col("__side")]
+    at = [F.col(t), F.col(side), *(F.col(f"{r}.{c}") for c in order)] if tie else [F.col(t), F.col(side)]
     if bucket is None:
         window = Window.partitionBy(*by).orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn("__m", F.last("__r", ignorenulls=True).over(window))
+        rows = rows.withColumn(m, F.last(r, ignorenulls=True).over(window))
     else:
-        rows = rows.withColumn("__b", bucket(F.col("__t")))
-        window = Window.partitionBy(*by, "__b").orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        newest = F.struct("__t", *(F.col(f"__r.{c}") for c in order))
-        lasts = rows.groupBy(*by, "__b").agg(F.max_by("__r", F.when(F.col("__r").isNotNull(), newest)).alias("__in"))
-        before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        carried = lasts.select(*by, "__b", F.last("__in", ignorenulls=True).over(before).alias("__in"))
-        rows = rows.withColumn("__m", F.last("__r", ignorenulls=True).over(window)).join(carried, [*by, "__b"]).withColumn("__m", F.coalesce("__m", "__in"))
-    rows = rows.filter("__l is not null")
+        rows = rows.withColumn(b, bucket(F.col(t)))
+        window = Window.partitionBy(*by, b).orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        newest = F.struct(t, *(F.col(f"{r}.{c}") for c in order))
+        lasts = rows.groupBy(*by, b).agg(F.max_by(r, F.when(F.col(r).isNotNull(), newest)).alias(before_in))
+        before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        carried = lasts.select(*by, b, F.last(before_in, ignorenulls=True).over(before).alias(before_in))
+        rows = rows.withColumn(m, F.last(r, ignorenulls=True).over(window)).join(carried, [*by, b]).withColumn(m, F.coalesce(m, before_in))
+    rows = rows.filter(f"{l} is not null")
     if how == "inner":
-        rows = rows.filter("__m is not null")
-    return rows.select("__l.*", *(F.col(f"__m.{c}").alias(c) for c in names))
+        rows = rows.filter(f"{m} is not null")
+    return rows.select(f"{l}.*", *(F.col(f"{m}.{c}").alias(c) for c in names))
 
 
 def asof_small(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, forward: bool = False, strict: bool = False, how: str = "inner") -> DataFrame:
     """The same by an equi-join and max_by (min_by for the next row after), for a left side of a few rows a key."""
     compare = {(False, False): "<=", (False, True): "<", (True, False): ">=", (True, True): ">"}[forward, strict]
     names = [c for c in right.columns if c not in by]
-    tagged = left.withColumn("__id", F.monotonically_increasing_id())
+    row, m = free_names([*left.columns, *right.columns], "row", "m")
+    tagged = left.withColumn(row, F.monotonically_increasing_id())
     inside = F.expr(f"{right_on} {compare} {left_on}")
     joined = tagged.join(right, by, "left") if by else tagged.join(right, F.lit(True), "left")
     pick = F.min_by if forward else F.max_by
-    found = joined.groupBy("__id", *left.columns).agg(pick(F.when(inside, F.struct(*names)), F.when(inside, F.col(right_on))).alias("__m"))
+    found = joined.groupBy(row, *left.columns).agg(pick(F.when(inside, F.struct(*names)), F.when(inside, F.col(right_on))).alias(m))
     if how == "inner":
-        found = found.filter("__m is not null")
-    return found.select(*left.columns, *(F.col(f"__m.{c}").alias(c) for c in names))
+        found = found.filter(f"{m} is not null")
+    return found.select(*left.columns, *(F.col(f"{m}.{c}").alias(c) for c in names))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tolerance_days: int) -> DataFrame:
@@ -57,8 +61,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
 
     Days are equi-joined after spreading each right row over the days it may serve, so no pair beyond the tolerance is made.
     """
-    tagged = left.withColumn("__id", F.monotonically_increasing_id())
-    spread = right.withColumn("__day", F.explode(F.sequence(F.date_sub(right_on, tolerance_days), F.date_add(right_on, tolerance_days))))
+    row, day, m = free_names([*left.columns, *right.columns], "row", "day", "m")
+    tagged = left.withColumn(row, F.monotonically_increasing_id())
+    spread = right.withColumn(day, F.explode(F.sequence(F.date_sub(right_on, tolerance_days), F.date_add(right_on, tolerance_days))))
     gap = F.abs(F.datediff(right_on, left_on))
-    found = tagged.join(spread, F.col("__day") == F.col(left_on)).groupBy("__id", *left.columns).agg(F.min_by(F.struct(*right.columns), F.struct(gap, F.col(right_on))).alias("__m"))
-    return found.select(*left.columns, *(F.col(f"__m.{c}").alias(c) for c in right.columns))
+    found = tagged.join(spread, F.col(day) == F.col(left_on)).groupBy(row, *left.columns).agg(F.min_by(F.struct(*right.columns), F.struct(gap, F.col(right_on))).alias(m))
+    return found.select(*left.columns, *(F.col(f"{m}.{c}").alias(c) for c in right.columns))

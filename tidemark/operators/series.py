@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from .names import free_names
+
 
 def day_sequence(start: Column, stop: Column) -> Column:
     """Days from start to stop; none where stop comes first or either is null."""
@@ -29,18 +31,21 @@ def rolling_median(x: str, window: WindowSpec, n: int, least: int) -> Column:
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the last by `order`, which must be total for a stated result."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
+    (place,) = free_names(df.columns, "place")
+    return df.withColumn(place, F.row_number().over(window)).filter(F.col(place) == 1).drop(place)
 
 
 def durations(states: DataFrame, key: str, ts: str, end: Column, start: Column | None = None) -> DataFrame:
     """Adds `seconds` for which each state is in force: until the next of its key or `end`, clipped to `start` and `end`."""
     following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))
-    rows = states.withColumn("__to", F.least(F.coalesce(following, end), end)).withColumn("__from", F.col(ts) if start is None else F.greatest(F.col(ts), start))
-    return rows.filter("__to > __from").withColumn("seconds", (F.unix_micros("__to") - F.unix_micros("__from")) / 1e6)
+    since, until = free_names([*states.columns, "seconds"], "since", "until")
+    rows = states.withColumn(until, F.least(F.coalesce(following, end), end)).withColumn(since, F.col(ts) if start is None else F.greatest(F.col(ts), start))
+    return rows.filter(F.col(until) > F.col(since)).withColumn("seconds", (F.unix_micros(until) - F.unix_micros(since)) / 1e6).drop(since, until)
 
 
 def drop_repeats(df: DataFrame, columns: list[str], order: str, by: list[str] = ()) -> DataFrame:
     """Drops rows whose columns all equal the row before; the first row, which has none before, is dropped as well."""
     window = Window.partitionBy(*by).orderBy(order)
     moved = sum((F.coalesce(F.abs(F.col(c) - F.lag(c).over(window)), F.lit(0.0)) for c in columns), F.lit(0.0))
-    return df.withColumn("__moved", moved).filter("__moved <> 0").drop("__moved")
+    (changed,) = free_names(df.columns, "changed")
+    return df.withColumn(changed, moved).filter(F.col(changed) != 0).drop(changed)
