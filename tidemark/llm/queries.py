@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, gru_lm, licenses, media, ngram_join, pii, token_files, toxicity
+from . import bpe, centroids, chat, decontam, gru_lm, licenses, media, merkle, ngram_join, pii, quality, token_files, toxicity
 from .common import documents
 
 
@@ -60,6 +60,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.lm_scores(documents(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(documents(spark, sf_dir))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return report.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
