@@ -94,5 +94,47 @@ OP7 = f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
   CAST(sum(length({_ESCAPE.format(c="role")}) + length({_ESCAPE.format(c="text")}) + 20) AS BIGINT) AS formatted_chars, false AS rewritten FROM a GROUP BY conv_id"""
 
 
+_ROUND = """, d{n} AS (SELECT k.q, c.c, list_sum(list_transform(range(1, 65), lambda i: (k.q[i] - c.q[i]) * (k.q[i] - c.q[i]))) AS d FROM u k, c{n} c),
+  a{n} AS (SELECT q, CAST(arg_min(c, d * 64 + c) AS INTEGER) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM d{n} GROUP BY q)"""
+_STEP = """, s{n} AS (SELECT cluster, place, sum(m * x) AS s, sum(m) AS w FROM (SELECT cluster, m, unnest(q) AS x, unnest(range(1, 65)) AS place FROM a{n} JOIN u USING (q)) GROUP BY cluster, place),
+  g{n} AS (SELECT cluster, list(CAST((s - ((s % w) + w) % w) // w AS BIGINT) ORDER BY place) AS q FROM s{n} GROUP BY cluster), c{m} AS (SELECT c.c, coalesce(g.q, c.q) AS q FROM c{n} c LEFT JOIN g{n} g ON g.cluster = c.c)"""
+OP11 = f"""WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+  u AS (SELECT q, count(*) AS m FROM k GROUP BY q), f AS (SELECT q, row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c FROM k WHERE vec_id IS NOT NULL), c0 AS (SELECT c, q FROM f WHERE c < 16)
+  {"".join(_ROUND.format(n=n) + _STEP.format(n=n, m=n + 1) for n in range(3))}{_ROUND.format(n=3)},
+  i AS (SELECT cluster, CAST(sum(m * distance) AS BIGINT) AS cluster_inertia FROM a3 JOIN u USING (q) GROUP BY cluster)
+  SELECT vec_id, cluster, distance, cluster_inertia, (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM i) AS inertia, sha256(list_aggregate(c.q, 'string_agg', ',')) AS centroid_sha256 FROM k JOIN a3 USING (q) JOIN i USING (cluster) JOIN c3 c ON c.c = cluster"""
+
+
+def _tree(t: str, levels: int) -> str:
+    """SQL tables over t0 (tree, pos, node): t1, t2, … each of the digests of runs of eight of the one below, where a tree of
+    one node stays as it is, and for each the siblings to the left and right of every node, with the number of nodes."""
+    up, side = [], []
+    for k in range(levels):
+        up.append(f"{t}{k + 1} AS (SELECT tree, pos // 8 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {t}{k}) GROUP BY tree, pos // 8)")
+        own = "coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (WHERE b.pos {sign} a.pos), '')"
+        side.append(f"{t}s{k} AS (SELECT a.tree, a.pos, {own.format(sign='<')} AS l, {own.format(sign='>')} AS r, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {t}{k}) a JOIN {t}{k} b ON b.tree = a.tree AND b.pos // 8 = a.pos // 8 GROUP BY a.tree, a.pos)")
+    return ",\n  ".join(up + side)
+
+
+def _fold(t: str, first: str, levels: int, rows: str) -> str:
+    """SQL tables tf1, tf2, … of rows (doc_id, tree, pos, node, now, proof), in which now and proof go up one level each."""
+    steps = [f"{t}f{k + 1} AS (SELECT f.* EXCLUDE (now, proof), CASE WHEN s.n = 1 THEN now ELSE sha256(s.l || now || s.r) END AS now, proof || s.l || s.r AS proof FROM {first if not k else f'{t}f{k}'} f JOIN {t}s{k} s ON s.tree = f.{rows}tree AND s.pos = f.{rows}pos // {8**k})" for k in range(levels)]
+    return ",\n  ".join(steps)
+
+
+_FIELD = "coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+  lambda c, d: list_reduce(list_prepend(xor(c, d), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+#: Five levels hold 32,768 documents a language, two hold 64 languages.
+OP12 = f"""WITH h AS (SELECT coalesce('=' || lang, '-') AS tree, doc_id, {_LEAF.format(c="text")} AS node, {_LEAF.format(c=_LOW)} AS changed FROM documents),
+  a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM h),
+  {_tree("a", 5)}, b0 AS (SELECT 0 AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS pos, node FROM a5), {_tree("b", 2)},
+  af0 AS (SELECT doc_id, tree, pos, node, CASE WHEN coalesce({_CRC} % 3 = 0, false) THEN changed ELSE node END AS now, '' AS proof FROM a0), {_fold("a", "af0", 5, "")},
+  bf0 AS (SELECT f.*, 0 AS top_tree, b.pos AS top_pos, b.node AS subroot FROM af5 f JOIN b0 b ON b.name = f.tree), {_fold("b", "bf0", 2, "top_")}
+  SELECT doc_id, f.node AS leaf, subroot, b2.node AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = b2.node AS verified, f.pos AS leaf_index FROM bf2 f, b2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_join": OP6, "op7_chat_formatting": OP7}
+    return {"op6_ngram_join": OP6, "op7_chat_formatting": OP7, "op11_centroids": OP11, "op12_merkle": OP12}
