@@ -13,10 +13,10 @@ How many of them stand to the left of the path follows from the leaf's number an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import discard, ship, stored
@@ -110,24 +110,30 @@ def _block_roots(nodes: DataFrame, fanout: int, levels: int) -> DataFrame:
     return nodes.groupBy("tree", F.expr(f"at div {size}")).applyInPandas(run, "tree string, at long, n long, node string")
 
 
-def _with_upper(nodes: DataFrame, uppers: DataFrame, fanout: int, levels: int) -> DataFrame:
-    """Nodes with the columns of uppers (tree, at, proof, …) for their block, before whose proof their own siblings stand."""
+Add = tuple[str, Callable[[pd.DataFrame], dict[str, list]]]
+
+
+def _with_upper(nodes: DataFrame, uppers: DataFrame, fanout: int, levels: int, add: Add | None = None) -> DataFrame:
+    """Nodes with the columns of uppers (tree, at, proof, …) for their block, before whose proof their own siblings stand.
+    With add (schema, function), the function's columns of such a frame take the place of its proof."""
     size = fanout**levels
     carried = [c for c in uppers.columns if c not in ("tree", "at", "proof")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in [*nodes.schema.fields, *(uppers.schema[c] for c in ("proof", *carried))]]
+    typed = lambda f: f"`{f.name}` {f.dataType.simpleString()}"
+    fields = [*map(typed, nodes.schema.fields), *(typed(uppers.schema[c]) for c in carried), add[0] if add else "proof string"]
 
     def run(rows: pd.DataFrame, upper: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="block").sort_values("at")
         tree = collapse(rows["node"].tolist(), min(levels, depth(int(rows["n"].iat[0]), fanout)), fanout)
         above = upper["proof"].iat[0]
-        return rows.assign(proof=[siblings(tree, k, fanout) + above for k in range(len(rows))], **{c: upper[c].iat[0] for c in carried})
+        rows = rows.assign(**{c: upper[c].iat[0] for c in carried}, proof=[siblings(tree, k, fanout) + above for k in range(len(rows))])
+        return rows.drop(columns="proof").assign(**add[1](rows)) if add else rows
 
     blocks = nodes.withColumn("block", F.expr(f"at div {size}")).groupBy("tree", "block")
     return blocks.cogroup(uppers.withColumnRenamed("at", "block").groupBy("tree", "block")).applyInPandas(run, ", ".join(fields))
 
 
-def proofs(nodes: DataFrame, crown: Callable[[DataFrame], DataFrame], fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """nodes (tree, at, n, node, …) with their proof and the other columns that crown(roots) has.
+def proofs(nodes: DataFrame, crown: Callable[[DataFrame], DataFrame], fanout: int = FANOUT, levels: int = LEVELS, add: Add | None = None) -> DataFrame:
+    """nodes (tree, at, n, node, …) with their proof, or what add makes of it, and the other columns that crown(roots) has.
 
     roots is a row (tree, root) for each tree; crown adds `proof`, what stands above a root, and any columns that all nodes
     of the tree are to carry. The driver takes one step for each `levels` levels of the deepest tree.
@@ -141,20 +147,16 @@ def proofs(nodes: DataFrame, crown: Callable[[DataFrame], DataFrame], fanout: in
     upper = crown(steps[-1].select("tree", F.col("node").alias("root"))).withColumn("at", F.lit(0).cast("long"))
     for below in reversed(steps[1:-1]):
         upper = stored(_with_upper(below.select("tree", "at", "n", "node"), upper, fanout, levels).drop("n", "node"), "uppers")
-    return _with_upper(nodes, upper, fanout, levels)
+    return _with_upper(nodes, upper, fanout, levels, add)
 
 
-def manifest(docs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """doc_id, lang, leaf, changed, at, n, subroot, tree_at, trees, root, proof of every row of documents.
+def fold_up(node: str, proof: str, at: int, n: int, tree_at: int, trees: int, fanout: int = FANOUT) -> str:
+    """The root of all trees that follows from a leaf and its proof."""
+    subroot, rest = fold(node, proof, at, n, fanout)
+    return fold(subroot, rest, tree_at, trees, fanout)[0]
 
-    `changed` is the leaf of the same row with A-Z of its text in lower case. at and n are the row's place in its
-    language's tree and that tree's size, tree_at and trees the place of that tree and the number of all; the proof is
-    the siblings in the language's tree, then those of its subroot.
 
-    Nulls are values of their own: languages that are null are one tree, the first; ids that are null come first; rows of
-    one id are in the order of their leaves. Repeated rows are leaves of their own. An empty table gives no rows. Other
-    columns than doc_id, source, lang, n_chars and text are not read.
-    """
+def _leaves(docs: DataFrame, fanout: int, levels: int, add: Add | None) -> DataFrame:
     ship(docs.sparkSession)
     low = F.translate("text", _UPPER, _LOWER)
     # "-" sorts before "=", and after that languages sort by their bytes.
@@ -172,25 +174,23 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> Dat
         found = proofs(rows, top, fanout, levels)
         return stored(found.select(F.col("name").alias("tree"), "proof", F.col("node").alias("subroot"), F.col("at").alias("tree_at"), F.col("n").alias("trees"), "top"), "subroots")
 
-    rows = proofs(leaves, subroots, fanout, levels)
-    lang = F.when(F.col("tree") != "-", F.expr("substring(tree, 2)"))
-    named = {"leaf": "node", "root": "top"}
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), *(F.col(named.get(c, c)).alias(c) for c in ("leaf", "changed", "at", "n", "subroot", "tree_at", "trees", "root", "proof")))
+    rows = proofs(leaves, subroots, fanout, levels, add)
+    rows = rows.withColumn("lang", F.when(F.col("tree") != "-", F.expr("substring(tree, 2)"))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.withColumnsRenamed({"node": "leaf", "top": "root"})
 
 
-def folded(rows: DataFrame, leaf: str, fanout: int = FANOUT) -> DataFrame:
-    """rows of a manifest with folded_root: what the column `leaf` and the proof give for the root."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["folded_root string"])
+def manifest(docs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+    """doc_id, lang, leaf, changed, at, n, subroot, tree_at, trees, root, proof of every row of documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for node, proof, at, n, tree_at, trees in zip(*(batch.column(c).to_pylist() for c in (leaf, "proof", "at", "n", "tree_at", "trees")), strict=True):
-                subroot, rest = fold(node, proof, at, n, fanout)
-                found.append(fold(subroot, rest, tree_at, trees, fanout)[0])
-            yield batch.append_column("folded_root", pa.array(found, pa.string()))
+    `changed` is the leaf of the same row with A-Z of its text in lower case. at and n are the row's place in its
+    language's tree and that tree's size, tree_at and trees the place of that tree and the number of all; the proof is
+    the siblings in the language's tree, then those of its subroot.
 
-    return rows.mapInArrow(run, schema)
+    Nulls are values of their own: languages that are null are one tree, the first; ids that are null come first; rows of
+    one id are in the order of their leaves. Repeated rows are leaves of their own. An empty table gives no rows. Other
+    columns than doc_id, source, lang, n_chars and text are not read.
+    """
+    return _leaves(docs, fanout, levels, None).select("doc_id", "lang", "leaf", "changed", "at", "n", "subroot", "tree_at", "trees", "root", "proof")
 
 
 def tamper_report(docs: DataFrame, every: int = 3, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
@@ -199,7 +199,11 @@ def tamper_report(docs: DataFrame, every: int = 3, fanout: int = FANOUT, levels:
     Texts whose id's crc32 `every` divides are put into lower case after the manifest is made; folded_root is what their
     leaf then gives with the proof of the manifest. A row without id is never changed. See manifest() for hard rows.
     """
-    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % every == 0, F.lit(False))
-    rows = manifest(docs, fanout, levels).withColumn("now", F.when(changed, F.col("changed")).otherwise(F.col("leaf")))
-    rows = folded(rows, "now", fanout)
-    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), F.col("at").alias("leaf_index"))
+
+    def check(rows: pd.DataFrame) -> dict[str, list]:
+        now = [c if i is not None and zlib.crc32(i.encode()) % every == 0 else leaf for i, c, leaf in zip(rows["doc_id"], rows["changed"], rows["node"], strict=True)]
+        paths = zip(now, *(rows[c] for c in ("proof", "at", "n", "tree_at", "trees")), strict=True)
+        return {"proof_sha256": [digest(p) for p in rows["proof"]], "folded_root": [fold_up(*path, fanout) for path in paths]}
+
+    rows = _leaves(docs, fanout, levels, ("proof_sha256 string, folded_root string", check))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), F.col("at").alias("leaf_index"))
