@@ -240,104 +240,3 @@ def granger(v: Views) -> DataFrame:
         return stats.predictive_lags(frame[[f"{y}1", f"{y}2"]].to_numpy(float), frame[[f"{other}1", f"{other}2"]].to_numpy(float), frame[y].to_numpy(float), frame["month"].to_numpy())
 
     return _per(both, "direction", "direction string, wald double, p double, sum_cross double, se double", solve)
-
-
-FEATURES = ["gap", "last_change", "decay", "gap_decay"]
-SPECS = {"gap": ["gap"], "change": ["gap", "last_change"], "all": FEATURES}
-ALPHAS = (0.0, 1.0, 10.0, 100.0)
-
-
-def _features(v: Views) -> DataFrame:
-    decay = F.coalesce(F.exp(-F.datediff("day", F.lag("day").over(event_days())) / 3.0), F.lit(0.0))
-    rows = gap_rows(v).withColumn("decay", decay).withColumn("gap", F.col("k") - F.col("f")).withColumn("last_change", F.col("k") - F.lag("k").over(event_days()))
-    return rows.select("event", "day", (F.lead("k", 3).over(event_days()) - F.col("k")).alias("target"), F.lead("day", 3).over(event_days()).alias("target_day"), "gap", "last_change", "decay", (F.col("gap") * F.col("decay")).alias("gap_decay")).na.drop()
-
-
-def known_before(frame: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
-    """The rows whose targets were known before the first day to be predicted."""
-    return frame[frame["target_day"] < test["day"].min()]
-
-
-def _fold_predictions(v: Views) -> DataFrame:
-    """Expanding window: the rows of each week are predicted from rows whose targets were known before it began, for each
-    specification; alpha is tuned in the same way on the last week of the training rows."""
-    rows = _features(v).withColumn("week", F.weekofyear("day").cast("int"))
-    folds = rows.select(F.col("week").alias("fold")).distinct().filter("fold >= 3")  # as few as the weeks
-    specs = F.explode(F.array(*map(F.lit, SPECS))).alias("spec")
-    rows = rows.crossJoin(F.broadcast(folds)).filter("week <= fold").select("*", specs)
-    columns = ["spec", "week", "event", "day", "actual", "pred", "base", "alpha", "last_known"]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names, fold = SPECS[frame["spec"].iloc[0]], frame["fold"].iloc[0]
-        frame = frame.sort_values(["day", "event"])
-        test = frame[frame["week"] == fold]
-        if test.empty:
-            return pd.DataFrame(columns=columns)
-        train = known_before(frame, test)
-        if len(train) < 2:
-            return pd.DataFrame(columns=columns)
-        free = np.array([n == "gap" for n in names])
-        fit = lambda a, b, alpha: stats.Ridge.fit(a[names].to_numpy(), a["target"].to_numpy(), alpha, free).predict(b[names].to_numpy())
-        tune = train[train["week"] == train["week"].max()]
-        inner = known_before(train, tune)
-        errors = [((tune["target"] - fit(inner, tune, a)) ** 2).sum() for a in ALPHAS] if len(inner) > 5 else [0.0]
-        alpha = ALPHAS[int(np.argmin(errors))]
-        found = {"spec": frame["spec"].iloc[0], "week": fold, "event": test["event"], "day": test["day"].astype(str), "actual": test["target"], "pred": fit(train, test, alpha), "base": train["target"].mean(), "alpha": alpha, "last_known": str(train["target_day"].max())}
-        return pd.DataFrame(found)[columns]
-
-    return rows.groupBy("fold", "spec").applyInPandas(run, "spec string, week int, event long, day string, actual double, pred double, base double, alpha double, last_known string")
-
-
-@query("ridge_path", "M-10 M-11")
-def ridge_path(v: Views) -> DataFrame:
-    """Ridge coefficients over alphas, of standardised features, from cross-products summed in one pass; the gap isn't penalised."""
-    f = [F.col(n) for n in FEATURES]
-    rows = _features(v)
-    sums = rows.agg(*[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(f) for j, b in enumerate(f) if i <= j], *[F.covar_pop(a, "target").alias(f"y{i}") for i, a in enumerate(f)], F.count("*").alias("n"))
-
-    def run(frames):
-        for frame in frames:
-            for r in frame.to_dict("records"):
-                k = len(FEATURES)
-                xx = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) * r["n"]
-                xy = np.array([r[f"y{i}"] for i in range(k)]) * r["n"]
-                if not r["n"] or r["n"] < 2:
-                    continue
-                spread = np.sqrt(np.diag(xx) / (r["n"] - 1))
-                spread[spread == 0] = 1
-                xx, xy = xx / np.outer(spread, spread), xy / spread
-                one = stats.Moments(xx[None], xy[None], np.zeros(1), np.ones(1))
-                free = np.array([n == "gap" for n in FEATURES])
-                yield pd.DataFrame([{"alpha": a, "feature": n, "beta": float(b)} for a in ALPHAS[1:] for n, b in zip(FEATURES, one.solve(penalty=np.where(free, 0.0, a)), strict=True)])
-
-    return sums.mapInPandas(run, "alpha double, feature string, beta double")
-
-
-@query("expanding_window", "M-12 M-11")
-def expanding_window(v: Views) -> DataFrame:
-    return _fold_predictions(v)
-
-
-@query("oos_r2", "M-13")
-def oos_r2(v: Views) -> DataFrame:
-    e = lambda c: (F.col("actual") - F.col(c)) * (F.col("actual") - F.col(c))
-    hit = F.avg((F.signum("pred") == F.signum("actual")).cast("int"))
-    return _fold_predictions(v).groupBy("spec").agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum(e("pred")), F.sum(e("base")))).alias("r2"), hit.alias("hits"))
-
-
-@query("ablation_verdicts", "M-16 M-14 M-15")
-def ablation_verdicts(v: Views) -> DataFrame:
-    """Each specification against the smallest: Clark-West by event, adjusted over the specifications."""
-    p = _fold_predictions(v)
-    small = p.filter("spec = 'gap'").select("event", "day", F.col("pred").alias("small"))
-    pairs = p.filter("spec <> 'gap'").join(small, ["event", "day"])
-
-    def solve(frame: pd.DataFrame) -> dict:
-        frame = frame.sort_values(["event", "day"])
-        t, pv = stats.nested_gain(*(frame[c].to_numpy() for c in ("actual", "small", "pred", "event")))
-        return {"t": t, "p": pv}
-
-    rows = _per(pairs, "spec", "spec string, t double, p double", solve)
-    rank = F.row_number().over(Window.orderBy("p", "spec"))
-    adjusted = F.max((F.lit(len(SPECS)) - F.col("r")) * F.col("p")).over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("r", rank).withColumn("adjusted", F.least(adjusted, F.lit(1.0))).withColumn("keep", F.col("adjusted") < 0.05).drop("r")
