@@ -6,13 +6,13 @@ rarity. The order is cut into SLICES fragments. Documents of equal sets form a c
 representative. Candidates share a key among the rarest of both sets (prefix filter) and pass the length and position
 filters; for each candidate pair the overlap is counted fragment by fragment, and the parts are summed.
 
-More filters before any set is fetched: keys in no other prefix bound the overlap, a pair must share enough of its first
-keys, and the counts of keys in BINS hash bins, compared bin by bin, bound the overlap as well. A bucket in which many
-pairs are possible (many near copies of one text) is crowded. Its sets are ordered anew by the exact frequency of their
-shingles among themselves. For components they are first compared with central sets, those with most links and those with
-fewest keys of their own, and then only pairs in different components are left, as a pair within one can't change it: a
-bucket of one component is left out before the join, and in others the largest component is joined with the rest alone. So
-no link between components is lost, and a large group of near copies costs about its size, not its square.
+More filters before any set is fetched: keys in no other prefix bound the overlap, and of two prefixes all such keys of the one
+that ends first; a pair must share enough of its first keys; and the counts of keys in BINS hash bins, compared bin by bin,
+bound the overlap as well. For components every set is first compared with one central set in each of its buckets. Then
+only pairs in different components are left, as a pair within one can't change it: buckets of one component are left out
+before the join, keys shared within a component alone count as keys in no other prefix, and a bucket's largest component
+is joined with the rest alone. So no link between components is lost, and a large group of near copies costs about its
+size, not its square. Both steps are the same for buckets of any size; the rows of a bucket are dealt in blocks.
 
 Keys are 63 bits: two different shingles of one pair of documents share a key with a chance of about n^2 / 2^56.
 """
@@ -28,7 +28,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import free_name, id_and_text, pieces, raw_texts, spans_of, stored, tidy, word_lists
+from .common import discard, free_name, id_and_text, pieces, raw_texts, spans_of, stored, tidy, word_lists
 from .graph import connected_components
 
 SIZE = 3
@@ -36,8 +36,7 @@ COUNTERS = 1 << 15
 SHINGLE_COUNTERS, CHUNK = 1 << 20, 1 << 16
 SLICES = 8
 MEMO = 200_000
-ROUNDS = 8  # of comparing crowded buckets with their best-linked set
-CROWD = 1 << 20  # possible pairs from which a bucket is crowded, unless a caller says otherwise; results don't depend on it
+DEALT = 4096  # rows of a bucket in one block
 BINS = 256
 BITS = 1 << 21  # of the filter of wanted documents, whatever their number
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
@@ -150,7 +149,8 @@ def prefix_size(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
 
 
 def shingled(docs: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sig, bins, prefix) of every document: set size, digest of the set, keys in each hash bin, rarest keys."""
+    """(doc_id, text_hash, n, sig, bins, prefix) of every document: set size, digest of the set, keys in each hash bin, rarest
+    keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +161,15 @@ def shingled(docs: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame
                 sigs = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 counts = np.concatenate([np.minimum(np.bincount(s & (BINS - 1), minlength=BINS), 32767).astype(np.int16) for s in sets])
                 bins = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BINS, pa.int32()), pa.array(counts))
-                yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), sigs, bins, lists], ["doc_id", "n", "sig", "bins", "prefix"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), sigs, bins, lists], ["doc_id", "text_hash", "n", "sig", "bins", "prefix"])
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n long, sig binary, bins array<short>, prefix array<long>")
+    rows = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, n long, sig binary, bins array<short>, prefix array<long>")
+
+
+def text_hash() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, order: Broadcast) -> DataFrame:
@@ -220,10 +226,11 @@ def _may_link(nx: Column, ny: Column, px: Column, py: Column, dx: Column, dy: Co
 
 
 class Join:
-    """The steps of the join over one table of documents; everything large is a table in the shared folder."""
+    """The steps of the join over one table of documents; everything large is a table in the shared folder, which goes as soon
+    as its successor stands."""
 
-    def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE, crowd: int | None = None):
-        self.num, self.den, self.most = num, den, crowd or CROWD
+    def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE):
+        self.num, self.den = num, den
         self.docs = id_and_text(docs)
         self.order = docs.sparkSession.sparkContext.broadcast(estimate_order(self.docs, size))  # of a fixed size
         self.rows = stored(shingled(self.docs, self.order, num, den).withColumn("rid", F.monotonically_increasing_id()), "shingled")
@@ -232,18 +239,20 @@ class Join:
         heads = self.rows.join(self.classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
         spread = heads.select("rid", F.posexplode("prefix").alias("pos", "key"))
         shared = spread.join(spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "key")
-        # A key that only one prefix holds is in no set of a partner with a later shared key: d counts those before each row.
-        before = F.row_number().over(Window.partitionBy("rid").orderBy("pos")) - 1
-        ends = self.rows.select("rid", "n", F.try_element_at("prefix", F.lit(-1)).alias("last"))
-        rows = shared.withColumn("d", F.col("pos") - before).join(ends, "rid").select("key", "rid", "n", "pos", "d", "last", self._free())
-        self.buckets = stored(rows, "buckets")
+        ends = self.rows.select("rid", "n", F.size("prefix").alias("k"), F.try_element_at("prefix", F.lit(-1)).alias("last"))
+        self.buckets = stored(self._placed(shared.join(ends, "rid")), "buckets")
 
-    def _free(self) -> Column:
-        """Whether a row may have a partner as large as itself; without, it can only meet smaller sets."""
-        return ((F.col("n") - F.col("d")) * (self.den + self.num) >= F.col("n") * 2 * self.num).alias("free")
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """(key, rid, n, k, pos, last, …) with d, the keys of the prefix before pos that have no row, as no partner's prefix holds
+        them, and u, all such keys."""
+        own = Window.partitionBy("rid")
+        rows = rows.withColumn("d", F.col("pos") - F.row_number().over(own.orderBy("pos")) + 1).withColumn("u", F.col("k") - F.count("*").over(own))
+        return rows.withColumn("free", (F.col("n") - F.col("d")) * (self.den + self.num) >= F.col("n") * 2 * self.num)
 
     def _fit(self, raw: DataFrame) -> DataFrame:
-        return raw.filter(_may_link(*map(F.col, ("nx", "ny", "px", "py", "dx", "dy")), self.num, self.den))
+        """Pairs that pass the filters. Of two prefixes the one that ends first lies within the stretch that both cover."""
+        first = lambda a, b: (F.col(f"last_{a}") > F.col(f"last_{b}")) | ((F.col(f"n{a}") - F.col(f"u_{a}")) * (self.den + self.num) >= (F.col("nx") + F.col("ny")) * self.num)
+        return raw.filter(_may_link(*map(F.col, ("nx", "ny", "px", "py", "dx", "dy")), self.num, self.den) & first("x", "y") & first("y", "x"))
 
     @staticmethod
     def _ends(pairs: DataFrame) -> DataFrame:
@@ -253,23 +262,31 @@ class Join:
 
     @staticmethod
     def _side(name: str, rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("key", F.col("rid").alias(name), F.col("n").alias(f"n{name}"), F.col("pos").alias(f"p{name}"), F.col("d").alias(f"d{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
-
-    def _cross(self, rows: DataFrame) -> DataFrame:
-        """Pairs of a bucket's rows, in different components where rows have one. One of two sets is no larger than the other, so one is free."""
-        if "comp" not in rows.columns:
-            raw = self._side("x", rows.filter("free"), "last").join(self._side("y", rows, "last", "free"), "key")
-            return raw.filter("x <> y and (x < y or not free_y)").drop("free_y")
-        apart = self._apart(rows)
-        raw = self._side("x", apart.filter("not top"), "comp", "last", "free").join(self._side("y", apart, "comp", "last", "free", "top"), "key")
-        return raw.filter("comp_x <> comp_y and (top_y or x < y) and (free_x or free_y)").drop("free_x", "free_y", "top_y")
+        return rows.select("key", F.col("rid").alias(name), F.col("n").alias(f"n{name}"), F.col("pos").alias(f"p{name}"), F.col("d").alias(f"d{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("last", "u", *more)))
 
     @staticmethod
-    def _apart(rows: DataFrame) -> DataFrame:
+    def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The two sides of a self-join by key: one dealt over blocks, the other in every block of its key."""
+        held = rows.groupBy("key").agg(F.ceil(F.count("*") / DEALT).alias("blocks"))
+        rows = rows.join(held, "key")
+        return rows.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks")), rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def _cross(self, rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's rows that may link, in different components where rows have one. One of two sets is no larger than
+        the other, so one is free."""
+        parted = "comp" in rows.columns
+        more = ("free", *(("comp", "top") if parted else ()))
+        dealt, whole = self._blocks(rows)
+        x = self._side("x", dealt.filter("not top" if parted else "free"), *more, "block").withColumnRenamed("block_x", "block")
+        y = self._side("y", whole, *more, "block").withColumnRenamed("block_y", "block")
+        once = "comp_x <> comp_y and (top_y or x < y) and (free_x or free_y)" if parted else "x <> y and (x < y or not free_y)"
+        return self._fit(x.join(y, ["key", "block"]).filter(once))
+
+    def _apart(self, rows: DataFrame) -> DataFrame:
         """Rows of buckets with more than one component, with whether they are of the largest: those meet the others' only."""
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held")).groupBy("key")
         largest = sizes.agg(F.max_by("comp", F.struct("held", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("key", "most")
-        return rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most")
+        return self._placed(rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most", "d", "u", "free"))
 
     def _counted(self, raw: DataFrame) -> DataFrame:
         """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
@@ -278,7 +295,7 @@ class Join:
         # Which row is x changes from key to key of a pair, so both are named by their ids before keys are counted.
         low = F.col("x") < F.col("y")
         either = [(f"{c}{one}", F.when(low, F.col(f"{c}{u}")).otherwise(F.col(f"{c}{v}"))) for c in ("", "n", "last_") for one, u, v in (("a", "x", "y"), ("b", "y", "x"))]
-        named = self._fit(raw).select(*(c.alias(name) for name, c in either))
+        named = raw.select(*(c.alias(name) for name, c in either))
         c = named.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.min("last_a").alias("la"), F.min("last_b").alias("lb"))
         need = F.ceil((F.col("na") + F.col("nb")) * num / (den + num))
         head = lambda n: n - F.ceil(n * num / den) + 1
@@ -295,44 +312,23 @@ class Join:
         full = F.exists("x", lambda v: v == 32767)  # a count that didn't fit bounds nothing
         return both.filter(full | (most * (self.den + self.num) >= (F.col("na") + F.col("nb")) * self.num)).select("a", "b", "na", "nb")
 
-    def _fragments_of(self, rids: DataFrame) -> DataFrame:
-        wanted = self.classes.withColumnRenamed("rep", "rid").join(rids.distinct(), "rid").select("rid", F.col("first_id").alias("doc_id"), "sig")
-        return stored(_fragments(self.docs, wanted, self.order), "fragments")
-
-    def _links(self, pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-        return stored(_links(pairs, fragments, self.num, self.den).select("a", "b", "overlap"), "links")
-
-    def _reordered(self, crowd: DataFrame, fragments: DataFrame) -> DataFrame:
-        """New prefix rows of the sets in crowded buckets (rid, n): their keys are ordered by exact frequency among
-        these sets. What only one of them holds comes first and bounds its overlap with any other."""
-        num, den = self.num, self.den
-        keys = fragments.join(crowd, "rid").select("rid", "n", F.explode("keys").alias("key"))
-        ranked = keys.join(keys.groupBy("key").agg(F.count("*").alias("df")), "key")
-        by_rid = Window.partitionBy("rid")
-        enough = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-        ranked = ranked.withColumn("pos", F.row_number().over(by_rid.orderBy("df", "key")) - 1).withColumn("d", F.count_if(F.col("df") == 1).over(by_rid))
-        # The order as one number: frequency, then the first bits of the key. Equal numbers leave open which prefix ends first.
-        place = F.shiftleft(F.least("df", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftright("key", 20))
-        ranked = ranked.withColumn("last", F.max(F.when(F.col("pos") < enough, place)).over(by_rid))
-        rows = ranked.filter((F.col("pos") < enough) & (F.col("df") > 1) & ((F.col("n") - F.col("d")) * den >= F.col("n") * num))
-        return stored(rows.select("key", "rid", "n", "pos", "d", "last", self._free()), "crowd-rows")
-
-    @staticmethod
-    def _named(rows: DataFrame, crowd: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
-        """rows with the component and the number of links of their sets, looked up once for each set of the crowd."""
-        degree = edges.select(F.col("a").alias("rid")).unionByName(edges.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
-        state = crowd.select("rid").join(found, "rid", "left").join(degree, "rid", "left")
-        state = state.select("rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        return rows.drop("comp", "degree").join(state, "rid")
-
-    def _central_pairs(self, ranked: DataFrame, done: DataFrame, linked: bool) -> DataFrame:
-        """In each bucket one set is compared with the sets outside its component: the set with most links so far, or,
-        with linked false, of those without a link that with fewest keys of its own."""
-        best = F.struct("degree", -F.col("d"), -F.col("pos"), "rid") if linked else F.struct(F.col("degree") == 0, -F.col("d"), -F.col("pos"), "rid")
-        central = ranked.groupBy("key").agg(F.max_by(F.struct("rid", "n", "pos", "d", "comp"), best).alias("c"))
-        central = central.select("key", *(F.col(f"c.{c}").alias(a) for c, a in zip(("rid", "n", "pos", "d", "comp"), ("y", "ny", "py", "dy", "comp_y"), strict=True)))
-        pairs = self._side("x", ranked, "comp").join(central, "key").filter("comp_x <> comp_y")
-        return self._binned(self._ends(self._fit(pairs)).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, overlap) of the pairs (a, b, na, nb) that link. Sets are read again for those in a pair, and go when done."""
+        pairs = stored(self._binned(pairs), "pairs")
+        rids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+        wanted = self.classes.withColumnRenamed("rep", "rid").join(rids, "rid").select("rid", F.col("first_id").alias("doc_id"), "sig")
+        fragments = stored(_fragments(self.docs, wanted, self.order), "fragments")
+        found = stored(_links(pairs, fragments, self.num, self.den).select("a", "b", "overlap"), "links")
+        discard(pairs, fragments)
+        return found
+
+    def _stars(self) -> DataFrame:
+        """(a, b, na, nb): each row with its bucket's central row, that with the fewest keys that nobody else has before it."""
+        best = F.struct(-F.col("d"), -F.col("pos"), F.xxhash64("rid"))
+        central = self.buckets.groupBy("key").agg(F.max_by(F.struct("rid", "n", "pos", "d", "last", "u"), best).alias("c"))
+        names = zip(("rid", "n", "pos", "d", "last", "u"), ("y", "ny", "py", "dy", "last_y", "u_y"), strict=True)
+        central = central.select("key", *(F.col(f"c.{c}").alias(a) for c, a in names))
+        return self._ends(self._fit(self._side("x", self.buckets).join(central, "key").filter("x <> y")))
 
     @staticmethod
     def _components(edges: DataFrame) -> DataFrame:
@@ -342,32 +338,14 @@ class Join:
     def links(self, every: bool) -> tuple[DataFrame, DataFrame | None]:
         """(a, b, overlap) of linked representatives: every link, or enough of them to make the same components. With
         them the components (rid, comp), where they are known already."""
-        pairs = F.count_if("free") * F.count("*")
-        crowded = stored(self.buckets.groupBy("key").agg(pairs.alias("pairs")).filter(F.col("pairs") > self.most).select("key"), "crowded")
-        calm = stored(self._binned(self._counted(self._cross(self.buckets.join(crowded, "key", "left_anti")))), "pairs")
-        crowd = stored(self.buckets.join(crowded, "key", "left_semi").select("rid", "n").distinct(), "crowd")
-        ends = calm.select(F.col("a").alias("rid")).union(calm.select(F.col("b").alias("rid"))).union(crowd.select("rid"))
-        fragments = self._fragments_of(ends)
-        edges = self._links(calm, fragments)
-        if crowd.isEmpty():
-            return edges, None
-        rows, done, found, idle = self._reordered(crowd, fragments), calm, None, 0
-        for turn in range(0 if every else ROUNDS):
-            found = self._components(edges) if found is None else found
-            rows = stored(self._apart(self._named(rows, crowd, edges, found)).drop("top"), "crowd-rows")  # what is still to compare
-            pairs = stored(self._central_pairs(rows, done, turn % 2 == 0), "central-pairs")
-            more = self._links(pairs, fragments)
-            done = done.unionByName(pairs)
-            idle = idle + 1 if more.isEmpty() else 0
-            if not idle:
-                edges, found = stored(edges.unionByName(more), "links"), None
-            elif idle == 2:  # neither kind of central set finds more
-                break
-        if not every:
-            found = self._components(edges) if found is None else found
-            rows = self._named(rows, crowd, edges, found)
-        left = self._counted(self._cross(rows)).join(done.select("a", "b"), ["a", "b"], "left_anti")
-        more = self._links(stored(self._binned(left), "pairs"), fragments)
+        if every:
+            return self._linked(self._counted(self._cross(self.buckets))), None
+        edges = self._linked(self._stars())
+        found = stored(self._components(edges), "components")
+        named = self.buckets.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        rows = stored(self._apart(named), "apart")
+        more = self._linked(self._counted(self._cross(rows)))
+        discard(rows, self.buckets)
         return (edges, found) if more.isEmpty() else (edges.unionByName(more), None)
 
     def components(self) -> DataFrame:
@@ -383,13 +361,13 @@ class Join:
         return found.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "overlap")
 
 
-def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE, crowd: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id of an equal set) of every document.
 
     A text that is null or without words has no shingle and is its own component. A row without doc_id links with
     nothing and has a null component. Repeated rows are copies of each other. An empty table gives no rows.
     """
-    join = Join(docs, num, den, size, crowd)
+    join = Join(docs, num, den, size)
     first = join.classes.join(join.components(), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = first.join(least, "component").select("sig", F.col("first_id").alias("class_id"), "component_id")
@@ -398,16 +376,25 @@ def jaccard_components(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMIN
     return rows.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE, crowd: int | None = None) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id, and of its rows the one of the least hash
-    over all columns. Documents without doc_id all stay, and so do texts without words; an empty table stays empty. Columns
-    of any name stay as they are."""
-    keep = jaccard_components(docs, num, den, size, crowd).filter("doc_id = component_id").select(F.col("doc_id").alias(free_name("doc_id_", docs.columns))).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col(keep.columns[0]), "left_semi")
-    number = free_name("number", docs.columns)
-    window = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    kept = kept.withColumn(number, F.row_number().over(window)).filter(F.col(number) == 1).drop(number)
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+def keep_one(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
+    """docs with one row of each component: of those with the smallest doc_id, that of the least hash of its text, and of equal
+    texts the one of the least hash over all columns. So a text that links with nothing stays whatever its doc_id, and each
+    text without words stays once for each doc_id. Rows without doc_id all stay; an empty table stays empty. Columns of any
+    name stay as they are."""
+    join = Join(docs, num, den, size)
+    rows = join.rows.filter("doc_id is not null").select("doc_id", "text_hash", "n", "sig")
+    named = join.classes.join(join.components(), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    least = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    least = least.join(named, "sig").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    key, text, held = (free_name(c, docs.columns) for c in ("doc_id_", "text_hash_", "held"))
+    counts = rows.groupBy("doc_id", "text_hash").agg((F.count("*") > 1).alias(held), F.max("n").alias("n"))
+    kept = counts.join(least.withColumn("chosen", F.lit(True)), ["doc_id", "text_hash"], "left").filter("n = 0 or chosen")
+    kept = kept.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text), held)
+    found = docs.join(kept, (F.col("doc_id").cast("long") == F.col(key)) & (text_hash() == F.col(text)))
+    # Rows that share doc_id and text are reduced by an aggregation, of which each task passes on one row a key.
+    once = found.filter(f"not {held}").select(*docs.columns)
+    again = found.filter(held).groupBy(key, text).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(held)).select(f"{held}.*")
+    return once.unionByName(again).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def similar_pairs(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE) -> DataFrame:
