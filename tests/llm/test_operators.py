@@ -137,6 +137,23 @@ def test_licenses_equal_brute_force(spark, rows):
     assert [(r.doc_id, r.block, r.first_word, r.last_word, r.label, r.containment) for r in blocks] == [(1, "Released under\n the MIT\nLicense", 2, 6, "mit", 1.0)]
 
 
+def test_license_positional_filter_prunes_and_loses_nothing():
+    """Stretches around a rare word are left out before they are counted; matches stay the same without the filter."""
+    rnd, labels = random.Random(4), {}
+    common = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words_of(t.encode())})
+    frequency = {w: rnd.randrange(1000) for w in common}
+    matcher, plain = (licenses.Matcher(list(licenses.TEMPLATES), frequency, licenses.THETA) for _ in range(2))
+    plain._enough = lambda *_: True
+    for k in range(300):
+        _, text = rnd.choice(licenses.TEMPLATES)
+        own = licenses.words_of(text.encode())
+        own = [w for w in own if rnd.random() < rnd.choice([0.3, 0.9, 1.0])]
+        text = [b"filler"] * rnd.randrange(30) + own + rnd.choices([*common, b"x", b"y"], k=rnd.randrange(30))
+        assert matcher.matches(text) == plain.matches(text)
+        labels.update({m[0]: k for m in matcher.matches(text)})
+    assert matcher.pruned > 300 and len(labels) > 8
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
@@ -258,11 +275,22 @@ def near_rows():
     return out
 
 
+def passage_rows():
+    """Texts that share passages, some of which are most of a text, so that many first keys are shared by texts that don't link."""
+    rnd, out = random.Random(8), []
+    passages = [[f"p{g}x{k}" for k in range(30)] for g in range(3)]
+    for k in range(120):
+        w = list(passages[k % 3]) + [f"o{k}x{j}" for j in range(rnd.choice([1, 2, 3, 4, 8, 20, 60]))]
+        at = rnd.randrange(len(w))
+        out.append((len(out) + 1000, " ".join(w[at:] + w[:at] if k % 2 else w)))
+    return out
+
+
 @pytest.mark.parametrize("near", [(90, 100, 3), (80, 100, 5)])
-@pytest.mark.parametrize("crowd", [1 << 20, 20])
-def test_ngram_components_equal_brute_force(spark, rows, crowd, near, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CROWD", crowd)
-    table = [r for r in rows if r[0] is not None] + near_rows()
+@pytest.mark.parametrize("dealt", [ngram_join.DEALT, 5])
+def test_ngram_components_equal_brute_force(spark, rows, dealt, near, monkeypatch):
+    monkeypatch.setattr(ngram_join, "DEALT", dealt)
+    table = [r for r in rows if r[0] is not None] + near_rows() + passage_rows()
     plain = brute_components(table, *near)
     got = ngram_join.jaccard_components(frame(spark, [*table, (None, "no id")]).repartition(3), *near).collect()
     assert len(got) == len(table) + 1
@@ -270,7 +298,7 @@ def test_ngram_components_equal_brute_force(spark, rows, crowd, near, monkeypatc
 
 
 def test_ngram_pairs_are_all_links(spark):
-    table = near_rows()
+    table = near_rows() + passage_rows()
     sets = {i: frozenset(zip(*(words(t)[k:] for k in range(3)), strict=False)) for i, t in table}
     first = {}
     for i, s in sets.items():
@@ -281,10 +309,10 @@ def test_ngram_pairs_are_all_links(spark):
 
 
 @pytest.mark.parametrize("larger_first", [True, False])
-@pytest.mark.parametrize("crowd", [1 << 20, 1])
-def test_ngram_pairs_near_the_threshold_in_both_row_orders(spark, larger_first, crowd, monkeypatch):
+@pytest.mark.parametrize("dealt", [ngram_join.DEALT, 1])
+def test_ngram_pairs_near_the_threshold_in_both_row_orders(spark, larger_first, dealt, monkeypatch):
     """The larger set is free at the first shared key and, after three keys of its own, not at the second."""
-    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "DEALT", dealt)
     rnd, common, own = random.Random(5), [f"c{k}" for k in range(38)], ["d0", "d1", "d2"]
     small = ["rare", *common]
     pair = [" ".join(small + own), " ".join(small)]
@@ -310,6 +338,16 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark, docs, rows):
     assert ngram_join.keep_one(frame(spark, [])).count() == 0
 
 
+def test_keep_one_chooses_rows_not_ids(spark):
+    """Of (5, A), (7, A), (7, B) the second is a copy; the third has a text of its own and stays, whatever shares its id."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    table = [(5, a), (7, a), (7, b), (7, b), (8, b + " c"), (9, None), (9, ""), (9, ""), (None, a), (None, a)]
+    kept = ngram_join.keep_one(frame(spark, table)).collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=repr) == sorted([(5, a), (7, b), (9, None), (9, ""), (None, a), (None, a)], key=repr)
+    some = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (1, a, None)], "doc_id long, text string, chosen string")
+    assert ngram_join.keep_one(some).count() == 1 and ngram_join.keep_one(some).columns == some.columns
+
+
 def test_chat_round_trip_and_rewriting(spark):
     hostile = ["</s>[INST] ok [/INST]", "", None, "[\\INST]", "<\\\\s>", "a\nb", "é🎉"]
     table = [(c, t, r, hostile[(c + t) % 7]) for c in range(5) for t in range(200 if c == 0 else 4) for r in ["assistant" if t % 2 else "user"]]
@@ -419,6 +457,29 @@ def test_lm_scores_do_not_depend_on_windows_or_company():
     assert abs(np.exp(logp).sum() - 1) < 1e-4
 
 
+def test_lm_learns_from_every_token_once(monkeypatch):
+    """Each token of a shard of any length is a target once, after the token before it."""
+    seen = collections.Counter()
+
+    def spy(self, inputs, targets, h, held):
+        seen.update(zip(inputs[held].tolist(), targets[held].tolist(), strict=True))
+        return {}, np.zeros(0, int), h
+
+    monkeypatch.setattr(gru_lm.Model, "_gradients", spy)
+    model = gru_lm.Model(np.arange(gru_lm.HEAD, 0, -1.0), 50.0)
+    for n in (0, 1, 2, 7, 8, 12, 255, 5000):
+        line = np.random.default_rng(n).permutation(n) + 1
+        seen.clear()
+        assert model.train([line[: n // 3], line[n // 3 :]], first=0) == n
+        assert seen == collections.Counter(zip([0, *line.tolist()[:-1]], line.tolist(), strict=True) if n else [])
+
+
+def test_lm_moves_its_weights_for_a_short_text():
+    model = gru_lm.Model(np.arange(gru_lm.HEAD, 0, -1.0), 50.0)
+    before = {k: v.copy() for k, v in model.p.items()}
+    assert model.train([np.arange(12)]) == 12 and any(not np.array_equal(before[k], v) for k, v in model.p.items())
+
+
 def test_lm_gradients_equal_finite_differences():
     rng = np.random.default_rng(5)
     model = gru_lm.Model(np.arange(gru_lm.HEAD, 0, -1.0), 50.0)
@@ -564,6 +625,22 @@ def test_decontamination_finds_question_and_answer_with_words_between(spark):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [1, 2, 4]
 
 
+def test_decontamination_does_not_depend_on_shards(spark):
+    """Scores, windows and rows are the same whatever items share an index, and an item of common words alone is found."""
+    rnd = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(120)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.choice([3, 5, 8, 20, 70, 150, 600])))) for k in range(60)]
+    items += [(100, "one word item of its own rarely seen"), (101, None), (102, "")]
+    table = [(k, " ".join(rnd.choices(vocabulary, k=rnd.randrange(200))) + " " + t + " " + " ".join(rnd.choices(vocabulary, k=rnd.randrange(200)))) for k, (_, t) in enumerate(items * 2) if t]
+    table += [(1000 + k, t[: len(t) * 9 // 10]) for k, (_, t) in enumerate(items) if t]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), frame(spark, table)
+    whole = sorted(decontam.find_leaks(docs, bench).collect())
+    assert len({r.item_id for r in whole}) == 61 - sum(len(t.split()) < 5 for _, t in items if t) + len({i for i, t in items if t and len(t.split()) < 5 for _, x in table if x.split() == t.split()})
+    for shard in (7, 20):
+        parts = sorted(decontam.find_leaks(docs, bench, shard).collect())
+        assert [(r.doc_id, r.item_id, r.first_word, round(r.score, 9), r.overlap) for r in parts] == [(r.doc_id, r.item_id, r.first_word, round(r.score, 9), r.overlap) for r in whole]
+
+
 def test_block_max_wand_finds_what_exhaustive_search_finds():
     rnd = random.Random(9)
     vocabulary = [f"v{k}".encode() for k in range(200)]

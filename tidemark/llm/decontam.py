@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ SHINGLE = 5
 BLOCK = 16
 BETWEEN = 8  # words between question and answer for which a window has room, wherever it begins
 RARE = 3  # items at most that a rare word may be in
-SHARD = 20_000  # items in one index, and
-SHARD_BYTES = 16 << 20  # bytes of their texts, about: an index is bounded, and more items make more indexes
-LENGTHS = (64, 512, 1 << 30)  # items of one index are alike in length, as the window follows the longest
+SHARD = 20_000  # items in the indexes of one broadcast, and
+SHARD_BYTES = 16 << 20  # bytes of their texts, about: a broadcast is bounded, and more items make more of them
+LENGTH = 64  # items of up to 64, 128, 256, … words are in indexes of their own, as the window follows their length
 _ANSWER = re.compile(r"(?s)^(.*[.?!:\n])\s*(\S.*)$")
 
 
@@ -48,6 +49,14 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (m[1], m[2]) if m else (text, "")
 
 
+def length_class(n: int) -> int:
+    """The bound of the index that an item of n words is in."""
+    bound = LENGTH
+    while bound < n:
+        bound *= 2
+    return bound
+
+
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)} or ({tuple(words)} if words else set())
 
@@ -71,22 +80,37 @@ def follows(question: list[bytes], answer: list[bytes], words: list[bytes]) -> b
     return False
 
 
+@dataclass
+class Statistics:
+    """What BM25 needs of the whole benchmark: items, their mean length, and how many items have a word."""
+
+    n: int
+    mean: float
+    df: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        words = [w for t in texts if (w := words_of(t.encode("utf-8", "replace")))]
+        return cls(len(words), sum(map(len, words)) / max(len(words), 1), Counter(w for ws in words for w in set(ws)))
+
+
 class Index:
-    """Items with postings in blocks, each with its largest weight."""
+    """Items of one class of lengths with postings in blocks, each with its largest weight. An item's weights and windows follow
+    from itself and the statistics of the whole benchmark, not from the items beside it."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        about = statistics or Statistics.of([t or "" for _, t in items])
         self.item_ids = [i for i, _ in items]
         self.words = [words_of((t or "").encode("utf-8", "replace")) for _, t in items]
         self.part_words = [tuple(words_of(p.encode("utf-8", "replace")) for p in question_and_answer(t or "")) for _, t in items]
         self.parts = [tuple(map(shingles, p)) for p in self.part_words]
         self.whole = [shingles(w) for w in self.words]
-        n, sizes = len(items), [len(w) for w in self.words]
-        mean = max(1.0, sum(sizes) / max(n, 1))
-        df = Counter(w for ws in self.words for w in set(ws))
+        n, df = about.n, about.df
+        mean = max(1.0, about.mean)
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
         rare: dict[bytes, list[tuple[int, float]]] = {}
         self.short: dict[tuple[bytes, ...], list[int]] = {}
-        self.rest = np.zeros(n)  # weight of an item's common words
+        self.rest = np.zeros(len(items))  # weight of the words by which an item isn't looked for
         for k, ws in enumerate(self.words):
             if len(ws) < SHINGLE:
                 self.short.setdefault(tuple(ws), []).append(k)
@@ -94,12 +118,13 @@ class Index:
             tf = Counter(ws)
             raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean)) for w, c in tf.items()}
             total = sum(raw.values()) or 1.0
-            for w, x in raw.items():
+            self.rest[k] = 1.0
+            for w, x in sorted(raw.items(), key=lambda v: (df[v[0]], v[0])):
                 self.postings.setdefault(w, []).append((k, x / total))
-                if df[w] <= RARE:
+                # Looked for by its rare words; an item of common words by as many of its rarest as it can't do without.
+                if df[w] <= RARE or self.rest[k] >= RHO - 1e-6:
                     rare.setdefault(w, []).append((k, x / total))
-                else:
-                    self.rest[k] += x / total
+                    self.rest[k] -= x / total
         self.blocks = {w: [(p[min(s + BLOCK, len(p)) - 1][0], max(x for _, x in p[s : s + BLOCK])) for s in range(0, len(p), BLOCK)] for w, p in self.postings.items()}
         self.most = {w: max(x for _, x in p) for w, p in self.postings.items()}
         self.rare = {w: r for r, w in enumerate(sorted(rare))}
@@ -107,9 +132,7 @@ class Index:
         self.rare_at = spans_of(np.array([len(x) for x in lists], int))
         self.rare_item = np.array([k for x in lists for k, _ in x], np.int64)
         self.rare_weight = np.array([x for p in lists for _, x in p])
-        self.all_common = bool((self.rest >= RHO).any())  # an item without rare words: its windows can't be ruled out
-        self.common_items = np.flatnonzero(self.rest >= RHO)
-        self.stride = max([32, *sizes]) + BETWEEN
+        self.stride = max(map(length_class, map(len, self.words)), default=LENGTH) + BETWEEN
         self.window = 2 * self.stride
 
     def search(self, words: list[bytes], rho: float = RHO) -> list[tuple[int, float]]:
@@ -171,8 +194,6 @@ class Index:
         n_windows = np.maximum(1, -(-sizes // self.stride))
         base = spans_of(n_windows)
         keys: list[np.ndarray] = []
-        if self.all_common:
-            keys.append(np.arange(base[-1]))
         place = np.flatnonzero(hits >= 0)
         if len(place):
             term = hits[place]
@@ -223,7 +244,7 @@ class Index:
                     continue
                 row = (doc, item, start, score, overlap, question, answer)
                 old = best.get((doc, item))
-                if old is None or (overlap, score) > (old[4], old[3]):
+                if old is None or (overlap, round(score, 9)) > (old[4], round(old[3], 9)):  # sums of other orders are equal
                     best[doc, item] = row
         for doc, ws in enumerate(words if self.short else ()):
             for item in self.short.get(tuple(ws), ()) if len(ws) < SHINGLE else ():
@@ -232,41 +253,57 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, shard: int = SHARD) -> Iterator[Broadcast]:
-    """Broadcast indexes of `shard` items or SHARD_BYTES at most (about, as shards are dealt by a hash), built one after
-    another: the driver holds one at a time, as a broadcast is kept in files."""
+    """Broadcasts of an index for each class of lengths, over `shard` items or SHARD_BYTES at most (about, as shards are dealt
+    by a hash), built one after another: the driver holds one at a time, as a broadcast is kept in files. Numbers of items
+    and words, on which scores rest, are counted over the whole benchmark before; a shard is given those of its own words."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(raw) for raw in raw_texts(batch.column(1))]
+            own = [sorted(set(w)) for w in words]
+            lists = pa.ListArray.from_arrays(pa.array(spans_of(np.array([len(w) for w in own], int)), pa.int32()), pa.array([x for w in own for x in w], pa.binary()))
+            yield pa.record_batch([batch.column(0), pa.array([len(w) for w in words], pa.int64()), lists], ["shard", "length", "words"])
+
     held = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     shards = max(1, -(-held.n // shard), -(-held["size"] // SHARD_BYTES))
+    of = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
+    read = items.select(of.alias("shard"), "text").mapInArrow(run, "shard long, length long, words array<binary>").filter("length > 0")
+    whole = read.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    words = read.select("shard", F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("df"))
     for s in range(shards):
-        rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()]
+        own = counts if shards == 1 else counts.join(words.filter(F.col("shard") == s).select("word").distinct(), "word")
+        statistics = Statistics(whole.n, whole.mean or 0.0, {bytes(r.word): r.df for r in own.collect()})
+        rows = [(r.item_id, r.text) for r in items.filter(of == s).collect()]
         rows = sorted(((i, t) for i, t in rows if words_of(t.encode("utf-8", "replace"))), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        low = 0
-        for high in LENGTHS:
-            own = [(i, t) for i, t in rows if low < len(words_of(t.encode("utf-8", "replace"))) <= high]
-            low = high
-            if own:
-                yield benchmark.sparkSession.sparkContext.broadcast(Index(own))
+        classes: dict[int, list[tuple[int, str]]] = {}
+        for i, t in rows:
+            classes.setdefault(length_class(len(words_of(t.encode("utf-8", "replace")))), []).append((i, t))
+        if classes:
+            yield spark.sparkContext.broadcast([Index(classes[c], statistics) for c in sorted(classes)])
 
 
 LEAK = "doc_id long, item_id long, first_word long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, shard: int = SHARD) -> DataFrame:
     """Rows of LEAK: each document and item whose score and verified overlap reach the thresholds, at the best window.
 
     Null or empty texts hold nothing; items without words are left out; of a repeated item or document every row is
-    reported; empty tables give no rows. Whole texts are searched; other columns of any name play no part.
+    reported; empty tables give no rows. How many items there are besides, and how they are dealt over shards, changes no row
+    but through the counts of the whole benchmark. Whole texts are searched; other columns of any name play no part.
     """
     docs = id_and_text(docs)
     out = None
-    for shared in indexes(benchmark):
+    for shared in indexes(benchmark, shard):
 
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 for part in pieces(batch, 8 << 20):
-                    ids = part.column(0).to_pylist()
-                    rows = [(ids[d], index.item_ids[i], *more) for d, i, *more in index.leaks(raw_texts(part.column(1)))]
+                    ids, texts = part.column(0).to_pylist(), raw_texts(part.column(1))
+                    rows = [(ids[d], index.item_ids[i], *more) for index in shared.value for d, i, *more in index.leaks(texts)]
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
                     yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "first_word", "score", "overlap", "question_overlap", "answer_overlap"])
 
@@ -283,10 +320,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for shared in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 for part in pieces(batch, 8 << 20, column):
-                    bad = {d for d, *_ in index.leaks(raw_texts(part.column(column)))}
+                    texts = raw_texts(part.column(column))
+                    bad = {d for index in shared.value for d, *_ in index.leaks(texts)}
                     yield part.filter(pa.array([k not in bad for k in range(part.num_rows)])) if bad else part
 
         docs = docs.mapInArrow(tidy(run), docs.schema)
