@@ -111,22 +111,27 @@ class Model:
                 out[rows] += inner[np.arange(len(rows)), target[rows] % IN_CLASS] - np.log(np.exp(inner).sum(1))
         return out
 
-    def train(self, sequences: list[np.ndarray], streams: int | None = None, window: int = 16, rate: float = 0.01) -> int:
-        """Truncated backpropagation over `window` tokens in parallel streams, once over all sequences; the state outlives
-        the window, the gradient doesn't. Returns the number of tokens. Weights move by Adam, input rows when they occur.
-        A stream has 2,048 tokens or more; there are 8 to 256."""
-        # A document follows another in its stream; its first input is the end token, id 0 or wherever END is.
+    def train(self, sequences: list[np.ndarray], streams: int | None = None, window: int = 16, rate: float = 0.01, first: int = 0) -> int:
+        """Truncated backpropagation over `window` tokens in parallel streams; the state outlives the window, the gradient
+        doesn't. Every token of every sequence is a target once. Returns their number. Weights move by Adam, input rows when
+        they occur. More streams make wider products, and a stream should be long beside its window, so there are as many
+        as leave each 2,048 tokens, 8 at least and 256 at most. first: the input before the first token."""
+        # A document follows another in its stream; a stream's first input is the token before it, the end for the first.
         line = np.concatenate([np.zeros(0, np.int64), *sequences])
+        if not len(line):
+            return 0
         streams = streams or max(8, min(256, len(line) // 2048))
-        length = len(line) // streams
-        if length < 2:
-            return len(line)
-        grid = line[: streams * length].reshape(streams, length).T
+        streams = min(streams, len(line))
+        ends = np.arange(1, streams + 1) * len(line) // streams  # streams differ by one token at most
+        starts = np.concatenate(([0], ends[:-1]))
+        place = starts + np.arange((ends - starts).max())[:, None]
+        held = place < ends
+        targets = line[np.minimum(place, len(line) - 1)]
+        inputs = np.concatenate(([first], line))[np.minimum(place, len(line) - 1)]
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         t, h = 0, np.zeros((streams, STATE), np.float32)
-        for at in range(0, length - 1, window):
-            stop = min(at + window, length - 1)
-            grads, rows, h = self._gradients(grid[at:stop], grid[at + 1 : stop + 1], h)
+        for at in range(0, len(place), window):
+            grads, rows, h = self._gradients(inputs[at : at + window], targets[at : at + window], h, held[at : at + window])
             t += 1
             step = rate / (1 + t / 400) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
             for k, g in grads.items():
@@ -139,15 +144,17 @@ class Model:
                 self.p[k][own] -= step * m / (np.sqrt(v) + 1e-7)
         return len(line)
 
-    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
-        """Gradients of the mean loss, that of "x" for the rows returned beside them; and the last state."""
+    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, held: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Gradients of the mean loss over the targets that are held (all, unless told otherwise), that of "x" for the rows
+        returned beside them; and the last state."""
         steps, before = [], []
         for ids in inputs:
             before.append(h)
             h, *rest = self.step(ids, h)
             steps.append((h, *rest))
         n_steps, n = inputs.shape
-        scale = np.float32(1 / (n_steps * n))
+        held = np.ones(n_steps * n, bool) if held is None else held.ravel()
+        scale = (held / np.float32(max(1, held.sum()))).astype(np.float32)[:, None]
         hs = np.concatenate([s[0] for s in steps])
         target = targets.ravel()
         cls = np.minimum(target // IN_CLASS, TAIL)
@@ -166,7 +173,7 @@ class Model:
                 inner = np.exp(own @ self.p["wi"][c] + self.p["bi"][c])
                 inner /= inner.sum(1, keepdims=True)
                 inner[np.arange(len(rows)), target[rows] % IN_CLASS] -= 1
-                inner *= scale
+                inner *= scale[rows]
                 g["wi"][c], g["bi"][c] = own.T @ inner, inner.sum(0)
                 dh_out[rows] += inner @ self.p["wi"][c].T
         dh_out = dh_out.reshape(n_steps, n, STATE)
@@ -311,7 +318,7 @@ def _averaged(rows: DataFrame, shards: int) -> DataFrame:
     return some.mapInArrow(tidy(run), _WEIGHTS).repartition(1).sortWithinPartitions("place").mapInArrow(tidy(run), _WEIGHTS)
 
 
-def _train(encoded: DataFrame, model: Model, shards: int) -> None:
+def _train(encoded: DataFrame, model: Model, shards: int, first: int) -> None:
     """Sets the model's weights to what all rows of `encoded` outside the held-out fold teach; see the module's text."""
     context, names = encoded.sparkSession.sparkContext, sorted(model.p)
     flat = lambda p: np.concatenate([p[k].ravel() for k in names]).astype(np.float64).tobytes()
@@ -336,7 +343,7 @@ def _train(encoded: DataFrame, model: Model, shards: int) -> None:
                 for k, ranks in zip(batch.column(0).to_pylist(), _rows_of(batch.column(1)), strict=True):
                     if k != shard or size > SHARD_TOKENS:  # a crowded shard is learned in parts
                         if held:
-                            n += own.train(held)
+                            n += own.train(held, first=first)
                             held, size = [], 0
                         if k != shard:
                             if shard is not None:
@@ -345,7 +352,7 @@ def _train(encoded: DataFrame, model: Model, shards: int) -> None:
                     held.append(_model_ids(ranks.astype(np.int64)))
                     size += len(ranks)
             if shard is not None:
-                n += own.train(held)
+                n += own.train(held, first=first)
                 yield row()
 
         dealt = rows.filter(F.col("round") == r).repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ranks")
@@ -382,8 +389,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, shard_tokens:
     source = docs.select("doc_id", fold.alias("held_out"), F.xxhash64("doc_id", "text").alias("h"), "text")
     encoded = stored(_encoded(source, words, end).withColumn("row", F.monotonically_increasing_id()), "lm-encoded")
     model = Model(known_c[:HEAD], tail_mass)
-    _train(encoded, model, max(1, -(-n_tokens // shard_tokens)))
     first = int(_model_ids(np.array([end]))[0])
+    _train(encoded, model, max(1, -(-n_tokens // shard_tokens)), first)
     log_mass, log_tail = np.log10(mass), np.log10(max(tail_mass, 0.5))
     shared = spark.sparkContext.broadcast((log_c, model))  # KNOWN numbers and a model of fixed size
 
