@@ -4,9 +4,10 @@ A template T matches a block B when |T n B| >= theta * |T| over their distinct w
 The blocks of a text for T are all its windows of consecutive words, a quarter longer than T, so a template is found in
 any layout of lines, and words that stand far apart don't add up. Every word of the templates has a global rank: how many
 documents hold it, rarest first. Sorted by it, a window can only match if it holds one of the first
-|T| - ceil(theta |T|) + 1 words of T (prefix filter), so only windows around those are looked at; if the words of T from
-the first shared one on are enough (positional filter); and if the stretch has enough words of T at all (length filter).
-What is left is counted exactly, word by word. So every window that meets the threshold is found, for every template.
+|T| - ceil(theta |T|) + 1 words of T (prefix filter), so only windows around those are looked at. Such a stretch of windows is
+put in the global order too: from its first word shared with T on, both T and the stretch must have enough words left
+(positional filter), and the stretch must have enough words of T at all (length filter). What is left is counted exactly,
+word by word. So every window that meets the threshold is found, for every template.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -74,9 +76,12 @@ class Matcher:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], theta: float):
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
         self.sets: list[tuple[str, list[bytes], int, int]] = []  # label, words by rank, words needed, words of a window
+        vocabulary = sorted({w for _, text in templates for w in words_of(text.encode())}, key=lambda w: (frequency.get(w, 0), w))
+        self.words, self.rank = vocabulary, {w: k for k, w in enumerate(vocabulary)}
+        self.pruned = 0  # stretches that the positional filter left out
         for label, text in templates:
             words = words_of(text.encode())
-            tokens = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
+            tokens = sorted(set(words), key=self.rank.__getitem__)
             if not tokens:
                 continue
             need = max(1, math.ceil(theta * len(tokens) - 1e-9))
@@ -92,9 +97,9 @@ class Matcher:
             return []
         near: dict[int, list[int]] = {}  # places of prefix words, by template
         for at, w in enumerate(words):
-            for t, place in self.prefixes.get(w, ()):
-                if len(self.sets[t][1]) - place >= self.sets[t][2]:  # position: the words before a first shared one are missing
-                    near.setdefault(t, []).append(at)
+            for t, _ in self.prefixes.get(w, ()):
+                near.setdefault(t, []).append(at)
+        ranks = np.fromiter((self.rank.get(w, -1) for w in words), np.int64, len(words))
         found = []
         for t, places in near.items():
             label, tokens, need, width = self.sets[t]
@@ -102,15 +107,26 @@ class Matcher:
             for p in places:  # a window that matches holds one of these places
                 if stretches and p - width + 1 <= stretches[-1][1]:
                     stretches[-1][1] = p + width
+                    stretches[-1][2] = min(stretches[-1][2], ranks[p])
                 else:
-                    stretches.append([max(0, p - width + 1), p + width])
+                    stretches.append([max(0, p - width + 1), p + width, ranks[p]])
             number = self.numbers[t]
-            for low, high in stretches:
+            for low, high, first in stretches:
+                if not self._enough(ranks[low:high], int(first), t):
+                    self.pruned += 1
+                    continue
                 hits = [(k, number[w]) for k, w in enumerate(words[low:high], low) if w in number]
                 if len(hits) >= need:
                     found += [(label, a, b, best / len(tokens)) for a, b, best in _runs(hits, need, width)]
         return found
 
+    def _enough(self, block: np.ndarray, first: int, t: int) -> bool:
+        """Positional filter: what template and block can share from their first shared word on, by rank. Words before it in
+        either are missing from the other."""
+        _, tokens, need, _ = self.sets[t]
+        left = len(np.unique(block[block >= first]))
+        return min(left, len(tokens) - self.numbers[t][self.words[first]]) >= need
+
 
 def _runs(hits: list[tuple[int, int]], need: int, width: int) -> list[tuple[int, int, int]]:
     """(first, last, most distinct) of runs of overlapping windows of `width` words with `need` distinct hits or more."""
