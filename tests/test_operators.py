@@ -114,13 +114,6 @@ def test_two_sided_p(spark):
     assert abs(got[0].p - 0.05) < 1e-6 and got[1].p is None
 
 
-def test_logit_fails_on_separation_and_clusters_may_not_span():
-    x = np.column_stack([np.ones(6), np.arange(6.0)])
-    assert stats.Logit(x, np.array([0, 0, 0, 1, 1, 1.0]), np.arange(6)).fit() is None
-    with pytest.raises(ValueError):
-        stats.regimes(np.zeros(2), np.full(2, 0.5), np.array([1, 1]), np.array([0, 1]))
-
-
 def test_chi2():
     assert abs(stats.chi2_tail_even(5.991465, 2) - 0.05) < 1e-6
 
@@ -138,61 +131,6 @@ def test_ols_cluster_equals_the_sandwich_by_hand():
     assert np.allclose(se, np.sqrt(np.diag(12 / 11 * 59 / 58 * inv @ meat @ inv)))
 
 
-def test_bootstrap_is_seeded():
-    s = np.arange(12.0).reshape(6, 2)
-    f = lambda t: t[1] / t[0]
-    assert np.array_equal(stats.cluster_bootstrap(s, f, 20, 3), stats.cluster_bootstrap(s, f, 20, 3))
-
-
-def test_logit_recovers_its_coefficients_and_weighs_clusters_like_copies():
-    rng = np.random.default_rng(2)
-    z, g = rng.normal(size=4000), np.repeat(np.arange(200), 20)
-    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.3 + 0.8 * z)))).astype(float)
-    model = stats.Logit(stats.with_intercept(z), y, g)
-    beta = model.fit()
-    assert np.allclose(beta, [0.3, 0.8], atol=0.15)
-    times = stats.multiplicities(200, 1, 5)[0]
-    rows = np.concatenate([np.flatnonzero(g == k) for k in range(200) for _ in range(int(times[k]))])
-    assert np.allclose(model.fit(times), stats.Logit(stats.with_intercept(z[rows]), y[rows], g[rows]).fit(), atol=1e-8)
-    found = stats.calibration(y, 1 / (1 + np.exp(-z)), g, draws=200)
-    assert 0 < found["p_b"] < 0.05 and found["b_low"] < found["b"] < found["b_high"] and found["boot_ok"] == 1
-    mu = 1 / (1 + np.exp(-(stats.with_intercept(z) @ beta)))
-    bread, d = np.linalg.inv((stats.with_intercept(z).T * (mu * (1 - mu))) @ stats.with_intercept(z)), stats.with_intercept(z)
-    meat = sum(np.outer(u, u) for k in range(200) for u in [d[g == k].T @ (y - mu)[g == k]])
-    assert np.allclose(model.covariance(beta), 200 / 199 * bread @ meat @ bread)
-
-
-def test_regimes_differ_where_the_slope_changes():
-    rng = np.random.default_rng(3)
-    f, g = rng.uniform(0.05, 0.95, 4000), np.repeat(np.arange(100), 40)
-    after, z = (g >= 50).astype(float), np.log(f / (1 - f))
-    y = (rng.random(4000) < 1 / (1 + np.exp(-np.where(after, 0.2, 1.0) * z))).astype(float)
-    found = stats.regimes(y, f, g, after, draws=200)
-    assert found["b_high"] < 0 and found["joint_p"] < 0.05 and found["a_low"] < 0 < found["a_high"]
-
-
-def test_ridge_and_nested_gain():
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(300, 2)) * [1, 50]
-    y = 3 + x @ [2, 0.1] + rng.normal(size=300)
-    free = np.array([True, False])
-    assert np.allclose(stats.Ridge.fit(x, y, 0.0, free).predict(x), np.column_stack([np.ones(300), x]) @ np.linalg.lstsq(np.column_stack([np.ones(300), x]), y, rcond=None)[0])
-    heavy = stats.Ridge.fit(x, y, 1e9, free)
-    assert abs(heavy.beta[1]) < 1e-3 < abs(heavy.beta[0])
-    t, p = stats.nested_gain(y, np.full(300, y.mean()), stats.Ridge.fit(x, y, 1.0, free).predict(x), np.repeat(np.arange(30), 10))
-    assert t > 3 and p < 0.01
-
-
-def test_training_rows_know_their_targets_before_the_test_begins():
-    import pandas as pd
-
-    from tidemark.plans.evaluation import known_before
-
-    frame = pd.DataFrame({"day": pd.date_range("2024-01-01", periods=20), "target_day": pd.date_range("2024-01-04", periods=20)})
-    test = frame[frame["day"] >= "2024-01-15"]
-    assert known_before(frame, test)["target_day"].max() < test["day"].min() and len(known_before(frame, test)) == 11
-
-
 def test_predictive_lags_find_the_leading_series():
     rng = np.random.default_rng(6)
     lead = rng.normal(size=2000)

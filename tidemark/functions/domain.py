@@ -79,16 +79,25 @@ def bucket_probability(x: Column, low: Column, high: Column) -> Column:
 
 
 def isotonic_decreasing(points: Column) -> Column:
-    """Weighted non-increasing least-squares fit of an array of {x, p, w} in order: min over a <= i of max over b >= i
-    of the weighted mean of a..b."""
+    """Weighted non-increasing least-squares fit of an array of {x, p, w} in order, by pooling: one fold of 2n steps over a stack
+    of blocks, each of which merges the last two blocks if they rise, and else takes the next point."""
     n = F.size(points)
-
-    def mean(a: Column, b: Column) -> Column:
-        part = F.slice(points, a, b - a + 1)
-        top = F.aggregate(part, F.lit(0.0), lambda s, t: s + t["p"] * t["w"])
-        return top / F.aggregate(part, F.lit(0.0), lambda s, t: s + t["w"])
-
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.transform(F.sequence(F.lit(1), i), lambda a: F.array_max(F.transform(F.sequence(i, n), lambda b: mean(a, b))))))
+    block = lambda s, w, k: F.struct(s.alias("s"), w.alias("w"), k.alias("k"))
+    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<struct<s:double,w:double,k:int>>").alias("blocks"))
+
+    def step(acc: Column, _: Column) -> Column:
+        blocks, i = acc["blocks"], acc["i"]
+        held = F.size(blocks)
+        last, above = F.get(blocks, held - 1), F.get(blocks, held - 2)
+        rises = F.coalesce((held > 1) & (above["s"] / above["w"] < last["s"] / last["w"]), F.lit(False))
+        merged = F.concat(F.slice(blocks, 1, F.greatest(held - 2, F.lit(0))), F.array(block(above["s"] + last["s"], above["w"] + last["w"], above["k"] + last["k"])))
+        point = F.get(points, i)
+        pushed = F.concat(blocks, F.array(block(point["p"].cast("double") * point["w"], point["w"].cast("double"), F.lit(1))))
+        more = F.struct((i + 1).alias("i"), pushed.alias("blocks"))
+        return F.when(rises, F.struct(i.alias("i"), merged.alias("blocks"))).when(i < n, more).otherwise(acc)
+
+    pooled = F.aggregate(F.sequence(F.lit(1), 2 * F.greatest(n, F.lit(1))), start, step, lambda acc: acc["blocks"])
+    return F.flatten(F.transform(pooled, lambda b: F.array_repeat(b["s"] / b["w"], b["k"])))
 
 
 #: A rational approximation of the complementary error function, right to 1.2e-7 of its value everywhere.

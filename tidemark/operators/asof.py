@@ -10,12 +10,14 @@ from .names import free_names
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, strict: bool = False, how: str = "inner", bucket: Column | None = None, order: list[str] = ()) -> DataFrame:
     """Each left row with the latest right row of its keys at or before its time (strict: before).
 
-    The latest row is taken whole: nulls inside it stay null. Right columns named like left ones must be renamed before;
-    `by` names are shared. Of right rows at one time, the last by `order` wins. With how="left", rows without a match
-    keep nulls. bucket: a function of a time column, such as its day; then windows run within (keys, bucket) and the last right
+    The latest row is taken whole: nulls inside it stay null. A right column named like a left one is an error; `by` names are
+    shared. Rows with a null key or time match nothing. Of right rows at one time, the last by `order` wins. With how="left",
+    rows without a match keep nulls. bucket: a function of a time column, such as its day; then windows run within (keys, bucket) and the last right
     row of earlier buckets is carried in, so one hot key is spread over its buckets.
     """
-    names = [c for c in right.columns if c not in by]
+    names = _right_names(left, right, by)
+    right = right.filter(_known([*by, right_on]))
+    unmatched, left = left.filter(~_known([*by, left_on])), left.filter(_known([*by, left_on]))
     t, side, l, r, m, b, before_in = free_names(by, "t", "side", "l", "r", "m", "b", "before")
     empty_l = F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType)
     empty_r = F.lit(None).cast(right.select(F.struct(*names).alias("x")).schema["x"].dataType)
@@ -38,13 +40,28 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     rows = rows.filter(f"{l} is not null")
     if how == "inner":
         rows = rows.filter(f"{m} is not null")
-    return rows.select(f"{l}.*", *(F.col(f"{m}.{c}").alias(c) for c in names))
+    found = rows.select(f"{l}.*", *(F.col(f"{m}.{c}").alias(c) for c in names))
+    return found if how == "inner" else found.unionByName(unmatched, allowMissingColumns=True)
+
+
+def _known(columns: list[str]) -> Column:
+    return F.forall(F.array(*(F.col(c).isNotNull() for c in columns)), lambda x: x)
+
+
+def _right_names(left: DataFrame, right: DataFrame, by: list[str]) -> list[str]:
+    """The right columns that join the left ones."""
+    names = [c for c in right.columns if c not in by]
+    held = {c.lower() for c in left.columns}
+    if clash := [c for c in names if c.lower() in held]:
+        raise ValueError(f"rename the right columns {clash}: the left side has them too")
+    return names
 
 
 def asof_small(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, forward: bool = False, strict: bool = False, how: str = "inner") -> DataFrame:
-    """The same by an equi-join and max_by (min_by for the next row after), for a left side of a few rows a key."""
+    """The same by an equi-join and max_by (min_by for the next row after), for a left side of a few rows a key. Rows with a
+    null key or time match nothing here either."""
     compare = {(False, False): "<=", (False, True): "<", (True, False): ">=", (True, True): ">"}[forward, strict]
-    names = [c for c in right.columns if c not in by]
+    names = _right_names(left, right, by)
     row, m = free_names([*left.columns, *right.columns], "row", "m")
     tagged = left.withColumn(row, F.monotonically_increasing_id())
     inside = F.expr(f"{right_on} {compare} {left_on}")

@@ -35,6 +35,13 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn(place, F.row_number().over(window)).filter(F.col(place) == 1).drop(place)
 
 
+def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: that with the greatest `order`, columns that must be total for a stated result. An aggregation, so
+    each task passes on one row of a key and a hot key's rows never meet. Rows that are null in `order` come before all others."""
+    (row,) = free_names(df.columns, "row")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias(row)).select(f"{row}.*")
+
+
 def durations(states: DataFrame, key: str, ts: str, end: Column, start: Column | None = None) -> DataFrame:
     """Adds `seconds` for which each state is in force: until the next of its key or `end`, clipped to `start` and `end`."""
     following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))

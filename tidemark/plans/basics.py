@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions import domain as D
 from tidemark.operators import series as S
+from tidemark.operators.checks import enforced, failures
+from tidemark.operators.ranges import exact_quantiles
 
 from .adapters import Views
-from .panels import EOD, FORECAST_USES, FORECASTS, R, end_of_day, forecasts
+from .panels import EOD, FORECAST_USES, FORECASTS, R, end_of_day, forecasts, open_minutes
 from .registry import query
 
 DAY = lambda c="day": F.col(c).cast("string").alias("day")
@@ -79,8 +81,8 @@ def basic_aggs(v: Views) -> DataFrame:
 
 @query("quantiles_linear", "A-5 A-4", "SELECT l_shipmode, round(q[1], 6) AS lo, round(q[2], 6) AS mid, round(q[3], 6) AS hi FROM (SELECT l_linenumber AS l_shipmode, quantile_cont(l_extendedprice, [0.025, 0.5, 0.975]) AS q FROM lineitem GROUP BY 1)")
 def quantiles_linear(v: Views) -> DataFrame:
-    q = F.percentile("l_extendedprice", F.array(*map(F.lit, (0.025, 0.5, 0.975))))
-    return v.table("lineitem").groupBy(F.col("l_linenumber").alias("l_shipmode")).agg(q.alias("q")).select("l_shipmode", *(R(F.col("q")[i]).alias(n) for i, n in enumerate(("lo", "mid", "hi"))))
+    rows = v.table("lineitem").select(F.col("l_linenumber").alias("l_shipmode"), "l_extendedprice")
+    return exact_quantiles(rows, ["l_shipmode"], "l_extendedprice", [0.025, 0.5, 0.975]).select("l_shipmode", *(R(f"q{i}").alias(n) for i, n in enumerate(("lo", "mid", "hi"))))
 
 
 @query("distinct_rows", "A-10", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -173,7 +175,7 @@ def rank_terciles(v: Views) -> DataFrame:
 @query("top_quantile", "O-5", "SELECT o_orderkey FROM orders WHERE o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.97) FROM orders)")
 def top_quantile(v: Views) -> DataFrame:
     o = v.table("orders")
-    bound = o.agg(F.percentile("o_totalprice", F.lit(0.97)).alias("bound"))
+    bound = exact_quantiles(o, [], "o_totalprice", [0.97]).select(F.col("q0").alias("bound"))  # a row
     return o.join(F.broadcast(bound), F.col("o_totalprice") >= F.col("bound")).select("o_orderkey")
 
 
@@ -226,16 +228,15 @@ def resample_15min(v: Views) -> DataFrame:
     return v.quotes.groupBy(F.window("ts", "15 minutes").alias("w")).agg(F.count("*").alias("n"), F.max_by("quote_id", F.struct("ts", "quote_id")).alias("last")).select(F.unix_seconds("w.start").alias("start"), "n", "last")
 
 
-@query("session_minutes", "U-12 U-13 U-14", """WITH m AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-09 23:59:00', INTERVAL 1 MINUTE)) AS u), l AS (SELECT u, u - INTERVAL 5 HOUR AS t FROM m),
-  o AS (SELECT * FROM l WHERE hour(t) <> 17 AND NOT (isodow(t) = 6) AND NOT (isodow(t) = 5 AND hour(t) >= 17) AND NOT (isodow(t) = 7 AND hour(t) < 18))
+SESSIONS = """sp AS (SELECT date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) + INTERVAL 1 DAY - INTERVAL 1 MINUTE AS b FROM events), l AS (SELECT u, u - INTERVAL 5 HOUR AS t FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS u FROM sp)),
+  o AS (SELECT * FROM l WHERE hour(t) <> 17 AND NOT (isodow(t) = 6) AND NOT (isodow(t) = 5 AND hour(t) >= 17) AND NOT (isodow(t) = 7 AND hour(t) < 18))"""
+
+
+@query("session_minutes", "U-12 U-13 U-14", f"""WITH {SESSIONS}
   SELECT strftime(CAST(t + INTERVAL 6 HOUR AS DATE), '%Y-%m-%d') AS session, count(*) AS minutes, count(*) FILTER (WHERE minute(t) % 5 = 0 AND hour(t) BETWEEN 9 AND 15) AS us FROM o GROUP BY 1""")
 def session_minutes(v: Views) -> DataFrame:
-    minutes = v.spark.sql("select explode(sequence(timestamp '2024-01-05 00:00:00', timestamp '2024-01-09 23:59:00', interval 1 minute)) as u")
-    t, rows = F.col("t"), minutes.withColumn("t", F.from_utc_timestamp("u", D.ET))
-    day, hour = F.weekday(t), F.hour(t)
-    is_open = (hour != 17) & (day != 5) & ~((day == 4) & (hour >= 17)) & ~((day == 6) & (hour < 18))
-    us = (F.minute(t) % 5 == 0) & hour.between(9, 15)
-    return rows.filter(is_open).groupBy(F.to_date(t + F.expr("interval 6 hours")).cast("string").alias("session")).agg(F.count("*").alias("minutes"), F.count_if(us).alias("us"))
+    us = (F.minute("t") % 5 == 0) & F.hour("t").between(9, 15)
+    return open_minutes(v).groupBy(F.col("session").cast("string").alias("session")).agg(F.count("*").alias("minutes"), F.count_if(us).alias("us"))
 
 
 EDGES = [*D.edges(0.05)]
@@ -381,4 +382,26 @@ def scan_sink_roundtrip(v: Views) -> DataFrame:
 
 @query("eod_wide", "U-4 W-13", f"WITH {EOD} SELECT strftime(day, '%Y-%m-%d') AS day, round(max(mid) FILTER (WHERE ticker = 1), 6) AS t1, round(max(mid) FILTER (WHERE ticker = 2), 6) AS t2 FROM eod WHERE ticker IN (1, 2) GROUP BY day", "contracts quotes")
 def eod_wide(v: Views) -> DataFrame:
-    return end_of_day(v).filter(F.col("ticker").isin(1, 2)).groupBy("day").pivot("ticker", [1, 2]).agg(R(F.max("mid"))).select(DAY(), F.col("1").alias("t1"), F.col("2").alias("t2"))
+    return end_of_day(v, "ticker IN (1, 2)").groupBy("day").pivot("ticker", [1, 2]).agg(R(F.max("mid"))).select(DAY(), F.col("1").alias("t1"), F.col("2").alias("t2"))
+
+
+# name: (table, the condition in both languages)
+CHECKS = {
+    "order key known": ("orders", "o_orderkey IS NOT NULL"), "order price positive": ("orders", "o_totalprice > 0"), "order day known": ("orders", "o_orderdate IS NOT NULL"),
+    "order status listed": ("orders", "o_orderstatus IN ('F', 'O', 'P')"), "line quantity in range": ("lineitem", "l_quantity BETWEEN 1 AND 50"), "line discount in range": ("lineitem", "l_discount BETWEEN 0 AND 0.1"),
+    "line tax small": ("lineitem", "l_tax < 0.08"), "line number in range": ("lineitem", "l_linenumber BETWEEN 1 AND 7"), "event value positive": ("events", "value > 0"), "event time known": ("events", "ts IS NOT NULL"),
+    "event type listed": ("events", "event_type IN ('click', 'error', 'purchase', 'signup', 'view')"), "event has properties": ("events", "props LIKE '{%}'"),
+}
+
+
+@query("data_checks", "F-14 F-11", " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) FILTER (WHERE NOT coalesce({c}, false)) AS failures FROM {table}" for name, (table, c) in CHECKS.items()))
+def data_checks(v: Views) -> DataFrame:
+    """How many rows of each table break each assertion, one pass a table."""
+    parts = [failures(v.table(t), {name: F.expr(c) for name, (of, c) in CHECKS.items() if of == t}) for t in ("orders", "lineitem", "events")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("checked_trades", "F-14", "SELECT trade_id, round(price, 6) AS price FROM trades WHERE price > 0 AND price < 1", "trades")
+def checked_trades(v: Views) -> DataFrame:
+    """Trades whose price is a probability: a row that isn't would stop the query."""
+    return enforced(v.trades, {"price above 0": F.col("price") > 0, "price below 1": F.col("price") < 1}).select("trade_id", R("price").alias("price"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions import domain as D, stats
+from tidemark.operators import logit, resample
+from tidemark.operators.ranges import numbered
 
 from .adapters import Views
 from .basics import MONTHLY, by_day, monthly
@@ -33,7 +35,7 @@ def gap_panel(v: Views) -> DataFrame:
     return gap_rows(v).select("event", F.col("day").cast("string").alias("day"), "n", "usable", R(F.col("k") - F.col("f"), 4).alias("gap"))
 
 
-@query("matched_panel", "D-30 A-13 T-8", f"WITH {GAP}, b AS (SELECT CASE WHEN date_diff('day', day, DATE '2024-01-30') <= 7 THEN 'week' WHEN date_diff('day', day, DATE '2024-01-30') <= 14 THEN 'fortnight' ELSE 'month' END AS band, k, f FROM gp WHERE f IS NOT NULL) SELECT band, count(*) AS n, round(avg(k - f), 4) AS diff, round(avg(abs(k - f)), 4) AS abs_diff, round(corr(k, f), 5) AS cor FROM b GROUP BY band", USES)
+@query("matched_panel", "D-30 A-13", f"WITH {GAP}, b AS (SELECT CASE WHEN date_diff('day', day, DATE '2024-01-30') <= 7 THEN 'week' WHEN date_diff('day', day, DATE '2024-01-30') <= 14 THEN 'fortnight' ELSE 'month' END AS band, k, f FROM gp WHERE f IS NOT NULL) SELECT band, count(*) AS n, round(avg(k - f), 4) AS diff, round(avg(abs(k - f)), 4) AS abs_diff, round(corr(k, f), 5) AS cor FROM b GROUP BY band", USES)
 def matched_panel(v: Views) -> DataFrame:
     out = F.datediff(F.lit("2024-01-30").cast("date"), "day")
     band = F.when(out <= 7, "week").when(out <= 14, "fortnight").otherwise("month")
@@ -93,7 +95,7 @@ CLUSTERED = f"""{FORECASTS}, b AS (SELECT regr_slope(y, p) AS b1, regr_intercept
   s AS (SELECT event, sum(y - b0 - b1 * p) AS s0, sum(p * (y - b0 - b1 * p)) AS s1 FROM forecasts, b GROUP BY event), m AS (SELECT count(*) AS g, sum(s0 * s0) AS m00, sum(s0 * s1) AS m01, sum(s1 * s1) AS m11 FROM s)"""
 
 
-@query("ols_cluster", "M-6 A-20 M-8", f"WITH {CLUSTERED} SELECT round(b1, 6) AS slope, round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 2.0) * (sx * sx * m00 - 2 * n * sx * m01 + n * n * m11)) / (n * sxx - sx * sx), 6) AS se, g FROM b, m", FORECAST_USES)
+@query("ols_cluster", "M-6 A-20", f"WITH {CLUSTERED} SELECT round(b1, 6) AS slope, round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 2.0) * (sx * sx * m00 - 2 * n * sx * m01 + n * n * m11)) / (n * sxx - sx * sx), 6) AS se, g FROM b, m", FORECAST_USES)
 def ols_cluster(v: Views) -> DataFrame:
     """Clustered standard error of a slope from sums alone: X'X from one pass, score sums of each cluster from another."""
     rows = forecasts(v).select("event", "p", "y")
@@ -108,7 +110,7 @@ def ols_cluster(v: Views) -> DataFrame:
 CLOSING = " UNION ALL ".join(f"SELECT {h} AS h, k - f AS gap, lead(k, {h}) OVER (PARTITION BY event ORDER BY day) - k AS dk, lead(f, {h}) OVER (PARTITION BY event ORDER BY day) - f AS df FROM gp" for h in (1, 3, 5))
 
 
-@query("closing_slopes", "M-9 M-7", f"WITH {GAP}, u AS ({CLOSING}), s AS (SELECT h, count(*) AS n, (count(*) * sum(dk * gap) - sum(dk) * sum(gap)) / (count(*) * sum(gap * gap) - pow(sum(gap), 2)) AS b, (count(*) * sum(df * gap) - sum(df) * sum(gap)) / (count(*) * sum(gap * gap) - pow(sum(gap), 2)) AS d FROM u WHERE dk IS NOT NULL AND df IS NOT NULL AND gap IS NOT NULL GROUP BY h) SELECT h, n, round(b, 5) AS b, round(d, 5) AS d, round(b / (b - d), 4) AS share FROM s", USES)
+@query("closing_slopes", "M-9", f"WITH {GAP}, u AS ({CLOSING}), s AS (SELECT h, count(*) AS n, (count(*) * sum(dk * gap) - sum(dk) * sum(gap)) / (count(*) * sum(gap * gap) - pow(sum(gap), 2)) AS b, (count(*) * sum(df * gap) - sum(df) * sum(gap)) / (count(*) * sum(gap * gap) - pow(sum(gap), 2)) AS d FROM u WHERE dk IS NOT NULL AND df IS NOT NULL AND gap IS NOT NULL GROUP BY h) SELECT h, n, round(b, 5) AS b, round(d, 5) AS d, round(b / (b - d), 4) AS share FROM s", USES)
 def closing_slopes(v: Views) -> DataFrame:
     ahead = F.array(*[F.struct(F.lit(h).alias("h"), (F.lead("k", h).over(event_days()) - F.col("k")).alias("dk"), (F.lead("f", h).over(event_days()) - F.col("f")).alias("df")) for h in (1, 3, 5)])
     rows = gap_rows(v).withColumn("s", ahead).select((F.col("k") - F.col("f")).alias("gap"), F.inline("s")).na.drop()
@@ -129,7 +131,7 @@ def holm(v: Views) -> DataFrame:
     return r.select("h", R("p").alias("p"), R(F.least(adjusted, F.lit(1.0))).alias("adjusted"))
 
 
-@query("clark_west", "M-14 M-13", f"WITH {FORECASTS}, g AS (SELECT event, pow(y - 0.5, 2) - (pow(y - p, 2) - pow(0.5 - p, 2)) AS f, pow(y - 0.5, 2) AS e0, pow(y - p, 2) AS e1 FROM forecasts), a AS (SELECT avg(f) AS m, count(*) AS n, 1 - sum(e1) / sum(e0) AS r2 FROM g), s AS (SELECT sum(f - m) AS s FROM g, a GROUP BY event) SELECT round(m / (sqrt((SELECT sum(s * s) FROM s)) / n), 5) AS t, round(r2, 6) AS r2 FROM a", FORECAST_USES)
+@query("clark_west", "M-14", f"WITH {FORECASTS}, g AS (SELECT event, pow(y - 0.5, 2) - (pow(y - p, 2) - pow(0.5 - p, 2)) AS f, pow(y - 0.5, 2) AS e0, pow(y - p, 2) AS e1 FROM forecasts), a AS (SELECT avg(f) AS m, count(*) AS n, 1 - sum(e1) / sum(e0) AS r2 FROM g), s AS (SELECT sum(f - m) AS s FROM g, a GROUP BY event) SELECT round(m / (sqrt((SELECT sum(s * s) FROM s)) / n), 5) AS t, round(r2, 6) AS r2 FROM a", FORECAST_USES)
 def clark_west(v: Views) -> DataFrame:
     p, y = F.col("p"), F.col("y")
     rows = forecasts(v).select("event", ((y - 0.5) * (y - 0.5) - ((y - p) * (y - p) - (p - 0.5) * (p - 0.5))).alias("f"), ((y - 0.5) * (y - 0.5)).alias("e0"), D.brier(p, y).alias("e1"))
@@ -138,12 +140,6 @@ def clark_west(v: Views) -> DataFrame:
     return a.crossJoin(s).select(R(F.col("m") / (F.sqrt("ss") / F.col("n")), 5).alias("t"), R("r2").alias("r2"))
 
 
-@query("calibration_curve", "M-21 X-9", "SELECT round(i / 100.0, 2) AS f, round(1 / (1 + exp(-(0.2 + 0.8 * ln((i / 100.0) / (1 - i / 100.0))))), 6) AS p FROM range(1, 100) t(i)")
-def calibration_curve(v: Views) -> DataFrame:
-    f = F.col("id") / 100.0
-    return v.spark.range(1, 100).select(F.round(f, 2).alias("f"), R(1 / (1 + F.exp(-(F.lit(0.2) + 0.8 * D.logit(f))))).alias("p"))
-
-
 # Errors are summed as whole numbers of 1e-9, and events' means of 1e-12, so no sum depends on the order of its terms.
 @query("accuracy_by_horizon", "M-18 A-16", f"WITH {FORECASTS}, e AS (SELECT event, h, CAST(round(CAST(sum(CAST(round(abs(p - y) * 1e9) AS BIGINT)) AS DOUBLE) / count(*) * 1e3) AS BIGINT) AS a FROM forecasts GROUP BY event, h) SELECT h, count(*) AS events, round(CAST(sum(a) AS DOUBLE) / (count(*) * 1e12), 6) AS mae, round(avg(a) / (stddev_samp(a) / sqrt(count(*))), 4) AS t FROM e GROUP BY h", FORECAST_USES)
 def accuracy_by_horizon(v: Views) -> DataFrame:
@@ -160,6 +156,11 @@ ENCOMPASSING = """x AS (SELECT event, h, y - q AS e, p - q AS d FROM forecasts W
 def encompassing(v: Views) -> DataFrame:
     """What the normalised forecast misses on what the quoted one says beyond it, for each horizon, clustered by event."""
     x = forecasts(v).filter("q is not null").select("h", "event", (F.col("y") - F.col("q")).alias("e"), (F.col("p") - F.col("q")).alias("d"))
+    return encompassing_table(x)
+
+
+def encompassing_table(x: DataFrame) -> DataFrame:
+    """(h, n, slope, se) of e on d for each h, clustered by event."""
     b = x.groupBy("h").agg(F.count("*").alias("n"), F.sum("d").alias("sd"), F.sum(F.col("d") * F.col("d")).alias("sdd"), F.regr_slope("e", "d").alias("b1"), F.regr_intercept("e", "d").alias("b0"))
     rest = F.col("e") - F.col("b0") - F.col("b1") * F.col("d")
     s = x.join(b.select("h", "b0", "b1"), "h").groupBy("h", "event").agg(F.sum(rest).alias("s0"), F.sum(F.col("d") * rest).alias("s1"))
@@ -169,7 +170,7 @@ def encompassing(v: Views) -> DataFrame:
     return b.join(m, "h").filter("g > 1 and n > 2").select("h", "n", R("b1", 5).alias("slope"), R(F.sqrt(meat) / (F.col("n") * F.col("sdd") - F.col("sd") * F.col("sd")), 5).alias("se"))
 
 
-# Iterative and seeded statistics: a worker solves one specification; the panel holds one row an event, day or document.
+# Iterative and seeded statistics: draws are picked by hashes, which SQL picks as well.
 
 
 def _per(rows: DataFrame, key: str, schema: str, solve) -> DataFrame:
@@ -186,45 +187,83 @@ def _forecast_panel(v: Views) -> DataFrame:
     return forecasts(v).select("h", "event", "ticker", F.col("y").cast("double").alias("y"), D.clip(F.col("p"), 0.005, 0.995).alias("p"))
 
 
+def _log_odds(v: Views) -> DataFrame:
+    return _forecast_panel(v).select("h", "event", "y", D.logit(F.col("p")).alias("z"))
+
+
 @query("logit_calibration", "M-1 M-2 M-3 X-11")
 def logit_calibration(v: Views) -> DataFrame:
-    def solve(frame: pd.DataFrame) -> dict:
-        frame = frame.sort_values(["event", "ticker"])
-        return stats.calibration(*(frame[c].to_numpy() for c in ("y", "p", "event")))
+    return logit.calibration(_log_odds(v), "h", "event")
+
+
+LOG_ODDS = f"""{FORECASTS}, lo AS (SELECT h, event, CAST(y AS DOUBLE) AS y, ln(least(greatest(p, 0.005), 0.995) / (1 - least(greatest(p, 0.005), 0.995))) AS z FROM forecasts),
+  pr AS (SELECT *, 1 / (1 + exp(-z)) AS c FROM lo), sc AS (SELECT h, event, sum(y - c) AS s0, sum(z * (y - c)) AS s1, sum(c * (1 - c)) AS i00, sum(z * c * (1 - c)) AS i01, sum(z * z * c * (1 - c)) AS i11 FROM pr GROUP BY h, event)"""
+LOGIT_SUMS = ["s0", "s1", "i00", "i01", "i11"]
+
 
-    return _per(_forecast_panel(v), "h", "h int, a double, b double, se_a double, se_b double, p_a double, p_b double, a_low double, a_high double, b_low double, b_high double, joint_p double, boot_ok double", solve)
+_NEWTON = "".join(f""", i{k} AS (SELECT h, a, b, sum(y - c) AS s0, sum(z * (y - c)) AS s1, sum(c * (1 - c)) AS i0, sum(z * c * (1 - c)) AS i1, sum(z * z * c * (1 - c)) AS i2 FROM (SELECT lo.h, a, b, y, z, 1 / (1 + exp(-(a + b * z))) AS c FROM lo JOIN n{k} USING (h)) GROUP BY h, a, b),
+  n{k + 1} AS (SELECT h, a + (i2 * s0 - i1 * s1) / (i0 * i2 - i1 * i1) AS a, b + (i0 * s1 - i1 * s0) / (i0 * i2 - i1 * i1) AS b FROM i{k})""" for k in range(8))
+
+
+@query("calibration_curve", "M-21 M-1 X-9", f"""WITH {FORECASTS}, lo AS (SELECT h, CAST(y AS DOUBLE) AS y, ln(least(greatest(p, 0.005), 0.995) / (1 - least(greatest(p, 0.005), 0.995))) AS z FROM forecasts), n0 AS (SELECT DISTINCT h, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM lo){_NEWTON}
+  SELECT h, i / 100.0 AS f, round(1 / (1 + exp(-(a + b * ln((i / 100.0) / (1 - i / 100.0))))), 5) AS p FROM n8, range(1, 100) t(i) WHERE isfinite(a) AND isfinite(b)""", FORECAST_USES)
+def calibration_curve(v: Views) -> DataFrame:
+    """The fitted curve of each horizon's calibration regression on 99 points. The SQL takes eight Newton steps."""
+    rows = _log_odds(v).withColumn("one", F.lit(1.0))
+    resamples = logit.Resamples.of(rows, "h", "event", 0, resample.SEED)
+    beta, _ = logit.fit(rows.join(resamples.numbers, ["h", "event"]), "h", ["one", "z"], "y", resamples)
+    fitted = v.spark.createDataFrame([(h, float(b[0, 0]), float(b[0, 1])) for h, b in beta.items() if np.isfinite(b[0]).all()], "h int, a double, b double")
+    f = F.col("i") / 100.0
+    points = fitted.select("h", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("i"))
+    return points.select("h", f.alias("f"), R(1 / (1 + F.exp(-(F.col("a") + F.col("b") * D.logit(f)))), 5).alias("p"))
+
+
+@query("logit_draw_sums", "M-1 M-2 M-3", f"""WITH {LOG_ODDS}, dr AS {resample.draw_totals_sql("sc", "h", "event", LOGIT_SUMS, 99)}
+  SELECT h, CAST(draw AS INTEGER) + 1 AS draw, {", ".join(f"round({c}, 8) AS {c}" for c in LOGIT_SUMS)} FROM dr UNION ALL SELECT h, 0, {", ".join(f"round(sum({c}), 8) AS {c}" for c in LOGIT_SUMS)} FROM sc GROUP BY h""", FORECAST_USES)
+def logit_draw_sums(v: Views) -> DataFrame:
+    """Score and information of the sample (draw 0) and of 99 resamples where Newton starts, intercept 0 and slope 1."""
+    rows = _log_odds(v).withColumn("one", F.lit(1.0))
+    resamples = logit.Resamples.of(rows, "h", "event", 99, resample.SEED)
+    start = {g: (np.arange(len(t)), np.tile([0.0, 1.0], (len(t), 1))) for g, t in resamples.times.items()}
+    sums = logit.step_sums(rows.join(resamples.numbers, ["h", "event"]), "h", ["one", "z"], "y", resamples, start)
+    wide = sums.groupBy("h", F.col("draw").cast("int").alias("draw")).pivot("term", list(range(5))).agg(F.first("value"))
+    return wide.select("h", "draw", *(R(str(k), 8).alias(c) for k, c in enumerate(LOGIT_SUMS)))
 
 
 @query("regime_test", "M-4")
 def regime_test(v: Views) -> DataFrame:
     """Events numbered from 5 on count as after the change."""
+    return logit.regimes(_log_odds(v).withColumn("after", (F.col("event") >= 5).cast("int")), "h", "event")
 
-    def solve(frame: pd.DataFrame) -> dict:
-        frame = frame.sort_values(["event", "ticker"])
-        return stats.regimes(*(frame[c].to_numpy() for c in ("y", "p", "event")), (frame["event"] >= 5).to_numpy(float))
 
-    return _per(_forecast_panel(v), "h", "h int, d_a double, d_b double, a_low double, a_high double, b_low double, b_high double, joint_p double", solve)
+SLOPE_SUMS = ["n", "sx", "sy", "sxx", "sxy"]
+_SLOPE = "((n * sxy - sx * sy) / (n * sxx - sx * sx))"
 
 
-@query("cluster_bootstrap", "M-7 M-8 M-13")
+@query("cluster_bootstrap", "M-7 M-13", f"""WITH {FORECASTS}, cl AS (SELECT h, event, y, least(greatest(p, 0.005), 0.995) AS x FROM forecasts), sm AS (SELECT h, event, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, CAST(sum(y) AS DOUBLE) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM cl GROUP BY h, event),
+  dr AS {resample.draw_totals_sql("sm", "h", "event", SLOPE_SUMS)}, pt AS (SELECT h, {", ".join(f"sum({c}) AS {c}" for c in SLOPE_SUMS)} FROM sm GROUP BY h), q AS (SELECT h, quantile_cont({_SLOPE}, 0.025) AS low, quantile_cont({_SLOPE}, 0.975) AS high FROM dr GROUP BY h)
+  SELECT h, round({_SLOPE}, 5) AS slope, round(low, 5) AS low, round(high, 5) AS high FROM pt JOIN q USING (h)""", FORECAST_USES)
 def cluster_bootstrap(v: Views) -> DataFrame:
     """Slope of the outcome on the forecast with a bootstrap over events, from each event's cross-products alone."""
     p, y = F.col("p"), F.col("y")
     sums = _forecast_panel(v).groupBy("h", "event").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("sx"), F.sum(y).alias("sy"), F.sum(p * p).alias("sxx"), F.sum(p * y).alias("sxy"))
+    slope = F.expr(_SLOPE)
+    point = sums.groupBy("h").agg(*(F.sum(c).alias(c) for c in SLOPE_SUMS)).select("h", R(slope, 5).alias("slope"))
+    low, high = resample.interval("slope")
+    return point.join(resample.draw_totals(sums, ["h"], "event", SLOPE_SUMS).withColumn("slope", slope).groupBy("h").agg(R(low, 5).alias("low"), R(high, 5).alias("high")), "h")
 
-    def solve(frame: pd.DataFrame) -> dict:
-        s = frame.sort_values("event")[["n", "sx", "sy", "sxx", "sxy"]].to_numpy()
-        slope = lambda t: (t[0] * t[4] - t[1] * t[2]) / (t[0] * t[3] - t[1] ** 2)
-        low, high = np.nanpercentile(stats.cluster_bootstrap(s, slope), [2.5, 97.5])
-        return {"slope": slope(s.sum(0)), "low": low, "high": high}
-
-    return _per(sums, "h", "h int, slope double, low double, high double", solve)
 
-
-@query("meeting_boot", "M-18")
+@query("meeting_boot", "M-18 X-11", f"""WITH {FORECASTS}, e AS (SELECT h, event, avg(abs(least(greatest(p, 0.005), 0.995) - y)) AS a, 1.0::DOUBLE AS n FROM forecasts GROUP BY h, event), dr AS {resample.draw_totals_sql("e", "h", "event", ["a", "n"])},
+  q AS (SELECT h, quantile_cont(a / n, 0.025) AS low, quantile_cont(a / n, 0.975) AS high FROM dr GROUP BY h), m AS (SELECT h, avg(a) AS mean, avg(a) / (stddev_samp(a) / sqrt(count(*))) AS t FROM e GROUP BY h)
+  SELECT h, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(t, 3) AS t, round({D.erfc_sql("abs(t) / sqrt(2)")}, 6) AS p FROM m JOIN q USING (h)""", FORECAST_USES)
 def meeting_boot(v: Views) -> DataFrame:
-    per = _forecast_panel(v).groupBy("h", "event").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("a"))
-    return _per(per, "h", "h int, mean double, low double, high double, t double, p double", lambda f: stats.event_mean(f.sort_values("event")["a"].to_numpy()))
+    """Mean over events of their mean error, with its t, normal p and an interval over resampled events."""
+    per = _forecast_panel(v).groupBy("h", "event").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("a"), F.lit(1.0).alias("n"))
+    t = F.try_divide(F.avg("a"), F.stddev_samp("a") / F.sqrt(F.count("*")))
+    point = per.groupBy("h").agg(R(F.avg("a")).alias("mean"), t.alias("t"))
+    low, high = resample.interval("m")
+    spread = resample.draw_totals(per, ["h"], "event", ["a", "n"]).withColumn("m", F.col("a") / F.col("n")).groupBy("h").agg(R(low).alias("low"), R(high).alias("high"))
+    return point.join(spread, "h").select("h", "mean", "low", "high", R("t", 3).alias("t"), R(D.two_sided_p(F.col("t"))).alias("p"))
 
 
 @query("granger", "M-17")
@@ -240,3 +279,17 @@ def granger(v: Views) -> DataFrame:
         return stats.predictive_lags(frame[[f"{y}1", f"{y}2"]].to_numpy(float), frame[[f"{other}1", f"{other}2"]].to_numpy(float), frame[y].to_numpy(float), frame["month"].to_numpy())
 
     return _per(both, "direction", "direction string, wald double, p double, sum_cross double, se double", solve)
+
+
+TERCILES = f"""{ENCOMPASSING.replace("x AS (SELECT event, h, y - q AS e", "ranked AS (SELECT *, row_number() OVER (ORDER BY spread, ticker, h) AS r, count(*) OVER () AS c FROM forecasts WHERE q IS NOT NULL), x AS (SELECT event, CASE WHEN r <= c // 3 + CAST(c % 3 = 2 AS INTEGER) THEN 0 WHEN r <= c // 3 * 2 + CAST(c % 3 = 2 AS INTEGER) THEN 1 ELSE 2 END AS h, y - q AS e").replace("FROM forecasts WHERE q IS NOT NULL), b AS", "FROM ranked), b AS")}"""
+
+
+@query("encompassing_by_tercile", "M-20 X-14 W-14", f"WITH {FORECASTS}, {TERCILES} SELECT h AS tercile, n, round(b1, 5) AS slope, round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 2.0) * (sd * sd * m00 - 2 * n * sd * m01 + n * n * m11)) / (n * sdd - sd * sd), 5) AS se FROM b JOIN m USING (h) WHERE g > 1 AND n > 2", FORECAST_USES)
+def encompassing_by_tercile(v: Views) -> DataFrame:
+    """The encompassing regression in each third of all forecasts by the width of their quote, ranked over the whole table."""
+    rows = forecasts(v).filter("q is not null").select("event", "ticker", "h", "spread", (F.col("y") - F.col("q")).alias("e"), (F.col("p") - F.col("q")).alias("d"))
+    ranked = numbered(rows, "spread", ["ticker", "h"])
+    c, r = F.col("total"), F.col("place") + 1
+    low = F.floor(c / 3) + (c % 3 == 2).cast("int")
+    third = F.when(r <= low, 0).when(r <= low + F.floor(c / 3), 1).otherwise(2)
+    return encompassing_table(ranked.select(third.alias("h"), "event", "e", "d")).withColumnRenamed("h", "tercile")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.domain import local_date, local_instant
+from tidemark.functions.domain import ET, local_date, local_instant
 from tidemark.operators.asof import asof_join, asof_nearest, asof_small
-from tidemark.operators.series import day_sequence, durations, keep_last
+from tidemark.operators.ranges import exact_quantiles, range_cuts, range_of
+from tidemark.operators.series import day_sequence, durations, latest
 
 from .adapters import Views
 from .registry import query
@@ -19,14 +20,18 @@ LOCAL16 = "CAST({day} AS TIMESTAMP) + INTERVAL 21 HOUR"
 
 
 def forecasts(v: Views, hour: int = 16) -> DataFrame:
-    """Each contract's quote in force at an hour of the day h days before its close, for each horizon h."""
-    grid = v.contracts.withColumn("h", F.explode(F.array(*map(F.lit, HORIZONS)))).withColumn("buckets", F.count("*").over(Window.partitionBy("event", "h")))
+    """Each contract's quote in force at an hour of the day h days before its close, for each horizon h.
+
+    Counts and sums of an event are aggregations joined back, a row for each event and horizon, so no task holds an event's
+    contracts; the as-of join spreads a contract's quotes over their days."""
+    listed = v.contracts.groupBy("event").agg(F.count("*").alias("buckets"))
+    grid = v.contracts.withColumn("h", F.explode(F.array(*map(F.lit, HORIZONS))))
     grid = grid.withColumn("snapshot_ts", local_instant(F.date_sub(local_date(F.col("close_ts")), F.col("h")), hour))
     quotes = v.quotes.select("ticker", "ts", "bid", "ask", F.col("mid").alias("p"), "spread")
-    rows = asof_join(grid, quotes, ["ticker"], "snapshot_ts", "ts")
-    whole = Window.partitionBy("event", "h")
-    q = F.when(F.count("p").over(whole) == F.col("buckets"), F.col("p") / F.sum("p").over(whole))
-    return rows.select(
+    rows = asof_join(grid, quotes, ["ticker"], "snapshot_ts", "ts", bucket=F.to_date)
+    whole = rows.groupBy("event", "h").agg(F.count("p").alias("quoted"), F.sum("p").alias("total"))
+    q = F.when(F.col("quoted") == F.col("buckets"), F.col("p") / F.col("total"))
+    return rows.join(whole.join(listed, "event"), ["event", "h"]).select(
         "ticker", "event", "h", (F.col("result") == "yes").cast("int").alias("y"), "p", q.alias("q"), "spread",
         ((F.unix_micros("snapshot_ts") - F.unix_micros("ts")) / 86400e6).alias("age_days"), ((F.col("p") < 0.01) | (F.col("p") >= 0.99)).alias("floor"), "bid",
     )
@@ -51,7 +56,8 @@ def forecasts_panel(v: Views) -> DataFrame:
 def forecasts_ladder(v: Views) -> DataFrame:
     """The latest row is taken first and dropped then if its bid is null: no reaching back."""
     rows = forecasts(v).filter("bid is not null").withColumn("age_days", R("age_days"))
-    return rows.select("event", "ticker", "h", R("bid").alias("bid"), (F.max("age_days").over(Window.partitionBy("event")) >= 1).alias("old"))
+    old = rows.groupBy("event").agg((F.max("age_days") >= 1).alias("old"))
+    return rows.join(old, "event").select("event", "ticker", "h", R("bid").alias("bid"), "old")
 
 
 @query("snapshots_grid", "T-4 S-23 J-1", """WITH g AS (SELECT ticker, d AS day, CAST(d AS TIMESTAMP) + INTERVAL 20 HOUR AS snap FROM contracts, (SELECT unnest([DATE '2024-01-05', DATE '2024-01-12', DATE '2024-01-26']) AS d))
@@ -69,18 +75,23 @@ def snapshots_grid(v: Views) -> DataFrame:
 def last_trade_age(v: Views) -> DataFrame:
     days = F.explode(F.array(F.lit("2024-01-02"), F.lit("2024-01-20")))
     grid = v.contracts.select("ticker", "event", days.alias("day")).withColumn("at", local_instant(F.to_date("day"), 15))
-    rows = asof_join(grid, v.trades.select("ticker", "ts"), ["ticker"], "at", "ts", how="left")
+    rows = asof_join(grid, v.trades.select("ticker", "ts"), ["ticker"], "at", "ts", how="left", bucket=F.to_date)
     age = F.least(F.coalesce(SEC("at") - SEC("ts"), F.lit(604800)), F.lit(604800))
     weight = F.col("ticker") % 7 + 1
     return rows.groupBy("event", SEC("at").alias("at_s")).agg(F.count("*").alias("n"), F.count("ts").alias("traded"), R(F.log1p(F.sum(age * weight) / F.sum(weight))).alias("log_age"))
 
 
-def end_of_day(v: Views) -> DataFrame:
-    """Every contract's last quote before the end of each day (strictly), with the day's volume."""
-    grid = v.contracts.select("ticker", F.explode(day_sequence(local_date(F.col("open_ts")), F.lit("2024-01-30").cast("date"))).alias("day"))
+def end_of_day(v: Views, of: str | None = None) -> DataFrame:
+    """Every contract's last quote before the end of each day (strictly), with the day's volume; of: a filter on the contracts,
+    which quotes are reduced to before anything else."""
+    contracts, quotes = v.contracts, v.quotes
+    if of:
+        contracts = contracts.filter(of)
+        quotes = quotes.join(contracts.select("ticker"), "ticker", "left_semi")
+    grid = contracts.select("ticker", F.explode(day_sequence(local_date(F.col("open_ts")), F.lit("2024-01-30").cast("date"))).alias("day"))
     grid = grid.withColumn("day_end", local_instant(F.date_add("day", 1), 0))
-    rows = asof_join(grid, v.quotes.select("ticker", "ts", "mid", "spread", "quote_id"), ["ticker"], "day_end", "ts", strict=True)
-    volume = v.quotes.groupBy("ticker", local_date(F.col("ts")).alias("day")).agg(F.sum("size").alias("volume"))
+    rows = asof_join(grid, quotes.select("ticker", "ts", "mid", "spread", "quote_id"), ["ticker"], "day_end", "ts", strict=True, bucket=F.to_date)
+    volume = quotes.groupBy("ticker", local_date(F.col("ts")).alias("day")).agg(F.sum("size").alias("volume"))
     return rows.join(volume, ["ticker", "day"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
@@ -106,12 +117,12 @@ def ladder_daily(v: Views) -> DataFrame:
   SELECT g.ticker, epoch(snap)::BIGINT AS at_s, quote_id FROM g ASOF JOIN quotes q ON g.ticker = q.ticker AND g.snap >= q.ts""", "contracts quotes")
 def hourly_path(v: Views) -> DataFrame:
     own = v.spark.sql("select * from {c} where event = :event", args={"event": 3}, c=v.contracts).select("ticker")
-    quotes = v.quotes.join(F.broadcast(own), "ticker", "left_semi").select("ticker", "ts", "quote_id")
+    quotes = v.quotes.join(own, "ticker", "left_semi").select("ticker", "ts", "quote_id")
     first = quotes.groupBy("ticker").agg((F.date_trunc("hour", F.min("ts")) + F.expr("interval 1 hour")).alias("a"))
     stop = F.lit("2024-01-31 00:00:00").cast("timestamp")
     hours = F.when(F.col("a") <= stop, F.sequence("a", stop, F.expr("interval 1 hour"))).otherwise(F.array().cast("array<timestamp>"))
     grid = first.select("ticker", F.explode(hours).alias("at"))
-    return asof_join(grid, quotes, ["ticker"], "at", "ts").select("ticker", SEC("at").alias("at_s"), "quote_id")
+    return asof_join(grid, quotes, ["ticker"], "at", "ts", bucket=F.to_date).select("ticker", SEC("at").alias("at_s"), "quote_id")
 
 
 @query("asof_nearest", "J-6", """WITH l AS (SELECT day AS ld, n FROM daily WHERE n % 3 = 0), r AS (SELECT day AS rd, x FROM daily WHERE n % 5 = 0),
@@ -132,7 +143,42 @@ def gap_bound(v: Views) -> DataFrame:
 @query("asof_unkeyed", "J-5", """SELECT t.trade_id, n.n_id FROM trades t ASOF JOIN (SELECT max(event_id) AS n_id, ts AS n_ts FROM events WHERE event_type = 'error' GROUP BY ts) n ON t.ts >= n.n_ts""", "trades")
 def unkeyed(v: Views) -> DataFrame:
     news = v.events.filter("event_type = 'error'").groupBy(F.col("ts").alias("n_ts")).agg(F.max("event_id").alias("n_id"))
-    return asof_join(v.trades, news, [], "ts", "n_ts", bucket=F.to_date).select("trade_id", "n_id")
+    cuts = range_cuts(v.trades.select(F.unix_micros("ts").alias("at")), "at")
+    left = v.trades.select("trade_id", F.unix_micros("ts").alias("at"))
+    return asof_join(left, news.select(F.unix_micros("n_ts").alias("n_at"), "n_id"), [], "at", "n_at", bucket=range_of(cuts)).select("trade_id", "n_id")
+
+
+def open_minutes(v: Views) -> DataFrame:
+    """(u, t, session): the minutes of every day of the events at which the exchange is open, in UTC and in New York, Sunday 18:00 to
+    Friday 17:00 without the hour from 17:00, and the session's day, which begins at 18:00 the day before."""
+    span = v.events.agg(F.date_trunc("day", F.min("ts")).alias("a"), F.date_trunc("day", F.max("ts")).alias("b"))
+    minutes = span.select(F.explode(F.expr("sequence(a, b + interval 1 day - interval 1 minute, interval 1 minute)")).alias("u"))
+    rows = minutes.withColumn("t", F.from_utc_timestamp("u", ET))
+    day, hour = F.weekday("t"), F.hour("t")
+    is_open = (hour != 17) & (day != 5) & ~((day == 4) & (hour >= 17)) & ~((day == 6) & (hour < 18))
+    return rows.filter(is_open).withColumn("session", F.to_date(F.col("t") + F.expr("interval 6 hours")))
+
+
+SESSION_ROWS = 1 << 18  # rows of a range of time that one task takes
+
+
+@query("session_panel", "T-8 J-5 U-12 U-14", """WITH sp AS (SELECT date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) + INTERVAL 1 DAY - INTERVAL 1 MINUTE AS b FROM events), l AS (SELECT u, u - INTERVAL 5 HOUR AS t FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS u FROM sp)),
+  g AS (SELECT * FROM l WHERE hour(t) <> 17 AND NOT (isodow(t) = 6) AND NOT (isodow(t) = 5 AND hour(t) >= 17) AND NOT (isodow(t) = 7 AND hour(t) < 18) AND minute(t) % 5 = 0),
+  q AS (SELECT ts AS q_ts, max(quote_id) AS q_id FROM quotes GROUP BY ts), tr AS (SELECT ts AS t_ts, max(trade_id) AS t_id FROM trades GROUP BY ts),
+  j AS (SELECT u, t, q_id, q_ts, t_id, t_ts FROM g ASOF LEFT JOIN q ON g.u >= q.q_ts ASOF LEFT JOIN tr ON g.u >= tr.t_ts)
+  SELECT CAST(floor(epoch(u)) AS BIGINT) AS at_s, strftime(CAST(t + INTERVAL 6 HOUR AS DATE), '%Y-%m-%d') AS session, q_id, t_id, round(m.mid, 6) AS mid, round(p.price, 6) AS price, CAST(floor(epoch(u)) - floor(epoch(t_ts)) AS BIGINT) AS trade_age_s
+  FROM j LEFT JOIN quotes m ON m.quote_id = j.q_id LEFT JOIN trades p ON p.trade_id = j.t_id""", "quotes trades")
+def session_panel(v: Views) -> DataFrame:
+    """Two sources on the session's grid of five minutes: the last quote and the last trade of the whole market at each. The
+    as-of joins have no key, so time is cut into ranges of SESSION_ROWS rows, and the last row of earlier ranges is carried in."""
+    at = lambda c: F.unix_micros(c)
+    grid = open_minutes(v).filter(F.minute("t") % 5 == 0).select(at("u").alias("at"), "session")
+    quotes = v.quotes.groupBy(at("ts").alias("q_at")).agg(F.max_by(F.struct("quote_id", "mid"), "quote_id").alias("q"))
+    trades = v.trades.groupBy(at("ts").alias("t_at")).agg(F.max_by(F.struct("trade_id", "price"), "trade_id").alias("p"))
+    bucket = range_of(range_cuts(quotes, "q_at", SESSION_ROWS))
+    rows = asof_join(asof_join(grid, quotes, [], "at", "q_at", how="left", bucket=bucket), trades, [], "at", "t_at", how="left", bucket=bucket)
+    second = lambda c: F.floor(F.col(c) / 1_000_000)
+    return rows.select(second("at").alias("at_s"), F.col("session").cast("string").alias("session"), F.col("q.quote_id").alias("q_id"), F.col("p.trade_id").alias("t_id"), R("q.mid").alias("mid"), R("p.price").alias("price"), (second("at") - second("t_at")).alias("trade_age_s"))
 
 
 @query("next_event_after", "J-17", """SELECT t.trade_id, n.quote_id FROM trades t ASOF JOIN quotes n ON t.ticker = n.ticker AND t.ts < n.ts""", "trades quotes")
@@ -140,7 +186,7 @@ def next_event_after(v: Views) -> DataFrame:
     """Strictly after: the as-of join on negated times."""
     minus = lambda c: -F.unix_micros(c)
     left = v.trades.select("ticker", "trade_id", minus("ts").alias("lt"))
-    return asof_join(left, v.quotes.select("ticker", "quote_id", minus("ts").alias("rt")), ["ticker"], "lt", "rt", strict=True).select("trade_id", "quote_id")
+    return asof_join(left, v.quotes.select("ticker", "quote_id", minus("ts").alias("rt")), ["ticker"], "lt", "rt", strict=True, bucket=lambda t: F.floor(t / 86400e6)).select("trade_id", "quote_id")
 
 
 @query("nth_upcoming", "J-16", """WITH m AS (SELECT DISTINCT day AS meeting FROM daily WHERE n % 7 = 0),
@@ -171,8 +217,8 @@ def contract_normalise(v: Views) -> DataFrame:
 
 @query("traded_only", "F-7", "SELECT ticker, event, round(volume, 4) AS volume FROM contracts QUALIFY sum(volume) OVER (PARTITION BY event, move_bps) > 2000", "contracts")
 def traded_only(v: Views) -> DataFrame:
-    rows = v.contracts.withColumn("total", F.sum("volume").over(Window.partitionBy("event", "move_bps")))
-    return rows.filter("total > 2000").select("ticker", "event", R("volume", 4).alias("volume"))
+    traded = v.contracts.groupBy("event", "move_bps").agg(F.sum("volume").alias("total")).filter("total > 2000")
+    return v.contracts.join(traded, ["event", "move_bps"], "left_semi").select("ticker", "event", R("volume", 4).alias("volume"))
 
 
 @query("meeting_summary", "A-6 A-7 A-8", """SELECT event, count(*) AS contracts, count(*) FILTER (WHERE result = 'yes') AS yes, max(move_bps) FILTER (WHERE result = 'yes') AS top_yes, bool_and(volume > 0) AS all_traded, bool_or(volume > 3000) AS any_large,
@@ -196,31 +242,34 @@ def coverage(v: Views) -> DataFrame:
 
 @query("liquidity_by_month", "X-20 A-4", "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n, round(median(count), 6) AS median_size, round(sum(price * count), 2) AS notional FROM trades GROUP BY 1, 2", "trades")
 def liquidity_by_month(v: Views) -> DataFrame:
-    rows = v.trades.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), F.date_format(F.date_trunc("month", "ts"), "yyyy-MM").alias("month"))
-    return rows.agg(F.count("*").alias("n"), R(F.median("count")).alias("median_size"), R(F.sum(F.col("price") * F.col("count")), 2).alias("notional"))
+    rows = v.trades.select(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), F.date_format(F.date_trunc("month", "ts"), "yyyy-MM").alias("month"), "price", "count")
+    sums = rows.groupBy("week", "month").agg(R(F.sum(F.col("price") * F.col("count")), 2).alias("notional"))
+    return exact_quantiles(rows, ["week", "month"], "count", [0.5]).join(sums, ["week", "month"]).select("week", "month", "n", R("q0").alias("median_size"), "notional")
 
 
 @query("spread_by_move", "A-4 J-8", "SELECT move_bps, count(*) AS n, round(median(spread), 6) AS spread, round(median(mid), 6) AS mid FROM quotes JOIN contracts USING (ticker) WHERE bid IS NOT NULL GROUP BY move_bps", "quotes contracts")
 def spread_by_move(v: Views) -> DataFrame:
-    return v.quotes.filter("bid is not null").join(v.contracts.select("ticker", "move_bps"), "ticker").groupBy("move_bps").agg(F.count("*").alias("n"), R(F.median("spread")).alias("spread"), R(F.median("mid")).alias("mid"))
+    rows = v.quotes.filter("bid is not null").join(v.contracts.select("ticker", "move_bps"), "ticker").select("move_bps", "spread", "mid")
+    spread, mid = (exact_quantiles(rows, ["move_bps"], c, [0.5]).select("move_bps", "n", R("q0").alias(c)) for c in ("spread", "mid"))
+    return spread.join(mid.drop("n"), "move_bps")
 
 
 @query("spread_by_price", "X-3", "SELECT round(least(floor(mid * 10) / 10, 0.9), 1) AS bin, count(*) AS n, round(median(spread), 6) AS spread FROM quotes GROUP BY 1", "quotes")
 def spread_by_price(v: Views) -> DataFrame:
-    return v.quotes.groupBy(F.round(F.least(F.floor(F.col("mid") * 10) / 10, F.lit(0.9)), 1).alias("bin")).agg(F.count("*").alias("n"), R(F.median("spread")).alias("spread"))
+    rows = v.quotes.select(F.round(F.least(F.floor(F.col("mid") * 10) / 10, F.lit(0.9)), 1).alias("bin"), "spread")
+    return exact_quantiles(rows, ["bin"], "spread", [0.5]).select("bin", "n", R("q0").alias("spread"))
 
 
 @query("probability_path", "F-5 F-9 O-1", f"WITH {EOD} SELECT ticker, strftime(day, '%Y-%m-%d') AS day, round(mid, 6) AS mid FROM eod JOIN contracts USING (ticker) WHERE event = 7 ORDER BY ALL", "contracts quotes")
 def probability_path(v: Views) -> DataFrame:
-    own = v.contracts.filter("event = 7").select("ticker")
-    return end_of_day(v).join(own, "ticker", "left_semi").select("ticker", F.col("day").cast("string").alias("day"), R("mid").alias("mid")).orderBy(F.col("ticker").asc_nulls_last(), "day")
+    return end_of_day(v, "event = 7").select("ticker", F.col("day").cast("string").alias("day"), R("mid").alias("mid")).orderBy(F.col("ticker").asc_nulls_last(), "day")
 
 
 @query("sum_of_mids", "D-8", f"WITH {EOD} SELECT event, strftime(day, '%Y-%m-%d') AS day, count(*) AS quoted, round(sum(mid), 6) AS total FROM eod JOIN (SELECT *, count(*) OVER (PARTITION BY event) AS buckets FROM contracts) USING (ticker) GROUP BY event, day HAVING count(*) = max(buckets)", "contracts quotes")
 def sum_of_mids(v: Views) -> DataFrame:
-    contracts = v.contracts.select("ticker", "event", F.count("*").over(Window.partitionBy("event")).alias("buckets"))
-    rows = end_of_day(v).join(contracts, "ticker").groupBy("event", "day").agg(F.count("*").alias("quoted"), F.sum("mid").alias("s"), F.max("buckets").alias("buckets"))
-    return rows.filter("quoted = buckets").select("event", F.col("day").cast("string").alias("day"), "quoted", R("s").alias("total"))
+    listed = v.contracts.groupBy("event").agg(F.count("*").alias("buckets"))
+    rows = end_of_day(v).join(v.contracts.select("ticker", "event"), "ticker").groupBy("event", "day").agg(F.count("*").alias("quoted"), F.sum("mid").alias("s"))
+    return rows.join(listed, "event").filter("quoted = buckets").select("event", F.col("day").cast("string").alias("day"), "quoted", R("s").alias("total"))
 
 
 @query("calibration_bins", "X-3 A-3", f"WITH {EOD} SELECT round(least(floor(mid * 10) / 10, 0.9), 1) AS bin, count(*) AS n, count(DISTINCT ticker) AS contracts, round(avg(mid), 6) AS forecast, round(avg(CAST(result = 'yes' AS INTEGER)), 6) AS observed FROM eod JOIN contracts USING (ticker) GROUP BY 1", "contracts quotes")
@@ -326,4 +375,4 @@ def stale_rows_dropped(v: Views) -> DataFrame:
 
 @query("keep_last_quote", "A-9 A-11", "SELECT ticker, quote_id FROM quotes QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, quote_id DESC) = 1", "quotes")
 def keep_last_quote(v: Views) -> DataFrame:
-    return keep_last(v.quotes, ["ticker"], [F.col("ts").desc(), F.col("quote_id").desc()]).select("ticker", "quote_id")
+    return latest(v.quotes, ["ticker"], ["ts", "quote_id"]).select("ticker", "quote_id")

@@ -36,9 +36,10 @@ MODELS = ["none", "ar1", *SPECS]
 
 
 def horizon_rows(m: Meetings) -> DataFrame:
-    """(h, event, day, due, one, FEATURES, y): the rows whose features and target are known, for each horizon."""
+    """(h, event, day, due, one, FEATURES, y): the rows whose features and target are known, for each horizon. Kept for the
+    steps that read them again: a row a meeting, day and horizon, whatever the tables behind."""
     each = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"target_{h}").alias("y"), F.col(f"date_{h}").alias("due")) for h in HORIZONS))).alias("t")
-    return m.features.select("event", "day", F.lit(1.0).alias("one"), *FEATURES, each).select("t.*", "event", "day", "one", *FEATURES).na.drop()
+    return m.features.select("event", "day", F.lit(1.0).alias("one"), *FEATURES, each).select("t.*", "event", "day", "one", *FEATURES).na.drop().persist()
 
 
 def product_sums(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def windows(rows: DataFrame) -> DataFrame:
     """(h, event, train, inner, tune): product sums of each fold's training rows, of those known before its last TUNED
     training meetings, and of these meetings' own; folds with fewer than LEAST_MEETINGS training meetings are left out."""
     folds = folds_of(rows)
-    cells = known_sums(rows, folds)
+    cells = known_sums(rows, folds).persist()  # a row or two a meeting
     packed = lambda df, name: df.select("h", "event", F.array(*SUMS).alias(name))
     prefix = prefix_sums(cells, folds)
     entered = cells.groupBy("h", "event").agg(F.min("known").alias("known")).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("event", "known"))).alias("entered"))
@@ -142,12 +143,12 @@ def fits(folds: DataFrame) -> DataFrame:
 
 
 def predictions(m: Meetings) -> DataFrame:
-    """(h, event, day, model, alpha, actual, pred, last_due) of every test row and model; last_due is the last day a training
-    row's target became known before the fold."""
+    """(h, event, day, model, alpha, actual, pred) of every test row and model, kept for the steps that read it again: a row a
+    meeting, day, horizon and model."""
     rows = horizon_rows(m)
     z = F.array(*Z[:-1])
     pred = F.aggregate(F.zip_with(z, "beta", lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.join(fits(windows(rows)), ["h", "event"]).select("h", "event", "day", "model", "alpha", F.col("y").alias("actual"), pred.alias("pred"))
+    return rows.join(fits(windows(rows)), ["h", "event"]).select("h", "event", "day", "model", "alpha", F.col("y").alias("actual"), pred.alias("pred")).persist()
 
 
 @query("gram_prefix", "M-11 M-12 A-20", f"""WITH {TABLE}, hr AS ({" UNION ALL ".join(f"SELECT {h} AS h, event, day, date_{h} AS due, 1.0::DOUBLE AS one, {', '.join(FEATURES)}, target_{h} AS y FROM feats WHERE target_{h} IS NOT NULL AND gap_chg_5 IS NOT NULL" for h in HORIZONS)}),
@@ -168,7 +169,7 @@ def expanding_window(v: Views) -> DataFrame:
 
 
 def squared_errors(preds: DataFrame) -> DataFrame:
-    """(h, event, n, hit, moved, a column of summed squared errors for each model), a row for each test meeting."""
+    """(h, event, a column of summed squared errors for each model), a row for each test meeting."""
     error = (F.col("actual") - F.col("pred")) ** 2
     return preds.groupBy("h", "event").pivot("model", MODELS).agg(F.sum(error))
 
