@@ -1,45 +1,47 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The shingles of the corpus (runs of SIZE words, or of another number) have one global order: estimated frequency first (from counts of words and of frequent
-shingles over the whole corpus, in sketches of fixed size; any order gives the same result), then a hash. A shingle's key is its place in that order, so sorting keys sorts by
-rarity. The order is cut into SLICES fragments. Documents of equal sets form a class and take part once, by a
-representative. Candidates share a key among the rarest of both sets (prefix filter) and pass the length and position
-filters; for each candidate pair the overlap is counted fragment by fragment, and the parts are summed.
-
-More filters before any set is fetched: keys in no other prefix bound the overlap, and of two prefixes all such keys of the one
-that ends first; a pair must share enough of its first keys; and the counts of keys in BINS hash bins, compared bin by bin,
-bound the overlap as well. For components every set is first compared with one central set in each of its buckets. Then
-only pairs in different components are left, as a pair within one can't change it: buckets of one component are left out
-before the join, keys shared within a component alone count as keys in no other prefix, and a bucket's largest component
-is joined with the rest alone. So no link between components is lost, and a large group of near copies costs about its
-size, not its square. Both steps are the same for buckets of any size; the rows of a bucket are dealt in blocks.
-
-Keys are 63 bits: two different shingles of one pair of documents share a key with a chance of about n^2 / 2^56.
+The shingles of the corpus (runs of SIZE words, or of another number) have one global order, that of their 63-bit hashes, which is
+cut into SLICES fragments of equal width, hence of about equal content. Documents of equal sets form a class and take part
+once, by a representative. For each candidate pair the overlap is counted fragment by fragment, and the parts are summed.
+
+Candidates come from a second cut of the same shingles. Two sets that link differ in few of them, say in h at most; dealt over
+more than h parts by a hash, some parts hold the same shingles in both. So every set has a key for each of its parts, a hash
+of what it holds, and a pair that links shares a key. Sizes that can link are in one range of sizes or two neighbouring ones;
+a range sets the number of parts, and a set takes part in the next range too if a larger partner may be there. Parts that
+are empty say nothing: a set with so many of them that all parts it has in common with a partner may be empty has its first
+shingles in the global order as keys too, as many as a set that links must share one of (prefix filter). A part is several
+shingles, so texts that share common phrases alone don't meet.
+
+For components every set is first compared with one central set of each of its keys. Then only pairs in different components
+are left, as a pair within one can't change it: keys of one component are left out before the join, and the largest component
+of a key is joined with the rest alone. So no link between components is lost, and a large group of near copies costs about
+its size, not its square. Both steps are the same for keys of any number of rows, which are dealt in blocks. Before sets are
+fetched, sizes and the counts of shingles in BINS hash bins bound the overlap.
+
+Two different shingles of one pair of documents share a hash with a chance of about n^2 / 2^63.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, free_name, id_and_text, pieces, raw_texts, spans_of, stored, tidy, word_lists
 from .graph import connected_components
 
 SIZE = 3
-COUNTERS = 1 << 15
-SHINGLE_COUNTERS, CHUNK = 1 << 20, 1 << 16
 SLICES = 8
 MEMO = 200_000
-DEALT = 4096  # rows of a bucket in one block
+DEALT = 4096  # rows of a key in one block
 BINS = 256
 BITS = 1 << 21  # of the filter of wanted documents, whatever their number
 NUMERATOR, DENOMINATOR = 90, 100  # two documents link when 100 * intersection >= 90 * union
+WIDE = 3  # a range of sizes spans this many steps from a size to the largest that may link with it
 _ODD = 0x9E3779B185EBCA87
 _LAST = np.uint64(0xD6E8FEB86659FD93)
 
@@ -72,75 +74,55 @@ def _mixed(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class Order:
-    """The estimated frequencies behind the global order: words by hash, and frequent shingles by hash."""
-
-    def __init__(self, words: np.ndarray, shingles: np.ndarray, size: int = SIZE):
-        self.words, self.shingles, self.size = words, shingles, size  # log2 of counts; 0 for shingles that aren't frequent
-
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """Distinct keys of a document, in the global order. Fewer words than a shingle has are one; no words, none.
-
-        A frequent shingle ranks behind all others, by its own count; others by the counts of their words.
-        """
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.int64)
-        size = min(self.size, n)
-        common = self.words[(words & np.uint64(COUNTERS - 1)).astype(np.int64)]
-        mixed, frequency = _mixed(words, size), np.zeros(n - size + 1, np.float32)
-        for k in range(size):
-            frequency += common[k : n - size + 1 + k]
-        rank = np.minimum(frequency * (3 / size), 69).astype(np.uint64)
-        own = self.shingles[(mixed & np.uint64(len(self.shingles) - 1)).astype(np.int64)]
-        rank = np.where(own > 0, np.minimum(70 + 2 * own, 127), rank).astype(np.uint64)
-        return np.unique((rank << np.uint64(56) | mixed >> np.uint64(8)).astype(np.int64))
-
-
-def estimate_order(docs: DataFrame, size: int = SIZE) -> Order:
-    """Counts of words, and of shingles, by hash over all whole texts, in counters of a fixed number. Every task passes on
-    its counters, those of shingles as chunks of bytes (a task's count of 255 stands for more); they are summed chunk by
-    chunk, and the logarithms, a few MB, come to the driver. A shingle is frequent if its counter is six standard errors
-    above the mean, as others share it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shingles = np.zeros(COUNTERS, np.int64), np.zeros(SHINGLE_COUNTERS, np.int32)
-        for batch in batches:
-            held, runs, n = [], [], 0
-            for raw in [*raw_texts(batch.column(0)), None]:
-                if raw is not None:
-                    held.append(word_hashes(raw))
-                    n += len(held[-1])
-                    if len(held[-1]) >= size:
-                        runs.append(_mixed(held[-1], size) & np.uint64(SHINGLE_COUNTERS - 1))
-                if held and (n > 1 << 19 or raw is None):
-                    words += np.bincount((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                    if runs:
-                        places, times = np.unique(np.concatenate(runs).astype(np.int64), return_counts=True)
-                        shingles[places] += times.astype(np.int32)
-                    held, runs, n = [], [], 0
-        if words.any():
-            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([words.tobytes()], pa.binary())], ["chunk", "counts"])
-        for chunk, own in enumerate(np.minimum(shingles, 255).astype(np.uint8).reshape(-1, CHUNK)):
-            if own.any():
-                yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counts.as_buffer(), np.int64 if chunk < 0 else np.uint8)
-                sums[chunk] = own.astype(np.int64) if chunk not in sums else sums[chunk] + own
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint32 if c >= 0 else np.int64).tobytes() for c, x in sums.items()], pa.binary())], ["chunk", "counts"])
-
-    parts = docs.select("text").mapInArrow(tidy(run), "chunk int, counts binary")
-    rows = parts.repartition(SHINGLE_COUNTERS // CHUNK, "chunk").mapInArrow(tidy(summed), "chunk int, counts binary").toArrow()
-    words, shingles = np.zeros(COUNTERS, np.int64), np.zeros((SHINGLE_COUNTERS // CHUNK, CHUNK), np.int64)
-    for chunk, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        (words if chunk < 0 else shingles[chunk])[:] = np.frombuffer(counts, np.int64 if chunk < 0 else np.uint32)
-    mean = shingles.mean()
-    frequent = np.where(shingles > mean + 6 * math.sqrt(mean) + 8, shingles - mean, 0).ravel()
-    return Order(np.log2(1 + words).astype(np.float32), np.ceil(np.log2(1 + frequent)).astype(np.uint8), size)
+def keys_of(words: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """Distinct shingles of a document by hash, in the global order. Fewer words than a shingle has are one; no words, none."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    return np.unique((_mixed(words, min(size, len(words))) >> np.uint64(1)).astype(np.int64))
+
+
+@lru_cache
+def size_ranges(num: int, den: int) -> np.ndarray:
+    """Largest sizes of consecutive ranges; a set's partners are in its own range or in a neighbouring one."""
+    ends, low = [], 1
+    while low < 1 << 40:
+        ends.append(max(low, low * den**WIDE // num**WIDE))
+        low = ends[-1] + 1
+    return np.array(ends, np.int64)
+
+
+def differing(sizes: int, num: int, den: int) -> int:
+    """In how many shingles two sets that link can differ, `sizes` being the sum of their sizes."""
+    return sizes * (den - num) // (den + num)
+
+
+def parts_in(end: int, num: int, den: int) -> int:
+    """Parts of sets of at most `end`: one more than what two that link can differ in, and an eighth, as parts may be empty."""
+    return (differing(2 * end, num, den) + 1) * 9 // 8
+
+
+def part_keys(keys: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The keys of a set's parts, in its own range of sizes and, if a larger partner may be there, in the next."""
+    n, ends = len(keys), size_ranges(num, den)
+    if not n:
+        return np.zeros(0, np.int64)
+    own, largest = int(np.searchsorted(ends, n)), n * den // num
+    mixed, found = keys.astype(np.uint64) * np.uint64(_ODD), []
+    mixed ^= mixed >> np.uint64(31)
+    for r in (own, own + 1)[: 2 if largest > ends[own] else 1]:
+        parts = parts_in(int(ends[r]), num, den)
+        part = (mixed % np.uint64(parts)).astype(np.int64)
+        held, total = np.bincount(part, minlength=parts), np.zeros(parts, np.uint64)
+        np.add.at(total, part, mixed * _LAST)
+        tag = np.uint64((r + 1) * pow(_ODD, 3, 1 << 64) % (1 << 64))
+        value = (total ^ (np.arange(parts, dtype=np.uint64) + tag)) * _LAST
+        found.append((value ^ value >> np.uint64(29))[held > 0])
+        # Parts that are the same in both sets of a pair: what is left of all when every difference is in another part.
+        same = parts - differing(n + min(largest, int(ends[r])), num, den)
+        if np.count_nonzero(held == 0) >= same:
+            value = (mixed[: prefix_size(n, num, den)] + tag) * np.uint64(pow(_ODD, 5, 1 << 64))
+            found.append(value ^ value >> np.uint64(30))
+    return np.unique(np.concatenate(found)).astype(np.int64)
 
 
 def prefix_size(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
@@ -148,23 +130,23 @@ def prefix_size(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
     return n - -(-num * n // den) + 1
 
 
-def shingled(docs: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
-    """(doc_id, text_hash, n, sig, bins, prefix) of every document: set size, digest of the set, keys in each hash bin, rarest
-    keys."""
+def shingled(docs: DataFrame, num: int, den: int, size: int = SIZE) -> DataFrame:
+    """(doc_id, text_hash, n, sig, bins, parts) of every document: set size, digest of the set, shingles in each hash bin, keys
+    of its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 4 << 20):
-                sets = [order.value.keys(word_hashes(raw)) for raw in raw_texts(part.column(1))]
-                heads = [s[: prefix_size(len(s), num, den)] if len(s) else s for s in sets]
+                sets = [keys_of(word_hashes(raw), size) for raw in raw_texts(part.column(1))]
+                heads = [part_keys(s, num, den) for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(spans_of(np.array([len(h) for h in heads], int)), pa.int32()), pa.array(np.concatenate(heads), pa.int64()))
                 sigs = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 counts = np.concatenate([np.minimum(np.bincount(s & (BINS - 1), minlength=BINS), 32767).astype(np.int16) for s in sets])
                 bins = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BINS, pa.int32()), pa.array(counts))
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), sigs, bins, lists], ["doc_id", "text_hash", "n", "sig", "bins", "prefix"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), sigs, bins, lists], ["doc_id", "text_hash", "n", "sig", "bins", "parts"])
 
     rows = docs.select("doc_id", "text", text_hash().alias("text_hash"))
-    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, n long, sig binary, bins array<short>, prefix array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, n long, sig binary, bins array<short>, parts array<long>")
 
 
 def text_hash() -> Column:
@@ -172,7 +154,7 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def _fragments(docs: DataFrame, wanted: DataFrame, order: Broadcast) -> DataFrame:
+def _fragments(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(rid, slice, keys) of the representatives in wanted (rid, doc_id, sig): the keys of each fragment of the order.
 
     A filter of BITS bits of the wanted ids goes to all workers, so only documents that pass it are read into sets.
@@ -192,7 +174,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, order: Broadcast) -> DataFram
             for part in pieces(batch, 4 << 20):
                 doc_id, sigs, piece, sizes, keys = [], [], [], [], []
                 for d, raw in zip(part.column(0).to_pylist(), raw_texts(part.column(1)), strict=True):
-                    own = order.value.keys(word_hashes(raw))
+                    own = keys_of(word_hashes(raw), size)
                     sig = xxhash.xxh3_128_digest(own.tobytes())
                     bounds = np.searchsorted(own, cuts)
                     for s in np.flatnonzero(np.diff(bounds)).tolist():
@@ -218,41 +200,24 @@ def _links(pairs: DataFrame, fragments: DataFrame, num: int, den: int) -> DataFr
     return summed.filter(F.col("overlap") * den >= num * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
-def _may_link(nx: Column, ny: Column, px: Column, py: Column, dx: Column, dy: Column, num: int, den: int) -> Column:
-    """Length filter, and position filters: of the overlap, what stands before a shared key and from it on is a bound, and
-    so is a set's size less its d keys before the shared key that are in no other prefix, hence in no partner's set."""
-    most = F.least(F.least(px, py) + F.least(nx - px, ny - py), nx - dx, ny - dy)
-    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (den + num) >= (nx + ny) * num)
-
-
 class Join:
     """The steps of the join over one table of documents; everything large is a table in the shared folder, which goes as soon
     as its successor stands."""
 
     def __init__(self, docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, size: int = SIZE):
-        self.num, self.den = num, den
+        self.num, self.den, self.size = num, den, size
         self.docs = id_and_text(docs)
-        self.order = docs.sparkSession.sparkContext.broadcast(estimate_order(self.docs, size))  # of a fixed size
-        self.rows = stored(shingled(self.docs, self.order, num, den).withColumn("rid", F.monotonically_increasing_id()), "shingled")
+        self.rows = stored(shingled(self.docs, num, den, size).withColumn("rid", F.monotonically_increasing_id()), "shingled")
         linked = self.rows.filter("n > 0 and doc_id is not null")
         self.classes = stored(linked.groupBy("sig").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("sig", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rep")), "classes")
         heads = self.rows.join(self.classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-        spread = heads.select("rid", F.posexplode("prefix").alias("pos", "key"))
-        shared = spread.join(spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "key")
-        ends = self.rows.select("rid", "n", F.size("prefix").alias("k"), F.try_element_at("prefix", F.lit(-1)).alias("last"))
-        self.buckets = stored(self._placed(shared.join(ends, "rid")), "buckets")
-
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        """(key, rid, n, k, pos, last, …) with d, the keys of the prefix before pos that have no row, as no partner's prefix holds
-        them, and u, all such keys."""
-        own = Window.partitionBy("rid")
-        rows = rows.withColumn("d", F.col("pos") - F.row_number().over(own.orderBy("pos")) + 1).withColumn("u", F.col("k") - F.count("*").over(own))
-        return rows.withColumn("free", (F.col("n") - F.col("d")) * (self.den + self.num) >= F.col("n") * 2 * self.num)
+        spread = heads.select("rid", "n", F.explode("parts").alias("key"))
+        shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+        self.buckets = stored(spread.join(shared, "key"), "buckets")
 
     def _fit(self, raw: DataFrame) -> DataFrame:
-        """Pairs that pass the filters. Of two prefixes the one that ends first lies within the stretch that both cover."""
-        first = lambda a, b: (F.col(f"last_{a}") > F.col(f"last_{b}")) | ((F.col(f"n{a}") - F.col(f"u_{a}")) * (self.den + self.num) >= (F.col("nx") + F.col("ny")) * self.num)
-        return raw.filter(_may_link(*map(F.col, ("nx", "ny", "px", "py", "dx", "dy")), self.num, self.den) & first("x", "y") & first("y", "x"))
+        """Pairs of sizes that may link."""
+        return raw.filter(F.least("nx", "ny") * self.den >= F.greatest("nx", "ny") * self.num)
 
     @staticmethod
     def _ends(pairs: DataFrame) -> DataFrame:
@@ -262,7 +227,7 @@ class Join:
 
     @staticmethod
     def _side(name: str, rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("key", F.col("rid").alias(name), F.col("n").alias(f"n{name}"), F.col("pos").alias(f"p{name}"), F.col("d").alias(f"d{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("last", "u", *more)))
+        return rows.select("key", F.col("rid").alias(name), F.col("n").alias(f"n{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
 
     @staticmethod
     def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,36 +237,21 @@ class Join:
         return rows.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks")), rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
     def _cross(self, rows: DataFrame) -> DataFrame:
-        """Pairs of a bucket's rows that may link, in different components where rows have one. One of two sets is no larger than
-        the other, so one is free."""
+        """Distinct pairs (a, b, na, nb) of a key's rows that may link, in different components where rows have one."""
         parted = "comp" in rows.columns
-        more = ("free", *(("comp", "top") if parted else ()))
+        more = ("comp", "top") if parted else ()
         dealt, whole = self._blocks(rows)
-        x = self._side("x", dealt.filter("not top" if parted else "free"), *more, "block").withColumnRenamed("block_x", "block")
+        x = self._side("x", dealt.filter("not top") if parted else dealt, *more, "block").withColumnRenamed("block_x", "block")
         y = self._side("y", whole, *more, "block").withColumnRenamed("block_y", "block")
-        once = "comp_x <> comp_y and (top_y or x < y) and (free_x or free_y)" if parted else "x <> y and (x < y or not free_y)"
-        return self._fit(x.join(y, ["key", "block"]).filter(once))
+        once = "comp_x <> comp_y and (top_y or x < y)" if parted else "x < y"
+        return self._ends(self._fit(x.join(y, ["key", "block"]).filter(once)))
 
-    def _apart(self, rows: DataFrame) -> DataFrame:
-        """Rows of buckets with more than one component, with whether they are of the largest: those meet the others' only."""
+    @staticmethod
+    def _apart(rows: DataFrame) -> DataFrame:
+        """Rows of keys with more than one component, with whether they are of the largest: those meet the others' only."""
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held")).groupBy("key")
         largest = sizes.agg(F.max_by("comp", F.struct("held", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("key", "most")
-        return self._placed(rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most", "d", "u", "free"))
-
-    def _counted(self, raw: DataFrame) -> DataFrame:
-        """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
-        the order that both prefixes cover, so each of its keys that is not shared is missing from the other set."""
-        num, den = self.num, self.den
-        # Which row is x changes from key to key of a pair, so both are named by their ids before keys are counted.
-        low = F.col("x") < F.col("y")
-        either = [(f"{c}{one}", F.when(low, F.col(f"{c}{u}")).otherwise(F.col(f"{c}{v}"))) for c in ("", "n", "last_") for one, u, v in (("a", "x", "y"), ("b", "y", "x"))]
-        named = raw.select(*(c.alias(name) for name, c in either))
-        c = named.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.min("last_a").alias("la"), F.min("last_b").alias("lb"))
-        need = F.ceil((F.col("na") + F.col("nb")) * num / (den + num))
-        head = lambda n: n - F.ceil(n * num / den) + 1
-        left, right = (head(F.col(n)) - F.col(n) + need for n in ("na", "nb"))
-        least = F.when(F.col("la") < F.col("lb"), left).when(F.col("la") > F.col("lb"), right).otherwise(F.least(left, right))
-        return c.filter(F.col("shared") >= least).select("a", "b", "na", "nb")
+        return rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most")
 
     def _binned(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose overlap, bounded by the smaller count of each bin, may be enough."""
@@ -317,17 +267,15 @@ class Join:
         pairs = stored(self._binned(pairs), "pairs")
         rids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
         wanted = self.classes.withColumnRenamed("rep", "rid").join(rids, "rid").select("rid", F.col("first_id").alias("doc_id"), "sig")
-        fragments = stored(_fragments(self.docs, wanted, self.order), "fragments")
+        fragments = stored(_fragments(self.docs, wanted, self.size), "fragments")
         found = stored(_links(pairs, fragments, self.num, self.den).select("a", "b", "overlap"), "links")
         discard(pairs, fragments)
         return found
 
     def _stars(self) -> DataFrame:
-        """(a, b, na, nb): each row with its bucket's central row, that with the fewest keys that nobody else has before it."""
-        best = F.struct(-F.col("d"), -F.col("pos"), F.xxhash64("rid"))
-        central = self.buckets.groupBy("key").agg(F.max_by(F.struct("rid", "n", "pos", "d", "last", "u"), best).alias("c"))
-        names = zip(("rid", "n", "pos", "d", "last", "u"), ("y", "ny", "py", "dy", "last_y", "u_y"), strict=True)
-        central = central.select("key", *(F.col(f"c.{c}").alias(a) for c, a in names))
+        """(a, b, na, nb): each row with the central row of its key, in an order of all sets, so that keys of one group agree."""
+        central = self.buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid").alias("h"), "rid", "n")).alias("c"))
+        central = central.select("key", F.col("c.rid").alias("y"), F.col("c.n").alias("ny"))
         return self._ends(self._fit(self._side("x", self.buckets).join(central, "key").filter("x <> y")))
 
     @staticmethod
@@ -339,12 +287,12 @@ class Join:
         """(a, b, overlap) of linked representatives: every link, or enough of them to make the same components. With
         them the components (rid, comp), where they are known already."""
         if every:
-            return self._linked(self._counted(self._cross(self.buckets))), None
+            return self._linked(self._cross(self.buckets)), None
         edges = self._linked(self._stars())
         found = stored(self._components(edges), "components")
         named = self.buckets.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         rows = stored(self._apart(named), "apart")
-        more = self._linked(self._counted(self._cross(rows)))
+        more = self._linked(self._cross(rows))
         discard(rows, self.buckets)
         return (edges, found) if more.isEmpty() else (edges.unionByName(more), None)
 
