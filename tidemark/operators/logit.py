@@ -55,21 +55,21 @@ class Resamples:
     def of(cls, rows: DataFrame, by: str, cluster: str, draws: int, seed: int, stratum: str | None = None) -> Resamples:
         """Clusters are resampled within their stratum, each as often as it has clusters; a cluster is in one stratum."""
         of = F.lit(0) if stratum is None else F.col(stratum).cast("int")
-        held = rows.select(by, cluster, of.alias("stratum")).distinct()  # a row a cluster of each group
-        numbered = resample.numbered_clusters(held, [by], cluster).select(by, cluster, "stratum", "number")
+        held = rows.groupBy(by, cluster).agg(F.min(of).alias("stratum"), F.max(of).alias("other"))  # a row a cluster of each group
+        numbered = resample.numbered_clusters(held, [by], cluster).select(by, cluster, "stratum", "other", "number")
         found: dict[int, list[tuple[int, int]]] = {}
         for r in numbered.orderBy(by, "number").collect():
+            if r["stratum"] != r["other"]:
+                raise ValueError("a cluster spans both strata")
             found.setdefault(r[by], []).append((r["number"], r["stratum"]))
         times = {}
         for group, clusters in found.items():
-            if len({n for n, _ in clusters}) < len(clusters):
-                raise ValueError("a cluster spans both strata")
             out = np.ones((draws + 1, len(clusters)))
             for s in sorted({s for _, s in clusters}):
                 own = [n for n, of in clusters if of == s]
                 out[1:, own] = resample.multiplicities(len(own), draws, seed + 7919 * s)
             times[group] = out
-        return cls(times, numbered.drop("stratum"))
+        return cls(times, numbered.drop("stratum", "other"))
 
 
 def step_sums(rows: DataFrame, by: str, x: list[str], y: str, resamples: Resamples, betas: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
