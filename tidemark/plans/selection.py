@@ -42,9 +42,25 @@ def horizon_rows(m: Meetings) -> DataFrame:
     return m.features.select("event", "day", F.lit(1.0).alias("one"), *FEATURES, each).select("t.*", "event", "day", "one", *FEATURES).na.drop().persist()
 
 
+def packed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sums): the values of (by, place, value) in the order of places."""
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("sums"))
+
+
+def added(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sums): arrays of sums added place by place."""
+    return packed(rows.select(*by, F.posexplode("sums").alias("place", "value")).groupBy(*by, "place").agg(F.sum("value").alias("value")), by)
+
+
 def product_sums(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Sums of all products of (1, FEATURES, y), in units of 1e-9."""
-    return rows.groupBy(*by).agg(*(F.sum(F.round(F.col(Z[i]) * F.col(Z[j]) * UNIT).cast("long")).alias(g) for g, (i, j) in zip(SUMS, PAIRS, strict=True)))
+    """(by, sums): sums of all products of (1, FEATURES, y), in units of 1e-9, as one array."""
+    products = F.array(*(F.round(F.col(Z[i]) * F.col(Z[j]) * UNIT).cast("long") for i, j in PAIRS))
+    return added(rows.select(*by, products.alias("sums")), by)
+
+
+def spread_out(rows: DataFrame, *others: str) -> DataFrame:
+    """The sums as columns SUMS."""
+    return rows.select(*others, *(F.get("sums", F.lit(k)).alias(g) for k, g in enumerate(SUMS)))
 
 
 def folds_of(rows: DataFrame) -> DataFrame:
@@ -56,18 +72,19 @@ def folds_of(rows: DataFrame) -> DataFrame:
 
 
 def known_sums(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """(h, event, known, SUMS): sums of each meeting's rows by the first later meeting that starts after their targets' days."""
+    """(h, event, known, sums): sums of each meeting's rows by the first later meeting that starts after their targets' days."""
     listing = folds.groupBy("h").agg(F.collect_list(F.struct("event", "start")).alias("folds"))  # a meeting each
     after = F.array_min(F.transform(F.filter("folds", lambda f: (f["event"] > F.col("event")) & (f["start"] > F.col("due"))), lambda f: f["event"]))
     return product_sums(rows.join(F.broadcast(listing), "h").withColumn("known", after).filter("known is not null"), ["h", "event", "known"])
 
 
 def prefix_sums(cells: DataFrame, folds: DataFrame) -> DataFrame:
-    """(h, event, SUMS): for every meeting the sums over all rows that were known when it started."""
-    new = cells.groupBy("h", F.col("known").alias("event")).agg(*(F.sum(g).alias(g) for g in SUMS))
-    upto = Window.partitionBy("h").orderBy("event").rowsBetween(Window.unboundedPreceding, 0)  # a row a meeting
-    rows = folds.select("h", "event").join(new, ["h", "event"], "left")
-    return rows.select("h", "event", *(F.coalesce(F.sum(g).over(upto), F.lit(0)).alias(g) for g in SUMS))
+    """(h, event, sums): for every meeting the sums over all rows that were known when it started."""
+    new = added(cells.select("h", F.col("known").alias("event"), "sums"), ["h", "event"])
+    nothing = F.array_repeat(F.lit(0).cast("long"), len(PAIRS))
+    rows = folds.select("h", "event").join(new, ["h", "event"], "left").select("h", "event", F.posexplode(F.coalesce("sums", nothing)).alias("place", "value"))
+    upto = Window.partitionBy("h", "place").orderBy("event").rowsBetween(Window.unboundedPreceding, 0)  # a row a meeting
+    return packed(rows.withColumn("value", F.sum("value").over(upto)), ["h", "event"])
 
 
 def windows(rows: DataFrame) -> DataFrame:
@@ -75,16 +92,15 @@ def windows(rows: DataFrame) -> DataFrame:
     training meetings, and of these meetings' own; folds with fewer than LEAST_MEETINGS training meetings are left out."""
     folds = folds_of(rows)
     cells = known_sums(rows, folds).persist()  # a row or two a meeting
-    packed = lambda df, name: df.select("h", "event", F.array(*SUMS).alias(name))
-    prefix = prefix_sums(cells, folds)
+    prefix = prefix_sums(cells, folds).persist()  # a row a meeting
     entered = cells.groupBy("h", "event").agg(F.min("known").alias("known")).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("event", "known"))).alias("entered"))
     trained = F.transform(F.filter("entered", lambda e: e["known"] <= F.col("event")), lambda e: e["event"])
     fold = folds.select("h", "event").join(F.broadcast(entered), "h").withColumn("trained", trained).filter(F.size("trained") >= LEAST_MEETINGS)
     fold = fold.select("h", "event", F.slice("trained", -TUNED, TUNED).alias("last"))
     tune = fold.select("h", F.col("event").alias("fold"), F.explode("last").alias("event")).join(cells, ["h", "event"]).filter(F.col("known") <= F.col("fold"))
-    tune = tune.groupBy("h", F.col("fold").alias("event")).agg(*(F.sum(g).alias(g) for g in SUMS))
-    out = fold.select("h", "event", F.get("last", F.lit(0)).alias("tuned")).join(packed(prefix, "train"), ["h", "event"]).join(packed(tune, "tune"), ["h", "event"])
-    return out.join(packed(prefix, "inner").withColumnRenamed("event", "tuned"), ["h", "tuned"]).select("h", "event", "train", "inner", "tune")
+    tune = added(tune.select("h", F.col("fold").alias("event"), "sums"), ["h", "event"]).withColumnRenamed("sums", "tune")
+    out = fold.select("h", "event", F.get("last", F.lit(0)).alias("tuned")).join(prefix.withColumnRenamed("sums", "train"), ["h", "event"]).join(tune, ["h", "event"])
+    return out.join(prefix.withColumnsRenamed({"event": "tuned", "sums": "inner"}), ["h", "tuned"]).select("h", "event", "train", "inner", "tune")
 
 
 def gram(sums: np.ndarray) -> np.ndarray:
@@ -159,7 +175,7 @@ def gram_prefix(v: Views) -> DataFrame:
     """What each fold's models are fitted from, in units of 1e-6. The SQL adds up every fold's rows anew."""
     rows = horizon_rows(Meetings.of(v))
     folds = folds_of(rows)
-    found = prefix_sums(known_sums(rows, folds), folds).filter("g0 > 0")
+    found = spread_out(prefix_sums(known_sums(rows, folds), folds), "h", "event").filter("g0 > 0")
     return found.select("h", "event", F.round(F.col("g0") / UNIT).cast("long").alias("n"), *(F.expr(f"({g} + 500) div 1000").alias(g) for g in SUMS))
 
 
@@ -280,9 +296,9 @@ def clustered_fit(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def ridge_path(v: Views) -> DataFrame:
     """Ridge coefficients of standardised features over alphas, with intervals over resampled meetings: every draw is a sum of
     the meetings' products, made and solved on executors."""
-    sums = product_sums(horizon_rows(Meetings.of(v)), ["h", "event"])
-    whole = sums.groupBy("h").agg(F.array(*(F.sum(g) for g in SUMS)).alias("whole"))
-    draws = resample.draw_totals(sums, ["h"], "event", SUMS).select("h", "draw", F.array(*SUMS).alias("sums")).join(F.broadcast(whole), "h")
+    sums = product_sums(horizon_rows(Meetings.of(v)), ["h", "event"]).persist()  # a row a meeting
+    whole = added(sums, ["h"]).withColumnRenamed("sums", "whole")
+    draws = resample.draw_totals(spread_out(sums, "h", "event"), ["h"], "event", SUMS).select("h", "draw", F.array(*SUMS).alias("sums")).join(F.broadcast(whole), "h")
     draws = draws.unionByName(whole.select("h", F.lit(-1).alias("draw"), F.col("whole").alias("sums"), "whole"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,7 +331,7 @@ def holm_adjusted(rows: DataFrame, by: str, p: str, name: str) -> DataFrame:
 
 def clustered_table(m: Meetings) -> DataFrame:
     """(h, feature, coef, t) of an OLS on all standardised features, clustered by meeting, from the meetings' products."""
-    sums = product_sums(horizon_rows(m), ["h", "event"]).select("h", "event", F.array(*SUMS).alias("sums"))
+    sums = product_sums(horizon_rows(m), ["h", "event"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         grams = np.stack([gram(s) for s in frame.sort_values("event")["sums"]])
