@@ -1,4 +1,4 @@
-"""Incremental merges: high-water marks, overlap, last copy kept, atomic replacement."""
+"""Incremental merges: high-water marks, overlap, last copy kept, replacement by renaming."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.operators.names import free_names
 from tidemark.operators.series import keep_last
 
 
 def since_marks(stored: DataFrame, arriving: DataFrame, key: str, ts: str, hours: int = 1) -> DataFrame:
     """Arriving rows from `hours` before the newest stored row of their key on; all rows of new keys."""
-    marks = stored.groupBy(key).agg(F.timestamp_add("HOUR", F.lit(-hours), F.max(ts)).alias("__since"))
-    return arriving.join(marks, key, "left").filter(F.col("__since").isNull() | (F.col(ts) >= F.col("__since"))).drop("__since")
+    (since,) = free_names(arriving.columns, "since")
+    marks = stored.groupBy(key).agg(F.timestamp_add("HOUR", F.lit(-hours), F.max(ts)).alias(since))
+    return arriving.join(marks, key, "left").filter(F.col(since).isNull() | (F.col(ts) >= F.col(since))).drop(since)
 
 
 def unsettled(listing: DataFrame, stored: DataFrame, key: str, settled: Column) -> DataFrame:
@@ -26,7 +28,8 @@ def merge(stored: DataFrame, arriving: DataFrame, keys: list[str], order: list[C
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table and swaps the folders, so readers see the old or the new table and never half of one."""
+    """Writes beside the table, then swaps the folders by two renames: readers never see half of a table, but between the renames
+    they see none, and a store that renames by copying takes as long as the copy."""
     spark: SparkSession = df.sparkSession
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)

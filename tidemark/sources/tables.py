@@ -39,8 +39,14 @@ def write_json_payload(df: DataFrame, path: str, key: str) -> None:
 
 
 def csv_roundtrip(df: DataFrame) -> DataFrame:
-    """df written as gzip CSV to the shared folder (or a temporary one) and read with its own schema."""
+    """df written as gzip CSV to the shared folder spark.checkpoint.dir and read with its own schema. Only where Spark runs in one
+    process does a temporary folder of this machine stand in for it."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/csv-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp()
+    path = f"{root.rstrip('/')}/csv-{uuid.uuid4().hex}"
     write_csv(df, path, compress=True)
     return spark.read.schema(df.schema).option("header", True).csv(path)
