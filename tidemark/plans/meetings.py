@@ -191,10 +191,10 @@ def chained_moves(m: Meetings) -> DataFrame:
 
 
 @query("implied_path", "D-27 W-12", f"""WITH RECURSIVE {PATHS} SELECT strftime(t, '%Y-%m-%d') AS t, strftime(d, '%Y-%m-%d') AS meeting, CAST(j AS INTEGER) AS ahead, CASE WHEN nb IS NULL THEN 'A' ELSE 'B' END AS method,
-  round((coalesce(b, a) - before) / {STEP * 1000}, 5) AS x, round((coalesce(b, a) - first_value(before) OVER (PARTITION BY t ORDER BY step)) / {STEP * 1000}, 5) AS cum, round((a - b) / 10, 4) AS gap_ab_bp FROM path WHERE coalesce(b, a) IS NOT NULL""", "daily")
+  round((coalesce(b, a) - before) / {STEP * 1000}, 8) AS x, round((coalesce(b, a) - first_value(before) OVER (PARTITION BY t ORDER BY step)) / {STEP * 1000}, 8) AS cum, round((a - b) / 10, 8) AS gap_ab_bp FROM path WHERE coalesce(b, a) IS NOT NULL""", "daily")
 def implied_path(v: Views) -> DataFrame:
     rows = Meetings.of(v).paths
-    return rows.select(F.col("t").cast("string").alias("t"), F.col("meeting").cast("string").alias("meeting"), "ahead", "method", R("x", 5).alias("x"), R("cum", 5).alias("cum"), R("gap", 4).alias("gap_ab_bp"))
+    return rows.select(F.col("t").cast("string").alias("t"), F.col("meeting").cast("string").alias("meeting"), "ahead", "method", R("x", 8).alias("x"), R("cum", 8).alias("cum"), R("gap", 8).alias("gap_ab_bp"))
 
 
 _AHEAD = ", ".join(f"lead(gap, {h}) OVER w - gap AS target_{h}, lead(day, {h}) OVER w AS date_{h}" for h in HORIZONS)
