@@ -3,9 +3,12 @@ the rows of a few of them."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .names import free_names
 
@@ -26,7 +29,12 @@ def range_cuts(df: DataFrame, column: str, rows: int = ROWS) -> list[float]:
     if ranges < 2:
         return []
     shares = [k / ranges for k in range(1, ranges)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 100 * ranges).alias("cuts")).first().cuts
+    return _cuts(df, column, shares, 100 * ranges)
+
+
+def _cuts(df: DataFrame, column: str, shares: list[float], accuracy: int) -> list[float]:
+    x = F.col(column).cast("double")
+    found = df.filter(~F.isnan(x)).agg(F.percentile_approx(x, shares, accuracy).alias("cuts")).first().cuts
     return sorted(set(found or []))
 
 
@@ -38,20 +46,27 @@ def range_of(cuts: list[float]):
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], bins: int = 1024) -> DataFrame:
     """(by, n, q0, q1, …): exact quantiles of the non-null values with linear interpolation, for each group.
 
-    A sketch cuts each group into `bins` ranges; all values are counted by range, and only the ranges that hold a wanted rank
-    are read again, each distinct value once. So a group's values never meet in one task. Groups whose values are all null,
+    A sketch cuts the whole column into `bins` ranges once, a job of its own; all values are counted by group and range, and only
+    the ranges that hold a wanted rank are read again, each distinct value once. So a group's values never meet in one task. The
+    cuts are constants: they're not carried by rows, and both readings use the same ones. Groups whose values are all null,
     and empty tables, give no rows; a null group is a group.
     """
-    x, edges, n, at, before, held, rank, share, start = free_names([*by, value], "x", "edges", "n", "at", "before", "held", "rank", "share", "start")
+    x, n, at, before, held, rank, share, start = free_names([*by, value], "x", "n", "at", "before", "held", "rank", "share", "start")
     rows = df.select(*by, F.col(value).cast("double").alias(x)).filter(F.col(x).isNotNull())
     if not by:
-        (one,) = free_names([x, edges], "one")
+        (one,) = free_names([x], "one")
         return exact_quantiles(df.withColumn(one, F.lit(0)), [one], value, shares, bins).drop(one)
-    about = rows.groupBy(*(F.col(c).alias(f"{c}_a") for c in by)).agg(F.percentile_approx(x, [k / bins for k in range(1, bins)], 10 * bins).alias(edges), F.count("*").alias(n))
-    placed = rows.join(about, [F.col(c).eqNullSafe(F.col(f"{c}_a")) for c in by]).select(*by, x, n, place_in(F.col(edges), F.col(x), bins).alias(at))
-    counts = placed.groupBy(*by, n, at).agg(F.count("*").alias(held))
+    cuts = _cuts(rows, x, [k / bins for k in range(1, bins)], 10 * bins)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.searchsorted(cuts, batch.column(len(by)).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int32())], [*batch.schema.names, at])
+
+    placed = rows.mapInArrow(place, StructType([*rows.schema.fields, StructField(at, IntegerType())]))
+    counts = placed.groupBy(*by, at).agg(F.count("*").alias(held))
     upto = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)  # bins rows at most
-    counts = counts.withColumn(before, F.coalesce(F.sum(held).over(upto), F.lit(0)))
+    counts = counts.withColumn(before, F.coalesce(F.sum(held).over(upto), F.lit(0))).withColumn(n, F.sum(held).over(Window.partitionBy(*by)))
     wanted = F.explode(F.array(*(F.struct(F.lit(i).alias(share), (F.lit(p) * (F.col(n) - 1)).alias(rank)) for i, p in enumerate(shares))))
     ranks = counts.select(*by, n, at, before, held, wanted.alias("w_")).select(*by, n, at, before, held, f"w_.{share}", f"w_.{rank}")
     ends = ranks.select(*by, n, at, before, held, share, rank, F.explode(F.array(F.floor(rank), F.ceil(rank))).alias(start)).distinct()
