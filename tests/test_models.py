@@ -167,6 +167,21 @@ def test_quantiles_carry_no_edges_with_their_rows(spark):
         assert np.allclose((r.q0, r.q1), np.percentile(values.v[values.g == r.g], [2.5, 97]))
 
 
+def test_fixed_steps_are_taken_though_they_run_away(spark):
+    """Eight steps over separable outcomes end in a finite step; where one forecast bears all information there's no solution."""
+    apart = [(1, z, float(z > 0.3)) for z in (-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0)]
+    df = spark.createDataFrame([*apart, (2, 1.0, 1.0), (2, 1.0, 0.0)] * 3, "h int, z double, y double")
+    beta = logit.fixed_steps(df, "h", "z", "y", 8)
+    a, b = 0.0, 1.0
+    for _ in range(8):
+        z, y = np.array([r[1] for r in apart]), np.array([r[2] for r in apart])
+        c = 1 / (1 + np.exp(-(a + b * z)))
+        x, w = np.column_stack([np.ones(8), z]), c * (1 - c)
+        a, b = np.array([a, b]) + np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (y - c))
+    assert np.allclose(beta[1], (a, b), rtol=1e-6) and b > 10 and np.isnan(beta[2]).all()
+    assert logit.fixed_steps(df.limit(0), "h", "z", "y", 8) == {}
+
+
 def test_checks_count_and_stop_a_write(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, None)], "id int, p double")
     rules = {"known": F.col("p").isNotNull(), "below one": F.col("p") < 1}

@@ -21,6 +21,7 @@ from . import resample
 
 # Where Newton starts (0, 1, 0, …), how many steps it may take, its last step, and what counts as running away.
 STEPS, SETTLED, RUNAWAY = 100, 1e-10, 50.0
+SINGULAR = 1e-12  # a determinant of that share of its terms is their rounding error
 BLOCK = 1024  # rows times resamples that a task holds at once
 
 
@@ -141,6 +142,28 @@ def fit(rows: DataFrame, by: str, x: list[str], y: str, resamples: Resamples) ->
     return beta, known
 
 
+def fixed_steps(rows: DataFrame, by: str, z: str, y: str, steps: int) -> dict[int, tuple[float, float]]:
+    """Intercept and slope of y on z after exactly `steps` Newton steps from 0 and 1 for each group, settled, running away or
+    neither; NaN from a step on whose information is singular, because forecasts of one value bear all of it. What rounding leaves
+    of such a determinant depends on the order of the sums. A step is one job, which returns a row of sums a group."""
+    rows = rows.select(by, F.col(z).cast("double").alias("z"), F.col(y).cast("double").alias("y")).persist()
+    beta = {r[by]: (0.0, 1.0) for r in rows.select(by).distinct().collect()}
+    c = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") + F.col("b") * F.col("z"))))
+    rest, spread = F.col("y") - F.col("c"), F.col("c") * (1 - F.col("c"))
+    sums = (rest, F.col("z") * rest, spread, F.col("z") * F.col("c") * (1 - F.col("c")), F.col("z") * F.col("z") * F.col("c") * (1 - F.col("c")))
+    for _ in range(steps if beta else 0):
+        table = rows.sparkSession.createDataFrame([(g, *b) for g, b in beta.items()], f"{by} int, a double, b double")
+        chances = rows.join(F.broadcast(table), by).withColumn("c", c)
+        for r in chances.groupBy(by).agg(*(F.sum(s).alias(f"t{k}") for k, s in enumerate(sums))).collect():
+            s0, s1, i0, i1, i2 = (np.float64(r[f"t{k}"]) for k in range(5))
+            determinant = i0 * i2 - i1 * i1
+            with np.errstate(all="ignore"):
+                determinant = determinant if determinant > SINGULAR * i0 * i2 else np.nan
+                beta[r[by]] = float(beta[r[by]][0] + (i2 * s0 - i1 * s1) / determinant), float(beta[r[by]][1] + (i0 * s1 - i1 * s0) / determinant)
+    rows.unpersist()
+    return beta
+
+
 def cluster_scores(rows: DataFrame, by: str, x: list[str], y: str, beta: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """The score sums of each group's clusters at the given coefficients, a row a cluster."""
     spark = rows.sparkSession

@@ -208,11 +208,10 @@ _NEWTON = "".join(f""", i{k} AS (SELECT h, a, b, sum(y - c) AS s0, sum(z * (y -
 @query("calibration_curve", "M-21 M-1 X-9", f"""WITH {FORECASTS}, lo AS (SELECT h, CAST(y AS DOUBLE) AS y, ln(least(greatest(p, 0.005), 0.995) / (1 - least(greatest(p, 0.005), 0.995))) AS z FROM forecasts), n0 AS (SELECT DISTINCT h, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM lo){_NEWTON}
   SELECT h, i / 100.0 AS f, round(1 / (1 + exp(-(a + b * ln((i / 100.0) / (1 - i / 100.0))))), 5) AS p FROM n8, range(1, 100) t(i) WHERE isfinite(a) AND isfinite(b)""", FORECAST_USES)
 def calibration_curve(v: Views) -> DataFrame:
-    """The fitted curve of each horizon's calibration regression on 99 points. The SQL takes eight Newton steps."""
-    rows = _log_odds(v).withColumn("one", F.lit(1.0))
-    resamples = logit.Resamples.of(rows, "h", "event", 0, resample.SEED)
-    beta, _ = logit.fit(rows.join(resamples.numbers, ["h", "event"]), "h", ["one", "z"], "y", resamples)
-    fitted = v.spark.createDataFrame([(h, float(b[0, 0]), float(b[0, 1])) for h, b in beta.items() if np.isfinite(b[0]).all()], "h int, a double, b double")
+    """The curve of each horizon's calibration regression on 99 points after eight Newton steps, as the SQL has it: where outcomes
+    are separable, the steps run away and the curve is a step."""
+    beta = logit.fixed_steps(_log_odds(v), "h", "z", "y", 8)
+    fitted = v.spark.createDataFrame([(h, a, b) for h, (a, b) in beta.items() if np.isfinite([a, b]).all()], "h int, a double, b double")
     f = F.col("i") / 100.0
     points = fitted.select("h", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("i"))
     return points.select("h", f.alias("f"), R(1 / (1 + F.exp(-(F.col("a") + F.col("b") * D.logit(f)))), 5).alias("p"))
