@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import domain as D
 from tidemark.operators import checks, logit, ranges, resample
 from tidemark.operators.asof import asof_join, asof_small
-from tidemark.plans import meetings, selection
+from tidemark.plans import ORACLES, QUERIES, meetings, selection
 
 
 def test_erfc_is_right_to_seven_digits(spark):
@@ -250,3 +250,15 @@ def test_chained_moves_take_realised_days_month_ends_and_stop(spark):
     assert len(moves(spark, [date(2021, 4, 30), date(2021, 5, 5)])) == 0 and len(moves(spark, [date(2021, 4, 30)])) == 1
     # Twelve months ahead there is no contract for the month after.
     assert moves(spark, [date(2022, 3, 5)])[0][1] == "A" and moves(spark, [date(2022, 3, 31)]) == []
+
+
+def test_masses_halfway_between_millionths_round_up(spark, tmp_path):
+    """Step 1 has one millionth less than the rounded mass of step 2, which lies a lost bit below its half."""
+    rows = [(1, k, p / 10, 0.03) for k, p in ((1, 0.728174), (3, 0.184521))]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double, l_tax double")
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    (r,) = QUERIES["point_forecasts"](spark, str(tmp_path)).collect()
+    assert [(r["event"], r["mode"], r["median"])] == connection.execute(f"select event, mode, median from ({ORACLES['point_forecasts']})").fetchall()
+    assert r["mode"] == 2

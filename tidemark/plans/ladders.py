@@ -117,8 +117,10 @@ def regrid_distribution(v: Views) -> DataFrame:
 
 @query("point_forecasts", "D-17", f"WITH {GRIDDED}, c AS (SELECT *, sum(m) OVER (PARTITION BY event ORDER BY step) AS cdf FROM dist) SELECT event, arg_max(step, round(m, 6) * 1000000 - step * 0.001) AS mode, min(step) FILTER (WHERE cdf >= 0.5 - 1e-9) AS median FROM c GROUP BY event", "ladders")
 def point_forecasts(v: Views) -> DataFrame:
+    """Mode and median of every event. A mass halfway between two millionths rounds up, whatever bits its difference and its pooled
+    sums have lost; the SQL's multiplication by a million takes up such bits, decimal rounding doesn't."""
     rows = gridded(fitted(v)).withColumn("cdf", F.sum("m").over(Window.partitionBy("event").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("event").agg(F.max_by("step", F.round("m", 6) * 1000000 - F.col("step") * 0.001).alias("mode"), F.min(F.when(F.col("cdf") >= 0.5 - 1e-9, F.col("step"))).alias("median"))
+    return rows.groupBy("event").agg(F.max_by("step", F.round(F.col("m") + 1e-12, 6) * 1000000 - F.col("step") * 0.001).alias("mode"), F.min(F.when(F.col("cdf") >= 0.5 - 1e-9, F.col("step"))).alias("median"))
 
 
 MOMENTS = """r AS (SELECT event, strike, min(least(greatest(p, 0), 1)) OVER w AS s, lag(strike) OVER w AS k0, row_number() OVER w AS i, count(*) OVER (PARTITION BY event) AS n FROM ladders WINDOW w AS (PARTITION BY event ORDER BY strike)),
