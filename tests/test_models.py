@@ -2,7 +2,7 @@
 
 import math
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import duckdb
 import numpy as np
@@ -262,3 +262,14 @@ def test_masses_halfway_between_millionths_round_up(spark, tmp_path):
     (r,) = QUERIES["point_forecasts"](spark, str(tmp_path)).collect()
     assert [(r["event"], r["mode"], r["median"])] == connection.execute(f"select event, mode, median from ({ORACLES['point_forecasts']})").fetchall()
     assert r["mode"] == 2
+
+
+def test_the_curve_takes_the_steps_of_its_sql(spark, tmp_path):
+    """Outcomes that the prices separate: the fit has no end, eight steps do."""
+    rows = [(u, datetime(2024, 1, 1), u, "view", 20.0 + u % 7 * 5 + (37.0 if u % 3 == 0 else 0.0)) for u in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    found = sorted((r["h"], round(r["f"], 6), round(r["p"], 5)) for r in QUERIES["calibration_curve"](spark, str(tmp_path)).collect())
+    assert found == sorted((h, round(f, 6), round(p, 5)) for h, f, p in connection.execute(f"select h, f, p from ({ORACLES['calibration_curve']})").fetchall())
+    assert len(found) >= 99
