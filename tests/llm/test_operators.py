@@ -327,6 +327,15 @@ def test_ngram_pairs_near_the_threshold_in_both_row_orders(spark, larger_first,
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {i: c for i, (_, c) in brute_components(table).items()}
 
 
+def test_ngram_join_makes_one_row_of_a_pair_that_shares_a_passage(spark, monkeypatch):
+    """All shingles that two texts share have the same two rows, so they are joined as one."""
+    table = [(2 * k + short, " ".join(f"p{k}x{i}" for i in range(100 - 4 * short))) for k in range(5) for short in (0, 1)]
+    made, cross = [], ngram_join.Join._cross
+    monkeypatch.setattr(ngram_join.Join, "_cross", lambda self, rows: made.append(cross(self, rows)) or made[-1])
+    got = {(r.doc_a, r.doc_b, r.overlap) for r in ngram_join.similar_pairs(frame(spark, table)).collect()}
+    assert got == {(2 * k, 2 * k + 1, 94) for k in range(5)} and made[0].count() == 5
+
+
 def test_keep_one_keeps_columns_and_rows_without_id(spark, docs, rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns

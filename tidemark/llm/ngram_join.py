@@ -7,12 +7,13 @@ representative. Candidates share a key among the rarest of both sets (prefix fil
 filters; for each candidate pair the overlap is counted fragment by fragment, and the parts are summed.
 
 More filters before any set is fetched: keys in no other prefix bound the overlap, and of two prefixes all such keys of the one
-that ends first; a pair must share enough of its first keys; and the counts of keys in BINS hash bins, compared bin by bin,
-bound the overlap as well. For components every set is first compared with one central set in each of its buckets. Then
+that ends first; of that one's keys, taken by how many prefixes hold them, one of the first must be shared; and the counts of
+keys in BINS hash bins, compared bin by bin, bound the overlap as well. For components every set is first compared with one central set in each of its buckets. Then
 only pairs in different components are left, as a pair within one can't change it: buckets of one component are left out
 before the join, keys shared within a component alone count as keys in no other prefix, and a bucket's largest component
 is joined with the rest alone. So no link between components is lost, and a large group of near copies costs about its
-size, not its square. Both steps are the same for buckets of any size; the rows of a bucket are dealt in blocks.
+size, not its square. Keys with the same rows, as those of a passage that two texts share, are joined once, by the first of
+them, which counts for all. Both steps are the same for buckets of any size; the rows of a bucket are dealt in blocks.
 
 Keys are 63 bits: two different shingles of one pair of documents share a key with a chance of about n^2 / 2^56.
 """
@@ -275,33 +276,52 @@ class Join:
         """Pairs of a bucket's rows that may link, in different components where rows have one. One of two sets is no larger than
         the other, so one is free."""
         parted = "comp" in rows.columns
-        more = ("free", *(("comp", "top") if parted else ()))
+        more = ("free", "rank", *(("comp", "top") if parted else ()))
         dealt, whole = self._blocks(rows)
         x = self._side("x", dealt.filter("not top" if parted else "free"), *more, "block").withColumnRenamed("block_x", "block")
         y = self._side("y", whole, *more, "block").withColumnRenamed("block_y", "block")
         once = "comp_x <> comp_y and (top_y or x < y) and (free_x or free_y)" if parted else "x <> y and (x < y or not free_y)"
-        return self._fit(x.join(y, ["key", "block"]).filter(once))
+        return self._fit(x.join(y, ["key", "block"]).filter(once).filter(self._early("x", "y") & self._early("y", "x")))
+
+    def _early(self, a: str, b: str) -> Column:
+        """Of two prefixes the one that ends first (a) lies within the stretch of the order that both cover, so its keys that are
+        missing from the other prefix are missing from the other set, which lacks n - need of them at most. In whatever order
+        they are taken, one of the first n - need + 1 is therefore shared: taken by rank, few rows hold it."""
+        need = F.ceil((F.col("nx") + F.col("ny")) * self.num / (self.den + self.num))
+        return (F.col(f"last_{a}") > F.col(f"last_{b}")) | (F.col(f"rank_{a}") <= F.col(f"n{a}") - need)
+
+    @staticmethod
+    def _digested(rows: DataFrame) -> DataFrame:
+        """rows with the digests of their ids, which bit_xor joins into those of a bucket whatever the order."""
+        return rows.withColumn("one", F.xxhash64("rid")).withColumn("two", F.xxhash64("rid", F.lit(1)))
+
+    @staticmethod
+    def _weighed(keys: DataFrame) -> DataFrame:
+        """keys (key, one, two, …) with weight: for the first of those with the same rows how many they are, null for the others.
+        The first in the global order stands first in each of the rows, so every filter passes there if it does at another."""
+        firsts = keys.groupBy("one", "two").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+        return keys.drop("one", "two").join(firsts.select("key", "weight"), "key", "left")
+
+    @staticmethod
+    def _ranked(rows: DataFrame) -> DataFrame:
+        """The rows that have a weight, with rank: the keys of the row's prefix that fewer rows hold, those that no other holds first."""
+        before = Window.partitionBy("rid").orderBy("members", "key").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.filter("weight is not null")
+        return rows.withColumn("rank", F.col("u") + F.coalesce(F.sum("weight").over(before), F.lit(0))).drop("members")
+
+    def _whole(self) -> DataFrame:
+        """Rows of all buckets, of those with the same rows the first with its weight."""
+        keys = self._digested(self.buckets).groupBy("key").agg(F.count("*").alias("members"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
+        return self._ranked(self.buckets.join(self._weighed(keys), "key"))
 
     def _apart(self, rows: DataFrame) -> DataFrame:
-        """Rows of buckets with more than one component, with whether they are of the largest: those meet the others' only."""
-        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("held")).groupBy("key")
-        largest = sizes.agg(F.max_by("comp", F.struct("held", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("key", "most")
-        return self._placed(rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most", "d", "u", "free"))
-
-    def _counted(self, raw: DataFrame) -> DataFrame:
-        """Distinct candidates that share enough of their first keys. The prefix that ends first lies within the stretch of
-        the order that both prefixes cover, so each of its keys that is not shared is missing from the other set."""
-        num, den = self.num, self.den
-        # Which row is x changes from key to key of a pair, so both are named by their ids before keys are counted.
-        low = F.col("x") < F.col("y")
-        either = [(f"{c}{one}", F.when(low, F.col(f"{c}{u}")).otherwise(F.col(f"{c}{v}"))) for c in ("", "n", "last_") for one, u, v in (("a", "x", "y"), ("b", "y", "x"))]
-        named = raw.select(*(c.alias(name) for name, c in either))
-        c = named.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.min("last_a").alias("la"), F.min("last_b").alias("lb"))
-        need = F.ceil((F.col("na") + F.col("nb")) * num / (den + num))
-        head = lambda n: n - F.ceil(n * num / den) + 1
-        left, right = (head(F.col(n)) - F.col(n) + need for n in ("na", "nb"))
-        least = F.when(F.col("la") < F.col("lb"), left).when(F.col("la") > F.col("lb"), right).otherwise(F.least(left, right))
-        return c.filter(F.col("shared") >= least).select("a", "b", "na", "nb")
+        """Rows of buckets with more than one component, with whether they are of the largest: those meet the others' only. Of
+        buckets with the same rows the first stays, with its weight; what a row has before a key is counted before that."""
+        sizes = self._digested(rows).groupBy("key", "comp").agg(F.count("*").alias("held"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two")).groupBy("key")
+        largest = sizes.agg(F.max_by("comp", F.struct("held", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("held").alias("members"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
+        largest = self._weighed(largest.filter("comps > 1").drop("comps"))
+        rows = rows.join(largest, "key").withColumn("top", F.col("comp") == F.col("most")).drop("most", "d", "u", "free")
+        return self._ranked(self._placed(rows))
 
     def _binned(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose overlap, bounded by the smaller count of each bin, may be enough."""
@@ -339,12 +359,12 @@ class Join:
         """(a, b, overlap) of linked representatives: every link, or enough of them to make the same components. With
         them the components (rid, comp), where they are known already."""
         if every:
-            return self._linked(self._counted(self._cross(self.buckets))), None
+            return self._linked(self._ends(self._cross(self._whole()))), None
         edges = self._linked(self._stars())
         found = stored(self._components(edges), "components")
         named = self.buckets.join(found, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         rows = stored(self._apart(named), "apart")
-        more = self._linked(self._counted(self._cross(rows)))
+        more = self._linked(self._ends(self._cross(rows)))
         discard(rows, self.buckets)
         return (edges, found) if more.isEmpty() else (edges.unionByName(more), None)
 
