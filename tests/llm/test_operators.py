@@ -483,6 +483,16 @@ def test_lm_learns_from_every_token_once(monkeypatch):
         assert seen == collections.Counter(zip([0, *line.tolist()[:-1]], line.tolist(), strict=True) if n else [])
 
 
+def test_lm_sorts_tokens_by_radix(monkeypatch):
+    """Classes and input rows are sorted as 16-bit numbers, for which a stable sort takes time in proportion."""
+    seen, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **k: seen.append(x.dtype.itemsize) or sort(x, **k))
+    model = gru_lm.Model(np.arange(gru_lm.HEAD, 0, -1.0), 50.0)
+    model.train([np.arange(40)])
+    model.log_probs(np.zeros((3, gru_lm.STATE), np.float32), np.array([0, 5, gru_lm.HEAD]))
+    assert seen and max(seen) == 2
+
+
 def test_lm_moves_its_weights_for_a_short_text():
     model = gru_lm.Model(np.arange(gru_lm.HEAD, 0, -1.0), 50.0)
     before = {k: v.copy() for k, v in model.p.items()}

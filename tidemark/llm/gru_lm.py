@@ -99,16 +99,18 @@ class Model:
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of P(class) * P(token in class) for head targets, of P(tail class) for others (HEAD or more)."""
-        cls = np.minimum(target // IN_CLASS, TAIL)
-        logits = h @ self.p["wc"] + self.p["bc"]
-        out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits).sum(1))
+        cls = np.minimum(target // IN_CLASS, TAIL).astype(np.int16)  # 16 bits are sorted by radix
+        logits = h @ self.p["wc"]
+        logits += self.p["bc"]
+        out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits, out=logits).sum(1))
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
-                inner = h[rows] @ self.p["wi"][c] + self.p["bi"][c]
-                out[rows] += inner[np.arange(len(rows)), target[rows] % IN_CLASS] - np.log(np.exp(inner).sum(1))
+                inner = h[rows] @ self.p["wi"][c]
+                inner += self.p["bi"][c]
+                out[rows] += inner[np.arange(len(rows)), target[rows] % IN_CLASS] - np.log(np.exp(inner, out=inner).sum(1))
         return out
 
     def train(self, sequences: list[np.ndarray], streams: int | None = None, window: int = 16, rate: float = 0.01, first: int = 0) -> int:
@@ -157,9 +159,11 @@ class Model:
         scale = (held / np.float32(max(1, held.sum()))).astype(np.float32)[:, None]
         hs = np.concatenate([s[0] for s in steps])
         target = targets.ravel()
-        cls = np.minimum(target // IN_CLASS, TAIL)
+        cls = np.minimum(target // IN_CLASS, TAIL).astype(np.int16)  # 16 bits are sorted by radix
         g = {k: np.zeros_like(v) for k, v in self.p.items() if k != "x"}
-        e = np.exp(hs @ self.p["wc"] + self.p["bc"])
+        e = hs @ self.p["wc"]
+        e += self.p["bc"]
+        np.exp(e, out=e)
         e /= e.sum(1, keepdims=True)
         e[np.arange(len(e)), cls] -= 1
         e *= scale
@@ -170,7 +174,9 @@ class Model:
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
                 own = hs[rows]
-                inner = np.exp(own @ self.p["wi"][c] + self.p["bi"][c])
+                inner = own @ self.p["wi"][c]
+                inner += self.p["bi"][c]
+                np.exp(inner, out=inner)
                 inner /= inner.sum(1, keepdims=True)
                 inner[np.arange(len(rows)), target[rows] % IN_CLASS] -= 1
                 inner *= scale[rows]
@@ -191,8 +197,11 @@ class Model:
             out_of[t, :, 2 * STATE :] *= r
             dh = dh * z + out_of[t] @ back
         g["u"] = np.concatenate(before).T @ out_of.reshape(-1, 3 * STATE)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        rows, first = np.unique(inputs.ravel()[order], return_index=True)
+        flat = inputs.ravel().astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        rows = flat[first].astype(np.int64)
         g["x"] = np.add.reduceat(into.reshape(-1, 3 * STATE)[order], first, axis=0)
         return g, rows, h
 
