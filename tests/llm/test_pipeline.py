@@ -3,6 +3,7 @@
 import hashlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -51,3 +52,35 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
         assert docs.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_a_worker_keeps_the_tables_of_one_operator(spark):
+    """Workers go from stage to stage: what encoding and near_duplicates keep between tasks added up there."""
+    from tidemark.llm import bpe, ngram_join
+    from tidemark.llm.common import documents, tidy
+    from tidemark.llm.queries import vocabulary_path
+
+    path = vocabulary_path()
+
+    def held(batches):
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.record_batch([pa.array([bpe.encoder_of.cache_info().currsize] * n), pa.array([len(ngram_join._hashes)] * n)], ["encoders", "hashes"])
+
+    def fill(batches):
+        bpe.encoder_of(path)
+        ngram_join.word_hashes(b"one two three")
+        yield from held(batches)
+
+    def seen(run, module):
+        run.__module__ = module
+        rows = spark.range(0, 8, 1, 4).mapInArrow(tidy(run), "encoders long, hashes long").collect()
+        return {tuple(r) for r in rows}
+
+    assert seen(fill, bpe.__name__) == {(1, 3)}
+    assert all(encoders == 0 for encoders, _ in seen(held, ngram_join.__name__))
+    seen(fill, bpe.__name__)
+    assert seen(held, "another") == {(0, 0)}
+    docs = documents(spark, DATA).limit(50)
+    bpe.bpe_digests(docs, path).collect()
+    assert seen(held, decontam.__name__) == {(0, 0)}

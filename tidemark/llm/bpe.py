@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, pieces, private, raw_texts, tidy
+from .common import id_and_text, keeps, pieces, private, raw_texts, tidy
 
 WORD_END = "</w>"
 MEMO = 400_000  # stretches of text in each of a worker's two generations
@@ -339,10 +339,13 @@ class _Stretch:
 
 @lru_cache(2)
 def encoder_of(path: str) -> Encoder:
-    """One encoder for each worker process: its memo outlives a task."""
+    """One encoder for each worker process: its memo outlives a task, until the worker runs another operator."""
     return Encoder(Vocabulary(path))
 
 
+keeps(__name__, encoder_of.cache_clear)
+
+
 class Decoder:
     """Ids to text, incrementally: only the bytes of an unfinished character are held. A word's end becomes a space."""
 

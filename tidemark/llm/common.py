@@ -103,17 +103,46 @@ def discard(*tables: DataFrame | None) -> None:
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+_kept: dict[str, Callable[[], None]] = {}  # by module: empties what it keeps in this process between tasks
+_last = ""  # module of the operator that ran last in this process
+
+
+def keeps(module: str, empty: Callable[[], None]) -> None:
+    """Says what empties the tables that a module keeps in a Python worker from one of its tasks to the next; see tidy()."""
+    _kept[module] = empty
+
+
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if give_back:
+            give_back(0)
+
+
+def taken_over(module: str) -> None:
+    """This process now works for a module: what others keep in it goes."""
+    global _last
+    if module == _last:
+        return
+    _last = module
+    for name, empty in _kept.items():
+        if name != module:
+            empty()
+    trim()
+
+
 def tidy(run: Run) -> Run:
-    """run, after which a Python worker gives the memory it has freed back to the system: workers outlive their tasks."""
+    """run, after which a Python worker gives the memory it has freed back to the system: workers outlive their tasks. They also
+    go from one operator to the next, so what others keep goes first: a worker holds the tables of one operator at a time."""
+    module = run.__module__
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken_over(module)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform.startswith("linux"):
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim:
-                trim(0)
+        trim()
 
     return tidied
 

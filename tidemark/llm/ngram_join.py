@@ -29,7 +29,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import discard, free_name, id_and_text, pieces, raw_texts, spans_of, stored, tidy, word_lists
+from .common import discard, free_name, id_and_text, keeps, pieces, raw_texts, spans_of, stored, tidy, word_lists
 from .graph import connected_components
 
 SIZE = 3
@@ -52,6 +52,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()  # of a worker process, bounded by MEMO between texts
+keeps(__name__, _hashes.clear)
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
