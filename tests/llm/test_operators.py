@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -549,6 +550,28 @@ def test_lm_learns_more_than_counts(spark):
     assert got.s > 0.75 * got.b
 
 
+def test_lm_rows_carry_two_bytes_a_token(spark, monkeypatch):
+    """What training shuffles and scoring reads is a 16-bit input row for each token, the same for equal tokens; not lists of numbers."""
+    seen = []
+    monkeypatch.setattr(gru_lm, "_train", lambda encoded, *_: seen.extend(encoded.collect()))
+    rnd = random.Random(4)
+    table = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(80)))) for i in range(60)] + [(60, None), (61, "new w1\tW1 new")]
+    gru_lm.lm_scores(frame(spark, table))
+    texts, row_of = dict(table), {}
+    assert len(seen) == len(table)
+    for r in seen:
+        tokens, rows = [*words(texts[r.doc_id] or ""), b""], np.frombuffer(r.ids, "<u2")
+        assert r.n_tokens == len(tokens) == len(rows) and rows.max() < gru_lm.HEAD + gru_lm.BUCKETS
+        assert all(row_of.setdefault(t, k) == k for t, k in zip(tokens, rows.tolist(), strict=True))
+    assert len(set(row_of.values())) > 1000
+
+
+def test_lm_scores_small_batches_together():
+    batches = [pa.record_batch([pa.array([k, 3], pa.int64())], ["n_tokens"]) for k in (1, 6, 2, 9, 1)]
+    assert [t.column("n_tokens").to_pylist() for t in gru_lm._together(iter(batches), 12)] == [[1, 3, 6, 3], [2, 3, 9, 3], [1, 3]]
+    assert list(gru_lm._together(iter([]), 12)) == []
+
+
 def test_toxicity_learns_a_pair_that_neither_word_tells(spark):
     rnd, texts, labels = random.Random(6), [], []
     for i in range(1500):
